@@ -1,0 +1,7 @@
+"""Streaming.
+
+The forecasting workload this library re-expresses is batch only: it has no
+stream source, watermark, event-time window or state.  No streaming operator
+is provided, on purpose; the batch plans run unchanged inside a
+``foreachBatch`` sink if a caller wants to forecast each micro-batch.
+"""
