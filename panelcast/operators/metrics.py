@@ -48,7 +48,8 @@ def wide_metrics(df: DataFrame, targets: dict, key=(SERIES,)) -> DataFrame:
     """Metrics for several horizons and both splits in one aggregation.
 
     ``targets`` maps ``h -> (label, prediction, train_flag, test_flag)``.
-    Returns the long table ``(key.., horizon, split, n, rmse, r2)``.
+    Returns the long table ``(key.., horizon, split, n, rmse, r2)``; a split
+    without rows has no metric row.
     """
     aggs = []
     for h, (label, pred, train, test) in targets.items():
@@ -69,7 +70,8 @@ def wide_metrics(df: DataFrame, targets: dict, key=(SERIES,)) -> DataFrame:
                 F.lit(h).alias("horizon"), F.lit(split).alias("split"), n.alias("n"),
                 rmse_expr(n, sse).alias("rmse"), r2_expr(n, sse, vy).alias("r2"),
             ))
-    return wide.select(*key, F.explode(F.array(*rows)).alias("_m")).select(*key, "_m.*")
+    out = wide.select(*key, F.explode(F.array(*rows)).alias("_m")).select(*key, "_m.*")
+    return out.where(F.col("n") > 0)
 
 
 def metric_table(metrics: DataFrame, metric: str = "rmse", split: str = "test",
