@@ -4,12 +4,13 @@ MLlib's ``LinearRegression`` fits one model per call.  Fitting one per
 series (and per horizon) that way needs a Spark job per model.  Here the fit
 is one aggregation:
 
-1. ``groupBy(series_id)`` with built-in, numerically stable aggregates
-   (``avg``, ``var_pop``, ``covar_pop``) of the features and labels over the
-   training rows of each horizon.  Spark combines them map-side (partial
+1. ``groupBy(series_id, horizon)`` with built-in, numerically stable
+   aggregates (``avg``, ``var_pop``, ``covar_pop``) of the features and
+   labels over the training rows of each horizon (the wide feature row is
+   exploded into one row per horizon it trains).  Spark combines them map-side (partial
    aggregation), so a hot series costs one small buffer per task, never a
    task of its own.
-2. ``mapInPandas`` over that table (one row per series) solves all the small
+2. ``mapInPandas`` over that table (one row per series and horizon) solves all the small
    problems together with numpy, vectorised across series: coordinate
    descent on the standardised normal equations.
 
@@ -37,33 +38,40 @@ from pyspark.sql import types as T
 from panelcast.sources.panel import SERIES
 
 
-def linear_stats(df: DataFrame, features: Sequence[str], targets: dict, key=(SERIES,)) -> DataFrame:
-    """Sufficient statistics per key for each target.
+def linear_stats(df: DataFrame, features: Sequence[str], label: str, key=(SERIES,)) -> DataFrame:
+    """Sufficient statistics of ``label ~ features`` per key (all rows of ``df``).
 
-    ``targets`` maps a target id ``h`` to ``(label_col, train_flag)``; the
-    flag selects the training rows of that target.
+    21 aggregates for 4 features: few enough buffer fields for Spark to keep
+    the aggregation in whole-stage codegen.
     """
     p = len(features)
-    aggs = []
-    for h, (label, flag) in targets.items():
-        flag = F.col(flag) if isinstance(flag, str) else flag
-        y = F.when(flag, F.col(label))
-        xs = [F.when(flag, F.col(f)) for f in features]
-        aggs += [
-            F.count(y).alias(f"n_{h}"),
-            F.avg(y).alias(f"my_{h}"),
-            F.var_pop(y).alias(f"vy_{h}"),
-        ]
-        aggs += [F.avg(xs[j]).alias(f"mx_{h}_{j}") for j in range(p)]
-        aggs += [F.covar_pop(xs[j], y).alias(f"cxy_{h}_{j}") for j in range(p)]
-        aggs += [
-            (F.var_pop(xs[j]) if j == k else F.covar_pop(xs[j], xs[k])).alias(f"cxx_{h}_{j}_{k}")
-            for j in range(p)
-            for k in range(j, p)
-        ]
+    y = F.col(label)
+    xs = [F.col(f) for f in features]
+    aggs = [F.count(y).alias("n"), F.avg(y).alias("my"), F.var_pop(y).alias("vy")]
+    aggs += [F.avg(xs[j]).alias(f"mx_{j}") for j in range(p)]
+    aggs += [F.covar_pop(xs[j], y).alias(f"cxy_{j}") for j in range(p)]
+    aggs += [
+        (F.var_pop(xs[j]) if j == k else F.covar_pop(xs[j], xs[k])).alias(f"cxx_{j}_{k}")
+        for j in range(p)
+        for k in range(j, p)
+    ]
     return df.groupBy(*key).agg(*aggs)
 
 
+def training_rows(df: DataFrame, features: Sequence[str], targets: dict, key=(SERIES,)) -> DataFrame:
+    """Long training table ``(key.., horizon, features.., y)``: one row per (row, target) it trains."""
+    rows = F.explode(F.array(*[
+        F.struct(F.lit(h).alias("horizon"), F.col(label).alias("y"), F.col(flag).alias("_tr"))
+        for h, (label, flag) in targets.items()
+    ]))
+    return (
+        df.select(*key, *features, rows.alias("_r"))
+        .select(*key, *features, "_r.*")
+        .where(F.col("_tr"))
+        .drop("_tr")
+    )
+
+
 def solve_elastic_net(n, my, vy, mx, cxy, cxx, reg_param, alpha, max_sweeps=1000, tol=1e-13):
     """Vectorised elastic net from moments.
 
@@ -101,50 +109,60 @@ def solve_elastic_net(n, my, vy, mx, cxy, cxx, reg_param, alpha, max_sweeps=1000
     return intercept, coef
 
 
-def coefficient_schema(key_fields: Sequence[T.StructField], targets, p) -> T.StructType:
-    fields = list(key_fields)
-    for h in targets:
-        fields.append(T.StructField(f"n_train_{h}", T.LongType()))
-        fields.append(T.StructField(f"icpt_{h}", T.DoubleType()))
-        fields += [T.StructField(f"coef_{h}_{j}", T.DoubleType()) for j in range(p)]
-    return T.StructType(fields)
-
-
 def fit_grouped_linear(df: DataFrame, features: Sequence[str], targets: dict, key=(SERIES,),
                        reg_param: float = 0.4, elastic_net: float = 0.1) -> DataFrame:
-    """One row per key: ``n_train_<h>``, ``icpt_<h>``, ``coef_<h>_<j>`` for each target."""
+    """Long coefficient table ``(key.., horizon, n_train, intercept, coef_0..coef_(p-1))``.
+
+    ``targets`` maps a horizon ``h`` to ``(label_col, train_flag_col)``.
+    One aggregation over the exploded training rows, grouped by key and
+    horizon; then one vectorised solve per batch of groups.
+    """
     p = len(features)
-    stats = linear_stats(df, features, targets, key)
-    key_fields = [stats.schema[k] for k in key]
-    schema = coefficient_schema(key_fields, list(targets), p)
-    hs = list(targets)
+    stats = linear_stats(training_rows(df, features, targets, key), features, "y", (*key, "horizon"))
+    fields = [stats.schema[k] for k in key] + [
+        T.StructField("horizon", T.IntegerType()),
+        T.StructField("n_train", T.LongType()),
+        T.StructField("intercept", T.DoubleType()),
+    ] + [T.StructField(f"coef_{j}", T.DoubleType()) for j in range(p)]
+    schema = T.StructType(fields)
+    names = [f.name for f in fields]
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            n = pdf["n"].to_numpy(dtype=float)
+            mx = np.stack([pdf[f"mx_{j}"].to_numpy(dtype=float) for j in range(p)], axis=1)
+            cxy = np.stack([pdf[f"cxy_{j}"].to_numpy(dtype=float) for j in range(p)], axis=1)
+            cxx = np.zeros((len(pdf), p, p))
+            for j in range(p):
+                for k in range(j, p):
+                    v = pdf[f"cxx_{j}_{k}"].to_numpy(dtype=float)
+                    cxx[:, j, k] = v
+                    cxx[:, k, j] = v
+            icpt, coef = solve_elastic_net(
+                n, pdf["my"].to_numpy(dtype=float), np.nan_to_num(pdf["vy"].to_numpy(dtype=float)),
+                mx, np.nan_to_num(cxy), np.nan_to_num(cxx), reg_param, elastic_net,
+            )
             out = {k: pdf[k] for k in key}
-            for h in hs:
-                n = pdf[f"n_{h}"].to_numpy(dtype=float)
-                my = pdf[f"my_{h}"].to_numpy(dtype=float)
-                vy = pdf[f"vy_{h}"].to_numpy(dtype=float)
-                mx = np.stack([pdf[f"mx_{h}_{j}"].to_numpy(dtype=float) for j in range(p)], axis=1)
-                cxy = np.stack([pdf[f"cxy_{h}_{j}"].to_numpy(dtype=float) for j in range(p)], axis=1)
-                cxx = np.zeros((len(pdf), p, p))
-                for j in range(p):
-                    for k in range(j, p):
-                        v = pdf[f"cxx_{h}_{j}_{k}"].to_numpy(dtype=float)
-                        cxx[:, j, k] = v
-                        cxx[:, k, j] = v
-                icpt, coef = solve_elastic_net(n, my, np.nan_to_num(vy), mx, cxy, np.nan_to_num(cxx),
-                                               reg_param, elastic_net)
-                out[f"n_train_{h}"] = pdf[f"n_{h}"].astype("int64")
-                out[f"icpt_{h}"] = icpt
-                for j in range(p):
-                    out[f"coef_{h}_{j}"] = coef[:, j]
-            yield pd.DataFrame(out)[schema.fieldNames()]
+            out["horizon"] = pdf["horizon"].astype("int32")
+            out["n_train"] = pdf["n"].astype("int64")
+            out["intercept"] = icpt
+            for j in range(p):
+                out[f"coef_{j}"] = coef[:, j]
+            yield pd.DataFrame(out)[names]
 
     return stats.mapInPandas(solve, schema)
 
 
+def coefficients_wide(coefs: DataFrame, hs, p: int, key=(SERIES,)) -> DataFrame:
+    """One row per key with ``icpt_<h>`` and ``coef_<h>_<j>`` (small table: one row per series)."""
+    cols = []
+    for h in hs:
+        at = F.col("horizon") == h
+        cols.append(F.max(F.when(at, F.col("intercept"))).alias(f"icpt_{h}"))
+        cols += [F.max(F.when(at, F.col(f"coef_{j}"))).alias(f"coef_{h}_{j}") for j in range(p)]
+    return coefs.groupBy(*key).agg(*cols)
+
+
 def linear_prediction(features: Sequence[str], h) -> Column:
     """``icpt_<h> + sum_j coef_<h>_<j> * x_j`` as a native expression."""
     pred = F.col(f"icpt_{h}")
@@ -153,15 +171,7 @@ def linear_prediction(features: Sequence[str], h) -> Column:
     return pred
 
 
-def coefficients_long(coefs: DataFrame, hs, p, key=(SERIES,)) -> DataFrame:
-    """``(key.., horizon, n_train, intercept, coefficients array)`` report."""
-    rows = F.array(*[
-        F.struct(
-            F.lit(h).alias("horizon"),
-            F.col(f"n_train_{h}").alias("n_train"),
-            F.col(f"icpt_{h}").alias("intercept"),
-            F.array(*[F.col(f"coef_{h}_{j}") for j in range(p)]).alias("coefficients"),
-        )
-        for h in hs
-    ])
-    return coefs.select(*key, F.explode(rows).alias("_r")).select(*key, "_r.*")
+def coefficients_report(coefs: DataFrame, p: int, key=(SERIES,)) -> DataFrame:
+    """``(key.., horizon, n_train, intercept, coefficients array)``."""
+    return coefs.select(*key, "horizon", "n_train", "intercept",
+                        F.array(*[F.col(f"coef_{j}") for j in range(p)]).alias("coefficients"))

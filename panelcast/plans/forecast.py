@@ -37,7 +37,12 @@ from panelcast.functions.series import (
     lag,
 )
 from panelcast.operators import ordered
-from panelcast.operators.linear import coefficients_long, fit_grouped_linear, linear_prediction
+from panelcast.operators.linear import (
+    coefficients_report,
+    coefficients_wide,
+    fit_grouped_linear,
+    linear_prediction,
+)
 from panelcast.operators.metrics import wide_metrics
 from panelcast.operators.trees import LINEAR, REGRESSORS, fit_score_trees
 from panelcast.sources.panel import ORDER, PANEL_COLUMNS, SERIES, TIEBREAK, TS, VALUE
@@ -78,6 +83,7 @@ class ForecastResult:
     predictions: DataFrame
     metrics: DataFrame
     features: DataFrame
+    scored: DataFrame
     coefficients: DataFrame | None = None
     models: dict = field(default_factory=dict)
     cached: list = field(default_factory=list)
@@ -86,6 +92,25 @@ class ForecastResult:
         for df in self.cached:
             df.unpersist()
 
+    def write(self, path: str, mode: str = "errorifexists", fmt: str = "parquet") -> None:
+        """Write ``<path>/predictions`` (partitioned by split) and ``<path>/metrics``.
+
+        Both outputs derive from the scored feature table, so it is persisted
+        (memory, spilling to local disk) for the two writes: the panel is
+        read and shuffled once instead of once per output.  Lost cached
+        blocks are recomputed from the lineage, which is deterministic.
+        """
+        from pyspark import StorageLevel
+
+        from panelcast.plans.report import write_metrics, write_predictions
+
+        self.scored.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            write_predictions(self.predictions, f"{path.rstrip('/')}/predictions", mode, fmt)
+            write_metrics(self.metrics, f"{path.rstrip('/')}/metrics", mode, fmt)
+        finally:
+            self.scored.unpersist()
+
 
 # --- windows ---------------------------------------------------------------
 def _local_features(x: DataFrame, w: WindowSpec, lags: int, hs) -> DataFrame:
@@ -220,11 +245,14 @@ def fit_and_score(feats: DataFrame, cfg: ForecastConfig, hs):
             feats, fcols, {h: (f"label_{h}", f"train_{h}") for h in hs},
             reg_param=cfg.reg_param, elastic_net=cfg.elastic_net,
         )
-        scored = feats.join(coefs, SERIES, "left")
+        # one row per series: AQE broadcasts it when its measured size is
+        # small, else it is shuffled to the features' series partitioning
+        wide = coefficients_wide(coefs, hs, len(fcols))
+        scored = feats.join(wide, SERIES, "left")
         scored = scored.select(
             *feats.columns, *[linear_prediction(fcols, h).alias(delta_name(h)) for h in hs]
         )
-        return scored, coefficients_long(coefs, hs, len(fcols)), {}, []
+        return scored, coefficients_report(coefs, len(fcols)), {}, []
     scored, models, cached = fit_score_trees(
         feats, fcols, {h: (f"label_{h}", f"train_{h}", delta_name(h)) for h in hs},
         cfg.regressor, cfg.tree_mode, cfg.max_series_fits, cfg.seed,
@@ -260,7 +288,7 @@ def forecast_panel(panel: DataFrame, cfg: ForecastConfig | None = None, **overri
         running = running + F.col(delta_name(h))
         cols += [F.col(delta_name(h)), running.alias(forecast_name(h)), F.col(actual_name(h))]
     predictions = out.select(*cols)
-    return ForecastResult(predictions, metrics, feats, coefs, models, cached)
+    return ForecastResult(predictions, metrics, feats, scored, coefs, models, cached)
 
 
 def forecast_horizon(panel: DataFrame, horizon: int, cfg: ForecastConfig | None = None, **overrides):

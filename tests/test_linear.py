@@ -21,18 +21,20 @@ def feats(spark):
 def test_matches_mllib_per_series(spark, feats):
     f, cfg, hs = feats
     fcols = feature_columns(cfg.lags)
-    coefs = fit_grouped_linear(f, fcols, {h: (f"label_{h}", f"train_{h}") for h in hs}).collect()
+    coefs = fit_grouped_linear(f, fcols, {h: (f"label_{h}", f"train_{h}") for h in hs})
+    rows = coefs.orderBy("series_id", "horizon").collect()
+    assert len(rows) == 5 * len(hs)
     va = VectorAssembler(inputCols=fcols, outputCol="features")
-    for row in coefs[:2]:
-        for h in hs:
-            train = f.where((F.col("series_id") == row["series_id"]) & F.col(f"train_{h}"))
-            m = LinearRegression(labelCol=f"label_{h}", maxIter=100, regParam=0.4, elasticNetParam=0.1).fit(
-                va.transform(train)
-            )
-            ours = np.array([row[f"coef_{h}_{j}"] for j in range(len(fcols))])
-            assert np.allclose(ours, m.coefficients.toArray(), atol=1e-5, rtol=1e-4)
-            assert abs(row[f"icpt_{h}"] - m.intercept) < 1e-5
-            assert row[f"n_train_{h}"] == train.count()
+    for row in rows[:4]:
+        h = row["horizon"]
+        train = f.where((F.col("series_id") == row["series_id"]) & F.col(f"train_{h}"))
+        m = LinearRegression(labelCol=f"label_{h}", maxIter=100, regParam=0.4, elasticNetParam=0.1).fit(
+            va.transform(train)
+        )
+        ours = np.array([row[f"coef_{j}"] for j in range(len(fcols))])
+        assert np.allclose(ours, m.coefficients.toArray(), atol=1e-5, rtol=1e-4)
+        assert abs(row["intercept"] - m.intercept) < 1e-5
+        assert row["n_train"] == train.count()
 
 
 def test_constant_label_gives_mean_intercept():
