@@ -47,6 +47,17 @@ def scan_orders_daily(spark, sf):
     return P.orders_daily(spark, sf)
 
 
+def scan_csv(spark, sf):
+    """CSV source: the panel written as header CSV, read back with an explicit date format."""
+    from panelcast.session import fresh_path
+    from panelcast.sources.files import read_csv_series, write_csv_series
+
+    path = fresh_path(spark, "csv")
+    write_csv_series(P.events_by_type(spark, sf), path)
+    return read_csv_series(spark, path, date_format="yyyy-MM-dd HH:mm:ss.SSSSSS", series_col="series_id",
+                           tiebreak_col="tiebreak")
+
+
 def project_series(spark, sf):
     ev = P.read_table(spark, sf, "events")
     return ev.select(F.col("event_type").alias(SERIES), TS, VALUE)
@@ -245,6 +256,7 @@ def stationarity_adf(spark, sf):
 QUERIES = {
     "scan_panel": scan_panel,
     "scan_orders_daily": scan_orders_daily,
+    "scan_csv": scan_csv,
     "project_series": project_series,
     "series_counts": series_counts,
     "preview_first_k": preview_first_k,
