@@ -26,9 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
         current = sc.getCheckpointDir()
         if current:
             return current
-        raise RuntimeError(
-            "spark.checkpoint.dir is not set: point it at a folder every executor shares"
-        )
+        if not sc.master.startswith("local"):
+            raise RuntimeError(
+                "spark.checkpoint.dir is not set: point it at a folder every executor shares"
+            )
+        # local mode only (tests, a laptop): driver and executors share this disk
+        base = tempfile.mkdtemp(prefix="panelcast-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", base)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(base)
     return base
