@@ -5,6 +5,8 @@ series (``partitionBy(seriesCol).orderBy(orderCols)``), so they compose in a
 ``Pipeline`` and run on any number of series at once.  All columns come out
 of one ``select`` per transformer; Spark evaluates windows with the same
 partitioning and order in one Window operator, after a single shuffle.
+On the panel layout, series longer than ``hotSeriesRows`` are computed with
+the blocked windows of ``operators.ordered`` (same values, bounded tasks).
 
 Output names keep the reference's contract:
 
@@ -32,7 +34,8 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, Window
 
 from panelcast.functions import series as S
-from panelcast.sources.panel import ORDER, SERIES
+from panelcast.operators.ordered import apply_by_series
+from panelcast.sources.panel import ORDER, SERIES, TIEBREAK, TS
 
 
 class _SeriesParams(HasInputCol):
@@ -42,10 +45,16 @@ class _SeriesParams(HasInputCol):
                       typeConverter=TypeConverters.toString)
     orderCols = Param(Params._dummy(), "orderCols", "columns giving the order inside a series",
                       typeConverter=TypeConverters.toListString)
+    hotSeriesRows = Param(Params._dummy(), "hotSeriesRows",
+                          "series longer than this use the skew-safe blocked windows "
+                          "(0: all series, negative: never)", typeConverter=TypeConverters.toInt)
+    blockRows = Param(Params._dummy(), "blockRows", "rows per block on the blocked path",
+                      typeConverter=TypeConverters.toInt)
 
     def __init__(self):
         super().__init__()
-        self._setDefault(lagLength=0, seriesCol=SERIES, orderCols=list(ORDER))
+        self._setDefault(lagLength=0, seriesCol=SERIES, orderCols=list(ORDER),
+                         hotSeriesRows=5_000_000, blockRows=1_000_000)
 
     def setLagLength(self, value: int):
         return self._set(lagLength=value)
@@ -70,7 +79,8 @@ class _SeriesParams(HasInputCol):
 
 class _SeriesTransformer(Transformer, _SeriesParams, DefaultParamsReadable, DefaultParamsWritable):
     @keyword_only
-    def __init__(self, *, inputCol=None, lagLength=None, seriesCol=None, orderCols=None):
+    def __init__(self, *, inputCol=None, lagLength=None, seriesCol=None, orderCols=None,
+                 hotSeriesRows=None, blockRows=None):
         super().__init__()
         self._set(**self._input_kwargs)
 
@@ -80,8 +90,24 @@ class _SeriesTransformer(Transformer, _SeriesParams, DefaultParamsReadable, Defa
     def _columns(self, w):
         raise NotImplementedError
 
+    def _reach(self) -> tuple[int, int]:
+        """Rows the window looks back and ahead."""
+        return self.getLagLength(), 0
+
     def _transform(self, df: DataFrame) -> DataFrame:
-        return df.select("*", *self._columns(self._window()))
+        def fn(d, w):
+            return d.select("*", *self._columns(w))
+
+        panel_layout = (
+            self.getOrDefault(self.seriesCol) == SERIES
+            and self.getOrDefault(self.orderCols) == [TS, TIEBREAK]
+        )
+        hot = self.getOrDefault(self.hotSeriesRows)
+        if not panel_layout or hot < 0:
+            return fn(df, self._window())
+        back, fwd = self._reach()
+        return apply_by_series(df, fn, back, fwd, hot_series_rows=hot,
+                               block_rows=self.getOrDefault(self.blockRows))
 
 
 class LagFeatures(_SeriesTransformer):
@@ -123,13 +149,17 @@ class Differencer(_SeriesTransformer, HasOutputCol):
     """First difference, 0 on the first row of each series."""
 
     @keyword_only
-    def __init__(self, *, inputCol=None, outputCol=None, seriesCol=None, orderCols=None):
+    def __init__(self, *, inputCol=None, outputCol=None, seriesCol=None, orderCols=None,
+                 hotSeriesRows=None, blockRows=None):
         super(_SeriesTransformer, self).__init__()
         self._set(**self._input_kwargs)
 
     def setOutputCol(self, value: str):
         return self._set(outputCol=value)
 
+    def _reach(self):
+        return 1, 0
+
     def _out(self):
         return self.getOrDefault(self.outputCol) if self.isSet(self.outputCol) else S.diff_name(self.getInputCol())
 
@@ -146,11 +176,15 @@ class LeadLabel(_SeriesTransformer, HasOutputCol):
     horizon = Param(Params._dummy(), "horizon", "rows ahead", typeConverter=TypeConverters.toInt)
 
     @keyword_only
-    def __init__(self, *, inputCol=None, outputCol=None, horizon=None, seriesCol=None, orderCols=None):
+    def __init__(self, *, inputCol=None, outputCol=None, horizon=None, seriesCol=None, orderCols=None,
+                 hotSeriesRows=None, blockRows=None):
         super(_SeriesTransformer, self).__init__()
         self._setDefault(horizon=1)
         self._set(**self._input_kwargs)
 
+    def _reach(self):
+        return 0, self.getOrDefault(self.horizon)
+
     def setHorizon(self, value: int):
         return self._set(horizon=value)
 

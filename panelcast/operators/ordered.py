@@ -57,20 +57,64 @@ def series_sizes(panel: DataFrame) -> DataFrame:
 def find_hot_series(panel: DataFrame, threshold: int, max_keys: int = 10_000):
     """Series with more than ``threshold`` rows.
 
-    Returns ``(keys, hot_rows)``.  Each key holds more than ``threshold``
-    rows, so at most ``total_rows / threshold`` keys exist; past
-    ``max_keys`` of them ``keys`` is ``None``, meaning "treat every series
-    as hot".
+    Returns ``{key: rows}``.  Each key holds more than ``threshold`` rows,
+    so at most ``total_rows / threshold`` keys exist: the collected list is
+    bounded by the data size divided by the threshold, not by the data.
+    Past ``max_keys`` of them the result is ``None``, meaning "treat every
+    series as hot".
     """
     rows = (
-        series_sizes(panel)
+        series_sizes(panel.select(SERIES))
         .where(F.col("n_rows") > threshold)
         .limit(max_keys + 1)
         .collect()
     )
     if len(rows) > max_keys:
-        return None, None
-    return [r[SERIES] for r in rows], sum(int(r["n_rows"]) for r in rows)
+        return None
+    return {r[SERIES]: int(r["n_rows"]) for r in rows}
+
+
+def split_by_heat(panel: DataFrame, hot_series_rows: int | None):
+    """``[(part, blocked, rows_in_part)]``: ordinary series and hot series.
+
+    ``hot_series_rows=None`` skips the check (one plain part); ``0`` sends
+    every series through the blocked path.
+    """
+    if hot_series_rows is None:
+        return [(panel, False, None)]
+    if hot_series_rows == 0:
+        return [(panel, True, panel.count())]
+    hot = find_hot_series(panel, hot_series_rows)
+    if hot is None:
+        return [(panel, True, panel.count())]
+    if not hot:
+        return [(panel, False, None)]
+    is_hot = F.col(SERIES).isin(list(hot))
+    return [(panel.where(~is_hot), False, None), (panel.where(is_hot), True, sum(hot.values()))]
+
+
+def apply_by_series(df: DataFrame, fn: Callable[[DataFrame, WindowSpec], DataFrame], back: int, fwd: int,
+                    hot_series_rows: int | None = 5_000_000, block_rows: int = 1_000_000,
+                    rows_per_partition: int = 2_000_000) -> DataFrame:
+    """``fn(df, w)`` over each series, skew-safe.
+
+    ``fn`` adds columns with windows over ``w`` whose frames reach at most
+    ``back`` rows back and ``fwd`` ahead.  Ordinary series use the plain
+    per-series window; series above ``hot_series_rows`` go through
+    :func:`index_rows` and :func:`blocked_window`.  Same rows, same values.
+    """
+    outs = []
+    for part, blocked, rows in split_by_heat(df, hot_series_rows):
+        if not blocked:
+            outs.append(fn(part, series_window()))
+            continue
+        x = index_rows(part, rows, rows_per_partition)
+        y = blocked_window(x, fn, IDX, max(block_rows, back, fwd, 1), back, fwd)
+        outs.append(y.drop(IDX, BLOCK))
+    out = outs[0]
+    for o in outs[1:]:
+        out = out.unionByName(o)
+    return out
 
 
 def index_rows(df: DataFrame, total_rows: int, rows_per_partition: int = 2_000_000) -> DataFrame:

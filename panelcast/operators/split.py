@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.series import all_present
+from panelcast.operators import ordered
 from panelcast.sources.panel import ORDER, SERIES
 
 
@@ -28,25 +29,71 @@ def complete_cases(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     return df.where(cond)
 
 
-def row_index(df: DataFrame, key=(SERIES,), order=ORDER, name: str = "row_number") -> DataFrame:
-    """0-based position of each row inside its series (bigint)."""
+def _panel_layout(key, order) -> bool:
+    return tuple(key) == (SERIES,) and tuple(order) == tuple(ORDER)
+
+
+def _indexed_parts(df: DataFrame, key, order, hot_series_rows, rows_per_partition):
+    """``[(part, source_rows, blocked)]`` per heat class; blocked parts carry ``row_number``."""
+    if not _panel_layout(key, order):
+        return [(df, None, False)]
+    out = []
+    for part, blocked, rows in ordered.split_by_heat(df, hot_series_rows):
+        if blocked:
+            x = ordered.index_rows(part, rows, rows_per_partition).withColumnRenamed(ordered.IDX, "row_number")
+            out.append((x, part, True))
+        else:
+            out.append((part, None, False))
+    return out
+
+
+def row_index(df: DataFrame, key=(SERIES,), order=ORDER, name: str = "row_number",
+              hot_series_rows: int | None = 5_000_000, rows_per_partition: int = 2_000_000) -> DataFrame:
+    """0-based position of each row inside its series (bigint).
+
+    Hot series (more than ``hot_series_rows`` rows) are numbered through
+    range partitions and per-partition offsets, never in one task.
+    """
     w = Window.partitionBy(*key).orderBy(*order)
-    return df.select("*", (F.row_number().over(w) - 1).cast("bigint").alias(name))
+    outs = []
+    for part, _, blocked in _indexed_parts(df, key, order, hot_series_rows, rows_per_partition):
+        if blocked:
+            outs.append(part.withColumnRenamed("row_number", name))
+        else:
+            outs.append(part.select("*", (F.row_number().over(w) - 1).cast("bigint").alias(name)))
+    return _union(outs)
+
+
+def _union(dfs):
+    out = dfs[0]
+    for d in dfs[1:]:
+        out = out.unionByName(d)
+    return out
 
 
-def time_split(df: DataFrame, ratio: float = 0.7, key=(SERIES,), order=ORDER) -> DataFrame:
+def time_split(df: DataFrame, ratio: float = 0.7, key=(SERIES,), order=ORDER,
+               hot_series_rows: int | None = 5_000_000, rows_per_partition: int = 2_000_000) -> DataFrame:
     """Add ``row_number``, ``n_rows`` and ``split``.
 
     With ``k = floor(n_rows * ratio)`` (double arithmetic, as ``int(N*0.7)``),
-    rows ``0..k`` are ``train`` (k+1 rows) and the rest ``test``.
+    rows ``0..k`` are ``train`` (k+1 rows) and the rest ``test``.  Hot series
+    get their row numbers from :func:`ordered.index_rows` and their size from
+    a partial aggregate joined back on the (few) hot keys.
     """
     w = Window.partitionBy(*key).orderBy(*order)
     whole = Window.partitionBy(*key)
-    x = df.select(
-        "*",
-        (F.row_number().over(w) - 1).cast("bigint").alias("row_number"),
-        F.count(F.lit(1)).over(whole).alias("n_rows"),
-    )
+    outs = []
+    for part, src, blocked in _indexed_parts(df, key, order, hot_series_rows, rows_per_partition):
+        if blocked:
+            sizes = src.groupBy(*key).agg(F.count(F.lit(1)).alias("n_rows"))
+            outs.append(part.join(sizes, list(key)))
+        else:
+            outs.append(part.select(
+                "*",
+                (F.row_number().over(w) - 1).cast("bigint").alias("row_number"),
+                F.count(F.lit(1)).over(whole).alias("n_rows"),
+            ))
+    x = _union(outs)
     k = F.floor(F.col("n_rows") * F.lit(float(ratio)))
     return x.withColumn("split", F.when(F.col("row_number") <= k, F.lit("train")).otherwise(F.lit("test")))
 

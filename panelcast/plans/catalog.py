@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.functions.series import actual_name, delta_name, forecast_name
+from panelcast.functions.series import delta_name, forecast_name
 from panelcast.operators import ordered
 from panelcast.operators.features import Differencer, LagFeatures, LeadLabel, MovingAverage, TrendSign
 from panelcast.operators.metrics import metric_table
@@ -101,10 +101,14 @@ def trend_sign(spark, sf):
 
 
 def lead_label(spark, sf):
+    """Clamped labels at horizons 1..5 of the difference, in one skew-safe pass."""
+    from panelcast.functions.series import clamped_lead
+
     p = Differencer(inputCol=VALUE, outputCol="diff").transform(P.events_by_type(spark, sf))
-    for h in range(1, H + 1):
-        p = LeadLabel(inputCol="diff", outputCol=f"label_{h}", horizon=h).transform(p)
-    return p
+    return ordered.apply_by_series(
+        p, lambda d, w: d.select("*", *[clamped_lead("diff", h, w).alias(f"label_{h}") for h in range(1, H + 1)]),
+        0, H,
+    )
 
 
 def row_index_q(spark, sf):
@@ -152,12 +156,15 @@ def time_split_q(spark, sf):
 
 
 def actual_at_horizon(spark, sf):
-    df = time_split(P.events_by_type(spark, sf))
-    from pyspark.sql import Window
+    """Value h rows ahead inside the row's split, clamped at the split's end.
+
+    Windows stay per series (train rows precede test rows), so hot series
+    take the blocked path like every other bounded-frame window.
+    """
+    from panelcast.plans.forecast import _actual_columns
 
-    w = Window.partitionBy(SERIES, "split").orderBy(TS, TIEBREAK)
-    return df.select(SERIES, TS, TIEBREAK, "split", VALUE,
-                     *[F.last(VALUE).over(w.rowsBetween(0, h)).alias(actual_name(h)) for h in range(1, H + 1)])
+    df = time_split(P.events_by_type(spark, sf)).select(SERIES, TS, TIEBREAK, "split", VALUE)
+    return ordered.apply_by_series(df, lambda d, w: d.select("*", *_actual_columns(w, range(1, H + 1))), 0, H)
 
 
 # --- models ------------------------------------------------------------------------

@@ -206,28 +206,11 @@ def _outputs_blocked(scored: DataFrame, hs, cfg: ForecastConfig) -> DataFrame:
     )
 
 
-def _plan_paths(panel: DataFrame, cfg: ForecastConfig):
-    """Split the panel into ``(part, blocked, rows)`` pieces by series size."""
-    panel = panel.select(*PANEL_COLUMNS)
-    if cfg.hot_series_rows is None:
-        return [(panel, False, None)]
-    if cfg.hot_series_rows == 0:
-        total = panel.count()
-        return [(panel, True, total)]
-    keys, hot_rows = ordered.find_hot_series(panel, cfg.hot_series_rows)
-    if keys is None:
-        return [(panel, True, panel.count())]
-    if not keys:
-        return [(panel, False, None)]
-    hot = F.col(SERIES).isin(keys)
-    return [(panel.where(~hot), False, None), (panel.where(hot), True, hot_rows)]
-
-
 def build_features(panel: DataFrame, cfg: ForecastConfig, hs=None):
     """Wide feature table for horizons ``hs`` plus the path pieces it came from."""
     hs = list(hs or range(1, cfg.horizons + 1))
     pieces = []
-    for part, blocked, rows in _plan_paths(panel, cfg):
+    for part, blocked, rows in ordered.split_by_heat(panel.select(*PANEL_COLUMNS), cfg.hot_series_rows):
         f = _features_blocked(part, cfg, hs, rows) if blocked else _features_plain(part, cfg, hs)
         pieces.append((f.withColumn("_blocked", F.lit(blocked)), blocked))
     feats = pieces[0][0]

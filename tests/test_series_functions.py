@@ -102,3 +102,31 @@ def test_series_do_not_leak_into_each_other(spark):
     firsts = out.where("tiebreak = 0").collect()
     assert all(r["value_LagBy_1"] is None for r in firsts)
     assert not math.isnan(out.where("series_id = 'b' and tiebreak = 1").collect()[0]["value_LagBy_1"])
+
+
+def test_transformers_blocked_path_equals_plain(spark):
+    from conftest import SF_SMALL
+    from panelcast.sources.panel import events_single
+
+    p = events_single(spark, SF_SMALL)
+    for make in (lambda hot: LagFeatures(inputCol="value", lagLength=3, hotSeriesRows=hot, blockRows=50),
+                 lambda hot: MovingAverage(inputCol="value", lagLength=3, hotSeriesRows=hot, blockRows=50),
+                 lambda hot: TrendSign(inputCol="value", lagLength=2, hotSeriesRows=hot, blockRows=50),
+                 lambda hot: Differencer(inputCol="value", hotSeriesRows=hot, blockRows=50),
+                 lambda hot: LeadLabel(inputCol="value", horizon=4, hotSeriesRows=hot, blockRows=50)):
+        plain = make(-1).transform(p)
+        blocked = make(0).transform(p)
+        assert plain.exceptAll(blocked).count() == 0 and blocked.exceptAll(plain).count() == 0
+
+
+def test_row_index_and_split_blocked_equal_plain(spark):
+    from conftest import SF_SMALL
+    from panelcast.operators.split import row_index
+    from panelcast.sources.panel import events_by_type
+
+    p = events_by_type(spark, SF_SMALL)
+    for fn in (lambda hot: row_index(p, hot_series_rows=hot, rows_per_partition=90),
+               lambda hot: time_split(p, hot_series_rows=hot, rows_per_partition=90)):
+        a, b = fn(None), fn(0)
+        assert a.count() == b.count() == p.count()
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
