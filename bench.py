@@ -3,8 +3,10 @@
 Runs on ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) with
 ``local[$BENCH_CPUS]`` and prints one JSON line.  Each query is run once to
 warm up, then ``$BENCH_REPS`` times (default 3); the median is reported.
-Results are forced with the ``noop`` sink (full evaluation, nothing
-collected) or, for small outputs, ``collect``.
+Feature passes are forced with the ``noop`` sink (full evaluation, nothing
+collected); forecasts write predictions and metrics to a fresh folder under
+the shared checkpoint folder.  The session keeps shuffles at 2 x cores
+tasks (no AQE coalescing: sf0.1 shuffles are a few MB).
 """
 
 from __future__ import annotations
@@ -91,7 +93,8 @@ QUERIES = {
 
 
 def main():
-    spark = local_session(app="panelcast-bench", cores=CPUS, shuffle_partitions=int(CPUS) * 2)
+    spark = local_session(app="panelcast-bench", cores=CPUS, shuffle_partitions=int(CPUS) * 2,
+                          coalesce_shuffles=False)
     only = set(sys.argv[1:])
     times = {}
     for name, fn in QUERIES.items():

@@ -87,14 +87,23 @@ def trend_sign(c, i: int, w: WindowSpec) -> Column:
     return F.signum(x - F.lag(x, i).over(w))
 
 
+def _present_sql(name: str) -> str:
+    q = "`" + name.replace("`", "``") + "`"
+    return f"({q} IS NOT NULL AND NOT isnan({q}))"
+
+
 def is_present(c) -> Column:
     """Neither null nor NaN (the rule ``DataFrame.dropna`` applies to doubles)."""
-    x = _col(c)
-    return x.isNotNull() & ~F.isnan(x)
+    if isinstance(c, str):
+        return F.expr(_present_sql(c))
+    return c.isNotNull() & ~F.isnan(c)
 
 
 def all_present(cols) -> Column:
-    cond = F.lit(True)
+    """``is_present`` for every column, as one expression."""
+    names = [c for c in cols if isinstance(c, str)]
+    cond = F.expr(" AND ".join(_present_sql(c) for c in names)) if names else F.lit(True)
     for c in cols:
-        cond = cond & is_present(c)
+        if not isinstance(c, str):
+            cond = cond & is_present(c)
     return cond

@@ -45,17 +45,17 @@ def linear_stats(df: DataFrame, features: Sequence[str], label: str, key=(SERIES
     the aggregation in whole-stage codegen.
     """
     p = len(features)
-    y = F.col(label)
-    xs = [F.col(f) for f in features]
-    aggs = [F.count(y).alias("n"), F.avg(y).alias("my"), F.var_pop(y).alias("vy")]
-    aggs += [F.avg(xs[j]).alias(f"mx_{j}") for j in range(p)]
-    aggs += [F.covar_pop(xs[j], y).alias(f"cxy_{j}") for j in range(p)]
+    y = f"`{label}`"
+    xs = [f"`{f}`" for f in features]
+    aggs = [f"count({y}) AS n", f"avg({y}) AS my", f"var_pop({y}) AS vy"]
+    aggs += [f"avg({xs[j]}) AS mx_{j}" for j in range(p)]
+    aggs += [f"covar_pop({xs[j]}, {y}) AS cxy_{j}" for j in range(p)]
     aggs += [
-        (F.var_pop(xs[j]) if j == k else F.covar_pop(xs[j], xs[k])).alias(f"cxx_{j}_{k}")
+        (f"var_pop({xs[j]})" if j == k else f"covar_pop({xs[j]}, {xs[k]})") + f" AS cxx_{j}_{k}"
         for j in range(p)
         for k in range(j, p)
     ]
-    return df.groupBy(*key).agg(*aggs)
+    return df.groupBy(*key).agg(*[F.expr(a) for a in aggs])
 
 
 def training_rows(df: DataFrame, features: Sequence[str], targets: dict, key=(SERIES,)) -> DataFrame:

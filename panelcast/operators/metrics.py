@@ -54,14 +54,14 @@ def wide_metrics(df: DataFrame, targets: dict, key=(SERIES,)) -> DataFrame:
     aggs = []
     for h, (label, pred, train, test) in targets.items():
         for split, flag in (("train", train), ("test", test)):
-            y = F.when(F.col(flag), F.col(label))
-            e2 = F.when(F.col(flag), F.pow(F.col(label) - F.col(pred), 2))
+            y = f"CASE WHEN `{flag}` THEN `{label}` END"
+            e2 = f"CASE WHEN `{flag}` THEN power(`{label}` - `{pred}`, 2) END"
             aggs += [
-                F.count(y).alias(f"_n_{h}_{split}"),
-                F.sum(e2).alias(f"_sse_{h}_{split}"),
-                F.var_pop(y).alias(f"_vy_{h}_{split}"),
+                f"count({y}) AS _n_{h}_{split}",
+                f"sum({e2}) AS _sse_{h}_{split}",
+                f"var_pop({y}) AS _vy_{h}_{split}",
             ]
-    wide = df.groupBy(*key).agg(*aggs)
+    wide = df.groupBy(*key).agg(*[F.expr(a) for a in aggs])
     rows = []
     for h in targets:
         for split in ("train", "test"):

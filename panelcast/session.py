@@ -44,8 +44,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def local_session(app: str = "panelcast", cores: str | int = "*", shuffle_partitions: int = 8,
-                  event_log_dir: str | None = None) -> SparkSession:
-    """Session for tests and the bench (local mode, no UI)."""
+                  event_log_dir: str | None = None, coalesce_shuffles: bool = True) -> SparkSession:
+    """Session for tests and the bench (local mode, no UI).
+
+    ``coalesce_shuffles=False`` keeps every shuffle at ``shuffle_partitions``
+    tasks: with a few MB of test data AQE would otherwise merge a whole
+    shuffle into one task and run all series' windows serially.  On a
+    cluster with real volumes leave AQE coalescing on.
+    """
     b = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -56,6 +62,11 @@ def local_session(app: str = "panelcast", cores: str | int = "*", shuffle_partit
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("PANELCAST_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # no Python call-site capture per Column operation (driver-side cost only)
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.sql.adaptive.coalescePartitions.enabled", str(coalesce_shuffles).lower())
+        # remove checkpoint files once their RDD is garbage-collected
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if event_log_dir:
         b = b.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_log_dir)
