@@ -5,7 +5,8 @@ window SQL for the features and split, and the closed-form one-feature
 elastic net (standardised, population moments) for the linear fit, which is
 exact when the model has one feature (lags = 0).  Tables are the driver's
 pre-registered views.  Aggregated / fitted doubles are rounded to 6
-decimals, like the Spark side.
+decimals, like the Spark side; ``+ 0.0`` turns a rounded negative zero into
+0.0, which is what Spark's decimal rounding returns.
 """
 
 from __future__ import annotations
@@ -105,8 +106,11 @@ def predictions_ctes(hs, digits: int = 6) -> str:
     run = "value"
     for h in hs:
         run = f"{run} + DeltaZ{h}"
-        cols += [f"round(DeltaZ{h}, {digits}) AS DeltaZ{h}", f"round({run}, {digits}) AS forecast_{h}day",
-                 f"actual_{h}day"]
+        cols += [
+            f"(round(DeltaZ{h}, {digits}) + 0.0) AS DeltaZ{h}",
+            f"(round({run}, {digits}) + 0.0) AS forecast_{h}day",
+            f"actual_{h}day",
+        ]
     return (
         f"o AS (SELECT *, CASE WHEN {all_train} THEN 'train' ELSE 'test' END AS split FROM scored "
         f"WHERE ({all_train}) OR ({all_test})), "
@@ -169,7 +173,7 @@ def oracle_queries() -> dict[str, str]:
     lu = linear0_ctes("events_by_user", [1])
     long_rows = " UNION ALL ".join(
         f"SELECT series_id, ts, tiebreak, split, {h} AS horizon, 'forecast' AS kind, forecast_{h}day AS value FROM pred "
-        f"UNION ALL SELECT series_id, ts, tiebreak, split, {h} AS horizon, 'actual' AS kind, round(actual_{h}day, 6) AS value FROM pred"
+        f"UNION ALL SELECT series_id, ts, tiebreak, split, {h} AS horizon, 'actual' AS kind, (round(actual_{h}day, 6) + 0.0) AS value FROM pred"
         for h in hs
     )
     undiff = " UNION ALL ".join(f"SELECT series_id, ts, tiebreak, value, {h} AS horizon, label_{h} AS dz FROM lab" for h in hs)
@@ -179,8 +183,8 @@ def oracle_queries() -> dict[str, str]:
         f"a AS (SELECT series_id, regr_count(dy, y1) AS n, regr_slope(dy, y1) AS slope, regr_sxx(dy, y1) AS sxx, "
         f"regr_syy(dy, y1) AS syy FROM r WHERE y1 IS NOT NULL GROUP BY series_id), "
         f"v AS (SELECT *, (syy - slope * slope * sxx) / (n - 2) / sxx AS var FROM a) "
-        f"SELECT series_id, n, round(slope, 6) AS slope, "
-        f"round(CASE WHEN n > 2 AND sxx > 0 AND var > 0 THEN slope / sqrt(var) END, 6) AS stat FROM v"
+        f"SELECT series_id, n, (round(slope, 6) + 0.0) AS slope, "
+        f"(round(CASE WHEN n > 2 AND sxx > 0 AND var > 0 THEN slope / sqrt(var) END, 6) + 0.0) AS stat FROM v"
     )
     return {
         "scan_panel": PANELS["events_by_type"],
@@ -197,7 +201,7 @@ def oracle_queries() -> dict[str, str]:
         "lag_features": _simple("events_by_user", f"SELECT *, {lagv} FROM panel"),
         "moving_average": _simple(
             "events_by_type",
-            f"SELECT *, round(avg(value) OVER ({W} ROWS BETWEEN {LAGS} PRECEDING AND CURRENT ROW), 6) "
+            f"SELECT *, (round(avg(value) OVER ({W} ROWS BETWEEN {LAGS} PRECEDING AND CURRENT ROW), 6) + 0.0) "
             f"AS value_{LAGS}_MovingAvg FROM panel",
         ),
         "trend_sign": _simple("events_by_type", f"SELECT *, {signs} FROM panel"),
@@ -232,7 +236,7 @@ def oracle_queries() -> dict[str, str]:
         ).replace(") , t AS", "), t AS"),
         "fit_linear": (
             f"WITH {features_ctes('events_by_type', hs, 0)}, {linear0_ctes('events_by_type', hs)} "
-            f"SELECT series_id, horizon, n_train, round(intercept, 6) AS intercept, round(coef, 6) AS coef FROM coef"
+            f"SELECT series_id, horizon, n_train, (round(intercept, 6) + 0.0) AS intercept, (round(coef, 6) + 0.0) AS coef FROM coef"
         ),
         "forecast_panel": forecast_sql("events_by_type"),
         "forecast_users": forecast_sql("events_by_user"),
@@ -241,18 +245,18 @@ def oracle_queries() -> dict[str, str]:
         "forecast_one": (
             f"WITH {f1}, {l1} SELECT series_id, ts, tiebreak, rn_{one_h} AS row_number, "
             f"CASE WHEN train_{one_h} THEN 'train' ELSE 'test' END AS split, value, diff, label_{one_h} AS label, "
-            f"round(DeltaZ{one_h}, 6) AS prediction FROM scored WHERE c{one_h}"
+            f"(round(DeltaZ{one_h}, 6) + 0.0) AS prediction FROM scored WHERE c{one_h}"
         ),
         "score_linear": (
             f"WITH {fu}, {lu} SELECT series_id, ts, tiebreak, CASE WHEN train_1 THEN 'train' ELSE 'test' END AS split, "
-            f"label_1 AS label, round(DeltaZ1, 6) AS prediction FROM scored WHERE c1"
+            f"label_1 AS label, (round(DeltaZ1, 6) + 0.0) AS prediction FROM scored WHERE c1"
         ),
-        "metric_rmse": metrics_sql("events_by_type", "series_id, horizon, split, n, round(rmse, 6) AS rmse"),
-        "metric_r2": metrics_sql("events_by_type", "series_id, horizon, split, n, round(r2, 6) AS r2"),
+        "metric_rmse": metrics_sql("events_by_type", "series_id, horizon, split, n, (round(rmse, 6) + 0.0) AS rmse"),
+        "metric_r2": metrics_sql("events_by_type", "series_id, horizon, split, n, (round(r2, 6) + 0.0) AS r2"),
         "metric_table": (
             metrics_sql("events_by_type", "*").replace(" SELECT * FROM m", "")
             + " SELECT series_id, "
-            + ", ".join(f"round(max(rmse) FILTER (WHERE horizon = {h} AND split = 'test'), 6) AS forecast_{h}day" for h in hs)
+            + ", ".join(f"(round(max(rmse) FILTER (WHERE horizon = {h} AND split = 'test'), 6) + 0.0) AS forecast_{h}day" for h in hs)
             + " FROM m GROUP BY series_id"
         ),
         "forecast_long": _with_forecast("events_by_type", hs, long_rows),

@@ -26,7 +26,7 @@ def _norm(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return None
     if isinstance(v, float):
-        return round(v, 6)
+        return round(v, 6) + 0.0
     if hasattr(v, "isoformat"):
         return pd.Timestamp(v).isoformat()
     return v
