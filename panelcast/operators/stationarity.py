@@ -13,7 +13,8 @@ from one grouped aggregation, so no series is ever gathered in one place.
   ``covar_pop``, then the small OLS solves, MacKinnon p-values and critical
   values, vectorised in ``mapInPandas`` over one row per series.
 
-Lag order is fixed by the caller (no automatic AIC search).
+* ``adf_autolag``: the lag order chosen by AIC per series (the usual
+  default of the test), from one moment table per series.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -148,3 +149,161 @@ def adf_test(panel: DataFrame, lags: int = 1, **cfg_kw) -> DataFrame:
             })
 
     return stats.mapInPandas(solve, schema)
+
+
+def _max_lag(nobs: Column, maxlag: int | None) -> Column:
+    """Default lag bound ``ceil(12 * (nobs/100)^(1/4))``, at most ``nobs // 2 - 2``."""
+    cap = F.floor(nobs / 2) - 2
+    rule = F.ceil(F.lit(12.0) * F.pow(nobs / F.lit(100.0), F.lit(0.25))) if maxlag is None else F.lit(maxlag)
+    return F.least(rule.cast("bigint"), cap.cast("bigint"))
+
+
+def adf_autolag(panel: DataFrame, maxlag: int | None = None, **cfg_kw) -> DataFrame:
+    """ADF with the lag order chosen by AIC, per series.
+
+    For each series with ``nobs`` values and bound ``m`` (see
+    :func:`_max_lag`), regressions with 0..m lagged differences are
+    compared by AIC on the common sample ``t >= m + 1``; the chosen order
+    ``b`` is then re-estimated on its own sample ``t >= b + 1``.
+
+    Distributed as:
+
+    * moments ``Z'Z`` of ``Z = [1, y_(t-1) - mean, dy lags.., dy_t]`` over
+      the common sample, per Arrow batch with numpy, summed by
+      ``groupBy(series_id, entry)``: the table is ``(m+3)^2 / 2`` entries
+      per series, whatever the series length;
+    * the rows ``1 <= t <= m`` of each series (at most m, a small table),
+      added to the moments for the final regression;
+    * one small solve per series (nested sub-matrices for every order).
+
+    Returns ``(series_id, n, lags, stat, p_value, crit_1pct, crit_5pct,
+    crit_10pct, aic)``; ``n`` counts the observations of the final
+    regression.
+    """
+    from panelcast.operators.split import complete_cases
+    from panelcast.plans.forecast import ForecastConfig, build_features
+    from panelcast.sources.panel import PANEL_COLUMNS
+
+    p = complete_cases(panel.select(*PANEL_COLUMNS), [VALUE])
+    sizes = p.groupBy(SERIES).agg(F.count(F.lit(1)).alias("nobs"), F.avg(VALUE).alias("_c"))
+    sizes = sizes.withColumn("_m", _max_lag(F.col("nobs"), maxlag)).where(F.col("_m") >= 0)
+    top = sizes.agg(F.max("_m")).first()[0]
+    if top is None:
+        return p.sparkSession.createDataFrame([], _ADF_SCHEMA)
+    top = int(top)
+    feats, _, _ = build_features(p, ForecastConfig(horizons=1, lags=top + 1, **cfg_kw), hs=[1])
+    lag_cols = [f"lag_{i}" for i in range(1, top + 2)]
+    x = feats.select(SERIES, VALUE, "diff", *lag_cols).join(sizes.select(SERIES, "_c", "_m"), SERIES)
+    n_present = F.size(F.filter(F.array(*[F.col(c) for c in lag_cols]), lambda v: v.isNotNull()))
+    x = x.select(
+        SERIES, "_m",
+        n_present.alias("_t"),  # position t in the series (lag_i is present iff t >= i)
+        (F.col(VALUE) - F.col("diff") - F.col("_c")).alias("y1"),
+        *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in lag_cols[:top]],
+        F.col("diff").alias("dy"),
+    )
+    zcols = ["y1", *lag_cols[:top], "dy"]
+    k = len(zcols) + 1
+    iu = np.triu_indices(k)
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for sid, g in pdf.groupby(SERIES, sort=False):
+                z = np.column_stack([np.ones(len(g))] + [g[c].to_numpy(dtype=float) for c in zcols])
+                zz = z.T @ z
+                yield pd.DataFrame({SERIES: sid, "e": np.arange(len(iu[0]), dtype="int32"), "v": zz[iu]})
+
+    common = x.where(F.col("_t") >= F.col("_m") + 1)
+    gram = (
+        common.mapInPandas(moments, f"{SERIES} string, e int, v double")
+        .groupBy(SERIES, "e").agg(F.sum("v").alias("v"))
+    )
+    head = x.where((F.col("_t") >= 1) & (F.col("_t") <= F.col("_m"))).select(SERIES, "_t", *zcols)
+
+    def solve(key, g: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
+        sid = key[0]
+        zz = np.zeros((k, k))
+        zz[iu[0][g["e"].to_numpy()], iu[1][g["e"].to_numpy()]] = g["v"].to_numpy()
+        zz = zz + np.triu(zz, 1).T
+        m = _series_m(h, zz)
+        if m is None:
+            return pd.DataFrame([], columns=_ADF_SCHEMA.fieldNames())
+        best, aic = _best_lag(zz, m, k)
+        final = _subset(zz, best, k).copy()
+        rows = h[h["_t"] >= best + 1]
+        if len(rows):
+            z = np.column_stack([np.ones(len(rows))] + [rows[c].to_numpy(dtype=float) for c in zcols])
+            idx = list(range(best + 2)) + [k - 1]
+            final += z[:, idx].T @ z[:, idx]
+        stat, nobs = _ols_stat(final)
+        crit = mackinnon_crit(nobs) if nobs > 0 else {c: float("nan") for c in CRIT}
+        return pd.DataFrame([{
+            SERIES: sid, "n": int(nobs), "lags": int(best), "stat": stat, "p_value": mackinnon_p(stat),
+            "crit_1pct": crit["1pct"], "crit_5pct": crit["5pct"], "crit_10pct": crit["10pct"], "aic": aic,
+        }])
+
+    heads = head.join(sizes.select(SERIES, "_m"), SERIES)
+    return gram.groupBy(SERIES).cogroup(heads.groupBy(SERIES)).applyInPandas(solve, _ADF_SCHEMA)
+
+
+_ADF_SCHEMA = T.StructType([
+    T.StructField(SERIES, T.StringType()),
+    T.StructField("n", T.LongType()),
+    T.StructField("lags", T.IntegerType()),
+    T.StructField("stat", T.DoubleType()),
+    T.StructField("p_value", T.DoubleType()),
+    T.StructField("crit_1pct", T.DoubleType()),
+    T.StructField("crit_5pct", T.DoubleType()),
+    T.StructField("crit_10pct", T.DoubleType()),
+    T.StructField("aic", T.DoubleType()),
+])
+
+
+def _series_m(head: pd.DataFrame, zz: np.ndarray):
+    if len(head):
+        return int(head["_m"].iloc[0])
+    return None if zz[0, 0] == 0 else 0
+
+
+def _subset(zz: np.ndarray, p: int, k: int) -> np.ndarray:
+    """Moments of [1, y1, dy lags 1..p, dy] out of the full table."""
+    idx = list(range(p + 2)) + [k - 1]
+    return zz[np.ix_(idx, idx)]
+
+
+def _ssr(sub: np.ndarray):
+    xx, xy, yy = sub[:-1, :-1], sub[:-1, -1], sub[-1, -1]
+    beta = np.linalg.solve(xx, xy)
+    return yy - beta @ xy, beta, xx
+
+
+def _best_lag(zz: np.ndarray, m: int, k: int):
+    """Order with the lowest AIC on the common sample (smallest order on ties)."""
+    n = zz[0, 0]
+    best, best_aic = 0, math.inf
+    for p in range(m + 1):
+        try:
+            ssr, _, _ = _ssr(_subset(zz, p, k))
+        except np.linalg.LinAlgError:
+            continue
+        if not ssr > 0:
+            continue
+        llf = -n / 2.0 * (math.log(2 * math.pi) + math.log(ssr / n) + 1.0)
+        aic = -2.0 * llf + 2.0 * (p + 2)
+        if aic < best_aic:
+            best, best_aic = p, aic
+    return best, best_aic
+
+
+def _ols_stat(sub: np.ndarray):
+    """t statistic of the y_(t-1) coefficient and the number of observations."""
+    n = sub[0, 0]
+    ncol = sub.shape[0] - 1
+    try:
+        ssr, beta, xx = _ssr(sub)
+        inv = np.linalg.inv(xx)
+    except np.linalg.LinAlgError:
+        return float("nan"), n
+    dof = n - ncol
+    var = ssr / dof * inv[1, 1] if dof > 0 else float("nan")
+    return (beta[1] / math.sqrt(var) if var > 0 else float("nan")), n

@@ -17,7 +17,7 @@ from panelcast.operators import ordered
 from panelcast.operators.features import Differencer, LagFeatures, LeadLabel, MovingAverage, TrendSign
 from panelcast.operators.metrics import metric_table
 from panelcast.operators.split import complete_cases, row_index, time_split, undifference_long
-from panelcast.operators.stationarity import adf_test, dickey_fuller
+from panelcast.operators.stationarity import adf_autolag, adf_test, dickey_fuller
 from panelcast.operators.trees import DECISION_TREE, GBT, RANDOM_FOREST
 from panelcast.plans.forecast import ForecastConfig, forecast_horizon, forecast_panel
 from panelcast.plans.report import forecast_long, read_predictions, write_predictions
@@ -260,6 +260,11 @@ def stationarity_adf(spark, sf):
                   ["stat", "p_value", "crit_1pct", "crit_5pct", "crit_10pct"])
 
 
+def stationarity_autolag(spark, sf):
+    return _round(adf_autolag(P.events_by_type(spark, sf)),
+                  ["stat", "p_value", "crit_1pct", "crit_5pct", "crit_10pct", "aic"])
+
+
 QUERIES = {
     "scan_panel": scan_panel,
     "scan_orders_daily": scan_orders_daily,
@@ -298,4 +303,5 @@ QUERIES = {
     "forecast_forest": _lagged(RANDOM_FOREST, seed=7),
     "forecast_gbt": _lagged(GBT, seed=7),
     "stationarity_adf": stationarity_adf,
+    "stationarity_autolag": stationarity_autolag,
 }
