@@ -168,32 +168,51 @@ def adf_autolag(panel: DataFrame, maxlag: int | None = None, **cfg_kw) -> DataFr
 
     Distributed as:
 
-    * moments ``Z'Z`` of ``Z = [1, y_(t-1) - mean, dy lags.., dy_t]`` over
-      the common sample, per Arrow batch with numpy, summed by
-      ``groupBy(series_id, entry)``: the table is ``(m+3)^2 / 2`` entries
-      per series, whatever the series length;
+    * moments ``Z'Z`` of ``Z = [1, y_(t-1) - mean, dy lags 1..m, dy_t]``
+      over the common sample, accumulated per task with numpy and summed by
+      ``groupBy(series_id, i, j)``: ``(m+3)^2 / 2`` entries per series,
+      whatever the series length;
     * the rows ``1 <= t <= m`` of each series (at most m, a small table),
       added to the moments for the final regression;
     * one small solve per series (nested sub-matrices for every order).
 
+    The bound grows with the series length, and the lag columns of a pass
+    follow its longest series.  Series are therefore processed in buckets
+    of ``floor(log2(m + 1))``, so no row carries more than about twice its
+    own series' lags.
+
     Returns ``(series_id, n, lags, stat, p_value, crit_1pct, crit_5pct,
     crit_10pct, aic)``; ``n`` counts the observations of the final
     regression.
     """
     from panelcast.operators.split import complete_cases
-    from panelcast.plans.forecast import ForecastConfig, build_features
     from panelcast.sources.panel import PANEL_COLUMNS
 
     p = complete_cases(panel.select(*PANEL_COLUMNS), [VALUE])
     sizes = p.groupBy(SERIES).agg(F.count(F.lit(1)).alias("nobs"), F.avg(VALUE).alias("_c"))
     sizes = sizes.withColumn("_m", _max_lag(F.col("nobs"), maxlag)).where(F.col("_m") >= 0)
-    top = sizes.agg(F.max("_m")).first()[0]
-    if top is None:
+    sizes = sizes.withColumn("_bucket", F.floor(F.log2(F.col("_m") + 1)).cast("int"))
+    # one row per bucket: at most ~log2 of the largest lag bound
+    buckets = sizes.groupBy("_bucket").agg(F.max("_m").alias("top")).collect()
+    outs = []
+    for b in sorted(buckets, key=lambda r: r["_bucket"]):
+        part_sizes = sizes.where(F.col("_bucket") == b["_bucket"]).select(SERIES, "_c", "_m")
+        part = p.join(part_sizes.select(SERIES), SERIES, "left_semi")
+        outs.append(_adf_autolag_part(part, part_sizes, int(b["top"]), cfg_kw))
+    if not outs:
         return p.sparkSession.createDataFrame([], _ADF_SCHEMA)
-    top = int(top)
+    out = outs[0]
+    for o in outs[1:]:
+        out = out.unionByName(o)
+    return out
+
+
+def _adf_autolag_part(p: DataFrame, sizes: DataFrame, top: int, cfg_kw: dict) -> DataFrame:
+    from panelcast.plans.forecast import ForecastConfig, build_features
+
     feats, _, _ = build_features(p, ForecastConfig(horizons=1, lags=top + 1, **cfg_kw), hs=[1])
     lag_cols = [f"lag_{i}" for i in range(1, top + 2)]
-    x = feats.select(SERIES, VALUE, "diff", *lag_cols).join(sizes.select(SERIES, "_c", "_m"), SERIES)
+    x = feats.select(SERIES, VALUE, "diff", *lag_cols).join(sizes, SERIES)
     n_present = F.size(F.filter(F.array(*[F.col(c) for c in lag_cols]), lambda v: v.isNotNull()))
     x = x.select(
         SERIES, "_m",
@@ -202,37 +221,43 @@ def adf_autolag(panel: DataFrame, maxlag: int | None = None, **cfg_kw) -> DataFr
         *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in lag_cols[:top]],
         F.col("diff").alias("dy"),
     )
-    zcols = ["y1", *lag_cols[:top], "dy"]
-    k = len(zcols) + 1
-    iu = np.triu_indices(k)
+
+    def own_columns(m: int):
+        return ["y1", *lag_cols[:m], "dy"]
 
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        acc: dict = {}
         for pdf in batches:
-            for sid, g in pdf.groupby(SERIES, sort=False):
-                z = np.column_stack([np.ones(len(g))] + [g[c].to_numpy(dtype=float) for c in zcols])
+            for (sid, m), g in pdf.groupby([SERIES, "_m"], sort=False):
+                z = np.column_stack([np.ones(len(g))] + [g[c].to_numpy(dtype=float) for c in own_columns(int(m))])
                 zz = z.T @ z
-                yield pd.DataFrame({SERIES: sid, "e": np.arange(len(iu[0]), dtype="int32"), "v": zz[iu]})
+                acc[sid] = acc[sid] + zz if sid in acc else zz
+        for sid, zz in acc.items():
+            i, j = np.triu_indices(zz.shape[0])
+            yield pd.DataFrame({SERIES: sid, "i": i.astype("int32"), "j": j.astype("int32"), "v": zz[i, j]})
 
     common = x.where(F.col("_t") >= F.col("_m") + 1)
     gram = (
-        common.mapInPandas(moments, f"{SERIES} string, e int, v double")
-        .groupBy(SERIES, "e").agg(F.sum("v").alias("v"))
+        common.mapInPandas(moments, f"{SERIES} string, i int, j int, v double")
+        .groupBy(SERIES, "i", "j").agg(F.sum("v").alias("v"))
     )
-    head = x.where((F.col("_t") >= 1) & (F.col("_t") <= F.col("_m"))).select(SERIES, "_t", *zcols)
+    head = x.where((F.col("_t") >= 1) & (F.col("_t") <= F.col("_m")))
 
     def solve(key, g: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
         sid = key[0]
+        if len(g) == 0:
+            return pd.DataFrame([], columns=_ADF_SCHEMA.fieldNames())
+        k = int(g["j"].max()) + 1
+        m = k - 3
         zz = np.zeros((k, k))
-        zz[iu[0][g["e"].to_numpy()], iu[1][g["e"].to_numpy()]] = g["v"].to_numpy()
+        zz[g["i"].to_numpy(), g["j"].to_numpy()] = g["v"].to_numpy()
         zz = zz + np.triu(zz, 1).T
-        m = _series_m(h, zz)
-        if m is None:
-            return pd.DataFrame([], columns=_ADF_SCHEMA.fieldNames())
         best, aic = _best_lag(zz, m, k)
         final = _subset(zz, best, k).copy()
         rows = h[h["_t"] >= best + 1]
         if len(rows):
-            z = np.column_stack([np.ones(len(rows))] + [rows[c].to_numpy(dtype=float) for c in zcols])
+            cols = own_columns(m)
+            z = np.column_stack([np.ones(len(rows))] + [rows[c].to_numpy(dtype=float) for c in cols])
             idx = list(range(best + 2)) + [k - 1]
             final += z[:, idx].T @ z[:, idx]
         stat, nobs = _ols_stat(final)
@@ -242,8 +267,7 @@ def adf_autolag(panel: DataFrame, maxlag: int | None = None, **cfg_kw) -> DataFr
             "crit_1pct": crit["1pct"], "crit_5pct": crit["5pct"], "crit_10pct": crit["10pct"], "aic": aic,
         }])
 
-    heads = head.join(sizes.select(SERIES, "_m"), SERIES)
-    return gram.groupBy(SERIES).cogroup(heads.groupBy(SERIES)).applyInPandas(solve, _ADF_SCHEMA)
+    return gram.groupBy(SERIES).cogroup(head.groupBy(SERIES)).applyInPandas(solve, _ADF_SCHEMA)
 
 
 _ADF_SCHEMA = T.StructType([
@@ -259,12 +283,6 @@ _ADF_SCHEMA = T.StructType([
 ])
 
 
-def _series_m(head: pd.DataFrame, zz: np.ndarray):
-    if len(head):
-        return int(head["_m"].iloc[0])
-    return None if zz[0, 0] == 0 else 0
-
-
 def _subset(zz: np.ndarray, p: int, k: int) -> np.ndarray:
     """Moments of [1, y1, dy lags 1..p, dy] out of the full table."""
     idx = list(range(p + 2)) + [k - 1]

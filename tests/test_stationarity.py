@@ -99,3 +99,15 @@ def test_adf_autolag_blocked_equals_plain(spark):
     b = {r["series_id"]: (r["lags"], r["n"], round(r["stat"], 9))
          for r in adf_autolag(p, hot_series_rows=0, block_rows=40, rows_per_partition=70).collect()}
     assert a == b
+
+
+def test_adf_autolag_buckets_do_not_change_results(spark):
+    from panelcast.operators.stationarity import adf_autolag
+    from panelcast.sources.panel import events_by_user, events_single
+
+    users = events_by_user(spark, SF_SMALL).where("series_id in ('1', '2', '3')")
+    single = events_single(spark, SF_SMALL)
+    both = {r["series_id"]: (r["lags"], r["n"], round(r["stat"], 9)) for r in adf_autolag(users.unionByName(single)).collect()}
+    alone = {r["series_id"]: (r["lags"], r["n"], round(r["stat"], 9))
+             for df in (users, single) for r in adf_autolag(df).collect()}
+    assert both == alone and len(both) == 4
