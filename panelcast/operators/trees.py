@@ -20,6 +20,7 @@ boosting subsample 0.8; MLlib defaults for the rest: 20 trees / 20 rounds).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
@@ -68,11 +69,17 @@ def fit_score_trees(df: DataFrame, features: Sequence[str], targets: dict, regre
     x = assemble(df, features).persist(StorageLevel.MEMORY_AND_DISK)
     models = {}
     if mode == "pooled":
+        # the horizons' fits are independent jobs: submit them together so
+        # the scheduler overlaps their (many, short) stages
+        def fit(item):
+            h, (label, flag, pred) = item
+            return h, tree_estimator(regressor, label, pred, seed).fit(x.where(F.col(flag)))
+
+        with ThreadPoolExecutor(max_workers=max(1, min(len(targets), 8))) as pool:
+            models = dict(pool.map(fit, targets.items()))
         scored = x
-        for h, (label, flag, pred) in targets.items():
-            model = tree_estimator(regressor, label, pred, seed).fit(x.where(F.col(flag)))
-            models[h] = model
-            scored = model.transform(scored)
+        for h in targets:
+            scored = models[h].transform(scored)
         return scored.drop("features"), models, x
     if mode != "per_series":
         raise ValueError(f"unknown tree mode {mode!r}")
@@ -81,13 +88,23 @@ def fit_score_trees(df: DataFrame, features: Sequence[str], targets: dict, regre
         raise ValueError(
             f"per_series tree fits refused above {max_series_fits} series; use mode='pooled'"
         )
+    if not keys:
+        return x.drop("features").select("*", *[F.lit(None).cast("double").alias(t[2]) for t in targets.values()]), {}, x
+
+    def fit_one(item):
+        key, h = item
+        label, flag, pred = targets[h]
+        part = x.where((F.col(SERIES) == key) & F.col(flag))
+        return (key, h), tree_estimator(regressor, label, pred, seed).fit(part)
+
+    jobs = [(key, h) for key in sorted(keys) for h in targets]
+    with ThreadPoolExecutor(max_workers=min(len(jobs), 8)) as pool:
+        models = dict(pool.map(fit_one, jobs))
     parts = []
     for key in sorted(keys):
         part = x.where(F.col(SERIES) == key)
-        for h, (label, flag, pred) in targets.items():
-            model = tree_estimator(regressor, label, pred, seed).fit(part.where(F.col(flag)))
-            models[(key, h)] = model
-            part = model.transform(part)
+        for h in targets:
+            part = models[(key, h)].transform(part)
         parts.append(part.drop("features"))
     scored = parts[0]
     for p in parts[1:]:
