@@ -47,14 +47,23 @@ def write_metrics(metrics: DataFrame, path: str, mode: str = "errorifexists", fm
 
 def write_legacy_csv(pred: DataFrame, name: str, value_name: str = "Close", ts_name: str = "Date",
                      mode: str = "errorifexists") -> None:
-    """``<name>train.csv`` / ``<name>test.csv`` folders in the reference's column names."""
+    """``<name>train.csv`` / ``<name>test.csv`` folders in the reference's column names.
+
+    Two folders take two writes; the predictions are persisted across them
+    so the forecast behind them runs once.
+    """
+    from pyspark import StorageLevel
+
     out = pred.withColumnRenamed("row_number", "Row Number").withColumnRenamed(TS, ts_name)
-    out = out.withColumnRenamed(VALUE, value_name)
-    for split in ("train", "test"):
-        part = out.where(F.col("split") == split).drop("split")
-        part.sortWithinPartitions(SERIES, ts_name, TIEBREAK).write.mode(mode).option("header", "true").csv(
-            f"{name}{split}.csv"
-        )
+    out = out.withColumnRenamed(VALUE, value_name).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for split in ("train", "test"):
+            part = out.where(F.col("split") == split).drop("split")
+            part.sortWithinPartitions(SERIES, ts_name, TIEBREAK).write.mode(mode).option("header", "true").csv(
+                f"{name}{split}.csv"
+            )
+    finally:
+        out.unpersist()
 
 
 def forecast_long(pred: DataFrame, horizons) -> DataFrame:
