@@ -28,6 +28,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomFor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.session import persist_partitioned
 from panelcast.sources.panel import SERIES
 
 # --- fixed values: regressor names and their settings ----------------------
@@ -66,7 +67,7 @@ def fit_score_trees(df: DataFrame, features: Sequence[str], targets: dict, regre
     Returns ``(scored_df, models, cached)`` where ``cached`` is the persisted
     input the fits scanned several times (``unpersist`` it when done).
     """
-    x = assemble(df, features).persist(StorageLevel.MEMORY_AND_DISK)
+    x = persist_partitioned(assemble(df, features), StorageLevel.MEMORY_AND_DISK)
     models = {}
     if mode == "pooled":
         # the horizons' fits are independent jobs: submit them together so

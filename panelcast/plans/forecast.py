@@ -97,14 +97,15 @@ class ForecastResult:
 
         Both outputs derive from the scored feature table, so it is persisted
         (memory, spilling to local disk) for the two writes: the panel is
-        read and shuffled once instead of once per output.  Lost cached
-        blocks are recomputed from the lineage, which is deterministic.
+        read and shuffled once instead of once per output, and the cache
+        keeps its series partitioning, so neither output shuffles the wide
+        table again.  Lost cached blocks are recomputed from the lineage,
+        which is deterministic.
         """
-        from pyspark import StorageLevel
-
         from panelcast.plans.report import write_metrics, write_predictions
+        from panelcast.session import persist_partitioned
 
-        self.scored.persist(StorageLevel.MEMORY_AND_DISK)
+        persist_partitioned(self.scored)
         try:
             write_predictions(self.predictions, f"{path.rstrip('/')}/predictions", mode, fmt)
             write_metrics(self.metrics, f"{path.rstrip('/')}/metrics", mode, fmt)

@@ -79,3 +79,24 @@ def local_session(app: str = "panelcast", cores: str | int = "*", shuffle_partit
         spark.conf.set("spark.checkpoint.dir", d)
     shared_dir(spark)
     return spark
+
+
+def persist_partitioned(df, level=None):
+    """``df.persist(level)`` with a cached plan that keeps its partitioning.
+
+    A cached plan built under adaptive execution reports an unknown
+    partitioning, so every later query over the cache shuffles it again,
+    even when it is already clustered by the key that query needs.  The cached
+    plan is therefore planned with AQE off (only for this call), which keeps
+    e.g. ``hashpartitioning(series_id)`` from the windows below it.
+    """
+    from pyspark import StorageLevel
+
+    spark = df.sparkSession
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return df.persist(level or StorageLevel.MEMORY_AND_DISK)
+    finally:
+        spark.conf.set(key, before)

@@ -58,3 +58,16 @@ def test_blocked_windows_partition_by_block(spark):
     plan = _explain(f, "simple")
     assert "Exchange hashpartitioning(series_id" in plan and "_blk" in plan
     assert "Exchange SinglePartition" not in plan
+
+
+def test_cached_scored_table_keeps_series_partitioning(spark):
+    from panelcast.session import persist_partitioned
+
+    r = forecast_panel(events_by_type(spark, SF_SMALL), ForecastConfig(horizons=2, lags=1, hot_series_rows=None))
+    persist_partitioned(r.scored)
+    try:
+        for df in (r.predictions, r.metrics):
+            above_cache = _explain(df, "simple").split("InMemoryTableScan")[0]
+            assert "Exchange" not in above_cache
+    finally:
+        r.scored.unpersist()
