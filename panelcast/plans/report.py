@@ -5,6 +5,7 @@
   train and a test file), rows sorted by series and time inside each file.  The mode is explicit; the default refuses to overwrite.
 * ``write_legacy_csv``: the reference's layout, ``<name>train.csv`` and
   ``<name>test.csv`` with header and ``Row Number, Date, Close`` names.
+* ``write_legacy_metric_tables``: the reference's per-ticker metric tables.
 * ``forecast_long``: one row per (row, horizon, kind) for charts.
 """
 
@@ -66,6 +67,31 @@ def write_legacy_csv(pred: DataFrame, name: str, value_name: str = "Close", ts_n
         out.unpersist()
 
 
+# fixed values: the metric the reference's evaluator computes per regressor
+# (it files all of them under the name "RMSE")
+LEGACY_METRIC = {
+    "LinearRegression": "r2",
+    "DecisionTreeRegression": "r2",
+    "RandomForestRegression": "rmse",
+    "GBTRegression": "rmse",
+}
+
+
+def write_legacy_metric_tables(metrics: DataFrame, regressor: str, prefix: str, horizons,
+                               mode: str = "errorifexists") -> None:
+    """``<prefix>RMSE_test_<regressor>.csv`` / ``..._train_..``: one row per series, one column per horizon.
+
+    The value is the metric the reference reports for that regressor
+    (``LEGACY_METRIC``); the key column is named ``Ticker`` as there.
+    """
+    from panelcast.operators.metrics import metric_table
+
+    metric = LEGACY_METRIC[regressor]
+    for split in ("test", "train"):
+        table = metric_table(metrics, metric, split, horizons).withColumnRenamed(SERIES, "Ticker")
+        table.coalesce(1).write.mode(mode).option("header", "true").csv(f"{prefix}RMSE_{split}_{regressor}.csv")
+
+
 def forecast_long(pred: DataFrame, horizons) -> DataFrame:
     """``(series_id, ts, tiebreak, split, horizon, kind, value)`` with kind forecast/actual."""
     rows = []

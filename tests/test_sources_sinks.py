@@ -50,3 +50,17 @@ def test_legacy_csv_layout(spark):
     test = spark.read.option("header", "true").csv(base + "test.csv")
     assert {"Row Number", "Date", "Close", "DeltaZ1", "forecast_1day", "actual_1day"} <= set(train.columns)
     assert train.count() + test.count() == r.predictions.count()
+
+
+def test_legacy_metric_tables(spark):
+    from panelcast.plans.report import write_legacy_metric_tables
+
+    r = forecast_panel(events_by_type(spark, SF_SMALL), ForecastConfig(horizons=3, lags=1))
+    prefix = fresh_path(spark, "legacy-metrics") + "/"
+    write_legacy_metric_tables(r.metrics, "LinearRegression", prefix, range(1, 4))
+    t = spark.read.option("header", "true").option("inferSchema", "true").csv(prefix + "RMSE_test_LinearRegression.csv")
+    assert t.columns == ["Ticker", "forecast_1day", "forecast_2day", "forecast_3day"]
+    assert t.count() == 5
+    want = {r_["series_id"]: r_["r2"] for r_ in r.metrics.where("split = 'test' and horizon = 2").collect()}
+    got = {x["Ticker"]: x["forecast_2day"] for x in t.collect()}
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
