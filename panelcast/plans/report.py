@@ -89,7 +89,7 @@ def write_legacy_metric_tables(metrics: DataFrame, regressor: str, prefix: str,
     metric = LEGACY_METRIC[regressor]
     for split in ("test", "train"):
         table = metric_table(metrics, metric, split, horizons).withColumnRenamed(SERIES, "Ticker")
-        table.coalesce(1).write.mode(mode).option("header", "true").csv(f"{prefix}RMSE_{split}_{regressor}.csv")
+        table.write.mode(mode).option("header", "true").csv(f"{prefix}RMSE_{split}_{regressor}.csv")
 
 
 def forecast_long(pred: DataFrame, horizons) -> DataFrame:
