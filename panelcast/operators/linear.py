@@ -157,10 +157,9 @@ def coefficients_wide(coefs: DataFrame, hs, p: int, key=(SERIES,)) -> DataFrame:
     """One row per key with ``icpt_<h>`` and ``coef_<h>_<j>`` (small table: one row per series)."""
     cols = []
     for h in hs:
-        at = F.col("horizon") == h
-        cols.append(F.max(F.when(at, F.col("intercept"))).alias(f"icpt_{h}"))
-        cols += [F.max(F.when(at, F.col(f"coef_{j}"))).alias(f"coef_{h}_{j}") for j in range(p)]
-    return coefs.groupBy(*key).agg(*cols)
+        cols.append(f"max(CASE WHEN horizon = {int(h)} THEN intercept END) AS icpt_{h}")
+        cols += [f"max(CASE WHEN horizon = {int(h)} THEN coef_{j} END) AS coef_{h}_{j}" for j in range(p)]
+    return coefs.groupBy(*key).agg(*[F.expr(c) for c in cols])
 
 
 def linear_prediction(features: Sequence[str], h) -> Column:
@@ -173,5 +172,5 @@ def linear_prediction(features: Sequence[str], h) -> Column:
 
 def coefficients_report(coefs: DataFrame, p: int, key=(SERIES,)) -> DataFrame:
     """``(key.., horizon, n_train, intercept, coefficients array)``."""
-    return coefs.select(*key, "horizon", "n_train", "intercept",
-                        F.array(*[F.col(f"coef_{j}") for j in range(p)]).alias("coefficients"))
+    arr = F.expr(f"array({', '.join(f'coef_{j}' for j in range(p))}) AS coefficients")
+    return coefs.select(*key, "horizon", "n_train", "intercept", arr)

@@ -62,16 +62,18 @@ def wide_metrics(df: DataFrame, targets: dict, key=(SERIES,)) -> DataFrame:
                 f"var_pop({y}) AS _vy_{h}_{split}",
             ]
     wide = df.groupBy(*key).agg(*[F.expr(a) for a in aggs])
-    rows = []
+    # one stack() generator unpivots (horizon, split) into rows
+    values = []
     for h in targets:
         for split in ("train", "test"):
-            n, sse, vy = (F.col(f"_{s}_{h}_{split}") for s in ("n", "sse", "vy"))
-            rows.append(F.struct(
-                F.lit(h).alias("horizon"), F.lit(split).alias("split"), n.alias("n"),
-                rmse_expr(n, sse).alias("rmse"), r2_expr(n, sse, vy).alias("r2"),
-            ))
-    out = wide.select(*key, F.explode(F.array(*rows)).alias("_m")).select(*key, "_m.*")
-    return out.where(F.col("n") > 0)
+            n, sse, vy = f"_n_{h}_{split}", f"_sse_{h}_{split}", f"_vy_{h}_{split}"
+            values += [
+                f"{int(h)}", f"'{split}'", n,
+                f"CASE WHEN {n} > 0 THEN sqrt({sse} / {n}) END",
+                f"CASE WHEN {n} * {vy} > 0 THEN 1.0D - {sse} / ({n} * {vy}) END",
+            ]
+    stack = f"stack({len(values) // 5}, {', '.join(values)}) AS (horizon, split, n, rmse, r2)"
+    return wide.select(*key, F.expr(stack)).where(F.col("n") > 0)
 
 
 def metric_table(metrics: DataFrame, metric: str = "rmse", split: str = "test",
