@@ -251,6 +251,12 @@ def _lagged(regressor=None, **kw):
     return q
 
 
+def forecast_single_series(spark, sf):
+    """The notebook workload's shape: one series, 6 horizons, 4 lags, linear."""
+    r = forecast_panel(P.events_single(spark, sf), ForecastConfig(horizons=6, lags=4))
+    return _round(r.predictions, _pred_cols(range(1, 7)))
+
+
 def stationarity_df(spark, sf):
     return _round(dickey_fuller(P.events_by_type(spark, sf)), ["slope", "stat"])
 
@@ -299,6 +305,7 @@ QUERIES = {
     "stationarity_df": stationarity_df,
     # no SQL oracle: iterative fits (rows-only check + pytest properties)
     "forecast_linear_lags": _lagged(),
+    "forecast_single_series": forecast_single_series,
     "forecast_tree": _lagged(DECISION_TREE, seed=7),
     "forecast_forest": _lagged(RANDOM_FOREST, seed=7),
     "forecast_gbt": _lagged(GBT, seed=7),
