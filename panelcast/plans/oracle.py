@@ -180,7 +180,7 @@ def oracle_queries() -> dict[str, str]:
     df_rows = (
         f"WITH panel AS ({PANELS['events_by_type']}), r AS (SELECT series_id, value - lag(value) OVER ({W}) AS dy, "
         f"lag(value) OVER ({W}) AS y1 FROM panel), "
-        f"a AS (SELECT series_id, regr_count(dy, y1) AS n, regr_slope(dy, y1) AS slope, regr_sxx(dy, y1) AS sxx, "
+        f"a AS (SELECT series_id, CAST(regr_count(dy, y1) AS BIGINT) AS n, regr_slope(dy, y1) AS slope, regr_sxx(dy, y1) AS sxx, "
         f"regr_syy(dy, y1) AS syy FROM r WHERE y1 IS NOT NULL GROUP BY series_id), "
         f"v AS (SELECT *, (syy - slope * slope * sxx) / (n - 2) / sxx AS var FROM a) "
         f"SELECT series_id, n, (round(slope, 6) + 0.0) AS slope, "

@@ -45,10 +45,17 @@ def con():
     return c
 
 
+SPARK_TO_DUCKDB = {"string": "VARCHAR", "timestamp_ntz": "TIMESTAMP", "bigint": "BIGINT", "int": "INTEGER",
+                   "double": "DOUBLE"}
+
+
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
-    sdf = E.queries()[name](spark, SF_SMALL).toPandas()
-    ddf = con.execute(E.oracle_sql()[name]).df()
+    df = E.queries()[name](spark, SF_SMALL)
+    rel = con.sql(E.oracle_sql()[name])
+    assert {k: SPARK_TO_DUCKDB.get(v) for k, v in df.dtypes} == dict(zip(rel.columns, map(str, rel.types)))
+    sdf = df.toPandas()
+    ddf = rel.df()
     sc, sr = _rows(sdf)
     dc, dr = _rows(ddf)
     assert sc == dc
