@@ -128,26 +128,21 @@ def _flag_exprs(lags: int, hs) -> dict[str, Column]:
 
 
 def _split_columns(x: DataFrame, hs, ratio: float) -> DataFrame:
+    r = repr(float(ratio))
     cols = []
     for h in hs:
-        comp = F.col(f"c{h}_flag")
-        rn = F.col(f"c{h}_cum") - 1
-        k = F.floor(F.col(f"c{h}_tot") * F.lit(float(ratio)))
+        comp, rn, k = f"c{h}_flag", f"(c{h}_cum - 1)", f"floor(c{h}_tot * CAST({r} AS DOUBLE))"
         cols += [
-            F.when(comp, rn).alias(f"rn_{h}"),
-            (comp & (rn <= k)).alias(f"train_{h}"),
-            (comp & (rn > k)).alias(f"test_{h}"),
+            f"CASE WHEN {comp} THEN {rn} END AS rn_{h}",
+            f"({comp} AND {rn} <= {k}) AS train_{h}",
+            f"({comp} AND {rn} > {k}) AS test_{h}",
         ]
-    x = x.select("*", *cols)
-    all_train = F.lit(True)
-    all_test = F.lit(True)
-    for h in hs:
-        all_train = all_train & F.col(f"train_{h}")
-        all_test = all_test & F.col(f"test_{h}")
-    return x.select(
+    all_train = " AND ".join(f"train_{h}" for h in hs)
+    all_test = " AND ".join(f"test_{h}" for h in hs)
+    return x.selectExpr("*", *cols).selectExpr(
         "*",
-        (all_train | all_test).alias("_out"),
-        F.when(all_train, F.lit("train")).when(all_test, F.lit("test")).alias("split"),
+        f"(({all_train}) OR ({all_test})) AS _out",
+        f"CASE WHEN {all_train} THEN 'train' WHEN {all_test} THEN 'test' END AS split",
     )
 
 
