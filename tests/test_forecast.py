@@ -125,3 +125,17 @@ def test_per_series_tree_mode_and_refusal(spark):
 def test_unknown_regressor_rejected():
     with pytest.raises(ValueError):
         ForecastConfig(regressor="ARIMA")
+
+
+def test_tree_model_on_mixed_hot_and_plain_series(spark):
+    p = events_by_type(spark, SF_SMALL).unionByName(events_single(spark, SF_SMALL))
+    cfg = dict(horizons=2, lags=1, regressor=DECISION_TREE, seed=5)
+    plain = forecast_panel(p, ForecastConfig(hot_series_rows=None, **cfg))
+    mixed = forecast_panel(p, ForecastConfig(hot_series_rows=500, block_rows=64, rows_per_partition=200, **cfg))
+    # same rows, splits and actuals; tree splits may differ with the data layout (MLlib samples)
+    _same(plain.predictions.drop("DeltaZ1", "DeltaZ2", "forecast_1day", "forecast_2day"),
+          mixed.predictions.drop("DeltaZ1", "DeltaZ2", "forecast_1day", "forecast_2day"))
+    assert mixed.predictions.where("DeltaZ1 is null or DeltaZ2 is null").count() == 0
+    assert mixed.metrics.count() == plain.metrics.count()
+    plain.unpersist()
+    mixed.unpersist()
