@@ -66,6 +66,9 @@ class ForecastConfig:
     hot_series_rows: int | None = 5_000_000
     block_rows: int = 1_000_000
     rows_per_partition: int = 2_000_000
+    # False: ``value`` is already the series to model (no first difference);
+    # the "diff" column is then the value itself
+    difference: bool = True
 
     def __post_init__(self):
         if self.regressor not in REGRESSORS:
@@ -114,9 +117,9 @@ class ForecastResult:
 
 
 # --- windows ---------------------------------------------------------------
-def _local_features(x: DataFrame, w: WindowSpec, lags: int, hs) -> DataFrame:
+def _local_features(x: DataFrame, w: WindowSpec, lags: int, hs, diff: bool = True) -> DataFrame:
     """Bounded-frame part: reach ``lags + 1`` rows back, ``max(hs)`` ahead."""
-    x = x.withColumn("diff", difference(VALUE, w))
+    x = x.withColumn("diff", difference(VALUE, w) if diff else F.col(VALUE))
     cols = [lag("diff", i, w).alias(f"lag_{i}") for i in range(1, lags + 1)]
     cols += [clamped_lead("diff", h, w).alias(f"label_{h}") for h in hs]
     return x.select("*", *cols)
@@ -165,7 +168,7 @@ def _actual_columns(w: WindowSpec, hs) -> list[Column]:
 # --- the two physical paths --------------------------------------------------
 def _features_plain(panel: DataFrame, cfg: ForecastConfig, hs) -> DataFrame:
     w = ordered.series_window()
-    x = _local_features(panel, w, cfg.lags, hs)
+    x = _local_features(panel, w, cfg.lags, hs, cfg.difference)
     flags = _flag_exprs(cfg.lags, hs)
     x = x.select("*", *[c.alias(f"{n}_flag") for n, c in flags.items()])
     x = ordered.running_counts_window(x, {n: F.col(f"{n}_flag") for n in flags}, w)
@@ -177,7 +180,7 @@ def _features_blocked(panel: DataFrame, cfg: ForecastConfig, hs, total_rows: int
     x = ordered.index_rows(panel, total_rows, cfg.rows_per_partition)
     back, fwd = cfg.lags + 1, max(hs)
     x = ordered.blocked_window(
-        x, lambda d, w: _local_features(d, w, cfg.lags, hs), ordered.IDX, cfg.block_rows, back, fwd
+        x, lambda d, w: _local_features(d, w, cfg.lags, hs, cfg.difference), ordered.IDX, cfg.block_rows, back, fwd
     )
     flags = _flag_exprs(cfg.lags, hs)
     x = x.select("*", *[c.alias(f"{n}_flag") for n, c in flags.items()])
