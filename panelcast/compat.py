@@ -1,7 +1,7 @@
 """Call shapes of the original workload, for one series per DataFrame.
 
 Users of the original scripts call ``SavePredictions``, ``Forecast``,
-``Difference``, ``TimeSeriesSplit``, ``CheckStationarity`` and the
+``Predict``, ``Difference``, ``TimeSeriesSplit``, ``CheckStationarity`` and the
 ``LagGather`` / ``MovingAverageSmoothing`` / ``TrendGather`` generators on a
 DataFrame holding one series with a ``Date`` column.  The same calls work
 here.  Each turns the DataFrame into a one-key panel ordered by the date
@@ -83,6 +83,21 @@ def Forecast(df: DataFrame, forecast_days: int, nLags: int, timeSeriesColumn: st
             _metric(metrics, regressor, "test"), _metric(metrics, regressor, "train"))
 
 
+def Predict(i: int, df1: DataFrame, df2: DataFrame, timeSeriesCol: str, predictionCol: str,  # noqa: N802
+            joinCol: str) -> DataFrame:
+    """Undifference one horizon: ``forecast_<i>day = <timeSeriesCol> + prediction``.
+
+    ``df1`` holds the level (or the previous horizon's forecast), ``df2`` the
+    predicted change; rows are matched on ``joinCol`` (a key, e.g. the row
+    number or the date).  The prediction is kept as ``DeltaZ<i>``.  No global
+    sort: writers order rows inside their files.
+    """
+    from panelcast.functions.series import delta_name, forecast_name
+
+    joined = df1.join(df2.withColumnRenamed(predictionCol, delta_name(i)), joinCol, "inner")
+    return joined.withColumn(forecast_name(i), F.col(delta_name(i)) + F.col(timeSeriesCol))
+
+
 def SavePredictions(df: DataFrame, timeSeriesCol: str, regressionType: str, forecast_days: int,  # noqa: N802
                     feature_nLags: int, filename: str, sparksession=None, date_col: str = "Date",
                     mode: str = "errorifexists"):

@@ -51,6 +51,16 @@ def test_forecast_one_horizon(spark):
     assert -1.0 <= m_train <= 1.0 and m_test <= 1.0  # R^2 for the linear model
 
 
+def test_predict_chains_horizons(stock):
+    train, _ = compat.TimeSeriesSplit(stock, 0.7)
+    preds = train.select("Row Number", F.lit(1.0).alias("prediction"))
+    one = compat.Predict(1, train.select("Row Number", "Date", "Close"), preds, "Close", "prediction", "Row Number")
+    two = compat.Predict(2, one, preds, "forecast_1day", "prediction", "Row Number")
+    rows = two.orderBy("Date").collect()
+    assert all(r["forecast_2day"] == r["Close"] + 2.0 and r["DeltaZ1"] == 1.0 for r in rows)
+    assert len(rows) == 8
+
+
 def test_save_predictions_and_stationarity(spark):
     from panelcast.sources.panel import read_table
 
