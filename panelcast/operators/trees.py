@@ -59,16 +59,24 @@ def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep").transform(df)
 
 
-def fit_score_trees(df: DataFrame, features: Sequence[str], targets: dict, regressor: str,
+def fit_score_trees(pieces, features: Sequence[str], targets: dict, regressor: str,
                     mode: str = "pooled", max_series_fits: int = 16, seed: int | None = None):
     """Fit one model per target (and per series in ``per_series`` mode) and score every row.
 
+    ``pieces`` is ``[(features_df, blocked)]`` (or one DataFrame);
     ``targets`` maps ``h -> (label_col, train_flag_col, prediction_col)``.
-    Returns ``(scored_df, models, cached)`` where ``cached`` is the persisted
-    input the fits scanned several times (``unpersist`` it when done).
+    Each piece is assembled and persisted with its partitioning kept; the
+    fits scan their union several times, the scoring transforms each piece
+    in place.  Returns ``(scored_pieces, models, cached)``; ``unpersist``
+    the cached tables when done.
     """
-    x = persist_partitioned(assemble(df, features), StorageLevel.MEMORY_AND_DISK)
-    models = {}
+    if isinstance(pieces, DataFrame):
+        pieces = [(pieces, False)]
+    cached = [persist_partitioned(assemble(f, features), StorageLevel.MEMORY_AND_DISK) for f, _ in pieces]
+    x = cached[0]
+    for c in cached[1:]:
+        x = x.unionByName(c)
+    preds = [t[2] for t in targets.values()]
     if mode == "pooled":
         # the horizons' fits are independent jobs: submit them together so
         # the scheduler overlaps their (many, short) stages
@@ -78,10 +86,13 @@ def fit_score_trees(df: DataFrame, features: Sequence[str], targets: dict, regre
 
         with ThreadPoolExecutor(max_workers=max(1, min(len(targets), 8))) as pool:
             models = dict(pool.map(fit, targets.items()))
-        scored = x
-        for h in targets:
-            scored = models[h].transform(scored)
-        return scored.drop("features"), models, x
+        scored = []
+        for c, (_, blocked) in zip(cached, pieces):
+            part = c
+            for h in targets:
+                part = models[h].transform(part)
+            scored.append((part.drop("features"), blocked))
+        return scored, models, cached
     if mode != "per_series":
         raise ValueError(f"unknown tree mode {mode!r}")
     keys = [r[SERIES] for r in x.select(SERIES).distinct().limit(max_series_fits + 1).collect()]
@@ -89,8 +100,6 @@ def fit_score_trees(df: DataFrame, features: Sequence[str], targets: dict, regre
         raise ValueError(
             f"per_series tree fits refused above {max_series_fits} series; use mode='pooled'"
         )
-    if not keys:
-        return x.drop("features").select("*", *[F.lit(None).cast("double").alias(t[2]) for t in targets.values()]), {}, x
 
     def fit_one(item):
         key, h = item
@@ -99,15 +108,22 @@ def fit_score_trees(df: DataFrame, features: Sequence[str], targets: dict, regre
         return (key, h), tree_estimator(regressor, label, pred, seed).fit(part)
 
     jobs = [(key, h) for key in sorted(keys) for h in targets]
-    with ThreadPoolExecutor(max_workers=min(len(jobs), 8)) as pool:
-        models = dict(pool.map(fit_one, jobs))
-    parts = []
-    for key in sorted(keys):
-        part = x.where(F.col(SERIES) == key)
-        for h in targets:
-            part = models[(key, h)].transform(part)
-        parts.append(part.drop("features"))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
-    return scored, models, x
+    models = {}
+    if jobs:
+        with ThreadPoolExecutor(max_workers=min(len(jobs), 8)) as pool:
+            models = dict(pool.map(fit_one, jobs))
+    scored = []
+    for c, (_, blocked) in zip(cached, pieces):
+        parts = []
+        for key in sorted(keys):
+            part = c.where(F.col(SERIES) == key)
+            for h in targets:
+                part = models[(key, h)].transform(part)
+            parts.append(part.drop("features"))
+        if not parts:
+            parts = [c.drop("features").select("*", *[F.lit(None).cast("double").alias(p) for p in preds])]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        scored.append((out, blocked))
+    return scored, models, cached

@@ -90,6 +90,7 @@ class ForecastResult:
     coefficients: DataFrame | None = None
     models: dict = field(default_factory=dict)
     cached: list = field(default_factory=list)
+    scored_pieces: list = field(default_factory=list)
 
     def unpersist(self):
         for df in self.cached:
@@ -108,12 +109,15 @@ class ForecastResult:
         from panelcast.plans.report import write_metrics, write_predictions
         from panelcast.session import persist_partitioned
 
-        persist_partitioned(self.scored)
+        pieces = self.scored_pieces or [self.scored]
+        for piece in pieces:
+            persist_partitioned(piece)
         try:
             write_predictions(self.predictions, f"{path.rstrip('/')}/predictions", mode, fmt)
             write_metrics(self.metrics, f"{path.rstrip('/')}/metrics", mode, fmt)
         finally:
-            self.scored.unpersist()
+            for piece in pieces:
+                piece.unpersist()
 
 
 # --- windows ---------------------------------------------------------------
@@ -203,41 +207,74 @@ def _outputs_blocked(scored: DataFrame, hs, cfg: ForecastConfig) -> DataFrame:
     )
 
 
-def build_features(panel: DataFrame, cfg: ForecastConfig, hs=None):
-    """Wide feature table for horizons ``hs`` plus the path pieces it came from."""
-    hs = list(hs or range(1, cfg.horizons + 1))
+def _union(dfs):
+    out = dfs[0]
+    for d in dfs[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def build_feature_pieces(panel: DataFrame, cfg: ForecastConfig, hs) -> list[tuple[DataFrame, bool]]:
+    """``[(features, blocked)]``: ordinary series and hot series, each keeping its partitioning."""
     pieces = []
     for part, blocked, rows in ordered.split_by_heat(panel.select(*PANEL_COLUMNS), cfg.hot_series_rows):
         f = _features_blocked(part, cfg, hs, rows) if blocked else _features_plain(part, cfg, hs)
         pieces.append((f.withColumn("_blocked", F.lit(blocked)), blocked))
-    feats = pieces[0][0]
-    for f, _ in pieces[1:]:
-        feats = feats.unionByName(f)
-    return feats, [b for _, b in pieces], hs
+    return pieces
+
+
+def build_features(panel: DataFrame, cfg: ForecastConfig, hs=None):
+    """Wide feature table for horizons ``hs`` (all pieces), the pieces' kinds, and ``hs``."""
+    hs = list(hs or range(1, cfg.horizons + 1))
+    pieces = build_feature_pieces(panel, cfg, hs)
+    return _union([f for f, _ in pieces]), [b for _, b in pieces], hs
 
 
 # --- fit and score -------------------------------------------------------------
-def fit_and_score(feats: DataFrame, cfg: ForecastConfig, hs):
-    """Add ``DeltaZ<h>`` to every row; returns ``(scored, coefficients, models, cached)``."""
+def _score_linear(piece: DataFrame, blocked: bool, wide: DataFrame, fcols, hs) -> DataFrame:
+    """Join the per-series coefficients without moving the piece's rows.
+
+    Plain pieces are hash-partitioned by series: the join on ``series_id``
+    shuffles only the coefficients (or AQE broadcasts them).  Blocked pieces
+    are partitioned by ``(series_id, _blk)``: the coefficients are first
+    expanded to one row per block (a table bounded by the number of blocks)
+    and joined on both keys, so no hot series is gathered by the join.
+    """
+    if blocked:
+        blocks = piece.select(SERIES, ordered.BLOCK).distinct()
+        per_block = blocks.join(wide, SERIES, "left")
+        x = piece.join(per_block, [SERIES, ordered.BLOCK], "left")
+    else:
+        x = piece.join(wide, SERIES, "left")
+    return x.select(*piece.columns, *[linear_prediction(fcols, h).alias(delta_name(h)) for h in hs])
+
+
+def fit_and_score_pieces(pieces, cfg: ForecastConfig, hs):
+    """Fit on all pieces, score each piece in place.
+
+    Returns ``(scored_pieces, coefficients, models, cached)``.
+    """
     fcols = feature_columns(cfg.lags)
+    feats = _union([f for f, _ in pieces])
     if cfg.regressor == LINEAR:
         coefs = fit_grouped_linear(
             feats, fcols, {h: (f"label_{h}", f"train_{h}") for h in hs},
             reg_param=cfg.reg_param, elastic_net=cfg.elastic_net,
         )
-        # one row per series: AQE broadcasts it when its measured size is
-        # small, else it is shuffled to the features' series partitioning
         wide = coefficients_wide(coefs, hs, len(fcols))
-        scored = feats.join(wide, SERIES, "left")
-        scored = scored.select(
-            *feats.columns, *[linear_prediction(fcols, h).alias(delta_name(h)) for h in hs]
-        )
+        scored = [(_score_linear(f, b, wide, fcols, hs), b) for f, b in pieces]
         return scored, coefficients_report(coefs, len(fcols)), {}, []
     scored, models, cached = fit_score_trees(
-        feats, fcols, {h: (f"label_{h}", f"train_{h}", delta_name(h)) for h in hs},
+        pieces, fcols, {h: (f"label_{h}", f"train_{h}", delta_name(h)) for h in hs},
         cfg.regressor, cfg.tree_mode, cfg.max_series_fits, cfg.seed,
     )
-    return scored, None, models, [cached]
+    return scored, None, models, cached
+
+
+def fit_and_score(feats: DataFrame, cfg: ForecastConfig, hs):
+    """:func:`fit_and_score_pieces` for one feature table; returns ``(scored, coefficients, models, cached)``."""
+    scored, coefs, models, cached = fit_and_score_pieces([(feats, False)], cfg, hs)
+    return scored[0][0], coefs, models, cached
 
 
 def forecast_panel(panel: DataFrame, cfg: ForecastConfig | None = None, **overrides) -> ForecastResult:
@@ -250,25 +287,26 @@ def forecast_panel(panel: DataFrame, cfg: ForecastConfig | None = None, **overri
     label (the quantity each model predicts).
     """
     cfg = replace(cfg or ForecastConfig(), **overrides)
-    feats, paths, hs = build_features(panel, cfg)
-    scored, coefs, models, cached = fit_and_score(feats, cfg, hs)
+    hs = list(range(1, cfg.horizons + 1))
+    pieces = build_feature_pieces(panel, cfg, hs)
+    scored_pieces, coefs, models, cached = fit_and_score_pieces(pieces, cfg, hs)
+    scored = _union([s for s, _ in scored_pieces])
     metrics = wide_metrics(
         scored, {h: (f"label_{h}", delta_name(h), f"train_{h}", f"test_{h}") for h in hs}
     )
-    outs = []
-    for blocked in paths:
-        part = scored.where(F.col("_blocked") == F.lit(blocked)) if len(paths) > 1 else scored
-        outs.append(_outputs_blocked(part, hs, cfg) if blocked else _outputs_plain(part, hs))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
+    # output windows per piece, before any union, so each reuses its partitioning
+    out = _union([
+        _outputs_blocked(s, hs, cfg) if b else _outputs_plain(s, hs) for s, b in scored_pieces
+    ])
     cols = [SERIES, TS, TIEBREAK, "row_number", "split", VALUE]
     running = F.col(VALUE)
     for h in hs:
         running = running + F.col(delta_name(h))
         cols += [F.col(delta_name(h)), running.alias(forecast_name(h)), F.col(actual_name(h))]
     predictions = out.select(*cols)
-    return ForecastResult(predictions, metrics, feats, scored, coefs, models, cached)
+    feats = _union([f for f, _ in pieces])
+    return ForecastResult(predictions, metrics, feats, scored, coefs, models, cached,
+                          [s for s, _ in scored_pieces])
 
 
 def forecast_horizon(panel: DataFrame, horizon: int, cfg: ForecastConfig | None = None, **overrides):
@@ -279,8 +317,9 @@ def forecast_horizon(panel: DataFrame, horizon: int, cfg: ForecastConfig | None
     ``prediction``; and the train/test metrics.
     """
     cfg = replace(cfg or ForecastConfig(), **overrides)
-    feats, _, hs = build_features(panel, cfg, hs=[horizon])
-    scored, _, _, _ = fit_and_score(feats, cfg, hs)
+    hs = [horizon]
+    scored_pieces, _, _, _ = fit_and_score_pieces(build_feature_pieces(panel, cfg, hs), cfg, hs)
+    scored = _union([s for s, _ in scored_pieces])
     h = horizon
     rows = scored.where(F.col(f"c{h}_flag")).select(
         SERIES, TS, TIEBREAK, F.col(f"rn_{h}").alias("row_number"),
