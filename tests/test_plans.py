@@ -71,3 +71,14 @@ def test_cached_scored_table_keeps_series_partitioning(spark):
             assert "Exchange" not in above_cache
     finally:
         r.scored.unpersist()
+
+
+def test_hot_series_join_coefficients_per_block(spark):
+    import re
+
+    p = events_by_type(spark, SF_SMALL).unionByName(events_single(spark, SF_SMALL))
+    r = forecast_panel(p, ForecastConfig(horizons=2, lags=1, hot_series_rows=500, block_rows=64,
+                                         rows_per_partition=200))
+    plan = re.sub(r"#\d+L?", "", _explain(r.predictions, "simple"))
+    # the hot piece meets its coefficients on (series_id, _blk), the key it is already partitioned by
+    assert re.search(r"Join \[series_id, _blk\], \[series_id, _blk\], LeftOuter", plan)
