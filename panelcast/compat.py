@@ -30,8 +30,9 @@ from panelcast.sources.panel import SERIES, TIEBREAK, TS, VALUE
 def _single_panel(df: DataFrame, date_col: str) -> DataFrame:
     """Add the panel key (one series, ordered by ``date_col``) to ``df``."""
     others = [c for c in df.columns if c not in (date_col, SERIES, TS, TIEBREAK)]
-    return df.select(F.lit("all").alias(SERIES), F.col(date_col).alias(TS),
-                     F.lit(0).cast("bigint").alias(TIEBREAK), *others)
+    return df.where(F.col(date_col).isNotNull()).select(
+        F.lit("all").alias(SERIES), F.col(date_col).alias(TS), F.lit(0).cast("bigint").alias(TIEBREAK), *others
+    )
 
 
 def _back(df: DataFrame, date_col: str) -> DataFrame:

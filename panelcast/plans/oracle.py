@@ -16,13 +16,15 @@ LAGS = 3
 REG, ALPHA, RATIO = 0.4, 0.1, 0.7  # fixed values of the linear model and split
 
 PANELS = {
-    "events_by_type": "SELECT event_type AS series_id, ts, event_id AS tiebreak, value FROM events",
-    "events_by_user": "SELECT CAST(user_id AS VARCHAR) AS series_id, ts, event_id AS tiebreak, value FROM events",
-    "events_single": "SELECT 'all' AS series_id, ts, event_id AS tiebreak, value FROM events",
+    "events_by_type": "SELECT event_type AS series_id, ts, event_id AS tiebreak, value FROM events WHERE ts IS NOT NULL",
+    "events_by_user": (
+        "SELECT CAST(user_id AS VARCHAR) AS series_id, ts, event_id AS tiebreak, value FROM events WHERE ts IS NOT NULL"
+    ),
+    "events_single": "SELECT 'all' AS series_id, ts, event_id AS tiebreak, value FROM events WHERE ts IS NOT NULL",
     "orders_daily": (
         "SELECT o_orderpriority AS series_id, o_orderdate AS ts, CAST(0 AS BIGINT) AS tiebreak, "
         "CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value "
-        "FROM orders GROUP BY o_orderpriority, o_orderdate"
+        "FROM orders WHERE o_orderdate IS NOT NULL GROUP BY o_orderpriority, o_orderdate"
     ),
 }
 

@@ -35,16 +35,19 @@ def as_panel(df: DataFrame, series=None, ts="ts", value="value", tiebreak=None)
     """Project ``df`` onto the panel schema.
 
     ``series`` / ``tiebreak`` may be None (one series named ``'all'``;
-    tiebreak 0).  Arguments are column names or Columns.
+    tiebreak 0).  Arguments are column names or Columns.  A row without a
+    timestamp has no place in its series and is left out (the filter is
+    pushed to the scan).
     """
     sid = F.lit("all") if series is None else _col(series).cast("string")
     tb = F.lit(0).cast("bigint") if tiebreak is None else _col(tiebreak).cast("bigint")
-    return df.select(
+    out = df.select(
         sid.alias(SERIES),
         _col(ts).alias(TS),
         tb.alias(TIEBREAK),
         _col(value).cast("double").alias(VALUE),
     )
+    return out.where(F.col(TS).isNotNull())
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
