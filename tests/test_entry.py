@@ -61,3 +61,15 @@ def test_query_matches_oracle(spark, con, name):
     assert sc == dc
     assert len(sr) == len(dr)
     assert sr == dr
+
+
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql())))
+def test_rows_only_queries_run(spark, name):
+    df = E.queries()[name](spark, SF_SMALL)
+    rows = df.collect()
+    assert len(rows) > 0
+    if name.startswith("forecast_"):
+        assert {"series_id", "ts", "split", "DeltaZ1", "forecast_1day", "actual_1day"} <= set(df.columns)
+        assert all(r["forecast_1day"] is not None for r in rows)
+    else:
+        assert {"series_id", "stat", "p_value"} <= set(df.columns)
