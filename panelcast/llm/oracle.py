@@ -40,4 +40,35 @@ JOIN extra e ON s.source IS NOT DISTINCT FROM e.source
 JOIN placed p ON s.source IS NOT DISTINCT FROM p.source AND s.h = p.h
 """
 
-ORACLE: dict[str, str] = {"op5_mix_sources": OP5}
+# every pair of lines one edit apart agrees on its first or on its last 10 characters (lines have 20 at least)
+OP3 = r"""
+WITH RECURSIVE raw AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no
+  FROM documents WHERE text IS NOT NULL),
+lines AS (
+  SELECT doc_id, no, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM raw),
+firsts AS (
+  SELECT line, length(line) AS n, min(struct_pack(d := doc_id, no := no)) AS first FROM lines WHERE line <> '' GROUP BY line),
+long AS (SELECT * FROM firsts WHERE n >= 20),
+near AS (
+  SELECT DISTINCT b.line FROM long a JOIN long b
+    ON left(a.line, 10) = left(b.line, 10) AND abs(a.n - b.n) <= 1 AND a.first < b.first
+  WHERE CASE WHEN abs(a.n - b.n) <= 1 THEN levenshtein(a.line, b.line) <= 1 ELSE false END
+  UNION
+  SELECT DISTINCT b.line FROM long a JOIN long b
+    ON right(a.line, 10) = right(b.line, 10) AND abs(a.n - b.n) <= 1 AND a.first < b.first
+  WHERE CASE WHEN abs(a.n - b.n) <= 1 THEN levenshtein(a.line, b.line) <= 1 ELSE false END),
+judged AS (
+  SELECT l.doc_id, l.no, r.raw, n.line IS NOT NULL AS near,
+         l.line <> '' AND n.line IS NULL AND struct_pack(d := l.doc_id, no := l.no) > f.first AS equal
+  FROM lines l JOIN raw r USING (doc_id, no)
+  LEFT JOIN firsts f ON l.line = f.line LEFT JOIN near n ON l.line = n.line)
+SELECT d.doc_id,
+       CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(j.raw, chr(10) ORDER BY j.no) FILTER (NOT j.near AND NOT coalesce(j.equal, false)), '') END AS text,
+       CAST(count(j.no) AS BIGINT) AS lines,
+       CAST(count(*) FILTER (j.equal) AS BIGINT) AS equal_dropped, CAST(count(*) FILTER (j.near) AS BIGINT) AS near_dropped
+FROM documents d LEFT JOIN judged j USING (doc_id)
+GROUP BY d.doc_id, d.text
+"""
+
+ORACLE: dict[str, str] = {"op3_line_dedup": OP3, "op5_mix_sources": OP5}

@@ -11,10 +11,16 @@ from pyspark.sql import functions as F
 from panelcast.llm import chat
 from panelcast.llm.common import id_bucket, table
 from panelcast.llm.langid import identify, learn_profiles
+from panelcast.llm.linededup import dedup_lines
 from panelcast.llm.mixing import plan_mix
 from panelcast.llm.packing import pack_documents
 
 
+def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return dedup_lines(docs, min_chars=20, counts=True)
+
+
 def op5_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     mix = plan_mix(table(spark, sf, "documents"), weights=(1, 2, 3), max_epochs=3, seed="mix")
     return mix.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "reps", "taken")
@@ -45,6 +51,7 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_line_dedup": op3_line_dedup,
     "op5_mix_sources": op5_mix_sources,
     "op6_chat_format": op6_chat_format,
     "op8_best_fit_packing": op8_best_fit_packing,
