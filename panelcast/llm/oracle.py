@@ -71,4 +71,18 @@ FROM documents d LEFT JOIN judged j USING (doc_id)
 GROUP BY d.doc_id, d.text
 """
 
-ORACLE: dict[str, str] = {"op3_line_dedup": OP3, "op5_mix_sources": OP5}
+OP1 = """
+WITH rows AS (
+  SELECT vec_id, list_transform(min(embedding), lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  GROUP BY vec_id),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM rows q JOIN rows c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 10
+"""
+
+ORACLE: dict[str, str] = {"op1_exact_top_k": OP1, "op3_line_dedup": OP3, "op5_mix_sources": OP5}

@@ -14,6 +14,11 @@ from panelcast.llm.langid import identify, learn_profiles
 from panelcast.llm.linededup import dedup_lines
 from panelcast.llm.mixing import plan_mix
 from panelcast.llm.packing import pack_documents
+from panelcast.llm.topk import top_k
+
+
+def op1_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return top_k(table(spark, sf, "embeddings"), k=10, scale=1024, modulus=100)
 
 
 def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,6 +56,7 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_top_k": op1_exact_top_k,
     "op3_line_dedup": op3_line_dedup,
     "op5_mix_sources": op5_mix_sources,
     "op6_chat_format": op6_chat_format,
