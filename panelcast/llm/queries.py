@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.llm import chat
+from panelcast.llm.ann import nearest
 from panelcast.llm.common import id_bucket, table
 from panelcast.llm.langid import identify, learn_profiles
 from panelcast.llm.linededup import dedup_lines
@@ -21,6 +22,10 @@ def op1_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return top_k(table(spark, sf, "embeddings"), k=10, scale=1024, modulus=100)
 
 
+def op2_hilbert_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return nearest(table(spark, sf, "embeddings"), k=10, modulus=100)
+
+
 def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return dedup_lines(docs, min_chars=20, counts=True)
@@ -57,6 +62,7 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
+    "op2_hilbert_neighbours": op2_hilbert_neighbours,
     "op3_line_dedup": op3_line_dedup,
     "op5_mix_sources": op5_mix_sources,
     "op6_chat_format": op6_chat_format,
