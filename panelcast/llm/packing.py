@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from panelcast.llm.common import text_or_empty, written
 
 PIECES = "part int, nth long, id long, piece int, start long, length long, ids_crc32 long"
-CACHED_WORDS = 200_000  # words whose ids a task remembers; it starts afresh beyond, results don't depend on it
+CACHED = 700_000  # words (and pre-tokens) whose ids a worker remembers; it starts afresh beyond, results don't depend on it
+TEXT_BYTES = 16_000_000  # bytes of text (or one text) looked up at once
 
 
 class Capacities:
@@ -103,6 +104,108 @@ def best_fit_decreasing(counts: dict[int, int], size: int) -> list[tuple[int, in
     return runs
 
 
+class WordIds:
+    """Token ids of single words, remembered for the life of a Python worker.
+
+    Plain words (no code point from U+0250 on, no special token) are cut into
+    the tokenizer's pre-tokens for many words at once, and only pre-tokens not
+    seen before go through the tokenizer's merges.  Any other word goes
+    through the whole tokenizer by itself.
+    """
+
+    PRETOKEN = r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # the tokenizer file's pattern
+
+    def __init__(self, path: str):
+        import json
+
+        import numpy as np
+        import regex
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.whole, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # bytes stand for themselves as printable characters, as byte-level BPE has it
+        printable = {b for r in (range(33, 127), range(161, 173), range(174, 256)) for b in r}
+        spare = iter(range(256, 512))
+        self.shown = {b: next(spare) for b in range(256) if b not in printable}
+        del self.shown[32]  # the separator below
+        spec = json.loads(self.merges.to_str())
+        suffix = spec["model"].get("end_of_word_suffix")
+        known_form = (suffix and [n["type"] for n in spec["normalizer"].get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+                      and self.PRETOKEN.removeprefix("\\n|") in json.dumps(spec["pre_tokenizer"]).replace("\\\\", "\\"))
+        self.merges.normalizer = normalizers.Sequence([])
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.whole.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a pre-token
+        for token, i in vocabulary.items():
+            self.last[i] = bool(suffix) and token.endswith(suffix)
+        self.plain = regex.compile(r"[\x21-\x7e\u00a1-\u024f]+") if known_form else regex.compile(r"(?!)")
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.find = regex.compile(self.PRETOKEN).findall
+        self.words: dict[bytes, bytes] = {}
+        self.pretokens: dict[str, bytes] = {}
+
+    def learn(self, words: set[bytes]) -> None:
+        """Afterwards ``words`` are all in ``self.words``."""
+        if len(self.pretokens) > CACHED:
+            self.pretokens.clear()
+        if len(self.words) > CACHED:
+            self.words.clear()
+        if new := [w for w in words if w not in self.words]:
+            self._add(new)
+
+    def _add(self, words: list[bytes]) -> None:
+        import numpy as np
+
+        joined = b"\n".join(words).decode()
+        plain, other = words, []
+        if not (joined.isascii() or self.plain.fullmatch(joined.replace("\n", ""))) or any(s in joined for s in self.special) or any(
+                c in joined for c in "\x1c\x1d\x1e\x1f\x7f"):
+            plain, other = [], []
+            for w in words:
+                t = w.decode()
+                (plain if self.plain.fullmatch(t) and not any(s in t for s in self.special) else other).append(w)
+            joined = b"\n".join(plain).decode()
+        if plain and self.plain.pattern == "(?!)":
+            plain, other = [], words
+        for e, w in zip(self.whole.encode_batch([w.decode() for w in other], add_special_tokens=False), other, strict=True):
+            self.words[w] = np.array(e.ids, dtype="<u4").tobytes()
+        if not plain:
+            return
+        cut = self.find(joined.lower())
+        known = self.pretokens
+        new = [p for p in set(cut) if p not in known and p != "\n"]
+        for a in range(0, len(new), 4096):
+            some = new[a:a + 4096]
+            shown = " ".join(some).encode().decode("latin-1").translate(self.shown)
+            ids = np.array(self.merges.encode_batch_fast([shown], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+            if len(ends) != len(some):
+                raise RuntimeError("the tokenizer does not mark the ends of words")
+            raw, at = ids.tobytes(), 0
+            for p, end in zip(some, ends.tolist(), strict=True):
+                known[p] = raw[at:end]
+                at = end
+        names, parts = iter(plain), []
+        for p in cut:
+            if p == "\n":
+                self.words[next(names)] = b"".join(parts)
+                parts = []
+            else:
+                parts.append(known[p])
+        self.words[next(names)] = b"".join(parts)
+
+
+def _word_ids(path: str) -> WordIds:
+    """The worker's memory of words; it outlives a task, results don't depend on it."""
+    import sys
+    import types
+
+    store = sys.modules.setdefault("_panelcast_words", types.ModuleType("_panelcast_words")).__dict__
+    if path not in store:
+        store[path] = WordIds(path)
+    return store[path]
+
+
 def _pieces(tokenizer_path: str, max_tokens: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -111,32 +214,34 @@ def _pieces(tokenizer_path: str, max_tokens: int, end_id: int):
 
         import numpy as np
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tok, part, seen = None, TaskContext.get().partitionId(), Counter()
+        ids_of, part, seen = _word_ids(tokenizer_path), TaskContext.get().partitionId(), Counter()
         end = np.uint32(end_id).astype("<u4").tobytes()
-        known: dict[bytes, bytes] = {}
         step = 4 * max_tokens
         for batch in batches:
-            if tok is None:
-                tok = Tokenizer.from_file(tokenizer_path)
             out: list[list] = [[] for _ in range(7)]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            at = 0
+            while at < len(ids):
                 # white space never is part of a token here, so a text's ids are its words' ids
-                words = text.as_buffer().to_pybytes().split()
-                if not known.keys() >= (names := set(words)):
-                    if len(known) > CACHED_WORDS:
-                        known.clear()
-                    new = [w for w in names if w not in known]
-                    for w, e in zip(new, tok.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                        known[w] = np.array(e.ids, dtype="<u4").tobytes()
-                ids = b"".join(map(known.__getitem__, words)) + end
-                for k, a in enumerate(range(0, len(ids), step)):
-                    n = min(step, len(ids) - a) // 4
-                    for c, v in zip(out, (part, seen[n], doc_id, k, a // 4, n, zlib.crc32(ids[a:a + step])), strict=True):
-                        c.append(v)
-                    seen[n] += 1
+                docs, names, size = [], set(), 0
+                while at + len(docs) < len(ids) and size < TEXT_BYTES:
+                    text = texts[at + len(docs)].as_buffer()
+                    size += len(text)
+                    docs.append(text.to_pybytes().split())
+                    names.update(docs[-1])
+                ids_of.learn(names)
+                get = ids_of.words.__getitem__
+                for i, words in enumerate(docs, at):
+                    encoded = b"".join(map(get, words)) + end
+                    for k, a in enumerate(range(0, len(encoded), step)):
+                        piece = encoded[a:a + step]
+                        n = len(piece) // 4
+                        for c, v in zip(out, (part, seen[n], ids[i], k, a // 4, n, zlib.crc32(piece)), strict=True):
+                            c.append(v)
+                        seen[n] += 1
+                at += len(docs)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
                 names=["part", "nth", "id", "piece", "start", "length", "ids_crc32"])
