@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from panelcast.llm import chat
 from panelcast.llm.ann import nearest
 from panelcast.llm.common import id_bucket, table
+from panelcast.llm.ctw import score_texts
 from panelcast.llm.langid import identify, learn_profiles
 from panelcast.llm.linededup import dedup_lines
 from panelcast.llm.mixing import plan_mix
@@ -31,6 +32,13 @@ def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return dedup_lines(docs, min_chars=20, counts=True)
 
 
+def op4_ctw_score(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    scores = score_texts(docs, id_bucket("doc_id", 7) != 2)
+    return scores.select(F.col("id").alias("doc_id"), (id_bucket("id", 7) == 2).alias("held_out"), "n_tokens", "n_known",
+                         "train_tokens", "base_score", "score")
+
+
 def op5_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     mix = plan_mix(table(spark, sf, "documents"), weights=(1, 2, 3), max_epochs=3, seed="mix")
     return mix.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "reps", "taken")
@@ -64,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_hilbert_neighbours": op2_hilbert_neighbours,
     "op3_line_dedup": op3_line_dedup,
+    "op4_ctw_score": op4_ctw_score,
     "op5_mix_sources": op5_mix_sources,
     "op6_chat_format": op6_chat_format,
     "op8_best_fit_packing": op8_best_fit_packing,
