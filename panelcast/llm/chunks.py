@@ -52,8 +52,9 @@ def pieces_of(table: pa.Table) -> Iterator[pa.Table]:
     yield from chunks_of(iter(table.combine_chunks().to_batches()), PIECE_BYTES)
 
 
-def _name(table: pa.Table) -> bytes:
-    h = hashlib.blake2b(digest_size=16)
+def _name(table: pa.Table) -> int:
+    """A hash of the chunk; should two ever share one, they are answered and scored together."""
+    h = hashlib.blake2b(digest_size=8)
     for batch in table.combine_chunks().to_batches():
         column = batch.column("text")
         for i in range(len(column)):
@@ -63,18 +64,18 @@ def _name(table: pa.Table) -> bytes:
     from pyspark import TaskContext
 
     h.update(TaskContext.get().partitionId().to_bytes(8, "little"))  # equal chunks of two tasks stay apart
-    return h.digest()
+    return int.from_bytes(h.digest(), "little", signed=True)
 
 
 def _single(names: list[str], arrays: list[pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def ask(docs: DataFrame, keys_of: Callable[[pa.Table], Iterator[tuple[np.ndarray, np.ndarray]]], extra: str) -> DataFrame:
+def ask(docs: DataFrame, keys_of: Callable[[pa.Table], Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
     """(chunk, gram, n): each chunk's distinct grams as longs, with the sum of the counts that ``keys_of`` gives.
 
     ``keys_of(piece)`` yields (grams, counts) of a piece of a chunk.  ``docs``
-    has a binary column ``text``; ``extra`` names the type of n.
+    has a binary column ``text``.
     """
     def run(batches):
         for chunk in chunks_of(batches):
@@ -88,9 +89,9 @@ def ask(docs: DataFrame, keys_of: Callable[[pa.Table], Iterator[tuple[np.ndarray
                 name = _name(chunk)
                 for a in range(0, len(grams), 65_536):
                     g = grams[a:a + 65_536]
-                    yield _single(["chunk", "gram", "n"], [pa.array([name] * len(g), pa.binary()), pa.array(g), pa.array(n[a:a + 65_536])])
+                    yield _single(["chunk", "gram", "n"], [pa.array(np.full(len(g), name)), pa.array(g), pa.array(n[a:a + 65_536])])
 
-    return docs.mapInArrow(run, f"chunk binary, gram long, n {extra}")
+    return docs.mapInArrow(run, "chunk long, gram long, n long")
 
 
 def _merged(parts):
@@ -106,9 +107,9 @@ def payload(docs: DataFrame) -> DataFrame:
             with pa.ipc.new_stream(sink, chunk.schema) as writer:
                 writer.write_table(chunk)
             packed = zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
-            yield _single(["chunk", "packed"], [pa.array([_name(chunk)], pa.binary()), pa.array([packed], pa.binary())])
+            yield _single(["chunk", "packed"], [pa.array([_name(chunk)], pa.int64()), pa.array([packed], pa.binary())])
 
-    return docs.mapInArrow(run, "chunk binary, packed binary")
+    return docs.mapInArrow(run, "chunk long, packed binary")
 
 
 def score(docs: DataFrame, answers: dict[str, DataFrame], score_piece: Callable, schema: str) -> DataFrame:
@@ -120,7 +121,7 @@ def score(docs: DataFrame, answers: dict[str, DataFrame], score_piece: Callable,
     names = list(answers)
     told = None
     for i, name in enumerate(names):
-        a = answers[name].select("chunk", F.lit(i).alias("kind"), "gram", F.col("value").cast("double").alias("value"))
+        a = answers[name].select("chunk", F.lit(i).alias("kind"), "gram", "value")
         told = a if told is None else told.unionByName(a)
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:

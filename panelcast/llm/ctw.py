@@ -227,19 +227,19 @@ def _score(total: int, kinds: int, ends: int):
 
 
 def score_texts(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities) and bits_per_byte's parts for every row.
+    """id, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities) for every row.
 
     ``learn`` says which rows the model and the word counts are learned from.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("text"),
                        F.coalesce(learn, F.lit(False)).alias("learn"))
-    grams = written(chunks.ask(rows, _grams, "long"), "ctw-grams")
-    words = written(chunks.ask(rows, _words, "long"), "ctw-words")
+    grams = written(chunks.ask(rows, _grams), "ctw-grams")
+    words = written(chunks.ask(rows, _words), "ctw-words")
     values = written(code_lengths(written(grams.groupBy("gram").agg(F.sum("n").alias("n")), "ctw-counts")), "ctw-values")
-    word_counts = written(words.groupBy("gram").agg(F.sum("n").alias("value")), "ctw-words-counts")
+    word_counts = written(words.groupBy("gram").agg(F.sum("n").cast("double").alias("value")), "ctw-words-counts")
     t = word_counts.agg(F.sum("value").alias("n"), F.count(F.when(F.col("value") > 0, 1)).alias("v")).first()
     ends = docs.where(F.coalesce(learn, F.lit(False))).count()
-    total, kinds = (t.n or 0) + ends, t.v + (ends > 0)
+    total, kinds = int(t.n or 0) + ends, t.v + (ends > 0)
     answers = {"grams": grams.join(values, "gram").select("chunk", "gram", "value"),
                "words": words.join(word_counts, "gram").select("chunk", "gram", "value")}
     return chunks.score(rows, answers, _score(total, kinds, ends), SCORES).withColumn("train_tokens", F.lit(total).cast("long"))

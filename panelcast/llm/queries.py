@@ -16,6 +16,7 @@ from panelcast.llm.langid import identify, learn_profiles
 from panelcast.llm.linededup import dedup_lines
 from panelcast.llm.mixing import plan_mix
 from panelcast.llm.packing import pack_documents
+from panelcast.llm.quality import classify
 from panelcast.llm.topk import top_k
 
 
@@ -55,6 +56,11 @@ def op6_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     return chat.digest(chat.render(messages))
 
 
+def op7_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    judged = classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return judged.drop("key").withColumnRenamed("id", "doc_id")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     packed = pack_documents(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"),
                             max_tokens=2048, end_id=0)
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ctw_score": op4_ctw_score,
     "op5_mix_sources": op5_mix_sources,
     "op6_chat_format": op6_chat_format,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_language_id": op10_language_id,
 }
