@@ -12,6 +12,7 @@ from panelcast.llm import chat
 from panelcast.llm.ann import nearest
 from panelcast.llm.common import id_bucket, table
 from panelcast.llm.ctw import score_texts
+from panelcast.llm.jaccard import near_components
 from panelcast.llm.langid import identify, learn_profiles
 from panelcast.llm.linededup import dedup_lines
 from panelcast.llm.mixing import plan_mix
@@ -67,6 +68,11 @@ def op8_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packed.withColumnRenamed("id", "doc_id")
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    found = near_components(table(spark, sf, "documents"), words=4, percent=85)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     held_out = id_bucket("doc_id", 4) == 2
@@ -83,5 +89,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat_format": op6_chat_format,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_language_id": op10_language_id,
 }
