@@ -18,10 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: lineage ends there, sizes are known."""
-    path = fresh_path(df.sparkSession, name)
+    """``df`` written once to the shared folder and read back: lineage ends there, sizes are known.
+
+    Its shuffles are of no use afterwards.  Spark drops the files of a shuffle
+    when the driver's garbage collector finds it unused, so that is run here.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_or_empty(col: str = "text") -> Column:

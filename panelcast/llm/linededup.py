@@ -142,15 +142,19 @@ def dropped_lines(docs: DataFrame, *, min_chars: int = 20, id_col: str = "doc_id
     """Lines to drop per document: id, key (hash of the text), nos (line numbers from 0), equal, near (counts)."""
     lines = _lines(docs, id_col, text_col).withColumn("n", F.length("line"))
     lines = written(lines.select("id", "key", "no", *_hash2(F.col("line")), _halves(min_chars).alias("halves")), "lines")
-    near = near_lines(lines, docs, min_chars, id_col, text_col).withColumn("near", F.lit(True))
+    near = written(near_lines(lines, docs, min_chars, id_col, text_col), "lines-near")
+    # only lines that occur again, or are near an earlier one, are looked at closer
+    marked = (lines.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1")
+              .unionByName(near.select("h1")).distinct())
     pos = F.struct(F.col("id").isNotNull().alias("known"), "id", "key", "no")
+    marked = written(lines.select("id", "key", "no", "h1", "h2").join(written(marked, "lines-marked-keys"), "h1", "left_semi")
+                     .withColumn("pos", pos), "lines-marked")
     groups = (
-        lines.groupBy("h1", "h2").agg(F.min(pos).alias("first"), F.max(pos).alias("last"))
-        .join(near, ["h1", "h2"], "left").where("near or first < last")
+        marked.groupBy("h1", "h2").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+        .join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("near or first < last")
         .select("h1", "h2", F.col("near").isNotNull().alias("near"), "first")
     )
-    groups = written(groups, "lines-groups")
-    gone = lines.withColumn("pos", pos).join(groups, ["h1", "h2"]).where("near or first < pos")
+    gone = marked.join(written(groups, "lines-groups"), ["h1", "h2"]).where("near or first < pos")
     return gone.groupBy("id", "key").agg(
         F.collect_set("no").alias("nos"),
         F.count_distinct(F.when(~F.col("near"), F.col("no"))).alias("equal"),
@@ -160,10 +164,11 @@ def dropped_lines(docs: DataFrame, *, min_chars: int = 20, id_col: str = "doc_id
 def dedup_lines(docs: DataFrame, *, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text",
                 counts: bool = False) -> DataFrame:
     """``docs`` with the dropped lines taken out of the text; with ``counts`` also lines, equal_dropped and near_dropped."""
-    gone = dropped_lines(docs, min_chars=min_chars, id_col=id_col, text_col=text_col).alias("g")
+    gone = written(dropped_lines(docs, min_chars=min_chars, id_col=id_col, text_col=text_col), "lines-gone").alias("g")
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"),
-                    F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text")).alias("d")
+                    F.xxhash64(F.col(text_col)).alias("key")).alias("d")
     joined = d.join(gone, F.col("d.id").eqNullSafe(F.col("g.id")) & (F.col("d.key") == F.col("g.key")), "left")
+    joined = joined.withColumn("text", F.col("doc").getField(text_col))
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.col("nos"), i))
     text = F.when(F.col("nos").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     out = [text.alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in docs.columns]
