@@ -52,7 +52,6 @@ def forecast(panel_fn, **kw):
     def run(spark):
         r = forecast_panel(panel_fn(spark, SF_DIR), ForecastConfig(horizons=5, lags=3, **kw))
         r.write(fresh_path(spark, "bench"))
-        r.unpersist()
     return run
 
 
@@ -84,7 +83,8 @@ QUERIES = {
     "features_by_type": feature_pass(events_by_type),
     "linear_by_user": forecast(events_by_user),
     "linear_by_type": forecast(events_by_type),
-    "forest_by_user_pooled": forecast(events_by_user, regressor=RANDOM_FOREST, seed=7),
+    "forest_by_user": forecast(events_by_user, regressor=RANDOM_FOREST, seed=7),
+    "forest_by_user_pooled": forecast(events_by_user, regressor=RANDOM_FOREST, seed=7, tree_mode="pooled"),
     "features_single_global": feature_pass(events_single, hot_series_rows=None),
     "features_single_blocked": feature_pass(events_single, hot_series_rows=0, block_rows=10_000,
                                             rows_per_partition=12_500),

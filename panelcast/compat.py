@@ -24,11 +24,12 @@ from panelcast.operators.stationarity import adf_autolag
 from panelcast.operators.split import time_split
 from panelcast.plans.forecast import ForecastConfig, forecast_horizon, forecast_panel
 from panelcast.plans.report import LEGACY_METRIC, write_legacy_csv
-from panelcast.sources.panel import SERIES, TIEBREAK, TS, VALUE
+from panelcast.sources.panel import SERIES, TIEBREAK, TS, VALUE, require_temporal
 
 
 def _single_panel(df: DataFrame, date_col: str) -> DataFrame:
     """Add the panel key (one series, ordered by ``date_col``) to ``df``."""
+    require_temporal(df.schema[date_col].dataType, date_col)
     others = [c for c in df.columns if c not in (date_col, SERIES, TS, TIEBREAK)]
     return df.where(F.col(date_col).isNotNull()).select(
         F.lit("all").alias(SERIES), F.col(date_col).alias(TS), F.lit(0).cast("bigint").alias(TIEBREAK), *others
@@ -56,9 +57,9 @@ def TimeSeriesSplit(df_m: DataFrame, splitRatio: float, sparksession=None, date_
     return train, test
 
 
-def _metric(metrics: DataFrame, regressor: str, split: str) -> float | None:
-    row = metrics.where(F.col("split") == split).select(LEGACY_METRIC[regressor]).first()
-    return None if row is None else row[0]
+def _metric(metrics: DataFrame, regressor: str) -> dict[str, float | None]:
+    """The regressor's reported metric per split, from one run (two rows)."""
+    return {r["split"]: r[1] for r in metrics.select("split", LEGACY_METRIC[regressor]).collect()}
 
 
 def Forecast(df: DataFrame, forecast_days: int, nLags: int, timeSeriesColumn: str, regressor: str,  # noqa: N802
@@ -80,8 +81,8 @@ def Forecast(df: DataFrame, forecast_days: int, nLags: int, timeSeriesColumn: st
     train = rows.where(F.col("split") == "train").drop("split")
     test = rows.where(F.col("split") == "test").drop("split")
     inputs = [c for c in rows.columns if c not in ("prediction", "split")]
-    return (test.select(*inputs), train.select(*inputs), test, train,
-            _metric(metrics, regressor, "test"), _metric(metrics, regressor, "train"))
+    metric = _metric(metrics, regressor)
+    return test.select(*inputs), train.select(*inputs), test, train, metric.get("test"), metric.get("train")
 
 
 def Predict(i: int, df1: DataFrame, df2: DataFrame, timeSeriesCol: str, predictionCol: str,  # noqa: N802
@@ -110,13 +111,12 @@ def SavePredictions(df: DataFrame, timeSeriesCol: str, regressionType: str, fore
     panel = _single_panel(df.select(date_col, timeSeriesCol), date_col).withColumnRenamed(timeSeriesCol, VALUE)
     result = forecast_panel(panel, ForecastConfig(horizons=forecast_days, lags=feature_nLags,
                                                   regressor=regressionType))
-    write_legacy_csv(result.predictions.drop(SERIES, TIEBREAK), filename, value_name=timeSeriesCol,
-                     ts_name=date_col, mode=mode)
     metric = LEGACY_METRIC[regressionType]
     out = {"train": {}, "test": {}}
-    for r in result.metrics.select("split", "horizon", metric).collect():  # 2 x H rows
-        out[r["split"]][f"forecast_{r['horizon']}day"] = r[metric]
-    result.unpersist()
+    with result.computed() as (predictions, metrics):
+        write_legacy_csv(predictions, filename, value_name=timeSeriesCol, ts_name=date_col, mode=mode)
+        for r in metrics.select("split", "horizon", metric).collect():  # 2 x H rows
+            out[r["split"]][f"forecast_{r['horizon']}day"] = r[metric]
     return out["train"], out["test"]
 
 

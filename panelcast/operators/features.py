@@ -5,8 +5,7 @@ series (``partitionBy(seriesCol).orderBy(orderCols)``), so they compose in a
 ``Pipeline`` and run on any number of series at once.  All columns come out
 of one ``select`` per transformer; Spark evaluates windows with the same
 partitioning and order in one Window operator, after a single shuffle.
-On the panel layout, series longer than ``hotSeriesRows`` are computed with
-the blocked windows of ``operators.ordered`` (same values, bounded tasks).
+Series longer than ``hotSeriesRows`` are computed with the blocked windows of ``operators.ordered`` (same values, bounded tasks).
 
 Output names keep the reference's contract:
 
@@ -34,8 +33,8 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, Window
 
 from panelcast.functions import series as S
-from panelcast.operators.ordered import apply_by_series
-from panelcast.sources.panel import ORDER, SERIES, TIEBREAK, TS
+from panelcast.operators.ordered import apply_by_series, to_layout
+from panelcast.sources.panel import ORDER, SERIES
 
 
 class _SeriesParams(HasInputCol):
@@ -85,6 +84,7 @@ class _SeriesTransformer(Transformer, _SeriesParams, DefaultParamsReadable, Defa
         self._set(**self._input_kwargs)
 
     def getFeatureNames(self) -> list[str]:
+        """Names of the columns this transformer adds."""
         raise NotImplementedError
 
     def _columns(self, w):
@@ -98,16 +98,21 @@ class _SeriesTransformer(Transformer, _SeriesParams, DefaultParamsReadable, Defa
         def fn(d, w):
             return d.select("*", *self._columns(w))
 
-        panel_layout = (
-            self.getOrDefault(self.seriesCol) == SERIES
-            and self.getOrDefault(self.orderCols) == [TS, TIEBREAK]
-        )
         hot = self.getOrDefault(self.hotSeriesRows)
-        if not panel_layout or hot < 0:
+        if hot < 0:
             return fn(df, self._window())
         back, fwd = self._reach()
-        return apply_by_series(df, fn, back, fwd, hot_series_rows=hot,
-                               block_rows=self.getOrDefault(self.blockRows))
+        x, restored = to_layout(df, [self.getOrDefault(self.seriesCol)], self.getOrDefault(self.orderCols))
+        return restored(apply_by_series(x, fn, back, fwd, hot_series_rows=self._heat or hot,
+                                        block_rows=self.getOrDefault(self.blockRows)))
+
+    #: a ``Heat`` found before, for transformers of one chain
+    _heat = None
+
+    def setHeat(self, heat):
+        """Use the hot series found once for a chain of transformers, instead of looking again."""
+        self._heat = heat
+        return self
 
 
 class LagFeatures(_SeriesTransformer):

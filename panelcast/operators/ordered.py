@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -49,52 +50,97 @@ def series_window() -> WindowSpec:
     return Window.partitionBy(SERIES).orderBy(*ORDER)
 
 
+def to_layout(df: DataFrame, key, order):
+    """``df`` with its key and order under the panel's names, and a function that undoes it on a result.
+
+    ``key`` and ``order`` are lists of column names.  Columns that already
+    have one of the panel's names but another meaning are set aside.
+    """
+    key, order = list(key), list(order)
+    if key == [SERIES] and order == list(ORDER):
+        return df, lambda out: out
+    taken = {c: f"_aside_{c}" for c in (SERIES, TS, TIEBREAK) if c in df.columns}
+    name = {c: taken.get(c, c) for c in df.columns}
+    x = df.withColumnsRenamed(taken)
+    key_col = F.col(name[key[0]]) if len(key) == 1 else F.to_json(F.struct(*[F.col(name[c]) for c in key]), {"ignoreNullFields": "false"})
+    rest = [F.col(name[c]) for c in order[1:]] or [F.lit(0)]
+    x = x.withColumn(SERIES, key_col).withColumn(TS, F.col(name[order[0]]) if order else F.lit(0)).withColumn(TIEBREAK, F.struct(*rest))
+    return x, lambda out: out.drop(SERIES, TS, TIEBREAK).withColumnsRenamed({v: k for k, v in taken.items()})
+
+
 def series_sizes(panel: DataFrame) -> DataFrame:
     """Rows per series; a partial aggregate, so hot keys are combined map-side."""
     return panel.groupBy(SERIES).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def find_hot_series(panel: DataFrame, threshold: int, max_keys: int = 10_000):
-    """Series with more than ``threshold`` rows.
+def encode_key(df: DataFrame) -> DataFrame:
+    """``df`` with a series key that is never null (``n`` for null, else ``k`` and the key as text).
 
-    Returns ``{key: rows}``.  Each key holds more than ``threshold`` rows,
-    so at most ``total_rows / threshold`` keys exist: the collected list is
-    bounded by the data size divided by the threshold, not by the data.
-    Past ``max_keys`` of them the result is ``None``, meaning "treat every
-    series as hot".
+    Inside the operators series are joined by equality; a null key is a
+    series like any other, as it is in ``groupBy`` and in windows.
     """
-    rows = (
-        series_sizes(panel.select(SERIES))
-        .where(F.col("n_rows") > threshold)
-        .limit(max_keys + 1)
-        .collect()
-    )
-    if len(rows) > max_keys:
-        return None
-    return {r[SERIES]: int(r["n_rows"]) for r in rows}
+    return df.withColumn(SERIES, encoded_key(F.col(SERIES)))
+
+
+def encoded_key(c: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("k"), c.cast("string")), F.lit("n"))
 
 
-def split_by_heat(panel: DataFrame, hot_series_rows: int | None):
+def decode_key(df: DataFrame, key_type="string") -> DataFrame:
+    """The reverse of :func:`encode_key`."""
+    return df.withColumn(SERIES, F.when(F.col(SERIES) != "n", F.expr(f"substring({SERIES}, 2)")).cast(key_type))
+
+
+@dataclass(frozen=True)
+class Heat:
+    """Which series are hot: found once per chain of operators and passed down.
+
+    ``keys`` is a table of encoded keys (None: no series is hot), never a
+    list in the driver or in the plan.  ``everything`` sends all series
+    through the blocked path.  ``rows`` is the number of rows in the hot part
+    of the panel it was made from.
+    """
+
+    keys: DataFrame | None = None
+    rows: int = 0
+    everything: bool = False
+
+    @classmethod
+    def of(cls, panel: DataFrame, hot_series_rows: int | None) -> Heat:
+        """One column of ``panel`` is read; ``None`` skips the check, ``0`` makes everything hot."""
+        if hot_series_rows is None:
+            return cls()
+        if hot_series_rows == 0:
+            return cls(rows=panel.count(), everything=True)
+        hot = series_sizes(panel.select(SERIES)).where(F.col("n_rows") > hot_series_rows)
+        shared_dir(panel.sparkSession)
+        found = hot.agg(F.count(F.lit(1)).alias("keys"), F.sum("n_rows").alias("rows")).first()
+        if not found["keys"]:
+            return cls()
+        return cls(keys=hot.select(encoded_key(F.col(SERIES)).alias("_hot")).checkpoint(eager=True), rows=int(found["rows"]))
+
+    def split(self, panel: DataFrame):
+        """``[(part, blocked, rows)]``: ordinary series and hot series; no row is in neither."""
+        if self.everything:
+            return [(panel, True, self.rows)]
+        if self.keys is None:
+            return [(panel, False, None)]
+        same = encoded_key(F.col(SERIES)) == F.col("_hot")
+        return [(panel.join(self.keys, same, "left_anti"), False, None), (panel.join(self.keys, same, "left_semi"), True, self.rows)]
+
+
+def split_by_heat(panel: DataFrame, hot_series_rows: int | Heat | None):
     """``[(part, blocked, rows_in_part)]``: ordinary series and hot series.
 
-    ``hot_series_rows=None`` skips the check (one plain part); ``0`` sends
-    every series through the blocked path.
+    ``hot_series_rows`` is a threshold (``None``: no check, one plain part;
+    ``0``: every series is hot) or a :class:`Heat` found before.
     """
-    if hot_series_rows is None:
-        return [(panel, False, None)]
-    if hot_series_rows == 0:
-        return [(panel, True, panel.count())]
-    hot = find_hot_series(panel, hot_series_rows)
-    if hot is None:
-        return [(panel, True, panel.count())]
-    if not hot:
-        return [(panel, False, None)]
-    is_hot = F.col(SERIES).isin(list(hot))
-    return [(panel.where(~is_hot), False, None), (panel.where(is_hot), True, sum(hot.values()))]
+    heat = hot_series_rows if isinstance(hot_series_rows, Heat) else Heat.of(panel, hot_series_rows)
+    return heat.split(panel)
 
 
 def apply_by_series(df: DataFrame, fn: Callable[[DataFrame, WindowSpec], DataFrame], back: int, fwd: int,
-                    hot_series_rows: int | None = 5_000_000, block_rows: int = 1_000_000,
+                    hot_series_rows: int | Heat | None = 5_000_000, block_rows: int = 1_000_000,
                     rows_per_partition: int = 2_000_000) -> DataFrame:
     """``fn(df, w)`` over each series, skew-safe.
 
@@ -108,9 +154,9 @@ def apply_by_series(df: DataFrame, fn: Callable[[DataFrame, WindowSpec], DataFra
         if not blocked:
             outs.append(fn(part, series_window()))
             continue
-        x = index_rows(part, rows, rows_per_partition)
+        x = index_rows(encode_key(part), rows, rows_per_partition)
         y = blocked_window(x, fn, IDX, max(block_rows, back, fwd, 1), back, fwd)
-        outs.append(y.drop(IDX, BLOCK))
+        outs.append(decode_key(y.drop(IDX, BLOCK), df.schema[SERIES].dataType))
     out = outs[0]
     for o in outs[1:]:
         out = out.unionByName(o)
@@ -118,7 +164,10 @@ def apply_by_series(df: DataFrame, fn: Callable[[DataFrame, WindowSpec], DataFra
 
 
 def index_rows(df: DataFrame, total_rows: int, rows_per_partition: int = 2_000_000) -> DataFrame:
-    """Add ``_idx``: 0-based position of each row in its series by (ts, tiebreak)."""
+    """Add ``_idx``: 0-based position of each row in its series by (ts, tiebreak).
+
+    The series key must not be null (:func:`encode_key`).
+    """
     spark = df.sparkSession
     shared_dir(spark)  # checkpoint() below writes to the shared folder
     parts = max(1, math.ceil(max(total_rows, 1) / rows_per_partition))

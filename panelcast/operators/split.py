@@ -29,39 +29,33 @@ def complete_cases(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     return df.where(cond)
 
 
-def _panel_layout(key, order) -> bool:
-    return tuple(key) == (SERIES,) and tuple(order) == tuple(ORDER)
-
-
-def _indexed_parts(df: DataFrame, key, order, hot_series_rows, rows_per_partition):
-    """``[(part, source_rows, blocked)]`` per heat class; blocked parts carry ``row_number``."""
-    if not _panel_layout(key, order):
-        return [(df, None, False)]
+def _indexed_parts(df: DataFrame, hot_series_rows, rows_per_partition):
+    """``[(part, blocked)]`` per heat class; blocked parts carry ``row_number`` and an encoded key."""
     out = []
     for part, blocked, rows in ordered.split_by_heat(df, hot_series_rows):
         if blocked:
-            x = ordered.index_rows(part, rows, rows_per_partition).withColumnRenamed(ordered.IDX, "row_number")
-            out.append((x, part, True))
-        else:
-            out.append((part, None, False))
+            part = ordered.index_rows(ordered.encode_key(part), rows, rows_per_partition).withColumnRenamed(ordered.IDX, "row_number")
+        out.append((part, blocked))
     return out
 
 
 def row_index(df: DataFrame, key=(SERIES,), order=ORDER, name: str = "row_number",
-              hot_series_rows: int | None = 5_000_000, rows_per_partition: int = 2_000_000) -> DataFrame:
+              hot_series_rows: int | ordered.Heat | None = 5_000_000, rows_per_partition: int = 2_000_000) -> DataFrame:
     """0-based position of each row inside its series (bigint).
 
     Hot series (more than ``hot_series_rows`` rows) are numbered through
-    range partitions and per-partition offsets, never in one task.
+    range partitions and per-partition offsets, never in one task.  A null
+    key is a series of its own.
     """
-    w = Window.partitionBy(*key).orderBy(*order)
+    x, back = ordered.to_layout(df, key, order)
+    w = ordered.series_window()
     outs = []
-    for part, _, blocked in _indexed_parts(df, key, order, hot_series_rows, rows_per_partition):
+    for part, blocked in _indexed_parts(x, hot_series_rows, rows_per_partition):
         if blocked:
-            outs.append(part.withColumnRenamed("row_number", name))
+            outs.append(ordered.decode_key(part, x.schema[SERIES].dataType))
         else:
-            outs.append(part.select("*", (F.row_number().over(w) - 1).cast("bigint").alias(name)))
-    return _union(outs)
+            outs.append(part.select("*", (F.row_number().over(w) - 1).cast("bigint").alias("row_number")))
+    return back(_union(outs)).withColumnRenamed("row_number", name)
 
 
 def _union(dfs):
@@ -72,30 +66,30 @@ def _union(dfs):
 
 
 def time_split(df: DataFrame, ratio: float = 0.7, key=(SERIES,), order=ORDER,
-               hot_series_rows: int | None = 5_000_000, rows_per_partition: int = 2_000_000) -> DataFrame:
+               hot_series_rows: int | ordered.Heat | None = 5_000_000, rows_per_partition: int = 2_000_000) -> DataFrame:
     """Add ``row_number``, ``n_rows`` and ``split``.
 
     With ``k = floor(n_rows * ratio)`` (double arithmetic, as ``int(N*0.7)``),
     rows ``0..k`` are ``train`` (k+1 rows) and the rest ``test``.  Hot series
     get their row numbers from :func:`ordered.index_rows` and their size from
-    a partial aggregate joined back on the (few) hot keys.
+    a partial aggregate joined back on the hot keys.
     """
-    w = Window.partitionBy(*key).orderBy(*order)
-    whole = Window.partitionBy(*key)
+    x, back = ordered.to_layout(df, key, order)
+    w, whole = ordered.series_window(), Window.partitionBy(SERIES)
     outs = []
-    for part, src, blocked in _indexed_parts(df, key, order, hot_series_rows, rows_per_partition):
+    for part, blocked in _indexed_parts(x, hot_series_rows, rows_per_partition):
         if blocked:
-            sizes = src.groupBy(*key).agg(F.count(F.lit(1)).alias("n_rows"))
-            outs.append(part.join(sizes, list(key)))
+            sizes = part.groupBy(SERIES).agg(F.count(F.lit(1)).alias("n_rows"))
+            outs.append(ordered.decode_key(part.join(sizes, SERIES), x.schema[SERIES].dataType))
         else:
             outs.append(part.select(
                 "*",
                 (F.row_number().over(w) - 1).cast("bigint").alias("row_number"),
                 F.count(F.lit(1)).over(whole).alias("n_rows"),
             ))
-    x = _union(outs)
     k = F.floor(F.col("n_rows") * F.lit(float(ratio)))
-    return x.withColumn("split", F.when(F.col("row_number") <= k, F.lit("train")).otherwise(F.lit("test")))
+    out = back(_union(outs))
+    return out.withColumn("split", F.when(F.col("row_number") <= k, F.lit("train")).otherwise(F.lit("test")))
 
 
 def undifference_long(df: DataFrame, base: str, delta: str, horizon: str = "horizon",

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelcast.operators import ordered
 from panelcast.sources.panel import SERIES, VALUE
 
 # --- fixed values: MacKinnon (1994) p-value surface, constant, one variable ---
@@ -169,7 +170,7 @@ def adf_autolag(panel: DataFrame, maxlag: int | None = None, **cfg_kw) -> DataFr
     Distributed as:
 
     * moments ``Z'Z`` of ``Z = [1, y_(t-1) - mean, dy lags 1..m, dy_t]``
-      over the common sample, accumulated per task with numpy and summed by
+      over the common sample, partial sums per batch with numpy, added up by
       ``groupBy(series_id, i, j)``: ``(m+3)^2 / 2`` entries per series,
       whatever the series length;
     * the rows ``1 <= t <= m`` of each series (at most m, a small table),
@@ -188,29 +189,32 @@ def adf_autolag(panel: DataFrame, maxlag: int | None = None, **cfg_kw) -> DataFr
     from panelcast.operators.split import complete_cases
     from panelcast.sources.panel import PANEL_COLUMNS
 
-    p = complete_cases(panel.select(*PANEL_COLUMNS), [VALUE])
+    p = ordered.encode_key(complete_cases(panel.select(*PANEL_COLUMNS), [VALUE]))
     sizes = p.groupBy(SERIES).agg(F.count(F.lit(1)).alias("nobs"), F.avg(VALUE).alias("_c"))
-    sizes = sizes.withColumn("_m", _max_lag(F.col("nobs"), maxlag)).where(F.col("_m") >= 0)
+    sizes = sizes.withColumn("_m", _max_lag(F.col("nobs"), maxlag))
+    # too short for any regression: a row with null results, as dickey_fuller gives
+    short = sizes.where(F.col("_m") < 0).select(*[
+        F.lit(None).cast(f.dataType).alias(f.name) if f.name not in (SERIES, "n") else
+        (F.col(SERIES) if f.name == SERIES else F.lit(0).cast("bigint").alias("n")) for f in _ADF_SCHEMA.fields])
+    sizes = sizes.where(F.col("_m") >= 0)
     sizes = sizes.withColumn("_bucket", F.floor(F.log2(F.col("_m") + 1)).cast("int"))
     # one row per bucket: at most ~log2 of the largest lag bound
     buckets = sizes.groupBy("_bucket").agg(F.max("_m").alias("top")).collect()
-    outs = []
+    outs = [short]
     for b in sorted(buckets, key=lambda r: r["_bucket"]):
         part_sizes = sizes.where(F.col("_bucket") == b["_bucket"]).select(SERIES, "_c", "_m")
         part = p.join(part_sizes.select(SERIES), SERIES, "left_semi")
         outs.append(_adf_autolag_part(part, part_sizes, int(b["top"]), cfg_kw))
-    if not outs:
-        return p.sparkSession.createDataFrame([], _ADF_SCHEMA)
     out = outs[0]
     for o in outs[1:]:
         out = out.unionByName(o)
-    return out
+    return ordered.decode_key(out)
 
 
 def _adf_autolag_part(p: DataFrame, sizes: DataFrame, top: int, cfg_kw: dict) -> DataFrame:
     from panelcast.plans.forecast import ForecastConfig, build_features
 
-    feats, _, _ = build_features(p, ForecastConfig(horizons=1, lags=top + 1, **cfg_kw), hs=[1])
+    feats, _, _ = build_features(p, ForecastConfig(horizons=1, lags=top + 1, **cfg_kw), hs=[1])  # key stays the caller's
     lag_cols = [f"lag_{i}" for i in range(1, top + 2)]
     x = feats.select(SERIES, VALUE, "diff", *lag_cols).join(sizes, SERIES)
     n_present = F.size(F.filter(F.array(*[F.col(c) for c in lag_cols]), lambda v: v.isNotNull()))
@@ -226,15 +230,12 @@ def _adf_autolag_part(p: DataFrame, sizes: DataFrame, top: int, cfg_kw: dict) ->
         return ["y1", *lag_cols[:m], "dy"]
 
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc: dict = {}
-        for pdf in batches:
+        for pdf in batches:  # partial sums of a batch; Spark adds them up
             for (sid, m), g in pdf.groupby([SERIES, "_m"], sort=False):
                 z = np.column_stack([np.ones(len(g))] + [g[c].to_numpy(dtype=float) for c in own_columns(int(m))])
                 zz = z.T @ z
-                acc[sid] = acc[sid] + zz if sid in acc else zz
-        for sid, zz in acc.items():
-            i, j = np.triu_indices(zz.shape[0])
-            yield pd.DataFrame({SERIES: sid, "i": i.astype("int32"), "j": j.astype("int32"), "v": zz[i, j]})
+                i, j = np.triu_indices(zz.shape[0])
+                yield pd.DataFrame({SERIES: sid, "i": i.astype("int32"), "j": j.astype("int32"), "v": zz[i, j]})
 
     common = x.where(F.col("_t") >= F.col("_m") + 1)
     gram = (

@@ -18,7 +18,7 @@ from panelcast.operators.features import Differencer, LagFeatures, LeadLabel, Mo
 from panelcast.operators.metrics import metric_table
 from panelcast.operators.split import complete_cases, row_index, time_split, undifference_long
 from panelcast.operators.stationarity import adf_autolag, adf_test, dickey_fuller
-from panelcast.operators.trees import DECISION_TREE, GBT, RANDOM_FOREST
+from panelcast.operators.trees import DECISION_TREE, GBT, LINEAR, RANDOM_FOREST
 from panelcast.plans.forecast import ForecastConfig, forecast_horizon, forecast_panel
 from panelcast.plans.report import forecast_long, read_predictions, write_predictions
 from panelcast.sources import panel as P
@@ -26,6 +26,7 @@ from panelcast.sources.panel import SERIES, TIEBREAK, TS, VALUE
 
 H = 5  # horizons in the registered forecasts (reference workloads: 5)
 LAGS = 3  # lags in the registered feature queries (reference workloads: 3)
+HOT_ROWS = 5_000_000  # a longer series takes the blocked path
 R = 6  # decimals kept for aggregated / fitted values
 
 
@@ -141,20 +142,51 @@ def lag_features_blocked(spark, sf):
 
 # --- filters, split ------------------------------------------------------------
 def _features_h1(spark, sf):
-    p = Differencer(inputCol=VALUE, outputCol="diff").transform(P.events_by_type(spark, sf))
-    p = LagFeatures(inputCol="diff", lagLength=LAGS).transform(p)
-    return LeadLabel(inputCol="diff", outputCol="label", horizon=1).transform(p)
+    """Difference, lags and label in a chain of transformers that looks for hot series once; also what it found."""
+    p = P.events_by_type(spark, sf)
+    heat = ordered.Heat.of(p, HOT_ROWS)
+    for t in (Differencer(inputCol=VALUE, outputCol="diff"), LagFeatures(inputCol="diff", lagLength=LAGS),
+              LeadLabel(inputCol="diff", outputCol="label", horizon=1)):
+        p = t.setHeat(heat).transform(p)
+    return p, heat
 
 
 def complete_cases_q(spark, sf):
-    return complete_cases(_features_h1(spark, sf))
+    return complete_cases(_features_h1(spark, sf)[0])
 
 
 def time_split_q(spark, sf):
-    df = time_split(complete_cases(_features_h1(spark, sf)))
+    features, heat = _features_h1(spark, sf)
+    df = time_split(complete_cases(features), hot_series_rows=heat)
+    return df.select(SERIES, TS, TIEBREAK, "row_number", "n_rows", "split")
+
+
+# --- a null key that is hot, next to ordinary series ---------------------------------
+def _mixed(spark, sf):
+    """Panel whose null key holds 40 % of the rows, and a threshold that makes it the hot one."""
+    ev = P.read_table(spark, sf, "events")
+    key = F.when(~F.col("event_type").isin("view", "click"), F.col("event_type"))
+    p = P.as_panel(ev, series=key, ts="ts", value="value", tiebreak="event_id")
+    return p, max(1, int(0.3 * p.count()))
+
+
+def difference_mixed_heat(spark, sf):
+    p, hot = _mixed(spark, sf)
+    return Differencer(inputCol=VALUE, outputCol="diff", hotSeriesRows=hot, blockRows=max(16, hot // 5)).transform(p)
+
+
+def time_split_mixed_heat(spark, sf):
+    p, hot = _mixed(spark, sf)
+    df = time_split(p, hot_series_rows=hot, rows_per_partition=max(1, hot // 4))
     return df.select(SERIES, TS, TIEBREAK, "row_number", "n_rows", "split")
 
 
+def forecast_mixed_heat(spark, sf):
+    p, hot = _mixed(spark, sf)
+    cfg = ForecastConfig(horizons=H, lags=0, hot_series_rows=hot, block_rows=max(16, hot // 5), rows_per_partition=max(1, hot // 4))
+    return _round(forecast_panel(p, cfg).predictions, _pred_cols(range(1, H + 1)))
+
+
 def actual_at_horizon(spark, sf):
     """Value h rows ahead inside the row's split, clamped at the split's end.
 
@@ -244,6 +276,55 @@ def sink_roundtrip(spark, sf):
     return _round(read_predictions(spark, path), _pred_cols(range(1, H + 1)))
 
 
+def forecast_nulls(spark, sf):
+    """Every seventh value missing: rows complete at some horizons only stay in the predictions."""
+    ev = P.read_table(spark, sf, "events").withColumn("value", F.when(F.col("event_id") % 7 != 3, F.col("value")))
+    p = P.as_panel(ev, series="event_type", ts="ts", value="value", tiebreak="event_id")
+    return _round(forecast_panel(p, ForecastConfig(horizons=H, lags=0)).predictions, _pred_cols(range(1, H + 1)))
+
+
+def join_predictions(spark, sf):
+    """Prices with their predictions: every price row, matched on its key (null-safe)."""
+    from panelcast.plans.report import join_predictions as join
+
+    pred = _linear0(spark, sf).predictions.select(SERIES, TS, TIEBREAK, "row_number", "split", *[forecast_name(h) for h in range(1, H + 1)])
+    return _round(join(P.events_by_type(spark, sf), pred), [forecast_name(h) for h in range(1, H + 1)])
+
+
+def metric_sink_roundtrip(spark, sf):
+    """Both metric files of a forecast, written and read back."""
+    from panelcast.plans.report import write_legacy_metric_tables
+    from panelcast.session import fresh_path
+
+    prefix = fresh_path(spark, "metric-files") + "/"
+    write_legacy_metric_tables(_linear0(spark, sf).metrics, LINEAR, prefix, range(1, H + 1))
+    names = [f"forecast_{h}day" for h in range(1, H + 1)]
+    out = None
+    for split in ("train", "test"):
+        t = spark.read.schema(", ".join(["Ticker string", *[f"{n} double" for n in names]])).option("header", "true").csv(
+            f"{prefix}RMSE_{split}_{LINEAR}.csv").select("Ticker", F.lit(split).alias("split"), *names)
+        out = t if out is None else out.unionByName(t)
+    return _round(out, names)
+
+
+def legacy_csv_roundtrip(spark, sf):
+    """One series in the reference's two CSV files, written from one run and read back."""
+    from panelcast.plans.report import read_legacy_csv, write_legacy_csv
+    from panelcast.session import fresh_path
+
+    name = fresh_path(spark, "legacy-files") + "/LR_click_"
+    p = P.events_by_type(spark, sf).where(F.col(SERIES) == "click")
+    with forecast_panel(p, ForecastConfig(horizons=H, lags=0)).computed() as (predictions, _):
+        write_legacy_csv(predictions, name)
+    schema = ", ".join(["`Row Number` bigint", "Date timestamp_ntz", "Close double",
+                        *[f"{c} double" for h in range(1, H + 1) for c in (f"DeltaZ{h}", f"forecast_{h}day", f"actual_{h}day")]])
+    out = None
+    for split in ("train", "test"):
+        t = read_legacy_csv(spark, name, split, schema).withColumn("split", F.lit(split))
+        out = t if out is None else out.unionByName(t)
+    return _round(out, _pred_cols(range(1, H + 1)))
+
+
 def _lagged(regressor=None, **kw):
     def q(spark, sf):
         cfg = ForecastConfig(horizons=H, lags=LAGS, **({"regressor": regressor} if regressor else {}), **kw)
@@ -303,7 +384,13 @@ QUERIES = {
     "undifference": undifference,
     "sink_roundtrip": sink_roundtrip,
     "stationarity_df": stationarity_df,
-    # no SQL oracle: iterative fits (rows-only check + pytest properties)
+    "difference_mixed_heat": difference_mixed_heat,
+    "time_split_mixed_heat": time_split_mixed_heat,
+    "forecast_mixed_heat": forecast_mixed_heat,
+    "forecast_nulls": forecast_nulls,
+    "join_predictions": join_predictions,
+    "metric_sink_roundtrip": metric_sink_roundtrip,
+    "legacy_csv_roundtrip": legacy_csv_roundtrip,
     "forecast_linear_lags": _lagged(),
     "forecast_single_series": forecast_single_series,
     "forecast_tree": _lagged(DECISION_TREE, seed=7),

@@ -22,7 +22,8 @@ or co-partitioned) join of the coefficients.  Series longer than
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from contextlib import contextmanager
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -58,8 +59,7 @@ class ForecastConfig:
     split_ratio: float = SPLIT_RATIO
     reg_param: float = 0.4
     elastic_net: float = 0.1
-    tree_mode: str = "pooled"
-    max_series_fits: int = 16
+    tree_mode: str = "per_series"  # or "pooled": one model for all series
     seed: int | None = None
     # series with more rows than this take the blocked (skew-safe) path;
     # None disables the check, 0 sends every series through it
@@ -83,41 +83,51 @@ def feature_columns(lags: int) -> list[str]:
 
 @dataclass
 class ForecastResult:
+    """Lazy tables of one forecast.
+
+    Each table read on its own runs the plan behind it; to use several, go
+    through :meth:`computed` (or :meth:`write`), which runs the forecast once.
+    """
+
     predictions: DataFrame
     metrics: DataFrame
     features: DataFrame
     scored: DataFrame
     coefficients: DataFrame | None = None
-    models: dict = field(default_factory=dict)
-    cached: list = field(default_factory=list)
-    scored_pieces: list = field(default_factory=list)
+    models: DataFrame | None = None
+    outputs: DataFrame | None = None
+    horizons: tuple = ()
 
-    def unpersist(self):
-        for df in self.cached:
-            df.unpersist()
+    @contextmanager
+    def computed(self):
+        """``(predictions, metrics)`` from one run of the forecast.
 
-    def write(self, path: str, mode: str = "errorifexists", fmt: str = "parquet") -> None:
-        """Write ``<path>/predictions`` (partitioned by split) and ``<path>/metrics``.
-
-        Both outputs derive from the scored feature table, so it is persisted
-        (memory, spilling to local disk) for the two writes: the panel is
-        read and shuffled once instead of once per output, and the cache
-        keeps its series partitioning, so neither output shuffles the wide
-        table again.  Lost cached blocks are recomputed from the lineage,
-        which is deterministic.
+        The output rows, with labels and flags of every horizon, are written
+        once to the shared folder; both tables read that, and it is removed
+        afterwards.
         """
-        from panelcast.plans.report import write_metrics, write_predictions
-        from panelcast.session import persist_partitioned
+        from panelcast.session import fresh_path, remove_path
 
-        pieces = self.scored_pieces or [self.scored]
-        for piece in pieces:
-            persist_partitioned(piece)
+        spark = self.outputs.sparkSession
+        path = fresh_path(spark, "forecast")
+        self.outputs.write.parquet(path)
         try:
-            write_predictions(self.predictions, f"{path.rstrip('/')}/predictions", mode, fmt)
-            write_metrics(self.metrics, f"{path.rstrip('/')}/metrics", mode, fmt)
+            out = spark.read.schema(self.outputs.schema).parquet(path)
+            yield out.select(*self.predictions.columns), horizon_metrics(out, self.horizons)
         finally:
-            for piece in pieces:
-                piece.unpersist()
+            remove_path(spark, path)
+
+    def write(self, path: str, mode: str = "errorifexists", fmt: str = "parquet") -> None:
+        """Write ``<path>/predictions`` (partitioned by split) and ``<path>/metrics`` from one run."""
+        from panelcast.plans.report import write_metrics, write_predictions
+
+        with self.computed() as (predictions, metrics):
+            write_predictions(predictions, f"{path.rstrip('/')}/predictions", mode, fmt)
+            write_metrics(metrics, f"{path.rstrip('/')}/metrics", mode, fmt)
+
+
+def horizon_metrics(scored: DataFrame, hs) -> DataFrame:
+    return wide_metrics(scored, {h: (f"label_{h}", delta_name(h), f"train_{h}", f"test_{h}") for h in hs})
 
 
 # --- windows ---------------------------------------------------------------
@@ -144,28 +154,25 @@ def _split_columns(x: DataFrame, hs, ratio: float) -> DataFrame:
             f"({comp} AND {rn} <= {k}) AS train_{h}",
             f"({comp} AND {rn} > {k}) AS test_{h}",
         ]
-    all_train = " AND ".join(f"train_{h}" for h in hs)
-    all_test = " AND ".join(f"test_{h}" for h in hs)
-    return x.selectExpr("*", *cols).selectExpr(
-        "*",
-        f"(({all_train}) OR ({all_test})) AS _out",
-        f"CASE WHEN {all_train} THEN 'train' WHEN {all_test} THEN 'test' END AS split",
-    )
+    # output rows are complete at some horizon; their side is that of the shortest
+    # horizon's boundary, so the sides of a series never interleave
+    h0, some = hs[0], " OR ".join(f"c{h}_flag" for h in hs)
+    side = f"CASE WHEN (c{h0}_cum - 1) <= floor(c{h0}_tot * CAST({r} AS DOUBLE)) THEN 'train' ELSE 'test' END"
+    return x.selectExpr("*", *cols).selectExpr("*", f"({some}) AS _out", f"CASE WHEN {some} THEN {side} END AS split")
 
 
 def _actual_columns(w: WindowSpec, hs) -> list[Column]:
     """``value`` h output rows ahead within the same split, clamped at its end.
 
-    Output rows of a series are ordered train-first, so for a train row the
-    last *train* value in the next h rows is the clamped one; test rows run to
-    the series end.
+    That is the last value of the row's own side within the next h output rows.
     """
     is_train = F.col("split") == "train"
     out = []
     for h in hs:
         frame = w.rowsBetween(0, h)
         in_train = F.last(F.when(is_train, F.col(VALUE)), ignorenulls=True).over(frame)
-        out.append(F.when(is_train, in_train).otherwise(F.last(VALUE).over(frame)).alias(actual_name(h)))
+        in_test = F.last(F.when(~is_train, F.col(VALUE)), ignorenulls=True).over(frame)
+        out.append(F.when(is_train, in_train).otherwise(in_test).alias(actual_name(h)))
     return out
 
 
@@ -215,9 +222,15 @@ def _union(dfs):
 
 
 def build_feature_pieces(panel: DataFrame, cfg: ForecastConfig, hs) -> list[tuple[DataFrame, bool]]:
-    """``[(features, blocked)]``: ordinary series and hot series, each keeping its partitioning."""
+    """``[(features, blocked)]``: ordinary series and hot series, each keeping its partitioning.
+
+    Their series key is encoded (``ordered.encode_key``), so that a null key
+    meets its model like any other.
+    """
     pieces = []
-    for part, blocked, rows in ordered.split_by_heat(panel.select(*PANEL_COLUMNS), cfg.hot_series_rows):
+    panel = panel.select(*PANEL_COLUMNS)
+    for part, blocked, rows in ordered.split_by_heat(panel, cfg.hot_series_rows):
+        part = ordered.encode_key(part)
         f = _features_blocked(part, cfg, hs, rows) if blocked else _features_plain(part, cfg, hs)
         pieces.append((f.withColumn("_blocked", F.lit(blocked)), blocked))
     return pieces
@@ -227,7 +240,7 @@ def build_features(panel: DataFrame, cfg: ForecastConfig, hs=None):
     """Wide feature table for horizons ``hs`` (all pieces), the pieces' kinds, and ``hs``."""
     hs = list(hs or range(1, cfg.horizons + 1))
     pieces = build_feature_pieces(panel, cfg, hs)
-    return _union([f for f, _ in pieces]), [b for _, b in pieces], hs
+    return ordered.decode_key(_union([f for f, _ in pieces])), [b for _, b in pieces], hs
 
 
 # --- fit and score -------------------------------------------------------------
@@ -252,7 +265,7 @@ def _score_linear(piece: DataFrame, blocked: bool, wide: DataFrame, fcols, hs) -
 def fit_and_score_pieces(pieces, cfg: ForecastConfig, hs):
     """Fit on all pieces, score each piece in place.
 
-    Returns ``(scored_pieces, coefficients, models, cached)``.
+    Returns ``(scored_pieces, coefficients, models)``.
     """
     fcols = feature_columns(cfg.lags)
     feats = _union([f for f, _ in pieces])
@@ -263,37 +276,30 @@ def fit_and_score_pieces(pieces, cfg: ForecastConfig, hs):
         )
         wide = coefficients_wide(coefs, hs, len(fcols))
         scored = [(_score_linear(f, b, wide, fcols, hs), b) for f, b in pieces]
-        return scored, coefficients_report(coefs, len(fcols)), {}, []
-    scored, models, cached = fit_score_trees(
+        return scored, coefficients_report(coefs, len(fcols)), None
+    scored, models = fit_score_trees(
         pieces, fcols, {h: (f"label_{h}", f"train_{h}", delta_name(h)) for h in hs},
-        cfg.regressor, cfg.tree_mode, cfg.max_series_fits, cfg.seed,
+        cfg.regressor, cfg.tree_mode, cfg.seed,
     )
-    return scored, None, models, cached
-
-
-def fit_and_score(feats: DataFrame, cfg: ForecastConfig, hs):
-    """:func:`fit_and_score_pieces` for one feature table; returns ``(scored, coefficients, models, cached)``."""
-    scored, coefs, models, cached = fit_and_score_pieces([(feats, False)], cfg, hs)
-    return scored[0][0], coefs, models, cached
+    return scored, None, models
 
 
 def forecast_panel(panel: DataFrame, cfg: ForecastConfig | None = None, **overrides) -> ForecastResult:
     """Forecast every series of ``panel`` at horizons 1..H.
 
     ``predictions``: ``series_id, ts, tiebreak, row_number, split, value`` and
-    per horizon ``DeltaZ<h>, forecast_<h>day, actual_<h>day`` for the rows that
-    are complete and on the same side of the split at every horizon.
+    per horizon ``DeltaZ<h>, forecast_<h>day, actual_<h>day`` for every row that
+    is complete at some horizon; at a horizon where it is not they are null.
+    ``split`` is the row's side of the shortest horizon's boundary.
     ``metrics``: ``series_id, horizon, split, n, rmse, r2`` on the differenced
     label (the quantity each model predicts).
     """
     cfg = replace(cfg or ForecastConfig(), **overrides)
     hs = list(range(1, cfg.horizons + 1))
     pieces = build_feature_pieces(panel, cfg, hs)
-    scored_pieces, coefs, models, cached = fit_and_score_pieces(pieces, cfg, hs)
+    scored_pieces, coefs, models = fit_and_score_pieces(pieces, cfg, hs)
     scored = _union([s for s, _ in scored_pieces])
-    metrics = wide_metrics(
-        scored, {h: (f"label_{h}", delta_name(h), f"train_{h}", f"test_{h}") for h in hs}
-    )
+    metrics = horizon_metrics(scored, hs)
     # output windows per piece, before any union, so each reuses its partitioning
     out = _union([
         _outputs_blocked(s, hs, cfg) if b else _outputs_plain(s, hs) for s, b in scored_pieces
@@ -302,11 +308,14 @@ def forecast_panel(panel: DataFrame, cfg: ForecastConfig | None = None, **overri
     running = F.col(VALUE)
     for h in hs:
         running = running + F.col(delta_name(h))
-        cols += [F.col(delta_name(h)), running.alias(forecast_name(h)), F.col(actual_name(h))]
-    predictions = out.select(*cols)
-    feats = _union([f for f, _ in pieces])
-    return ForecastResult(predictions, metrics, feats, scored, coefs, models, cached,
-                          [s for s, _ in scored_pieces])
+        at = F.col(f"c{h}_flag")  # null where the row is not complete at this horizon
+        cols += [F.when(at, F.col(delta_name(h))).alias(delta_name(h)), F.when(at, running).alias(forecast_name(h)),
+                 F.when(at, F.col(actual_name(h))).alias(actual_name(h))]
+    back = ordered.decode_key
+    flags = [f"{c}_{h}" for h in hs for c in ("label", "train", "test")]
+    outputs = back(out.select(*cols, *flags))
+    return ForecastResult(back(out.select(*cols)), back(metrics), back(_union([f for f, _ in pieces])), back(scored),
+                          None if coefs is None else back(coefs), models, outputs, tuple(hs))
 
 
 def forecast_horizon(panel: DataFrame, horizon: int, cfg: ForecastConfig | None = None, **overrides):
@@ -318,7 +327,7 @@ def forecast_horizon(panel: DataFrame, horizon: int, cfg: ForecastConfig | None
     """
     cfg = replace(cfg or ForecastConfig(), **overrides)
     hs = [horizon]
-    scored_pieces, _, _, _ = fit_and_score_pieces(build_feature_pieces(panel, cfg, hs), cfg, hs)
+    scored_pieces, _, _ = fit_and_score_pieces(build_feature_pieces(panel, cfg, hs), cfg, hs)
     scored = _union([s for s, _ in scored_pieces])
     h = horizon
     rows = scored.where(F.col(f"c{h}_flag")).select(
@@ -327,5 +336,5 @@ def forecast_horizon(panel: DataFrame, horizon: int, cfg: ForecastConfig | None
         VALUE, *feature_columns(cfg.lags), F.col(f"label_{h}").alias("label"),
         F.col(delta_name(h)).alias("prediction"),
     )
-    metrics = wide_metrics(scored, {h: (f"label_{h}", delta_name(h), f"train_{h}", f"test_{h}")})
-    return rows, metrics
+    metrics = horizon_metrics(scored, hs)
+    return ordered.decode_key(rows), ordered.decode_key(metrics)

@@ -21,6 +21,15 @@ PANELS = {
         "SELECT CAST(user_id AS VARCHAR) AS series_id, ts, event_id AS tiebreak, value FROM events WHERE ts IS NOT NULL"
     ),
     "events_single": "SELECT 'all' AS series_id, ts, event_id AS tiebreak, value FROM events WHERE ts IS NOT NULL",
+    # a null key that holds 40 % of the rows
+    "events_mixed": (
+        "SELECT CASE WHEN event_type IN ('view', 'click') THEN NULL ELSE event_type END AS series_id, ts, event_id AS tiebreak, value "
+        "FROM events WHERE ts IS NOT NULL"
+    ),
+    "events_gaps": (
+        "SELECT event_type AS series_id, ts, event_id AS tiebreak, CASE WHEN event_id % 7 = 3 THEN NULL ELSE value END AS value "
+        "FROM events WHERE ts IS NOT NULL"
+    ),
     "orders_daily": (
         "SELECT o_orderpriority AS series_id, o_orderdate AS ts, CAST(0 AS BIGINT) AS tiebreak, "
         "CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value "
@@ -91,17 +100,108 @@ def linear0_ctes(panel: str, hs) -> str:
     dz = ", ".join(f"i{h} + b{h} * diff AS DeltaZ{h}" for h in hs)
     return (
         f"{coef}, coefw AS (SELECT series_id, {wide} FROM coef GROUP BY series_id), "
-        f"scored AS (SELECT s.*, {dz} FROM s LEFT JOIN coefw USING (series_id))"
+        f"scored AS (SELECT s.*, {dz} FROM s LEFT JOIN coefw ON s.series_id IS NOT DISTINCT FROM coefw.series_id)"
+    )
+
+
+SWEEPS = 300  # of coordinate descent; every group of the test data is at its optimum long before
+
+
+def linear_ctes(hs, lags: int) -> str:
+    """Adds ``coef`` and ``scored`` for the model with lags: coordinate descent over the moments, as a recursion."""
+    feats = ["diff"] + [f"lag_{i}" for i in range(1, lags + 1)]
+    p = len(feats)
+    pairs = [(j, k) for j in range(p) for k in range(j, p)]
+    stats = " UNION ALL ".join(
+        f"SELECT series_id, {h} AS horizon, count(*) AS n, avg(label_{h}) AS my, sqrt(var_pop(label_{h})) AS sy, "
+        + ", ".join([f"avg({f}) AS mx{j}, sqrt(var_pop({f})) AS sx{j}, covar_pop({f}, label_{h}) AS xy{j}" for j, f in enumerate(feats)]
+                    + [f"covar_pop({feats[j]}, {feats[k]}) AS xx{j}_{k}" for j, k in pairs])
+        + f" FROM s WHERE train_{h} GROUP BY series_id"
+        for h in hs
     )
+    norm = ", ".join([f"xy{j} / (sx{j} * sy) AS r{j}" for j in range(p)]
+                     + [f"xx{j}_{k} / (sx{j} * sx{k}) AS c{j}_{k}" for j, k in pairs if j != k])
+    names = [f"b{j}" for j in range(p)]
+    steps = []
+    for j in range(p):  # the coefficients before j are this sweep's
+        others = " - ".join([""] + [f"m.c{min(j, k)}_{max(j, k)} * {f'n{k}' if k < j else f'it.b{k}'}" for k in range(p) if k != j])
+        steps.append(f"(m.r{j}{others}) AS z{j}, sign(z{j}) * greatest(abs(z{j}) - {ALPHA} * {REG} / m.sy, 0) "
+                     f"/ (1 + {1 - ALPHA} * {REG} / m.sy) AS n{j}")
+    same = "it.series_id IS NOT DISTINCT FROM m.series_id AND it.horizon = m.horizon"
+    coef = ", ".join([f"b{j} * sy / sx{j} AS coef_{j}" for j in range(p)])
+    wide = ", ".join(f"max(intercept) FILTER (WHERE horizon = {h}) AS i{h}, "
+                     + ", ".join(f"max(coef_{j}) FILTER (WHERE horizon = {h}) AS w{h}_{j}" for j in range(p)) for h in hs)
+    dz = ", ".join(f"i{h}" + "".join(f" + w{h}_{j} * {f}" for j, f in enumerate(feats)) + f" AS DeltaZ{h}" for h in hs)
+    return (
+        f"st AS ({stats}), m AS (SELECT *, {norm} FROM st), "
+        f"it(series_id, horizon, i, {', '.join(names)}) AS (SELECT series_id, horizon, 0, {', '.join('0::DOUBLE' for _ in names)} FROM m "
+        f"UNION ALL SELECT series_id, horizon, i + 1, {', '.join(f'n{j}' for j in range(p))} FROM "
+        f"(SELECT it.series_id, it.horizon, it.i, {', '.join(steps)} FROM it JOIN m ON {same} WHERE it.i < {SWEEPS})), "
+        f"raw AS (SELECT m.series_id, m.horizon, m.n, m.my, {', '.join(f'm.mx{j}' for j in range(p))}, {coef} "
+        f"FROM it JOIN m ON {same} WHERE it.i = {SWEEPS}), "
+        f"coef AS (SELECT *, my - ({' + '.join(f'coef_{j} * mx{j}' for j in range(p))}) AS intercept FROM raw), "
+        f"coefw AS (SELECT series_id, {wide} FROM coef GROUP BY series_id), "
+        f"scored AS (SELECT s.*, {dz} FROM s LEFT JOIN coefw ON s.series_id IS NOT DISTINCT FROM coefw.series_id)"
+    )
+
+
+def tree_ctes(hs, lags: int) -> str:
+    """Adds ``scored`` for one depth-5 tree per series and horizon, grown level by level."""
+    from panelcast.operators.trees import BINS, CUTS, INNER, LEAST_GAIN, TREE_DEPTH
+
+    feats = ["diff"] + [f"lag_{i}" for i in range(1, lags + 1)]
+    zs = "[" + ", ".join(f"{z!r}" for z in CUTS) + "]"
+    trains = " OR ".join(f"train_{h}" for h in hs)
+    moments = ", ".join(f"avg({f}) AS m_{f}, stddev_pop({f}) AS d_{f}" for f in feats)
+    bins = ", ".join(f"len(list_filter({zs}, lambda z: round(t.m_{f} + t.d_{f} * z, 6) < s.{f})) AS b{j}" for j, f in enumerate(feats))
+    long = " UNION ALL ".join(
+        f"SELECT series_id, ts, tiebreak, {h} AS horizon, train_{h} AS tr, CAST(label_{h} AS DECIMAL(28, 6)) AS y, "
+        f"{', '.join(f'b{j}' for j in range(len(feats)))}, 0 AS node FROM binned WHERE "
+        + " AND ".join(_present(f) for f in feats) for h in hs)
+    out = [f"cuts AS (SELECT series_id, {moments} FROM s WHERE {trains} GROUP BY series_id)",
+           f"binned AS (SELECT s.*, {bins} FROM s JOIN cuts t ON s.series_id IS NOT DISTINCT FROM t.series_id)",
+           f"n0 AS ({long})"]
+    for d in range(TREE_DEPTH):
+        hist = " UNION ALL ".join(
+            f"SELECT series_id, horizon, node, {j} AS f, b{j} AS b, count(*) AS n, CAST(sum(y) AS DOUBLE) AS s, sum(y) AS x FROM n{d} WHERE tr GROUP BY ALL"
+            for j in range(len(feats)))
+        own = "PARTITION BY series_id, horizon, node, f"
+        out += [
+            f"h{d} AS ({hist})",
+            f"c{d}x AS (SELECT *, CAST(sum(n) OVER ({own} ORDER BY b) AS DOUBLE) AS nl, CAST(sum(x) OVER ({own} ORDER BY b) AS DOUBLE) AS sl, "
+            f"CAST(sum(n) OVER ({own}) AS DOUBLE) AS na, CAST(sum(x) OVER ({own}) AS DOUBLE) AS sa, "
+            f"CAST(sum(x) OVER ({own}) - sum(x) OVER ({own} ORDER BY b) AS DOUBLE) AS sr FROM h{d})",
+            f"g{d} AS (SELECT *, sl * sl / nl + sr * sr / (na - nl) - sa * sa / na AS gain FROM c{d}x WHERE na > nl)",
+            f"p{d} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id, horizon, node ORDER BY gain DESC, f, b) AS k "
+            f"FROM g{d}) WHERE k = 1 AND gain > {LEAST_GAIN})",
+        ]
+        here = " ".join(f"WHEN p.f = {j} AND r.b{j} > p.b THEN 1" for j in range(len(feats)))
+        out.append(f"n{d + 1} AS (SELECT r.* EXCLUDE (node), 2 * r.node + 1 + CASE {here} ELSE 0 END AS node FROM n{d} r LEFT JOIN p{d} p "
+                   f"ON r.series_id IS NOT DISTINCT FROM p.series_id AND r.horizon = p.horizon AND r.node = p.node)")
+    last = f"n{TREE_DEPTH}"
+    dz = ", ".join(f"max(v) FILTER (WHERE horizon = {h}) AS DeltaZ{h}" for h in hs)
+    out += [
+        f"leaf AS (SELECT series_id, horizon, node, CAST(sum(y) AS DOUBLE) / count(*) AS v FROM {last} WHERE tr GROUP BY ALL)",
+        f"dz AS (SELECT r.series_id, r.ts, r.tiebreak, {dz} FROM (SELECT r.*, l.v FROM {last} r LEFT JOIN leaf l "
+        f"ON r.series_id IS NOT DISTINCT FROM l.series_id AND r.horizon = l.horizon AND r.node = l.node) r GROUP BY ALL)",
+        "scored AS (SELECT s.*, " + ", ".join(f"dz.DeltaZ{h}" for h in hs) + " FROM s LEFT JOIN dz "
+        "ON s.series_id IS NOT DISTINCT FROM dz.series_id AND s.ts = dz.ts AND s.tiebreak = dz.tiebreak)",
+    ]
+    assert BINS == len(CUTS) + 1 and INNER == 2**TREE_DEPTH - 1
+    return ", ".join(out)
 
 
 def predictions_ctes(hs, digits: int = 6) -> str:
-    """Adds ``pred``: output rows with row_number, split, forecasts and actuals."""
-    all_train = " AND ".join(f"train_{h}" for h in hs)
-    all_test = " AND ".join(f"test_{h}" for h in hs)
+    """Adds ``pred``: output rows with row_number, split, forecasts and actuals.
+
+    A row complete at any horizon is in it; its side is that of the first
+    horizon's boundary; what a horizon lacks is null.
+    """
+    h0 = hs[0]
+    some = " OR ".join(f"c{h}" for h in hs)
     acts = ", ".join(
         f"last_value(value) OVER (PARTITION BY series_id, split ORDER BY ts, tiebreak "
-        f"ROWS BETWEEN CURRENT ROW AND {h} FOLLOWING) AS actual_{h}day"
+        f"ROWS BETWEEN CURRENT ROW AND {h} FOLLOWING) AS act_{h}"
         for h in hs
     )
     cols = []
@@ -109,13 +209,13 @@ def predictions_ctes(hs, digits: int = 6) -> str:
     for h in hs:
         run = f"{run} + DeltaZ{h}"
         cols += [
-            f"(round(DeltaZ{h}, {digits}) + 0.0) AS DeltaZ{h}",
-            f"(round({run}, {digits}) + 0.0) AS forecast_{h}day",
-            f"actual_{h}day",
+            f"CASE WHEN c{h} THEN (round(DeltaZ{h}, {digits}) + 0.0) END AS DeltaZ{h}",
+            f"CASE WHEN c{h} THEN (round({run}, {digits}) + 0.0) END AS forecast_{h}day",
+            f"CASE WHEN c{h} THEN act_{h} END AS actual_{h}day",
         ]
     return (
-        f"o AS (SELECT *, CASE WHEN {all_train} THEN 'train' ELSE 'test' END AS split FROM scored "
-        f"WHERE ({all_train}) OR ({all_test})), "
+        f"o AS (SELECT *, CASE WHEN rn_{h0} <= floor(tot_{h0} * {RATIO}::DOUBLE) THEN 'train' ELSE 'test' END AS split FROM scored "
+        f"WHERE {some}), "
         f"o2 AS (SELECT *, row_number() OVER ({W}) - 1 AS row_number, {acts} FROM o), "
         f"pred AS (SELECT series_id, ts, tiebreak, row_number, split, value, {', '.join(cols)} FROM o2)"
     )
@@ -127,6 +227,11 @@ def forecast_sql(panel: str, hs=range(1, H + 1), digits: int = 6) -> str:
             f"SELECT * FROM pred")
 
 
+def forecast_lags_sql(panel: str, hs, lags: int, model=linear_ctes) -> str:
+    hs = list(hs)
+    return f"WITH RECURSIVE {features_ctes(panel, hs, lags)}, {model(hs, lags)}, {predictions_ctes(hs)} SELECT * FROM pred"
+
+
 def _with_forecast(panel: str, hs, tail: str) -> str:
     hs = list(hs)
     return f"WITH {features_ctes(panel, hs, 0)}, {linear0_ctes(panel, hs)}, {predictions_ctes(hs)} {tail}"
@@ -269,5 +374,32 @@ def oracle_queries() -> dict[str, str]:
             f"ORDER BY horizon ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS forecast FROM lg"
         ),
         "sink_roundtrip": forecast_sql("events_by_type"),
+        "difference_mixed_heat": _simple("events_mixed", f"SELECT *, {diff} AS diff FROM panel"),
+        "time_split_mixed_heat": _simple(
+            "events_mixed",
+            f", t AS (SELECT *, row_number() OVER ({W}) - 1 AS row_number, count(*) OVER (PARTITION BY series_id) AS n_rows FROM panel) "
+            f"SELECT series_id, ts, tiebreak, row_number, n_rows, "
+            f"CASE WHEN row_number <= floor(n_rows * {RATIO}::DOUBLE) THEN 'train' ELSE 'test' END AS split FROM t",
+        ).replace(") , t AS", "), t AS"),
+        "forecast_mixed_heat": forecast_sql("events_mixed"),
+        "forecast_nulls": forecast_sql("events_gaps"),
+        "forecast_linear_lags": forecast_lags_sql("events_by_type", hs, LAGS),
+        "forecast_single_series": forecast_lags_sql("events_single", range(1, 7), 4),
+        "forecast_tree": forecast_lags_sql("events_by_type", hs, LAGS, tree_ctes),
+        "join_predictions": _with_forecast(
+            "events_by_type", hs,
+            "SELECT p.series_id, p.ts, p.tiebreak, p.value, q.row_number, q.split, "
+            + ", ".join(f"q.forecast_{h}day" for h in hs)
+            + " FROM panel p LEFT JOIN pred q ON p.series_id IS NOT DISTINCT FROM q.series_id AND p.ts = q.ts AND p.tiebreak = q.tiebreak"),
+        "metric_sink_roundtrip": (
+            metrics_sql("events_by_type", "*").replace(" SELECT * FROM m", "")
+            + " SELECT series_id AS Ticker, split, "
+            + ", ".join(f"(round(max(r2) FILTER (WHERE horizon = {h}), 6) + 0.0) AS forecast_{h}day" for h in hs)
+            + " FROM m GROUP BY series_id, split"
+        ),
+        "legacy_csv_roundtrip": _with_forecast(
+            "events_by_type", hs,
+            "SELECT row_number AS \"Row Number\", ts AS \"Date\", value AS \"Close\", "
+            + ", ".join(f"DeltaZ{h}, forecast_{h}day, actual_{h}day" for h in hs) + ", split FROM pred WHERE series_id = 'click'"),
         "stationarity_df": df_rows,
     }

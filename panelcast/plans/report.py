@@ -18,6 +18,10 @@ from panelcast.functions.series import actual_name, forecast_name
 from panelcast.sources.panel import SERIES, TIEBREAK, TS, VALUE
 
 
+# microseconds are kept (the CSV default cuts them off)
+CSV_TIME = {k: "yyyy-MM-dd'T'HH:mm:ss.SSSSSS" for k in ("timestampFormat", "timestampNTZFormat")}
+
+
 def write_predictions(pred: DataFrame, path: str, mode: str = "errorifexists", fmt: str = "parquet") -> None:
     # no repartition: rows stay in the tasks that computed them (already
     # clustered by series); the sort matches what the partitioned writer needs
@@ -42,29 +46,38 @@ def read_predictions(spark: SparkSession, path: str, fmt: str = "parquet", schem
     return r.load(path)
 
 
+def join_predictions(panel: DataFrame, pred: DataFrame) -> DataFrame:
+    """Every panel row with its predictions' columns (null where it has none); a null key is a key like any other."""
+    keys = (SERIES, TS, TIEBREAK)
+    p, q = panel.alias("p"), pred.alias("q")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"p.{k}").eqNullSafe(F.col(f"q.{k}"))
+    return p.join(q, same, "left").select("p.*", *[F.col(f"q.{c}").alias(c) for c in pred.columns if c not in keys])
+
+
 def write_metrics(metrics: DataFrame, path: str, mode: str = "errorifexists", fmt: str = "parquet") -> None:
     metrics.write.mode(mode).format(fmt).option("header", "true").save(path)
 
 
 def write_legacy_csv(pred: DataFrame, name: str, value_name: str = "Close", ts_name: str = "Date",
                      mode: str = "errorifexists") -> None:
-    """``<name>train.csv`` / ``<name>test.csv`` folders in the reference's column names.
+    """``<name>train.csv`` / ``<name>test.csv`` folders in the reference's columns and order.
 
-    Two folders take two writes; the predictions are persisted across them
-    so the forecast behind them runs once.
+    ``Row Number, Date, Close``, then per horizon the change, the forecast and
+    the actual value.  Two folders take two writes: pass a table that is
+    already computed (``ForecastResult.computed``).
     """
-    from pyspark import StorageLevel
+    rest = [c for c in pred.columns if c not in (SERIES, TIEBREAK, TS, VALUE, "split", "row_number")]
+    out = pred.select("split", F.col("row_number").alias("Row Number"), F.col(TS).alias(ts_name), F.col(VALUE).alias(value_name), *rest)
+    for split in ("train", "test"):
+        part = out.where(F.col("split") == split).drop("split")
+        part.sortWithinPartitions("Row Number").write.mode(mode).options(header="true", **CSV_TIME).csv(f"{name}{split}.csv")
+
 
-    out = pred.withColumnRenamed("row_number", "Row Number").withColumnRenamed(TS, ts_name)
-    out = out.withColumnRenamed(VALUE, value_name).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        for split in ("train", "test"):
-            part = out.where(F.col("split") == split).drop("split")
-            part.sortWithinPartitions(SERIES, ts_name, TIEBREAK).write.mode(mode).option("header", "true").csv(
-                f"{name}{split}.csv"
-            )
-    finally:
-        out.unpersist()
+def read_legacy_csv(spark: SparkSession, name: str, split: str, schema) -> DataFrame:
+    """One of the two files back, with the schema it was written with (no inference pass)."""
+    return spark.read.schema(schema).options(header="true", **CSV_TIME).csv(f"{name}{split}.csv")
 
 
 # fixed values: the metric the reference's evaluator computes per regressor
@@ -86,10 +99,16 @@ def write_legacy_metric_tables(metrics: DataFrame, regressor: str, prefix: str,
     """
     from panelcast.operators.metrics import metric_table
 
-    metric = LEGACY_METRIC[regressor]
+    from panelcast.session import fresh_path, remove_path
+
+    metric, spark = LEGACY_METRIC[regressor], metrics.sparkSession
+    path = fresh_path(spark, "metrics")  # 2 x series x horizons rows, computed once for both files
+    metrics.write.parquet(path)
+    metrics = spark.read.schema(metrics.schema).parquet(path)
     for split in ("test", "train"):
         table = metric_table(metrics, metric, split, horizons).withColumnRenamed(SERIES, "Ticker")
         table.write.mode(mode).option("header", "true").csv(f"{prefix}RMSE_{split}_{regressor}.csv")
+    remove_path(spark, path)
 
 
 def forecast_long(pred: DataFrame, horizons) -> DataFrame:

@@ -1,13 +1,14 @@
 """Session helpers: the shared folder for checkpoints and written tables.
 
-The library never invents a machine-local folder.  It reads
-``spark.checkpoint.dir`` from the session; only test and bench sessions
-built by :func:`local_session` fill it in when it is unset.
+The folder is ``spark.checkpoint.dir`` of the session.  Where that is unset it
+is an error on any cluster; a master ``local[..]``, whose one process is driver
+and executor, gets a temporary folder.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -26,11 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
         current = sc.getCheckpointDir()
         if current:
             return current
-        if not sc.master.startswith("local"):
-            raise RuntimeError(
-                "spark.checkpoint.dir is not set: point it at a folder every executor shares"
-            )
-        # local mode only (tests, a laptop): driver and executors share this disk
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: point it at a folder every executor shares")
+        # one process is driver and executor (tests, a laptop), so its disk is shared
         base = tempfile.mkdtemp(prefix="panelcast-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
     if sc.getCheckpointDir() is None:
@@ -81,22 +80,7 @@ def local_session(app: str = "panelcast", cores: str | int = "*", shuffle_partit
     return spark
 
 
-def persist_partitioned(df, level=None):
-    """``df.persist(level)`` with a cached plan that keeps its partitioning.
-
-    A cached plan built under adaptive execution reports an unknown
-    partitioning, so every later query over the cache shuffles it again,
-    even when it is already clustered by the key that query needs.  The cached
-    plan is therefore planned with AQE off (only for this call), which keeps
-    e.g. ``hashpartitioning(series_id)`` from the windows below it.
-    """
-    from pyspark import StorageLevel
-
-    spark = df.sparkSession
-    key = "spark.sql.adaptive.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        return df.persist(level or StorageLevel.MEMORY_AND_DISK)
-    finally:
-        spark.conf.set(key, before)
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that :func:`fresh_path` named, on whatever file system it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

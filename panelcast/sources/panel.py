@@ -37,7 +37,9 @@ def as_panel(df: DataFrame, series=None, ts="ts", value="value", tiebreak=None)
     ``series`` / ``tiebreak`` may be None (one series named ``'all'``;
     tiebreak 0).  Arguments are column names or Columns.  A row without a
     timestamp has no place in its series and is left out (the filter is
-    pushed to the scan).
+    pushed to the scan).  ``ts`` has to be a date or a timestamp: text would
+    sort as text.  Rows of a series that tie on (ts, tiebreak) have no defined
+    order; :func:`ties` finds them.
     """
     sid = F.lit("all") if series is None else _col(series).cast("string")
     tb = F.lit(0).cast("bigint") if tiebreak is None else _col(tiebreak).cast("bigint")
@@ -47,9 +49,20 @@ def as_panel(df: DataFrame, series=None, ts="ts", value="value", tiebreak=None)
         tb.alias(TIEBREAK),
         _col(value).cast("double").alias(VALUE),
     )
+    require_temporal(out.schema[TS].dataType, "ts")
     return out.where(F.col(TS).isNotNull())
 
 
+def require_temporal(data_type, name: str) -> None:
+    if data_type.typeName() not in ("date", "timestamp", "timestamp_ntz"):
+        raise TypeError(f"{name} must be a date or timestamp, not {data_type.simpleString()}")
+
+
+def ties(panel: DataFrame) -> DataFrame:
+    """``(series_id, ts, tiebreak, rows)`` where more than one row has the same place in its series."""
+    return panel.groupBy(SERIES, TS, TIEBREAK).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -41,14 +41,12 @@ def expected(values):
         for rn, t in enumerate(idx):
             rows[t].setdefault("rn", {})[h] = rn
             rows[t].setdefault("train", {})[h] = rn <= k
+    firsts = [t for t in range(n) if rows[t]["comp"][0]]
+    k = math.floor(len(firsts) * RATIO)
     out = []
     for t in range(n):
-        r = rows[t]
-        if not all(r["comp"]):
-            continue
-        trains = [r["train"][h] for h in range(H)]
-        if all(trains) or not any(trains):
-            out.append((t, "train" if all(trains) else "test"))
+        if any(rows[t]["comp"]):
+            out.append((t, "train" if sum(u <= t for u in firsts) - 1 <= k else "test"))
     actual = {}
     for pos, (t, split) in enumerate(out):
         same = [u for (u, s) in out if s == split]

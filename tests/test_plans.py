@@ -61,17 +61,40 @@ def test_blocked_windows_partition_by_block(spark):
     assert "Exchange SinglePartition" not in plan
 
 
-def test_cached_scored_table_keeps_series_partitioning(spark):
-    from panelcast.session import persist_partitioned
-
+def test_a_computed_forecast_is_read_from_one_written_table(spark):
     r = forecast_panel(events_by_type(spark, SF_SMALL), ForecastConfig(horizons=2, lags=1, hot_series_rows=None))
-    persist_partitioned(r.scored)
-    try:
-        for df in (r.predictions, r.metrics):
-            above_cache = _explain(df, "simple").split("InMemoryTableScan")[0]
-            assert "Exchange" not in above_cache
-    finally:
-        r.scored.unpersist()
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    with r.computed() as (predictions, metrics):
+        for df in (predictions, metrics):
+            plan = _explain(df, "simple")
+            assert plan.count("FileScan") == 1 and "events" not in plan
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_one_look_for_hot_series_per_chain(spark):
+    from panelcast.operators import ordered
+    from panelcast.operators.features import Differencer, LagFeatures
+
+    p = events_by_type(spark, SF_SMALL)
+    heat = ordered.Heat.of(p, 5_000_000)
+    out = LagFeatures(inputCol="d", lagLength=2).setHeat(heat).transform(Differencer(inputCol="value", outputCol="d").setHeat(heat).transform(p))
+    assert _explain(out, "simple").count("FileScan") == 1
+
+
+def test_hot_protection_for_other_key_and_order_columns(spark):
+    from panelcast.operators.features import LagFeatures
+    from panelcast.operators.split import row_index, time_split
+
+    p = events_by_type(spark, SF_SMALL).withColumnsRenamed({"series_id": "kind", "ts": "at", "tiebreak": "no"}).withColumn("ts", F.lit("text"))
+    kw = dict(inputCol="value", lagLength=2, seriesCol="kind", orderCols=["at", "no"])
+    cols = ["kind", "at", "no", "value", "ts", "value_LagBy_1", "value_LagBy_2"]
+    hot = LagFeatures(hotSeriesRows=0, blockRows=40, **kw).transform(p)
+    assert hot.columns == cols and "_blk" in _explain(hot, "simple")
+    assert hot.exceptAll(LagFeatures(hotSeriesRows=-1, **kw).transform(p)).count() == 0
+    for op in (row_index, time_split):
+        a = op(p, key=("kind",), order=("at", "no"), hot_series_rows=0, rows_per_partition=60)
+        b = op(p, key=("kind",), order=("at", "no"), hot_series_rows=None)
+        assert sorted(a.columns) == sorted(b.columns) and a.select(*b.columns).exceptAll(b).count() == 0 and a.count() == p.count()
 
 
 def test_hot_series_join_coefficients_per_block(spark):

@@ -48,7 +48,8 @@ def test_legacy_csv_layout(spark):
     write_legacy_csv(r.predictions, base)
     train = spark.read.option("header", "true").csv(base + "train.csv")
     test = spark.read.option("header", "true").csv(base + "test.csv")
-    assert {"Row Number", "Date", "Close", "DeltaZ1", "forecast_1day", "actual_1day"} <= set(train.columns)
+    assert train.columns == test.columns == ["Row Number", "Date", "Close", "DeltaZ1", "forecast_1day", "actual_1day",
+                                             "DeltaZ2", "forecast_2day", "actual_2day"]
     assert train.count() + test.count() == r.predictions.count()
 
 
@@ -64,3 +65,15 @@ def test_legacy_metric_tables(spark):
     want = {r_["series_id"]: r_["r2"] for r_ in r.metrics.where("split = 'test' and horizon = 2").collect()}
     got = {x["Ticker"]: x["forecast_2day"] for x in t.collect()}
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_only_dates_and_timestamps_order_a_series(spark):
+    import pytest
+
+    from panelcast.sources.panel import as_panel, ties
+
+    text = spark.createDataFrame([("01/02/2024", 1.0), ("12/31/2023", 2.0)], "ts string, value double")
+    with pytest.raises(TypeError):
+        as_panel(text)
+    p = as_panel(text.select(F.to_date("ts", "MM/dd/yyyy").alias("ts"), "value"))
+    assert ties(p).count() == 0 and ties(p.unionByName(p)).count() == 2
