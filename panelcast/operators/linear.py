@@ -11,8 +11,8 @@ is one aggregation:
    aggregation), so a hot series costs one small buffer per task, never a
    task of its own.
 2. ``mapInPandas`` over that table (one row per series and horizon) solves all the small
-   problems together with numpy, vectorised across series: coordinate
-   descent on the standardised normal equations.
+   problems together with numpy, vectorised across series, on the
+   standardised normal equations.
 
 The objective is MLlib's, with ``standardization=True`` and an intercept::
 
@@ -21,8 +21,9 @@ The objective is MLlib's, with ``standardization=True`` and an intercept::
 where ``b~`` are the coefficients of the standardised features and
 ``lam = regParam / std(y)`` (population std).  Checked against MLlib
 ``LinearRegression(maxIter=100, regParam=0.4, elasticNetParam=0.1)``.
-Coordinate descent runs to convergence, so it lands on the optimum MLlib's
-OWL-QN approaches within its tolerance.
+Coordinate descent finds which coefficients are not zero, an exact solve of
+that set ends at the optimum that MLlib's OWL-QN approaches within its
+tolerance; the column ``converged`` says so per model.
 """
 
 from __future__ import annotations
@@ -72,12 +73,18 @@ def training_rows(df: DataFrame, features: Sequence[str], targets: dict, key=(SE
     )
 
 
-def solve_elastic_net(n, my, vy, mx, cxy, cxx, reg_param, alpha, max_sweeps=1000, tol=1e-13):
+def solve_elastic_net(n, my, vy, mx, cxy, cxx, reg_param, alpha, sweeps=200, rounds=200, tol=1e-12):
     """Vectorised elastic net from moments.
 
     Shapes: ``n, my, vy`` (G,), ``mx, cxy`` (G, p), ``cxx`` (G, p, p)
-    population (co)variances.  Returns ``(intercept (G,), coef (G, p))``;
-    groups without rows give NaN.
+    population (co)variances.  Returns ``(intercept (G,), coef (G, p),
+    converged (G,))``; groups without rows give NaN.
+
+    Rounds of coordinate descent propose which coefficients are not zero and
+    their signs; the linear system of that set is solved exactly and kept for
+    a group as soon as it satisfies the optimality conditions.  Slowly
+    converging groups (strongly correlated features) so end at the optimum as
+    well; ``converged`` is False for a group whose set was not found.
     """
     g, p = mx.shape
     sx = np.sqrt(np.clip(np.diagonal(cxx, axis1=1, axis2=2), 0.0, None))
@@ -89,29 +96,44 @@ def solve_elastic_net(n, my, vy, mx, cxy, cxx, reg_param, alpha, max_sweeps=1000
     corr = corr * (live[:, :, None] & live[:, None, :])
     r = np.where(live, cxy / (safe_sx * safe_sy[:, None]), 0.0)
     lam = reg_param / safe_sy
-    l1 = (alpha * lam)[:, None]
-    l2 = ((1.0 - alpha) * lam)[:, None]
-    b = np.zeros((g, p))
-    for _ in range(max_sweeps):
-        old = b.copy()
-        for j in range(p):
-            z = r[:, j] - (corr[:, j, :] * b).sum(axis=1) + corr[:, j, j] * b[:, j]
-            b[:, j] = np.sign(z) * np.maximum(np.abs(z) - l1[:, 0], 0.0) / (1.0 + l2[:, 0])
-            b[:, j] = np.where(live[:, j], b[:, j], 0.0)
-        if np.nanmax(np.abs(b - old), initial=0.0) < tol:
+    l1, l2 = alpha * lam, (1.0 - alpha) * lam
+    b, done = np.zeros((g, p)), ~(n > 0)
+    for _ in range(rounds):
+        todo = np.flatnonzero(~done)
+        if not len(todo):
             break
+        c, rr, w1, w2, lv, x = corr[todo], r[todo], l1[todo], l2[todo], live[todo], b[todo]
+        for _ in range(sweeps):
+            old = x.copy()
+            for j in range(p):
+                z = rr[:, j] - (c[:, j, :] * x).sum(axis=1) + c[:, j, j] * x[:, j]
+                x[:, j] = np.sign(z) * np.maximum(np.abs(z) - w1, 0.0) / (1.0 + w2)
+                x[:, j] = np.where(lv[:, j], x[:, j], 0.0)
+            if np.nanmax(np.abs(x - old), initial=0.0) < tol:
+                break
+        sign = np.sign(x)
+        use = (sign[:, :, None] != 0) & (sign[:, None, :] != 0)
+        system = np.where(use, c, 0.0) + np.eye(p) * np.where(sign != 0, w2[:, None], 1.0)[:, :, None]
+        solvable = np.linalg.matrix_rank(system) == p
+        system[~solvable] = np.eye(p)
+        exact = np.linalg.solve(system, np.where(sign != 0, rr - w1[:, None] * sign, 0.0)[:, :, None])[:, :, 0]
+        slack = rr - np.einsum("gjk,gk->gj", c, exact) - w2[:, None] * exact
+        edge = 1e-9 * (1.0 + w1)[:, None]
+        ok = solvable & np.where(sign != 0, (exact * sign > 0), (np.abs(slack) <= w1[:, None] + edge) | ~lv).all(axis=1)
+        b[todo] = np.where(ok[:, None], exact, x)
+        done[todo] = ok
     coef = b * (sy[:, None] / safe_sx)
     coef = np.where(sy[:, None] > 0.0, coef, 0.0)  # constant label: intercept only
     intercept = my - (coef * mx).sum(axis=1)
     empty = ~(n > 0)
     intercept = np.where(empty, np.nan, intercept)
     coef = np.where(empty[:, None], np.nan, coef)
-    return intercept, coef
+    return intercept, coef, (done | (sy == 0.0)) & ~empty
 
 
 def fit_grouped_linear(df: DataFrame, features: Sequence[str], targets: dict, key=(SERIES,),
                        reg_param: float = 0.4, elastic_net: float = 0.1) -> DataFrame:
-    """Long coefficient table ``(key.., horizon, n_train, intercept, coef_0..coef_(p-1))``.
+    """Long coefficient table ``(key.., horizon, n_train, intercept, converged, coef_0..coef_(p-1))``.
 
     ``targets`` maps a horizon ``h`` to ``(label_col, train_flag_col)``.
     One aggregation over the exploded training rows, grouped by key and
@@ -123,6 +145,7 @@ def fit_grouped_linear(df: DataFrame, features: Sequence[str], targets: dict, ke
         T.StructField("horizon", T.IntegerType()),
         T.StructField("n_train", T.LongType()),
         T.StructField("intercept", T.DoubleType()),
+        T.StructField("converged", T.BooleanType()),
     ] + [T.StructField(f"coef_{j}", T.DoubleType()) for j in range(p)]
     schema = T.StructType(fields)
     names = [f.name for f in fields]
@@ -138,7 +161,7 @@ def fit_grouped_linear(df: DataFrame, features: Sequence[str], targets: dict, ke
                     v = pdf[f"cxx_{j}_{k}"].to_numpy(dtype=float)
                     cxx[:, j, k] = v
                     cxx[:, k, j] = v
-            icpt, coef = solve_elastic_net(
+            icpt, coef, converged = solve_elastic_net(
                 n, pdf["my"].to_numpy(dtype=float), np.nan_to_num(pdf["vy"].to_numpy(dtype=float)),
                 mx, np.nan_to_num(cxy), np.nan_to_num(cxx), reg_param, elastic_net,
             )
@@ -146,6 +169,7 @@ def fit_grouped_linear(df: DataFrame, features: Sequence[str], targets: dict, ke
             out["horizon"] = pdf["horizon"].astype("int32")
             out["n_train"] = pdf["n"].astype("int64")
             out["intercept"] = icpt
+            out["converged"] = converged
             for j in range(p):
                 out[f"coef_{j}"] = coef[:, j]
             yield pd.DataFrame(out)[names]
@@ -171,6 +195,6 @@ def linear_prediction(features: Sequence[str], h) -> Column:
 
 
 def coefficients_report(coefs: DataFrame, p: int, key=(SERIES,)) -> DataFrame:
-    """``(key.., horizon, n_train, intercept, coefficients array)``."""
+    """``(key.., horizon, n_train, intercept, converged, coefficients array)``."""
     arr = F.expr(f"array({', '.join(f'coef_{j}' for j in range(p))}) AS coefficients")
-    return coefs.select(*key, "horizon", "n_train", "intercept", arr)
+    return coefs.select(*key, "horizon", "n_train", "intercept", "converged", arr)
