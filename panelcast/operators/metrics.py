@@ -76,6 +76,15 @@ def wide_metrics(df: DataFrame, targets: dict, key=(SERIES,)) -> DataFrame:
     return wide.select(*key, F.expr(stack)).where(F.col("n") > 0)
 
 
+def level_metrics(predictions: DataFrame, hs, key=(SERIES,)) -> DataFrame:
+    """The same long table on the price level: forecast against actual value, by the rows' split."""
+    from panelcast.functions.series import actual_name, forecast_name
+
+    flags = [F.expr(f"split = '{split}' AND `{forecast_name(h)}` IS NOT NULL").alias(f"_{split}_{h}") for h in hs for split in ("train", "test")]
+    return wide_metrics(predictions.select("*", *flags),
+                        {h: (actual_name(h), forecast_name(h), f"_train_{h}", f"_test_{h}") for h in hs}, key)
+
+
 def metric_table(metrics: DataFrame, metric: str = "rmse", split: str = "test",
                  horizons=None, key=(SERIES,)) -> DataFrame:
     """One row per series, one column ``forecast_<h>day`` per horizon (the legacy report)."""

@@ -134,7 +134,7 @@ def lag_features_blocked(spark, sf):
     x = ordered.index_rows(p, n, rows_per_partition=max(1, n // 7))
     hs = list(range(1, H + 1))
     out = ordered.blocked_window(
-        x, lambda d, w: _local_features(d, w, LAGS, hs), ordered.IDX, max(64, n // 10), LAGS + 1, H
+        x, lambda d, w: _local_features(d, w, ForecastConfig(horizons=H, lags=LAGS), hs), ordered.IDX, max(64, n // 10), LAGS + 1, H
     )
     return out.select(SERIES, TS, TIEBREAK, VALUE, "diff", *[f"lag_{i}" for i in range(1, LAGS + 1)],
                       *[f"label_{h}" for h in hs])
@@ -325,6 +325,29 @@ def legacy_csv_roundtrip(spark, sf):
     return _round(out, _pred_cols(range(1, H + 1)))
 
 
+def forecast_generators(spark, sf):
+    """A moving average and a trend sign of the change as model features next to a lag."""
+    cfg = ForecastConfig(horizons=H, lags=1, generators=(("moving_average", 2), ("trend_sign", 1)))
+    return _round(forecast_panel(P.events_by_type(spark, sf), cfg).predictions, _pred_cols(range(1, H + 1)))
+
+
+def forecast_purged(spark, sf):
+    """Training rows whose label lies beyond the split boundary are left out."""
+    return _round(_linear0(spark, sf, purge_gap=True).predictions, _pred_cols(range(1, H + 1)))
+
+
+def forecast_tail_drop(spark, sf):
+    """Rows whose label lies beyond the series end have none."""
+    return _round(_linear0(spark, sf, tail="drop").predictions, _pred_cols(range(1, H + 1)))
+
+
+def metric_price_level(spark, sf):
+    """RMSE and R2 of the forecast level against the actual level."""
+    from panelcast.operators.metrics import level_metrics
+
+    return _round(level_metrics(_linear0(spark, sf).predictions, range(1, H + 1)), ["rmse", "r2"])
+
+
 def _lagged(regressor=None, **kw):
     def q(spark, sf):
         cfg = ForecastConfig(horizons=H, lags=LAGS, **({"regressor": regressor} if regressor else {}), **kw)
@@ -388,6 +411,10 @@ QUERIES = {
     "time_split_mixed_heat": time_split_mixed_heat,
     "forecast_mixed_heat": forecast_mixed_heat,
     "forecast_nulls": forecast_nulls,
+    "forecast_generators": forecast_generators,
+    "forecast_purged": forecast_purged,
+    "forecast_tail_drop": forecast_tail_drop,
+    "metric_price_level": metric_price_level,
     "join_predictions": join_predictions,
     "metric_sink_roundtrip": metric_sink_roundtrip,
     "legacy_csv_roundtrip": legacy_csv_roundtrip,

@@ -36,6 +36,8 @@ from panelcast.functions.series import (
     difference,
     forecast_name,
     lag,
+    moving_average,
+    trend_sign,
 )
 from panelcast.operators import ordered
 from panelcast.operators.linear import (
@@ -66,6 +68,13 @@ class ForecastConfig:
     hot_series_rows: int | None = 5_000_000
     block_rows: int = 1_000_000
     rows_per_partition: int = 2_000_000
+    # more features of the differenced series next to its lags: ("moving_average", n) is the mean of
+    # the current and n previous rows, ("trend_sign", n) the signs against the n previous rows
+    generators: tuple[tuple[str, int], ...] = ()
+    # rows before the split boundary whose label lies beyond it do not train (the last h rows at horizon h)
+    purge_gap: bool = False
+    # "clamp": the last h rows of a series take its last value as label; "drop": they have none
+    tail: str = "clamp"
     # False: ``value`` is already the series to model (no first difference);
     # the "diff" column is then the value itself
     difference: bool = True
@@ -73,12 +82,33 @@ class ForecastConfig:
     def __post_init__(self):
         if self.regressor not in REGRESSORS:
             raise ValueError(f"unknown regressor {self.regressor!r}; one of {REGRESSORS}")
+        if self.tail not in ("clamp", "drop"):
+            raise ValueError(f"unknown tail {self.tail!r}; 'clamp' or 'drop'")
+        if any(kind not in GENERATORS or n < 1 for kind, n in self.generators):
+            raise ValueError(f"generators are ({' | '.join(GENERATORS)}, n >= 1), not {self.generators!r}")
         if self.horizons < 1 or self.lags < 0:
             raise ValueError("horizons >= 1 and lags >= 0 required")
 
 
-def feature_columns(lags: int) -> list[str]:
-    return ["diff"] + [f"lag_{i}" for i in range(1, lags + 1)]
+GENERATORS = {
+    "moving_average": lambda n, w: {f"ma_{n}": moving_average("diff", n, w)},
+    "trend_sign": lambda n, w: {f"sign_{i}": trend_sign("diff", i, w) for i in range(1, n + 1)},
+}
+
+
+def feature_columns(lags: int, generators=()) -> list[str]:
+    names = [f"ma_{n}" if kind == "moving_average" else f"sign_{i}"
+             for kind, n in generators for i in (range(1, n + 1) if kind == "trend_sign" else (n,))]
+    return ["diff"] + [f"lag_{i}" for i in range(1, lags + 1)] + names
+
+
+def _features_of(cfg: ForecastConfig) -> list[str]:
+    return feature_columns(cfg.lags, cfg.generators)
+
+
+def _back(cfg: ForecastConfig) -> int:
+    """Rows that a feature looks back."""
+    return max([cfg.lags, *[n for _, n in cfg.generators]]) + 1
 
 
 @dataclass
@@ -131,27 +161,29 @@ def horizon_metrics(scored: DataFrame, hs) -> DataFrame:
 
 
 # --- windows ---------------------------------------------------------------
-def _local_features(x: DataFrame, w: WindowSpec, lags: int, hs, diff: bool = True) -> DataFrame:
-    """Bounded-frame part: reach ``lags + 1`` rows back, ``max(hs)`` ahead."""
-    x = x.withColumn("diff", difference(VALUE, w) if diff else F.col(VALUE))
-    cols = [lag("diff", i, w).alias(f"lag_{i}") for i in range(1, lags + 1)]
-    cols += [clamped_lead("diff", h, w).alias(f"label_{h}") for h in hs]
+def _local_features(x: DataFrame, w: WindowSpec, cfg: ForecastConfig, hs) -> DataFrame:
+    """Bounded-frame part: reach ``_back(cfg)`` rows back, ``max(hs)`` ahead."""
+    x = x.withColumn("diff", difference(VALUE, w) if cfg.difference else F.col(VALUE))
+    cols = [lag("diff", i, w).alias(f"lag_{i}") for i in range(1, cfg.lags + 1)]
+    cols += [c.alias(name) for kind, n in cfg.generators for name, c in GENERATORS[kind](n, w).items()]
+    ahead = clamped_lead if cfg.tail == "clamp" else (lambda c, h, w: F.lead(c, h).over(w))
+    cols += [ahead("diff", h, w).alias(f"label_{h}") for h in hs]
     return x.select("*", *cols)
 
 
-def _flag_exprs(lags: int, hs) -> dict[str, Column]:
-    base = [VALUE] + feature_columns(lags)
+def _flag_exprs(cfg: ForecastConfig, hs) -> dict[str, Column]:
+    base = [VALUE] + _features_of(cfg)
     return {f"c{h}": F.col(TS).isNotNull() & all_present(base + [f"label_{h}"]) for h in hs}
 
 
-def _split_columns(x: DataFrame, hs, ratio: float) -> DataFrame:
-    r = repr(float(ratio))
+def _split_columns(x: DataFrame, hs, cfg: ForecastConfig) -> DataFrame:
+    r = repr(float(cfg.split_ratio))
     cols = []
     for h in hs:
         comp, rn, k = f"c{h}_flag", f"(c{h}_cum - 1)", f"floor(c{h}_tot * CAST({r} AS DOUBLE))"
         cols += [
             f"CASE WHEN {comp} THEN {rn} END AS rn_{h}",
-            f"({comp} AND {rn} <= {k}) AS train_{h}",
+            f"({comp} AND {rn} <= {k}{f' - {h}' if cfg.purge_gap else ''}) AS train_{h}",
             f"({comp} AND {rn} > {k}) AS test_{h}",
         ]
     # output rows are complete at some horizon; their side is that of the shortest
@@ -179,24 +211,23 @@ def _actual_columns(w: WindowSpec, hs) -> list[Column]:
 # --- the two physical paths --------------------------------------------------
 def _features_plain(panel: DataFrame, cfg: ForecastConfig, hs) -> DataFrame:
     w = ordered.series_window()
-    x = _local_features(panel, w, cfg.lags, hs, cfg.difference)
-    flags = _flag_exprs(cfg.lags, hs)
+    x = _local_features(panel, w, cfg, hs)
+    flags = _flag_exprs(cfg, hs)
     x = x.select("*", *[c.alias(f"{n}_flag") for n, c in flags.items()])
     x = ordered.running_counts_window(x, {n: F.col(f"{n}_flag") for n in flags}, w)
     x = x.withColumn(ordered.IDX, F.lit(None).cast("bigint")).withColumn(ordered.BLOCK, F.lit(None).cast("bigint"))
-    return _split_columns(x, hs, cfg.split_ratio)
+    return _split_columns(x, hs, cfg)
 
 
 def _features_blocked(panel: DataFrame, cfg: ForecastConfig, hs, total_rows: int) -> DataFrame:
     x = ordered.index_rows(panel, total_rows, cfg.rows_per_partition)
-    back, fwd = cfg.lags + 1, max(hs)
     x = ordered.blocked_window(
-        x, lambda d, w: _local_features(d, w, cfg.lags, hs, cfg.difference), ordered.IDX, cfg.block_rows, back, fwd
+        x, lambda d, w: _local_features(d, w, cfg, hs), ordered.IDX, cfg.block_rows, _back(cfg), max(hs)
     )
-    flags = _flag_exprs(cfg.lags, hs)
+    flags = _flag_exprs(cfg, hs)
     x = x.select("*", *[c.alias(f"{n}_flag") for n, c in flags.items()])
     x = ordered.running_counts_blocked(x, {n: F.col(f"{n}_flag") for n in flags}, ordered.IDX)
-    return _split_columns(x, hs, cfg.split_ratio)
+    return _split_columns(x, hs, cfg)
 
 
 def _outputs_plain(scored: DataFrame, hs) -> DataFrame:
@@ -267,7 +298,7 @@ def fit_and_score_pieces(pieces, cfg: ForecastConfig, hs):
 
     Returns ``(scored_pieces, coefficients, models)``.
     """
-    fcols = feature_columns(cfg.lags)
+    fcols = _features_of(cfg)
     feats = _union([f for f, _ in pieces])
     if cfg.regressor == LINEAR:
         coefs = fit_grouped_linear(
@@ -333,7 +364,7 @@ def forecast_horizon(panel: DataFrame, horizon: int, cfg: ForecastConfig | None
     rows = scored.where(F.col(f"c{h}_flag")).select(
         SERIES, TS, TIEBREAK, F.col(f"rn_{h}").alias("row_number"),
         F.when(F.col(f"train_{h}"), F.lit("train")).otherwise(F.lit("test")).alias("split"),
-        VALUE, *feature_columns(cfg.lags), F.col(f"label_{h}").alias("label"),
+        VALUE, *_features_of(cfg), F.col(f"label_{h}").alias("label"),
         F.col(delta_name(h)).alias("prediction"),
     )
     metrics = horizon_metrics(scored, hs)

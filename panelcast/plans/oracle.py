@@ -48,11 +48,13 @@ def _present(c):
     return f"({c} IS NOT NULL AND NOT isnan({c}))"
 
 
-def features_ctes(panel: str, hs, lags: int) -> str:
-    """CTEs ``panel, d, f, s``: features, labels, flags, split per horizon."""
+def features_ctes(panel: str, hs, lags: int, more: dict[str, str] | None = None, purge: bool = False, drop: bool = False) -> str:
+    """CTEs ``panel, d, f, s``: features (``more``: name to SQL), labels, flags, split per horizon."""
+    more = more or {}
     lag_cols = "".join(f", lag(diff, {i}) OVER ({W}) AS lag_{i}" for i in range(1, lags + 1))
-    label_cols = "".join(f", last_value(diff) {_ahead(h)} AS label_{h}" for h in hs)
-    feats = ["value", "diff"] + [f"lag_{i}" for i in range(1, lags + 1)]
+    lag_cols += "".join(f", {c} AS {name}" for name, c in more.items())
+    label_cols = "".join(f", {f'lead(diff, {h}) OVER ({W})' if drop else f'last_value(diff) {_ahead(h)}'} AS label_{h}" for h in hs)
+    feats = ["value", "diff"] + [f"lag_{i}" for i in range(1, lags + 1)] + list(more)
     flags = "".join(
         f", (ts IS NOT NULL AND {' AND '.join(_present(c) for c in feats + [f'label_{h}'])}) AS c{h}"
         for h in hs
@@ -63,7 +65,7 @@ def features_ctes(panel: str, hs, lags: int) -> str:
         for h in hs
     )
     splits = "".join(
-        f", (c{h} AND rn_{h} <= floor(tot_{h} * {RATIO}::DOUBLE)) AS train_{h}"
+        f", (c{h} AND rn_{h} <= floor(tot_{h} * {RATIO}::DOUBLE){f' - {h}' if purge else ''}) AS train_{h}"
         f", (c{h} AND rn_{h} > floor(tot_{h} * {RATIO}::DOUBLE)) AS test_{h}"
         for h in hs
     )
@@ -104,12 +106,17 @@ def linear0_ctes(panel: str, hs) -> str:
     )
 
 
+#: generated features of the change: mean of the current and two previous rows, sign against the previous row
+GENERATED = {
+    "ma_2": f"avg(diff) OVER ({W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)",
+    "sign_1": f"CAST(sign(diff - lag(diff, 1) OVER ({W})) AS DOUBLE)",
+}
 SWEEPS = 300  # of coordinate descent; every group of the test data is at its optimum long before
 
 
-def linear_ctes(hs, lags: int) -> str:
+def linear_ctes(hs, lags: int, more=()) -> str:
     """Adds ``coef`` and ``scored`` for the model with lags: coordinate descent over the moments, as a recursion."""
-    feats = ["diff"] + [f"lag_{i}" for i in range(1, lags + 1)]
+    feats = ["diff"] + [f"lag_{i}" for i in range(1, lags + 1)] + list(more)
     p = len(feats)
     pairs = [(j, k) for j in range(p) for k in range(j, p)]
     stats = " UNION ALL ".join(
@@ -221,9 +228,9 @@ def predictions_ctes(hs, digits: int = 6) -> str:
     )
 
 
-def forecast_sql(panel: str, hs=range(1, H + 1), digits: int = 6) -> str:
+def forecast_sql(panel: str, hs=range(1, H + 1), digits: int = 6, **options) -> str:
     hs = list(hs)
-    return (f"WITH {features_ctes(panel, hs, 0)}, {linear0_ctes(panel, hs)}, {predictions_ctes(hs, digits)} "
+    return (f"WITH {features_ctes(panel, hs, 0, **options)}, {linear0_ctes(panel, hs)}, {predictions_ctes(hs, digits)} "
             f"SELECT * FROM pred")
 
 
@@ -386,6 +393,19 @@ def oracle_queries() -> dict[str, str]:
         "forecast_linear_lags": forecast_lags_sql("events_by_type", hs, LAGS),
         "forecast_single_series": forecast_lags_sql("events_single", range(1, 7), 4),
         "forecast_tree": forecast_lags_sql("events_by_type", hs, LAGS, tree_ctes),
+        "forecast_purged": forecast_sql("events_by_type", purge=True),
+        "forecast_tail_drop": forecast_sql("events_by_type", drop=True),
+        "forecast_generators": (
+            f"WITH RECURSIVE {features_ctes('events_by_type', hs, 1, GENERATED)}, {linear_ctes(hs, 1, GENERATED)}, "
+            f"{predictions_ctes(hs)} SELECT * FROM pred"
+        ),
+        "metric_price_level": _with_forecast(
+            "events_by_type", hs,
+            " UNION ALL ".join(
+                f"SELECT series_id, {h} AS horizon, split, count(*) AS n, (round(sqrt(avg(power(f{h} - act_{h}, 2))), 6) + 0.0) AS rmse, "
+                f"(round(CASE WHEN var_pop(act_{h}) > 0 THEN 1 - avg(power(f{h} - act_{h}, 2)) / var_pop(act_{h}) END, 6) + 0.0) AS r2 "
+                f"FROM (SELECT *, value + {' + '.join(f'DeltaZ{k}' for k in range(1, h + 1))} AS f{h} FROM o2) WHERE c{h} GROUP BY series_id, split"
+                for h in hs)),
         "join_predictions": _with_forecast(
             "events_by_type", hs,
             "SELECT p.series_id, p.ts, p.tiebreak, p.value, q.row_number, q.split, "
