@@ -7,15 +7,14 @@ join; the answers meet the chunk's texts again, and the documents are scored
 there.  A task holds one chunk and its answers, whatever the sizes of corpus
 and table.
 
-Chunks are made inside the scan, without a shuffle, and are named by a hash of
-what they hold.  Both passes over the input therefore agree on them as long as
+Chunks are made inside the scan, without a shuffle, and are named by the task
+that made them.  Both passes over the input therefore agree on them as long as
 its rows come in the same partitions and order twice, as rows of files do;
-a chunk whose answers are missing raises an error rather than score wrongly.
+a chunk that lacks an answer raises an error rather than score wrongly.
 """
 
 from __future__ import annotations
 
-import hashlib
 import io
 from collections.abc import Callable, Iterator
 
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-CHUNK_BYTES = 16_000_000  # text of a chunk (or one document)
+CHUNK_BYTES = 32_000_000  # text of a chunk (or one document)
 PIECE_BYTES = 2_000_000  # text looked at together inside a chunk
 
 
@@ -52,19 +51,13 @@ def pieces_of(table: pa.Table) -> Iterator[pa.Table]:
     yield from chunks_of(iter(table.combine_chunks().to_batches()), PIECE_BYTES)
 
 
-def _name(table: pa.Table) -> int:
-    """A hash of the chunk; should two ever share one, they are answered and scored together."""
-    h = hashlib.blake2b(digest_size=8)
-    for batch in table.combine_chunks().to_batches():
-        column = batch.column("text")
-        for i in range(len(column)):
-            text = column[i].as_buffer()
-            h.update(len(text).to_bytes(8, "little"))
-            h.update(text)
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Chunks with names: small numbers, which cost little in every row of a question and an answer."""
     from pyspark import TaskContext
 
-    h.update(TaskContext.get().partitionId().to_bytes(8, "little"))  # equal chunks of two tasks stay apart
-    return int.from_bytes(h.digest(), "little", signed=True)
+    part = TaskContext.get().partitionId()
+    for i, chunk in enumerate(chunks_of(batches)):
+        yield (part << 20) + i, chunk
 
 
 def _single(names: list[str], arrays: list[pa.Array]) -> pa.RecordBatch:
@@ -78,7 +71,7 @@ def ask(docs: DataFrame, keys_of: Callable[[pa.Table], Iterator[tuple[np.ndarray
     has a binary column ``text``.
     """
     def run(batches):
-        for chunk in chunks_of(batches):
+        for name, chunk in _named(batches):
             found: list[tuple[np.ndarray, np.ndarray]] = []
             for piece in pieces_of(chunk):
                 found += keys_of(piece)
@@ -86,7 +79,6 @@ def ask(docs: DataFrame, keys_of: Callable[[pa.Table], Iterator[tuple[np.ndarray
                     found = [_merged(found)]
             if found:
                 grams, n = _merged(found)
-                name = _name(chunk)
                 for a in range(0, len(grams), 65_536):
                     g = grams[a:a + 65_536]
                     yield _single(["chunk", "gram", "n"], [pa.array(np.full(len(g), name)), pa.array(g), pa.array(n[a:a + 65_536])])
@@ -100,23 +92,52 @@ def _merged(parts):
 
 
 def payload(docs: DataFrame) -> DataFrame:
-    """(chunk, packed): the chunks themselves, compressed."""
+    """(chunk, packed): the chunks themselves, as compressed pieces."""
     def run(batches):
-        for chunk in chunks_of(batches):
-            sink = io.BytesIO()
-            with pa.ipc.new_stream(sink, chunk.schema) as writer:
-                writer.write_table(chunk)
-            packed = zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
-            yield _single(["chunk", "packed"], [pa.array([_name(chunk)], pa.int64()), pa.array([packed], pa.binary())])
-
-    return docs.mapInArrow(run, "chunk long, packed binary")
+        for name, chunk in _named(batches):
+            packed = []
+            for piece in pieces_of(chunk):
+                sink = io.BytesIO()
+                with pa.ipc.new_stream(sink, piece.schema) as writer:
+                    writer.write_table(piece)
+                packed.append(zstandard.ZstdCompressor(level=6).compress(sink.getvalue()))
+            yield _single(["chunk", "packed"], [pa.array([name], pa.int64()), pa.array([packed], pa.list_(pa.binary()))])
+
+    return docs.mapInArrow(run, "chunk long, packed array<binary>")
+
+
+class Table:
+    """Values of grams, found by a hash of the gram."""
+
+    def __init__(self, grams: np.ndarray, values: np.ndarray):
+        self.bits = max(len(grams), 1).bit_length() + 2
+        slot = self._slot(grams)
+        order = np.argsort(slot, kind="stable")
+        self.grams, self.values = np.append(grams[order], 0), values[order]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(slot, minlength=1 << self.bits))]).astype(np.int32)
+
+    def _slot(self, grams: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((grams.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __getitem__(self, wanted: np.ndarray) -> np.ndarray:
+        """Values of ``wanted``; every one of them has to be there."""
+        slot = self._slot(np.ascontiguousarray(wanted))
+        at = self.first[slot]
+        left = np.flatnonzero((self.grams[at] != wanted) | (at >= self.first[slot + 1]))
+        while len(left):
+            at[left] += 1
+            if (at[left] >= self.first[slot[left] + 1]).any():
+                raise RuntimeError("a chunk was not the same in both passes: checkpoint the documents first")
+            left = left[self.grams[at[left]] != wanted[left]]
+        return self.values[at]
 
 
 def score(docs: DataFrame, answers: dict[str, DataFrame], score_piece: Callable, schema: str) -> DataFrame:
     """Rows of ``score_piece(piece, tables)`` for every piece of every chunk.
 
-    Each of ``answers`` has (chunk, gram, value); ``tables`` maps its name to
-    the chunk's (grams, values), grams sorted.
+    Each of ``answers`` has (chunk, gram, value), a long; ``tables`` maps its
+    name to the chunk's ``Table``.
     """
     names = list(answers)
     told = None
@@ -128,27 +149,23 @@ def score(docs: DataFrame, answers: dict[str, DataFrame], score_piece: Callable,
         kind, grams, values = (right.column(c).to_numpy() for c in ("kind", "gram", "value"))
         tables = {}
         for i, name in enumerate(names):
-            g, v = grams[kind == i], values[kind == i]
-            order = np.argsort(g, kind="stable")
-            tables[name] = (g[order], v[order])
+            tables[name] = Table(grams[kind == i], values[kind == i])
         out = []
-        for packed in left.column("packed"):
-            raw = zstandard.ZstdDecompressor().decompress(packed.as_py())
-            for piece in pieces_of(pa.ipc.open_stream(raw).read_all()):
-                out.append(score_piece(piece, tables))
+        for pieces in left.column("packed"):
+            for packed in pieces:
+                raw = zstandard.ZstdDecompressor().decompress(packed.as_py())
+                out.append(score_piece(pa.ipc.open_stream(raw).read_all(), tables))
         return pa.concat_tables(out) if out else empty
 
     empty = to_arrow_schema(_parse_datatype_string(schema)).empty_table()
     return payload(docs).groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(run, schema)
 
 
-def lookup(grams: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Values of ``wanted``; every one of them has to be there."""
-    kinds, inverse = np.unique(wanted, return_inverse=True)
-    at = np.searchsorted(grams, kinds)
-    if len(kinds) and (not len(grams) or (grams[np.minimum(at, len(grams) - 1)] != kinds).any()):
-        raise RuntimeError("a chunk was not the same in both passes: checkpoint the documents first")
-    return values[at][inverse]
+FIXED = 1 << 28  # steps of one in a logarithm that is sent as a whole number
+
+
+def fixed(c):
+    return F.round(c * FIXED).cast("long")
 
 
 def byte_grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:

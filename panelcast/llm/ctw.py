@@ -53,7 +53,7 @@ def log_gamma(z: np.ndarray) -> np.ndarray:
     for k in range(8):
         shift = shift * (z + k)
     y = z + 8
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(shift)
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) + 1 / (1188 * y**9) - np.log(shift)
 
 
 def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -209,7 +209,7 @@ def _score(total: int, kinds: int, ends: int):
         texts = _texts(piece)
         index: dict[bytes, int] = {}
         flat = np.fromiter((index.setdefault(w, len(index)) for t in texts for w in t), np.int64, sum(map(len, texts)))
-        c = chunks.lookup(*tables["words"], _hash(list(index)))
+        c = tables["words"][_hash(list(index))]
         least = total + kinds + 1
         logs, known = np.log10((np.append(c, ends) + 1) / least), np.append(c, ends) > 0
         sizes = np.array([len(t) for t in texts]) + 1
@@ -218,7 +218,7 @@ def _score(total: int, kinds: int, ends: int):
         word[np.cumsum(sizes) - 1] = False
         at[word] = flat
         codes, n = chunks.byte_grams([b" ".join(w) for w in texts], DEPTH + 1)
-        score = chunks.per_text(chunks.lookup(*tables["grams"], codes), n) / math.log(10)
+        score = chunks.per_text(tables["grams"][codes], n) / (chunks.FIXED * math.log(10))
         return pa.table({"id": piece.column("id"), "n_tokens": pa.array(sizes, pa.int64()),
                          "n_known": pa.array(chunks.per_text(known[at].astype(np.int64), sizes).astype(np.int64)),
                          "base_score": pa.array(chunks.per_text(logs[at], sizes)), "score": pa.array(score)})
@@ -236,10 +236,10 @@ def score_texts(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_
     grams = written(chunks.ask(rows, _grams), "ctw-grams")
     words = written(chunks.ask(rows, _words), "ctw-words")
     values = written(code_lengths(written(grams.groupBy("gram").agg(F.sum("n").alias("n")), "ctw-counts")), "ctw-values")
-    word_counts = written(words.groupBy("gram").agg(F.sum("n").cast("double").alias("value")), "ctw-words-counts")
+    word_counts = written(words.groupBy("gram").agg(F.sum("n").alias("value")), "ctw-words-counts")
     t = word_counts.agg(F.sum("value").alias("n"), F.count(F.when(F.col("value") > 0, 1)).alias("v")).first()
     ends = docs.where(F.coalesce(learn, F.lit(False))).count()
     total, kinds = int(t.n or 0) + ends, t.v + (ends > 0)
-    answers = {"grams": grams.join(values, "gram").select("chunk", "gram", "value"),
+    answers = {"grams": grams.join(values, "gram").select("chunk", "gram", chunks.fixed(F.col("value")).alias("value")),
                "words": words.join(word_counts, "gram").select("chunk", "gram", "value")}
     return chunks.score(rows, answers, _score(total, kinds, ends), SCORES).withColumn("train_tokens", F.lit(total).cast("long"))
