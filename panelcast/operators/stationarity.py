@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.operators import ordered
+from panelcast.session import shared_dir
 from panelcast.sources.panel import SERIES, VALUE
 
 # --- fixed values: MacKinnon (1994) p-value surface, constant, one variable ---
@@ -191,19 +192,22 @@ def adf_autolag(panel: DataFrame, maxlag: int | None = None, **cfg_kw) -> DataFr
 
     p = ordered.encode_key(complete_cases(panel.select(*PANEL_COLUMNS), [VALUE]))
     sizes = p.groupBy(SERIES).agg(F.count(F.lit(1)).alias("nobs"), F.avg(VALUE).alias("_c"))
-    sizes = sizes.withColumn("_m", _max_lag(F.col("nobs"), maxlag))
+    shared_dir(panel.sparkSession)  # both tables below are kept there
+    sizes = sizes.withColumn("_m", _max_lag(F.col("nobs"), maxlag)).checkpoint(eager=True)
     # too short for any regression: a row with null results, as dickey_fuller gives
     short = sizes.where(F.col("_m") < 0).select(*[
         F.lit(None).cast(f.dataType).alias(f.name) if f.name not in (SERIES, "n") else
         (F.col(SERIES) if f.name == SERIES else F.lit(0).cast("bigint").alias("n")) for f in _ADF_SCHEMA.fields])
     sizes = sizes.where(F.col("_m") >= 0)
     sizes = sizes.withColumn("_bucket", F.floor(F.log2(F.col("_m") + 1)).cast("int"))
+    # the panel is read twice, whatever the number of buckets: for the sizes and for the rows
+    sized = p.join(sizes.select(SERIES, "_bucket"), SERIES).checkpoint(eager=True)
     # one row per bucket: at most ~log2 of the largest lag bound
     buckets = sizes.groupBy("_bucket").agg(F.max("_m").alias("top")).collect()
     outs = [short]
     for b in sorted(buckets, key=lambda r: r["_bucket"]):
         part_sizes = sizes.where(F.col("_bucket") == b["_bucket"]).select(SERIES, "_c", "_m")
-        part = p.join(part_sizes.select(SERIES), SERIES, "left_semi")
+        part = sized.where(F.col("_bucket") == b["_bucket"]).select(*PANEL_COLUMNS)
         outs.append(_adf_autolag_part(part, part_sizes, int(b["top"]), cfg_kw))
     out = outs[0]
     for o in outs[1:]:
