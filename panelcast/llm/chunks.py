@@ -110,7 +110,7 @@ class Table:
     """Values of grams, found by a hash of the gram."""
 
     def __init__(self, grams: np.ndarray, values: np.ndarray):
-        self.bits = max(len(grams), 1).bit_length() + 2
+        self.bits = max(len(grams), 1).bit_length() + 1
         slot = self._slot(grams)
         order = np.argsort(slot, kind="stable")
         self.grams, self.values = np.append(grams[order], 0), values[order]
