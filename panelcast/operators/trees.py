@@ -110,44 +110,58 @@ def training_cells(df: DataFrame, features: Sequence[str], targets: dict, regres
     return cells, cuts
 
 
-def grow(bins: np.ndarray, n: np.ndarray, s: np.ndarray, choose=None, unit: float = 1.0):
-    """One regression tree over cells (bins, rows, label sums in parts of ``1 / unit``, whole numbers where unit > 1).
-
-    Returns (feature or -1, bin of the split) per inner node in heap order, a
-    value per leaf, and each cell's leaf.  A node that is not split passes
-    everything to its left child.  ``choose(node)`` limits a node's features.
+def grow(bins: np.ndarray, n: np.ndarray, s: np.ndarray, allowed: np.ndarray | None = None, unit: float = 1.0):
+    """Regression trees over cells: bins (cells, features), rows and label sums (cells, trees).
+
+    Label sums are in parts of ``1 / unit`` (whole numbers where unit > 1, so
+    that sums are exact).  Returns, per tree, the feature (or -1) and the bin
+    of the split of each inner node in heap order and a value per leaf; and
+    each cell's leaf.  A node that is not split passes everything to its left
+    child.  ``allowed`` (trees, nodes, features) limits a node's features.
     """
-    p = bins.shape[1]
-    feature, at = np.full(INNER, -1), np.zeros(INNER, int)
-    node = np.zeros(len(n), int)
+    p, (cells, trees) = bins.shape[1], n.shape
+    feature, at = np.full((trees, INNER), -1), np.zeros((trees, INNER), int)
+    node, tree = np.zeros((cells, trees), int), np.arange(trees)
+    n_flat, s_flat = n.ravel(), s.ravel()
     for depth in range(TREE_DEPTH):
         first, width = 2**depth - 1, 2**depth
-        best = np.full(width, LEAST_GAIN)
-        local = node - first
+        best = np.full((trees, width), LEAST_GAIN)
+        here = slice(first, first + width)
+        local = (node - first + tree * width) * BINS
         for f in range(p):
-            slot = local * BINS + bins[:, f]
-            nl = np.cumsum(np.bincount(slot, n, width * BINS).reshape(width, BINS), axis=1)
-            sl = np.cumsum(np.bincount(slot, s, width * BINS).reshape(width, BINS), axis=1)
-            nr, sr, sa = nl[:, -1:] - nl, (sl[:, -1:] - sl) / unit, sl[:, -1:] / unit
+            slot = (local + bins[:, f, None]).ravel()
+            nl = np.cumsum(np.bincount(slot, n_flat, trees * width * BINS).reshape(trees, width, BINS), axis=2)
+            sl = np.cumsum(np.bincount(slot, s_flat, trees * width * BINS).reshape(trees, width, BINS), axis=2)
+            na, sa = nl[:, :, -1:], sl[:, :, -1:] / unit
+            nr, sr = na - nl, (sl[:, :, -1:] - sl) / unit
             sl = sl / unit
             with np.errstate(all="ignore"):
-                gain = sl * sl / nl + sr * sr / nr - sa * sa / nl[:, -1:]
+                gain = sl * sl / nl + sr * sr / nr - sa * sa / na
             gain = np.where((nl > 0) & (nr > 0), gain, -np.inf)
-            b = np.argmax(gain, axis=1)
-            g = gain[np.arange(width), b]
+            b = np.argmax(gain, axis=2)
+            g = np.take_along_axis(gain, b[:, :, None], axis=2)[:, :, 0]
             better = g > best
-            if choose is not None:
-                better &= np.array([f in choose(first + i) for i in range(width)])
+            if allowed is not None:
+                better &= allowed[:, here, f]
             best = np.where(better, g, best)
-            feature[first:first + width] = np.where(better, f, feature[first:first + width])
-            at[first:first + width] = np.where(better, b, at[first:first + width])
-        split = feature[node]
-        right = (split >= 0) & (bins[np.arange(len(n)), np.maximum(split, 0)] > at[node])
+            feature[:, here] = np.where(better, f, feature[:, here])
+            at[:, here] = np.where(better, b, at[:, here])
+        split = feature[tree, node]
+        right = (split >= 0) & (np.take_along_axis(bins, np.maximum(split, 0), axis=1) > at[tree, node])
         node = 2 * node + 1 + right
     leaf = node - INNER
-    rows, total = np.bincount(leaf, n, LEAVES), np.bincount(leaf, s, LEAVES) / unit
-    value = np.divide(total, rows, out=np.zeros(LEAVES), where=rows > 0)
-    return feature, at, value, leaf
+    slot = (leaf + tree * LEAVES).ravel()
+    rows = np.bincount(slot, n_flat, trees * LEAVES).reshape(trees, LEAVES)
+    total = np.bincount(slot, s_flat, trees * LEAVES).reshape(trees, LEAVES) / unit
+    return feature, at, np.divide(total, rows, out=np.zeros_like(total), where=rows > 0), leaf
+
+
+def _allowed(p: int, seed: int) -> np.ndarray:
+    """The features that each node of each forest tree may split on: a third of them, rounded up."""
+    rng, out = np.random.default_rng([seed, p]), np.zeros((TREES, INNER, p), bool)
+    chosen = rng.permuted(np.tile(np.arange(p), (TREES * INNER, 1)), axis=1)[:, :math.ceil(p / 3)].reshape(TREES, INNER, -1)
+    np.put_along_axis(out, chosen, True, axis=2)
+    return out
 
 
 def _fit_group(regressor: str, p: int, seed: int, pdf: pd.DataFrame):
@@ -157,25 +171,16 @@ def _fit_group(regressor: str, p: int, seed: int, pdf: pd.DataFrame):
     trees = 1 if regressor == DECISION_TREE else TREES
     n = pdf[[f"n_{t}" for t in range(trees)]].to_numpy(dtype=float)
     s = pdf[[f"s_{t}" for t in range(trees)]].to_numpy(dtype=float)
-    out, weights, so_far = [], [], np.zeros(len(pdf))
-    take = math.ceil(p / 3)
+    if regressor != GBT:
+        allowed = _allowed(p, seed) if regressor == RANDOM_FOREST else None
+        return (*(x.ravel() for x in grow(bins, n, s, allowed, MICRO)[:3]), [1.0 / trees] * trees)
+    out, so_far = [], np.zeros(len(pdf))
     for t in range(trees):
-        if regressor == RANDOM_FOREST:
-            def choose(node, t=t):
-                return set(np.random.default_rng([seed, t, node]).permutation(p)[:take].tolist())
-
-            out.append(grow(bins, n[:, t], s[:, t], choose, MICRO)[:3])
-            weights.append(1.0 / trees)
-        elif regressor == GBT:
-            target = s[:, t] / MICRO if t == 0 else 2 * (s[:, t] / MICRO - n[:, t] * so_far)
-            feature, at, value, leaf = grow(bins, n[:, t], target)
-            weights.append(1.0 if t == 0 else STEP)
-            so_far = so_far + weights[-1] * value[leaf]
-            out.append((feature, at, value))
-        else:
-            out.append(grow(bins, n[:, t], s[:, t], None, MICRO)[:3])
-            weights.append(1.0)
-    return (*(np.concatenate([o[i] for o in out]) for i in range(3)), weights)
+        target = s[:, t] / MICRO if t == 0 else 2 * (s[:, t] / MICRO - n[:, t] * so_far)
+        feature, at, value, leaf = grow(bins, n[:, t, None], target[:, None])
+        so_far = so_far + (1.0 if t == 0 else STEP) * value[0, leaf[:, 0]]
+        out.append((feature, at, value))
+    return (*(np.concatenate([o[i].ravel() for o in out]) for i in range(3)), [1.0] + [STEP] * (trees - 1))
 
 
 def fit_grouped_trees(df: DataFrame, features: Sequence[str], targets: dict, regressor: str, seed: int | None = None,

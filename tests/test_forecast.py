@@ -155,8 +155,9 @@ def test_a_tree_equals_a_greedy_one_by_hand():
             return {tuple(rows): y[rows].mean()}
         return split(best[1][0], depth + 1) | split(best[1][1], depth + 1)
 
-    _, _, value, leaf = grow(bins, np.ones(300), y)
-    got = {tuple(np.flatnonzero(leaf == k)): value[k] for k in set(leaf.tolist())}
+    _, _, value, leaf = grow(bins, np.ones((300, 2)), np.stack([y, y], axis=1))
+    assert (leaf[:, 0] == leaf[:, 1]).all()
+    got = {tuple(np.flatnonzero(leaf[:, 0] == k)): value[1, k] for k in set(leaf[:, 0].tolist())}
     want = split(np.arange(300), 0)
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
