@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from panelcast.llm.common import text_or_empty, written
 
 PIECES = "part int, nth long, id long, piece int, start long, length long, ids_crc32 long"
-CACHED = 700_000  # words (and pre-tokens) whose ids a worker remembers; it starts afresh beyond, results don't depend on it
+CACHED = 300_000  # words (and pre-tokens) whose ids a worker remembers; it starts afresh beyond, results don't depend on it
 TEXT_BYTES = 16_000_000  # bytes of text (or one text) looked up at once
 
 
