@@ -63,7 +63,10 @@ def test_query_matches_oracle(spark, con, name):
     assert sr == dr
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql())))
+ROWS_ONLY = sorted(n for n in set(E.queries()) - set(E.oracle_sql()) if n.startswith(("forecast_", "stationarity_")))
+
+
+@pytest.mark.parametrize("name", ROWS_ONLY)
 def test_rows_only_queries_run(spark, name):
     df = E.queries()[name](spark, SF_SMALL)
     rows = df.collect()
