@@ -82,9 +82,10 @@ def near_lines(lines: DataFrame, docs: DataFrame, min_chars: int, id_col: str, t
     halves = (lines.where(F.col("halves").isNotNull()).select("h1", F.explode("halves").alias("half")))
     alike = _more_than_one(halves, ["half"], "lines-halves").select("h1").distinct()
     # the first place of each line that is left, then its text
+    # (written between join and grouping, so that a hot line's rows may be joined in several tasks)
     first = (
-        lines.join(alike, "h1", "left_semi").groupBy("h1", "h2")
-        .agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "key", "no")).alias("pos"))
+        written(lines.select("id", "key", "no", "h1", "h2").join(written(alike, "lines-alike-keys"), "h1", "left_semi"), "lines-alike-places")
+        .groupBy("h1", "h2").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "key", "no")).alias("pos"))
     )
     wanted = first.groupBy(F.col("pos.id").alias("id"), F.col("pos.key").alias("key")).agg(
         F.collect_list(F.struct("pos.no", "h1", "h2", "pos")).alias("wanted")).alias("w")
