@@ -2,7 +2,10 @@
 
 Every vector is turned by a random rotation, ``DIMS`` of its components at a
 time are brought to even spread, shifted, and mapped to a place on a Hilbert
-curve.  ``curves`` such orderings, each from other components and with another
+curve.  A place has ``BITS`` bits of each component, so that rows close together
+are ordered by what still differs between them, on every curve by other
+components: inside a tight cluster as over the whole table, whatever its width.
+``curves`` such orderings, each from other components and with another
 shift, are range-partitioned by (curve, key) in Spark and cut into blocks of
 neighbouring keys.  A query looks at the blocks within its window on each
 curve; the windows' candidates are ranked by their exact distance and merged.
@@ -37,38 +40,53 @@ from pyspark.sql import functions as F
 from panelcast.llm.common import partitions_for, written
 from panelcast.llm.vectors import matrix, usable
 
-DIMS, BITS = 8, 4  # components of a curve, bits of each
+DIMS, BITS = 8, 32  # components of a curve, bits of each (at most 8 and 32)
 BLOCK = 2048  # index entries of a block
 
 
-def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
-    """Place on the Hilbert curve of each row of cells (n, dims) with coordinates below 2**bits.
+def _transposed(cells: np.ndarray, bits: int) -> np.ndarray:
+    """Places on the Hilbert curve, their bits dealt over the dimensions: (dims, n).
 
     The usual bitwise construction: undo the excess work of each bit plane,
-    Gray-encode across dimensions, interleave from the highest bit down.
+    Gray-encode across dimensions.
     """
-    x = cells.astype(np.int64).T.copy()
-    dims = len(x)
+    x = cells.T.copy()
+    dims, of = len(x), x.dtype.type
     for plane in range(bits - 1, 0, -1):
-        low = (1 << plane) - 1
+        low = of((1 << plane) - 1)
         for i in range(dims):
-            flip = (x[i] >> plane) & 1 == 1
-            swap = np.where(flip, 0, (x[0] ^ x[i]) & low)
+            flip = (x[i] >> of(plane)) & of(1) == 1
+            swap = np.where(flip, of(0), (x[0] ^ x[i]) & low)
             x[0] ^= np.where(flip, low, swap)
             x[i] ^= swap
     for i in range(1, dims):
         x[i] ^= x[i - 1]
     turn = np.zeros_like(x[0])
     for plane in range(bits - 1, 0, -1):
-        turn ^= np.where((x[-1] >> plane) & 1 == 1, (1 << plane) - 1, 0)
-    x ^= turn
+        turn ^= np.where((x[-1] >> of(plane)) & of(1) == 1, of((1 << plane) - 1), of(0))
+    return x ^ turn
+
+
+def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
+    """Place on the Hilbert curve of each row of cells (n, dims) with coordinates below 2**bits.
+
+    The bits of all dimensions are interleaved from the highest down.
+    """
+    x = _transposed(cells.astype(np.int64), bits)
     key = np.zeros_like(x[0])
     for plane in range(bits - 1, -1, -1):
-        for i in range(dims):
+        for i in range(len(x)):
             key = (key << 1) | ((x[i] >> plane) & 1)
     return key
 
 
+def hilbert_bytes(cells: np.ndarray, bits: int) -> np.ndarray:
+    """Bytes (n, bits) that sort like the places of ``hilbert_keys``: a byte has one bit of each of up to 8 dimensions."""
+    x = np.ascontiguousarray(_transposed(cells.astype(np.uint32), bits).T.astype(">u4"))
+    planes = np.unpackbits(x.view(np.uint8), axis=1).reshape(*x.shape, 32)[:, :, 32 - bits:]
+    return np.packbits(planes.transpose(0, 2, 1), axis=2)[:, :, 0]
+
+
 class Curves:
     """The projections and shifts of all curves, from a seed."""
 
@@ -87,7 +105,7 @@ class Curves:
         for use, shift in self.parts:
             even = 1 / (1 + np.exp(-1.702 * np.clip(centred @ use, -50, 50)))  # close to the normal distribution function
             cells = np.minimum(((even + shift) / 2 * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
-            yield hilbert_keys(cells, BITS)
+            yield hilbert_bytes(cells, BITS)
 
 
 def _place(dim: int, curves: int, seed: int, mean: list[float], scale: float):
@@ -96,8 +114,10 @@ def _place(dim: int, curves: int, seed: int, mean: list[float], scale: float):
         for batch in batches:
             keys = list(c.keys(matrix(batch.column(2), dim), np.array(mean), scale))
             for i, key in enumerate(keys):
+                ends = pa.py_buffer(np.arange(len(key) + 1, dtype=np.int32) * np.int32(BITS))
+                key = pa.Array.from_buffers(pa.binary(), len(key), [None, ends, pa.py_buffer(np.ascontiguousarray(key))])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(key), i, np.int32)), pa.array(key), *batch.columns],
+                    [pa.array(np.full(len(key), i, np.int32)), key, *batch.columns],
                     names=["curve", "key", "id", "asks", "v"])
 
     return run
@@ -184,7 +204,7 @@ def nearest(vectors: DataFrame, *, k: int = 10, modulus: int = 100, curves: int
 
     entry = entries.join(asked.select("query").distinct(), F.col("ids")[0] == F.col("query"), "left").select(
         F.col("ids")[0].alias("id"), F.col("query").isNotNull().alias("asks"), "v")
-    placed = entry.mapInArrow(_place(dim, curves, seed, mean, scale), "curve int, key long, id long, asks boolean, v array<double>")
+    placed = entry.mapInArrow(_place(dim, curves, seed, mean, scale), "curve int, key binary, id long, asks boolean, v array<double>")
     parts = partitions_for(size.n * curves, 4 * BLOCK, spark)
     index = written(
         placed.repartitionByRange(parts, "curve", "key", "id").sortWithinPartitions("curve", "key", "id")

@@ -4,7 +4,8 @@ import random
 import numpy as np
 import pytest
 
-from panelcast.llm.ann import hilbert_keys, nearest
+from panelcast.llm import ann
+from panelcast.llm.ann import hilbert_bytes, hilbert_keys, nearest
 from panelcast.llm.topk import top_k
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -97,6 +98,33 @@ def test_recall_beyond_the_window(spark):
     assert hits / 900 >= 0.9
 
 
+def test_bytes_sort_like_places():
+    rng = np.random.default_rng(5)
+    for dims, bits in ((8, 4), (3, 7), (1, 32), (2, 31)):
+        cells = rng.integers(0, 1 << bits, (500, dims))
+        keys, sortable = hilbert_keys(cells, bits), [b.tobytes() for b in hilbert_bytes(cells, bits)]
+        assert sorted(range(500), key=lambda i: (int(keys[i]), i)) == sorted(range(500), key=lambda i: (sortable[i], i))  # noqa: B023
+
+
+@pytest.mark.parametrize("noise", [0.01, 0.001, 0.00001])
+def test_recall_inside_one_noisy_cluster(spark, monkeypatch, noise):
+    monkeypatch.setattr(ann, "BLOCK", 64)  # windows of less than the cluster
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 64))
+    x[::3] = x[0] / np.linalg.norm(x[0]) + rng.normal(size=(1000, 64)) * noise / 8
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x.astype(np.float32))]
+    rows = [rows[i] for i in rng.permutation(3000)]
+    y = np.array([r[1] for r in sorted(rows)])
+    got = nearest(spark.createDataFrame(rows, SCHEMA), modulus=50, min_window=32, window_share=0.03).collect()
+    hits = asked = 0
+    for q in range(0, 3000, 150):  # those of the cluster
+        d = np.sqrt(((y - y[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits, asked = hits + len(set(np.argsort(d)[:10].tolist()) & {r.vec_id for r in got if r.query_id == q}), asked + 10
+    assert hits / asked >= 0.9
+
+
 def test_nearest_small_and_empty(spark):
     assert nearest(spark.createDataFrame([], SCHEMA)).count() == 0
     assert nearest(spark.createDataFrame([(0, [0.0], 0)], SCHEMA)).count() == 0
