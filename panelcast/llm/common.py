@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelcast.session import fresh_path
@@ -46,3 +47,20 @@ def id_bucket(col: str, modulus: int) -> Column:
 def partitions_for(rows: int, per_partition: int, spark: SparkSession) -> int:
     """Partitions so that each holds about ``per_partition`` rows, at least the session's default."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / per_partition))
+
+
+def numbered(rows: DataFrame, key: str, order: list[Column], range_by: list[Column], name: str, keep: list[Column]) -> DataFrame:
+    """The columns ``keep`` of ``rows`` and ``nth`` (long, from 0): a row's place among those of its key (not null) in ``order``.
+
+    No task gets a whole key: rows are dealt out by ranges of ``key`` and
+    ``range_by`` (which must not contradict ``order``) and sorted there; what
+    earlier tasks hold of a key is added.  The sorted rows are written once, so
+    that their numbers stand.
+    """
+    placed = (rows.repartitionByRange(F.col(key), *range_by).sortWithinPartitions(F.col(key), *order)
+              .select(*keep, F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row")))
+    placed = written(placed, name)
+    counts = placed.groupBy(key, "part").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"))
+    earlier = W.partitionBy(key).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select(key, "part", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return placed.join(counts, [key, "part"]).withColumn("nth", F.col("before") + F.col("row") - F.col("first")).drop("part", "row", "first", "before")

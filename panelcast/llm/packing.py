@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 from panelcast.llm.common import text_or_empty, written
 
 PIECES = "part int, nth long, id long, piece int, start long, length long, ids_crc32 long"
-CACHED = 300_000  # words (and pre-tokens) whose ids a worker remembers; it starts afresh beyond, results don't depend on it
-TEXT_BYTES = 16_000_000  # bytes of text (or one text) looked up at once
+REMEMBERED_BYTES = 96_000_000  # of words, and half as many of pre-tokens, whose ids a worker remembers; results don't depend on it
+ENTRY_BYTES = 200  # of a remembered word beside its own bytes and its ids
+BETWEEN = b"\xff" * 4
+TEXT_BYTES = 4_000_000  # bytes of text (or one text) looked up at once
 
 
 class Capacities:
@@ -104,8 +106,34 @@ def best_fit_decreasing(counts: dict[int, int], size: int) -> list[tuple[int, in
     return runs
 
 
+class Remembered:
+    """The latest used of some keys' values: about ``size`` bytes, and what is looked up at once.
+
+    Two generations of half that size: what is asked for moves to the younger
+    one, and when that is full the older one is dropped.
+    """
+
+    def __init__(self, size: int):
+        self.half, self.bytes = size // 2, 0
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def missing(self, keys: set) -> list:
+        """Of ``keys``, those without a value; the others are in ``young`` until the next call."""
+        if self.bytes > self.half:
+            self.old, self.young, self.bytes = self.young, {}, 0
+        new = keys - self.young.keys()
+        again = list(new & self.old.keys())
+        self.put(again, list(map(self.old.__getitem__, again)))
+        return list(new.difference(again))
+
+    def put(self, keys: list, values: list) -> None:
+        self.bytes += sum(map(len, keys)) + sum(map(len, values)) + ENTRY_BYTES * len(keys)
+        self.young.update(zip(keys, values, strict=True))
+
+
 class WordIds:
-    """Token ids of single words, remembered for the life of a Python worker.
+    """Token ids of single words; a Python worker remembers some megabytes of them.
 
     Plain words (no code point from U+0250 on, no special token) are cut into
     the tokenizer's pre-tokens for many words at once, and only pre-tokens not
@@ -141,19 +169,27 @@ class WordIds:
         self.plain = regex.compile(r"[\x21-\x7e\u00a1-\u024f]+") if known_form else regex.compile(r"(?!)")
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.find = regex.compile(self.PRETOKEN).findall
-        self.words: dict[bytes, bytes] = {}
-        self.pretokens: dict[str, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        """Afterwards ``words`` are all in ``self.words``."""
-        if len(self.pretokens) > CACHED:
-            self.pretokens.clear()
-        if len(self.words) > CACHED:
-            self.words.clear()
-        if new := [w for w in words if w not in self.words]:
-            self._add(new)
-
-    def _add(self, words: list[bytes]) -> None:
+        self.words = Remembered(REMEMBERED_BYTES)
+        self.pretokens = Remembered(REMEMBERED_BYTES // 2)
+
+    def encoded(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit numbers."""
+        at = 0
+        while at < len(texts):
+            # white space never is part of a token here, so a text's ids are its words' ids
+            docs, names, size = [], set(), 0
+            while at + len(docs) < len(texts) and size < TEXT_BYTES:
+                text = texts[at + len(docs)].as_buffer()
+                size += len(text)
+                docs.append(text.to_pybytes().split())
+                names.update(docs[-1])
+            self._learn(self.words.missing(names))
+            get = self.words.young.__getitem__
+            at += len(docs)
+            for words in docs:
+                yield b"".join(map(get, words))
+
+    def _learn(self, words: list[bytes]) -> None:
         import numpy as np
 
         joined = b"\n".join(words).decode()
@@ -167,13 +203,12 @@ class WordIds:
             joined = b"\n".join(plain).decode()
         if plain and self.plain.pattern == "(?!)":
             plain, other = [], words
-        for e, w in zip(self.whole.encode_batch([w.decode() for w in other], add_special_tokens=False), other, strict=True):
-            self.words[w] = np.array(e.ids, dtype="<u4").tobytes()
+        found = self.whole.encode_batch([w.decode() for w in other], add_special_tokens=False)
+        self.words.put(other, [np.array(e.ids, dtype="<u4").tobytes() for e in found])
         if not plain:
             return
         cut = self.find(joined.lower())
-        known = self.pretokens
-        new = [p for p in set(cut) if p not in known and p != "\n"]
+        new = [p for p in self.pretokens.missing(set(cut)) if p != "\n"]
         for a in range(0, len(new), 4096):
             some = new[a:a + 4096]
             shown = " ".join(some).encode().decode("latin-1").translate(self.shown)
@@ -181,21 +216,15 @@ class WordIds:
             ends = (np.flatnonzero(self.last[ids]) + 1) * 4
             if len(ends) != len(some):
                 raise RuntimeError("the tokenizer does not mark the ends of words")
-            raw, at = ids.tobytes(), 0
-            for p, end in zip(some, ends.tolist(), strict=True):
-                known[p] = raw[at:end]
-                at = end
-        names, parts = iter(plain), []
-        for p in cut:
-            if p == "\n":
-                self.words[next(names)] = b"".join(parts)
-                parts = []
-            else:
-                parts.append(known[p])
-        self.words[next(names)] = b"".join(parts)
+            raw, ends = ids.tobytes(), ends.tolist()
+            self.pretokens.put(some, [raw[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)])
+        # ids have a zero byte among any four, so the mark between words is found nowhere else
+        self.pretokens.young["\n"] = BETWEEN
+        known = self.pretokens.young
+        self.words.put(plain, b"".join(map(known.__getitem__, cut)).split(BETWEEN))
 
 
-def _word_ids(path: str) -> WordIds:
+def word_ids(path: str) -> WordIds:
     """The worker's memory of words; it outlives a task, results don't depend on it."""
     import sys
     import types
@@ -216,32 +245,20 @@ def _pieces(tokenizer_path: str, max_tokens: int, end_id: int):
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids_of, part, seen = _word_ids(tokenizer_path), TaskContext.get().partitionId(), Counter()
+        ids_of, part, seen = word_ids(tokenizer_path), TaskContext.get().partitionId(), Counter()
         end = np.uint32(end_id).astype("<u4").tobytes()
         step = 4 * max_tokens
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            at = 0
-            while at < len(ids):
-                # white space never is part of a token here, so a text's ids are its words' ids
-                docs, names, size = [], set(), 0
-                while at + len(docs) < len(ids) and size < TEXT_BYTES:
-                    text = texts[at + len(docs)].as_buffer()
-                    size += len(text)
-                    docs.append(text.to_pybytes().split())
-                    names.update(docs[-1])
-                ids_of.learn(names)
-                get = ids_of.words.__getitem__
-                for i, words in enumerate(docs, at):
-                    encoded = b"".join(map(get, words)) + end
-                    for k, a in enumerate(range(0, len(encoded), step)):
-                        piece = encoded[a:a + step]
-                        n = len(piece) // 4
-                        for c, v in zip(out, (part, seen[n], ids[i], k, a // 4, n, zlib.crc32(piece)), strict=True):
-                            c.append(v)
-                        seen[n] += 1
-                at += len(docs)
+            ids = batch.column(0).to_pylist()
+            for i, encoded in enumerate(ids_of.encoded(batch.column(1))):
+                encoded += end
+                for k, a in enumerate(range(0, len(encoded), step)):
+                    piece = encoded[a:a + step]
+                    n = len(piece) // 4
+                    for c, v in zip(out, (part, seen[n], ids[i], k, a // 4, n, zlib.crc32(piece)), strict=True):
+                        c.append(v)
+                    seen[n] += 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
                 names=["part", "nth", "id", "piece", "start", "length", "ids_crc32"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -17,8 +18,12 @@ from panelcast.llm.langid import identify, learn_profiles
 from panelcast.llm.linededup import dedup_lines
 from panelcast.llm.mixing import plan_mix
 from panelcast.llm.packing import pack_documents
+from panelcast.llm.periodic import periodic_runs
 from panelcast.llm.quality import classify
+from panelcast.llm.tokenfile import read_tokens, write_tokens
 from panelcast.llm.topk import top_k
+from panelcast.llm.trie import hashed_turns, prefix_trie, regrafted
+from panelcast.session import fresh_path
 
 
 def op1_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,6 +85,41 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return identify(docs, profiles, keep={"doc_id": F.col("doc_id"), "held_out": held_out})
 
 
+def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie(*regrafted(hashed_turns(table(spark, sf, "conversations")), group=5, most=8))
+
+
+def _looped(doc_id: int | None, text: bytes) -> list[bytes]:
+    """The text's words; in a tenth of the documents the tail repeats its first words."""
+    words = text.split()
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 == 0 and words:
+        n, g = len(words), h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words[a:] = [words[a + (i - a) % p] for i in range(a, n)]
+    return words
+
+
+def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    found = periodic_runs(table(spark, sf, "documents"), min_length=12, words_of=_looped)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("shorter"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.withColumn("top", longest).select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("top.before")).alias("start"), F.col("top.length").alias("length"), (-F.col("top.shorter")).alias("period"),
+        F.floor(F.lit(1000) * F.col("top.length") / -F.col("top.shorter")).cast("long").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op13_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    folder = fresh_path(spark, "token-files")
+    write_tokens(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder, end_id=1)
+    return read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_hilbert_neighbours": op2_hilbert_neighbours,
@@ -91,4 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_language_id": op10_language_id,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_token_files": op13_token_files,
 }
