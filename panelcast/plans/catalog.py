@@ -312,9 +312,8 @@ def legacy_csv_roundtrip(spark, sf):
     from panelcast.plans.report import read_legacy_csv, write_legacy_csv
     from panelcast.session import fresh_path
 
-    name = fresh_path(spark, "legacy-files") + "/LR_click_"
-    p = P.events_by_type(spark, sf).where(F.col(SERIES) == "click")
-    with forecast_panel(p, ForecastConfig(horizons=H, lags=0)).computed() as (predictions, _):
+    name = fresh_path(spark, "legacy-files") + "/LR_all_"
+    with forecast_panel(P.events_single(spark, sf), ForecastConfig(horizons=H, lags=0)).computed() as (predictions, _):
         write_legacy_csv(predictions, name)
     schema = ", ".join(["`Row Number` bigint", "Date timestamp_ntz", "Close double",
                         *[f"{c} double" for h in range(1, H + 1) for c in (f"DeltaZ{h}", f"forecast_{h}day", f"actual_{h}day")]])

@@ -2,7 +2,8 @@
 
 The folder is ``spark.checkpoint.dir`` of the session.  Where that is unset it
 is an error on any cluster; a master ``local[..]``, whose one process is driver
-and executor, gets a temporary folder.
+and executor, gets a temporary folder.  Written tables go under a folder of the
+session's own in it, which is deleted when the session's process ends.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+_KEPT: set[str] = set()  # folders that are deleted at the end
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
@@ -24,14 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not base:
-        current = sc.getCheckpointDir()
+        current = sc.getCheckpointDir()  # set by the user, or by this function before
         if current:
             return current
         if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("spark.checkpoint.dir is not set: point it at a folder every executor shares")
         # one process is driver and executor (tests, a laptop), so its disk is shared
         base = tempfile.mkdtemp(prefix="panelcast-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", base)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(base)
     return base
@@ -39,7 +42,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, unused path under the shared folder for a written table."""
-    return f"{shared_dir(spark).rstrip('/')}/panelcast/{name}-{uuid.uuid4().hex}"
+    own = f"{shared_dir(spark).rstrip('/')}/panelcast/{spark.sparkContext.applicationId}"
+    if own not in _KEPT:
+        # what is left of it goes with the driver's process
+        where = spark._jvm.org.apache.hadoop.fs.Path(own)
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+        _KEPT.add(own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def local_session(app: str = "panelcast", cores: str | int = "*", shuffle_partitions: int = 8,
@@ -71,11 +82,6 @@ def local_session(app: str = "panelcast", cores: str | int = "*", shuffle_partit
         b = b.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_log_dir)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    if not (spark.conf.get("spark.checkpoint.dir", None)
-            or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)):
-        # tests only: the session has no shared folder, make one for this run
-        d = tempfile.mkdtemp(prefix="panelcast-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
     shared_dir(spark)
     return spark
 
