@@ -1,26 +1,29 @@
 """Tree regressors (decision tree, random forest, gradient-boosted trees) for every series at once.
 
-The reference fits one model per series and horizon.  Here all of them are
-fitted by one aggregation and one grouped step, however many series there are
-and however long one of them is:
-
-1. Features are cut into ``BINS`` bins per series, at fixed quantiles of a
-   normal distribution with the feature's mean and deviation over the training
-   rows (rounded to 6 decimals).
-2. Training rows are aggregated by (series, horizon, bins): a row's place in
-   any tree depends on nothing else.  Labels are summed as exact decimals, so
-   the sums, and with them the trees, do not depend on how rows are laid out.
-   Bootstrap and subsampling weights come from a hash of the row's key, tree
-   and seed, and are part of the sums.  A group has at most ``BINS`` to the
-   number of features cells, however long its series.
-3. Each group's trees are grown level by level over its cells with numpy: the
-   split with the largest reduction of squared error, ties to the first
-   feature and the lowest bin.
-4. Rows are scored in place: one row of trees per series is joined, and a
-   native expression walks them.
-
-``tree_mode="pooled"`` fits one model per horizon over the rows of all series
-instead; the default is one per series.
+The reference fits one model per series and horizon.  Here a group (a series,
+or all of them with ``tree_mode="pooled"``) is one key of a table of training
+rows, and all models come from it:
+
+1. Features are cut into ``BINS`` bins per group, at the quantiles of a normal
+   distribution with the feature's mean and deviation over the training rows.
+   Labels become whole numbers, in parts of the group's largest one.  Nothing
+   depends on the scale of the data.
+2. Trees are grown level by level from histograms: per node, feature and bin
+   the number of training rows and the sum of their labels.  Sums of whole
+   numbers are exact, so the trees do not depend on how rows are laid out, on
+   which series are hot or on the path taken.
+3. Bootstrap and subsampling weights come from an MD5 of the row's key, tree
+   and seed, the features that a forest's node may split on from one of the
+   node's number.
+4. Groups of at most ``LOCAL_ROWS`` training rows are grown whole, many to a
+   task.  A larger group is packed into chunks of that many rows; every level is
+   one pass over the chunks, each task adds its chunks' histograms up, and their
+   sums (trees x nodes x features x bins numbers, whatever the group's length)
+   give the splits.  Boosting takes a pass per level and round.
+5. Rows are scored in place.  For every tree, feature and bin the model has a
+   mask of the leaves that stay within reach; the masks of a row's bins have one
+   leaf in common, so a prediction is a sum over trees of one ``&`` per feature
+   and one look-up, a native expression.
 
 Hyper-parameters are the reference's fixed values (depth 5; forest and
 boosting subsample 0.8; the library defaults for the rest: 20 trees with a
@@ -29,17 +32,18 @@ third of the features per node, 20 rounds with step 0.1 on twice the residual).
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from panelcast.operators import ordered
+from panelcast.session import fresh_path, remove_path
 from panelcast.sources.panel import SERIES, TIEBREAK, TS
 
 # --- fixed values: regressor names and their settings ----------------------
@@ -55,164 +59,468 @@ STEP = 0.1
 
 BINS = 32
 LEAVES, INNER = 2**TREE_DEPTH, 2**TREE_DEPTH - 1
-LEAST_GAIN = 1e-9  # reduction of squared error that a split has to bring
-MICRO = 1_000_000  # labels are summed in millionths
+PARTS = 2**32  # of a group's largest label that labels and predictions are counted in
+MOMENT_DIGITS = 6  # of a mean in deviations; sums of doubles differ in the last digits from layout to layout
 CUTS = [round(NormalDist().inv_cdf(j / BINS), 9) for j in range(1, BINS)]
+LOCAL_ROWS = 200_000  # training rows of a group that one task holds, and of a chunk
+BROADCAST_BYTES = 64_000_000  # of the models of all large groups; beyond, they are joined by a shuffle
 
 
-def cut_points(f: str) -> str:
-    """SQL array of the feature's cut points from its mean and deviation columns."""
-    zs = ", ".join(f"{z!r}D" for z in CUTS)
-    return f"transform(array({zs}), z -> round(mean_{f} + sd_{f} * z, 6))"
+def tree_count(regressor: str) -> int:
+    return 1 if regressor == DECISION_TREE else TREES
 
 
-def bin_of(f: str) -> str:
-    """SQL bin of a feature: the number of cut points below it."""
-    return f"size(filter({cut_points(f)}, c -> c < {f}))"
+# --- training rows -----------------------------------------------------------
+def bin_of(t: Column) -> Column:
+    """The number of cut points below a standardised feature, by comparisons that compile."""
+    def between(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(t > F.lit(CUTS[middle]), between(middle + 1, high)).otherwise(between(low, middle))
 
+    return between(0, BINS - 1).cast("tinyint")
 
-def _weight(regressor: str, tree: int, seed: int) -> Column | None:
-    """How often a training row counts in a tree; None: once."""
-    if regressor == DECISION_TREE:
-        return None
-    u = F.pmod(F.xxhash64(F.col(SERIES), F.col(TS), F.col(TIEBREAK), F.lit(tree), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+def _standardised(f: str, j: int) -> Column:
+    """A feature in deviations from its mean; 0 where it does not vary."""
+    return F.when(F.col("deviation")[j] > 0, F.col(f) / F.col("deviation")[j] - F.col("centre")[j]).otherwise(F.lit(0.0))
+
+
+def group_scales(rows: DataFrame, features: Sequence[str], labels: Sequence[tuple[str, str]]) -> DataFrame:
+    """(grp, centre, deviation, unit): per feature the mean in deviations, and the deviation; the largest label.
+
+    ``rows`` are training rows at some horizon, ``labels`` (label, train flag).
+    """
+    largest = F.greatest(*[F.when(F.col(flag), F.abs(F.col(y))) for y, flag in labels], F.lit(0.0))
+    moments = [e for j, f in enumerate(features) for e in (F.avg(f).alias(f"m{j}"), F.stddev_pop(f).alias(f"d{j}"))]
+    found = rows.groupBy("grp").agg(*moments, F.max(largest).alias("unit"))
+    centre = [F.when(F.col(f"d{j}") > 0, F.round(F.col(f"m{j}") / F.col(f"d{j}"), MOMENT_DIGITS)).otherwise(0.0) for j in range(len(features))]
+    return found.select("grp", F.array(*centre).alias("centre"), F.array(*[F.col(f"d{j}") for j in range(len(features))]).alias("deviation"),
+                        F.when(F.col("unit") > 0, F.col("unit")).otherwise(1.0).alias("unit"))
+
+
+def row_draws(trees: int, seed: int) -> Column:
+    """Bytes of which four each give one tree's draw for a row."""
+    micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({TS} AS TIMESTAMP_NTZ))")
+    name = F.concat_ws("|", F.col(SERIES), micros, F.col(TIEBREAK).cast("string"), F.lit(seed))
+    return F.concat(*[F.unhex(F.md5(F.concat_ws("|", name, F.lit(i)))) for i in range(-(-trees // 4))])
+
+
+def training_rows(df: DataFrame, features: Sequence[str], targets: dict, regressor: str, seed: int, pooled: bool) -> tuple[DataFrame, DataFrame]:
+    """``(rows, scales)``: grp, bins, y (one per horizon, null where the row does not train), draws; and ``group_scales``."""
+    labels = [(label, flag) for label, flag, _ in targets.values()]
+    some = F.col(labels[0][1])
+    for _, flag in labels[1:]:
+        some = some | F.col(flag)
+    x = df.withColumn("grp", F.lit("all") if pooled else F.col(SERIES)).where(some)
+    x = x.select("grp", SERIES, TS, TIEBREAK, *[F.col(f).cast("double").alias(f) for f in features], *[c for pair in labels for c in pair])
+    scales = group_scales(x, features, labels)
+    y = [F.when(F.col(flag), F.floor(F.col(label) / F.col("unit") * PARTS + 0.5)).cast("bigint") for label, flag in labels]
+    draws = F.lit(b"") if regressor == DECISION_TREE else row_draws(tree_count(regressor), seed)
+    rows = x.join(scales, "grp").select("grp", F.array(*[bin_of(_standardised(f, j)) for j, f in enumerate(features)]).alias("bins"),
+                                        F.array(*y).alias("y"), draws.alias("draws"))
+    return rows, scales
+
+
+def weights(draws: np.ndarray, regressor: str) -> np.ndarray:
+    """How often a row counts in each tree, from its draws (unsigned 32-bit numbers): (rows, trees)."""
     if regressor == GBT:
-        return F.when(u < SUBSAMPLING, 1).otherwise(0)
-    below, out = 0.0, None  # with replacement: Poisson counts
+        return (draws < SUBSAMPLING * 2**32).astype(np.int64)
+    below, total = [], 0.0  # with replacement: Poisson counts, eight at most
     for k in range(8):
-        below += math.exp(-SUBSAMPLING) * SUBSAMPLING**k / math.factorial(k)
-        out = F.when(u < below, k) if out is None else out.when(u < below, k)
-    return out.otherwise(8)
-
-
-def training_cells(df: DataFrame, features: Sequence[str], targets: dict, regressor: str, seed: int, pooled: bool):
-    """``(cells, cuts)``: sums per (group, horizon, bins), and each group's cut points."""
-    group = F.lit("all") if pooled else F.col(SERIES)
-    some = " OR ".join(flag for _, flag, _ in targets.values())
-    x = df.withColumn("grp", group)
-    moments = [e for f in features for e in (F.avg(f).alias(f"mean_{f}"), F.stddev_pop(f).alias(f"sd_{f}"))]
-    stats = x.where(some).groupBy("grp").agg(*moments)
-    rows = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(label).alias("y"), F.col(flag).alias("tr"))
-                               for h, (label, flag, _) in targets.items()]))
-    x = x.where(some).select("grp", SERIES, TS, TIEBREAK, *features, rows.alias("r")).where("r.tr").join(stats, "grp")
-    y = F.col("r.y").cast("decimal(28,6)")
-    x = x.select("grp", SERIES, TS, TIEBREAK, F.col("r.horizon").alias("horizon"), y.alias("y"),
-                 *[F.expr(bin_of(f)).alias(f"b_{j}") for j, f in enumerate(features)])
-    sums = []
-    for t in range(1 if regressor == DECISION_TREE else TREES):
-        w = _weight(regressor, t, seed)
-        n = F.count(F.lit(1)) if w is None else F.sum(w.cast("bigint"))
-        s = F.sum("y") if w is None else F.sum(F.col("y") * w)
-        sums += [n.alias(f"n_{t}"), (s * MICRO).cast("bigint").alias(f"s_{t}")]
-    bins = [f"b_{j}" for j in range(len(features))]
-    cells = x.groupBy("grp", "horizon", *bins).agg(*sums)
-    cuts = stats.select("grp", *[F.expr(cut_points(f)).alias(f"cuts_{j}") for j, f in enumerate(features)])
-    return cells, cuts
-
-
-def grow(bins: np.ndarray, n: np.ndarray, s: np.ndarray, allowed: np.ndarray | None = None, unit: float = 1.0):
-    """Regression trees over cells: bins (cells, features), rows and label sums (cells, trees).
-
-    Label sums are in parts of ``1 / unit`` (whole numbers where unit > 1, so
-    that sums are exact).  Returns, per tree, the feature (or -1) and the bin
-    of the split of each inner node in heap order and a value per leaf; and
-    each cell's leaf.  A node that is not split passes everything to its left
-    child.  ``allowed`` (trees, nodes, features) limits a node's features.
+        total += math.exp(-SUBSAMPLING) * SUBSAMPLING**k / math.factorial(k)
+        below.append(total * 2**32)
+    return np.searchsorted(np.array(below), draws.ravel(), side="right").reshape(draws.shape)
+
+
+# --- growing -------------------------------------------------------------------
+def allowed_features(p: int, seed: int) -> np.ndarray:
+    """(trees, nodes, features): a forest's node may split on a third of the features, rounded up."""
+    out = np.zeros((TREES, INNER, p), bool)
+    for t in range(TREES):
+        for node in range(INNER):
+            order = sorted(range(p), key=lambda f: (hashlib.md5(f"{t}|{node}|{f}|{seed}".encode()).hexdigest(), f))
+            out[t, node, order[:math.ceil(p / 3)]] = True
+    return out
+
+
+def histograms(bins: np.ndarray, node: np.ndarray, n: np.ndarray, s: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(trees, width, features, bins) rows and sums of a level; ``node`` (rows, trees) counts within it.
+
+    The sums of one call stay below 2**53, so that they are exact.
+    """
+    (rows, p), trees = bins.shape, n.shape[1]
+    size = trees * width * BINS
+    out = [np.zeros((trees, width, p, BINS), np.int64) for _ in range(2)]
+    place = (np.arange(trees) * width + node) * BINS
+    for f in range(p):
+        slot = (place + bins[:, f, None]).ravel()
+        for o, value in zip(out, (n, s), strict=True):
+            o[:, :, f] = np.bincount(slot, value.ravel(), size).astype(np.int64).reshape(trees, width, BINS)
+    return out[0], out[1]
+
+
+def best_splits(n: np.ndarray, s: np.ndarray, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(trees, width) feature (-1: no split) and bin of the largest reduction of squared error; ties to the first feature and bin."""
+    trees, width, p, _ = n.shape
+    nl, sl = np.cumsum(n, axis=3).astype(float), np.cumsum(s, axis=3)
+    na, sa = n.sum(axis=3, keepdims=True).astype(float), s.sum(axis=3, keepdims=True)
+    sr, sl = (sa - sl).astype(float), sl.astype(float)
+    nr = na - nl
+    apart = sl * nr - sr * nl  # exactly 0 where both sides have one mean
+    with np.errstate(all="ignore"):
+        gain = apart * apart / (nl * nr * na)
+    gain = np.where((nl > 0) & (nr > 0), gain, 0.0)
+    if allowed is not None:
+        gain = np.where(allowed[:, :, :, None], gain, 0.0)
+    gain = gain.reshape(trees, width, p * BINS)
+    best = np.argmax(gain, axis=2)
+    found = np.take_along_axis(gain, best[:, :, None], axis=2)[:, :, 0] > 0
+    return np.where(found, best // BINS, -1), np.where(found, best % BINS, 0)
+
+
+def leaf_of(bins: np.ndarray, feature: np.ndarray, at: np.ndarray, depth: int = TREE_DEPTH) -> np.ndarray:
+    """(rows, trees): the node that a row reaches in each tree after ``depth`` steps, counted within its level.
+
+    ``feature`` and ``at`` are (trees, INNER) in heap order; an unsplit node passes everything left.
+    """
+    tree, node = np.arange(len(feature)), np.zeros((len(bins), len(feature)), np.int64)
+    for _ in range(depth):
+        f = feature[tree, node]
+        node = 2 * node + 1 + ((f >= 0) & (np.take_along_axis(bins, np.maximum(f, 0), axis=1) > at[tree, node]))
+    return node - (2**depth - 1)
+
+
+def leaf_values(n: np.ndarray, s: np.ndarray, step: float) -> np.ndarray:
+    """A leaf's mean, times ``step``, as a whole number (0 without rows)."""
+    mean = np.divide(s.astype(float), n.astype(float), out=np.zeros(n.shape), where=n > 0)
+    return np.floor(mean * step + 0.5).astype(np.int64)
+
+
+def grow(bins: np.ndarray, n: np.ndarray, s: np.ndarray, allowed: np.ndarray | None = None, step: float = 1.0):
+    """Trees over rows that one task holds: (feature, at) (trees, INNER) and value (trees, LEAVES).
+
+    ``n`` and ``s`` (rows, trees) are how often a row counts, and its label times that.
     """
-    p, (cells, trees) = bins.shape[1], n.shape
-    feature, at = np.full((trees, INNER), -1), np.zeros((trees, INNER), int)
-    node, tree = np.zeros((cells, trees), int), np.arange(trees)
-    n_flat, s_flat = n.ravel(), s.ravel()
+    trees = n.shape[1]
+    feature, at = np.full((trees, INNER), -1), np.zeros((trees, INNER), np.int64)
     for depth in range(TREE_DEPTH):
-        first, width = 2**depth - 1, 2**depth
-        best = np.full((trees, width), LEAST_GAIN)
-        here = slice(first, first + width)
-        local = (node - first + tree * width) * BINS
-        for f in range(p):
-            slot = (local + bins[:, f, None]).ravel()
-            nl = np.cumsum(np.bincount(slot, n_flat, trees * width * BINS).reshape(trees, width, BINS), axis=2)
-            sl = np.cumsum(np.bincount(slot, s_flat, trees * width * BINS).reshape(trees, width, BINS), axis=2)
-            na, sa = nl[:, :, -1:], sl[:, :, -1:] / unit
-            nr, sr = na - nl, (sl[:, :, -1:] - sl) / unit
-            sl = sl / unit
-            with np.errstate(all="ignore"):
-                gain = sl * sl / nl + sr * sr / nr - sa * sa / na
-            gain = np.where((nl > 0) & (nr > 0), gain, -np.inf)
-            b = np.argmax(gain, axis=2)
-            g = np.take_along_axis(gain, b[:, :, None], axis=2)[:, :, 0]
-            better = g > best
-            if allowed is not None:
-                better &= allowed[:, here, f]
-            best = np.where(better, g, best)
-            feature[:, here] = np.where(better, f, feature[:, here])
-            at[:, here] = np.where(better, b, at[:, here])
-        split = feature[tree, node]
-        right = (split >= 0) & (np.take_along_axis(bins, np.maximum(split, 0), axis=1) > at[tree, node])
-        node = 2 * node + 1 + right
-    leaf = node - INNER
-    slot = (leaf + tree * LEAVES).ravel()
-    rows = np.bincount(slot, n_flat, trees * LEAVES).reshape(trees, LEAVES)
-    total = np.bincount(slot, s_flat, trees * LEAVES).reshape(trees, LEAVES) / unit
-    return feature, at, np.divide(total, rows, out=np.zeros_like(total), where=rows > 0), leaf
-
-
-def _allowed(p: int, seed: int) -> np.ndarray:
-    """The features that each node of each forest tree may split on: a third of them, rounded up."""
-    rng, out = np.random.default_rng([seed, p]), np.zeros((TREES, INNER, p), bool)
-    chosen = rng.permuted(np.tile(np.arange(p), (TREES * INNER, 1)), axis=1)[:, :math.ceil(p / 3)].reshape(TREES, INNER, -1)
-    np.put_along_axis(out, chosen, True, axis=2)
-    return out
+        here = slice(2**depth - 1, 2 ** (depth + 1) - 1)
+        node = leaf_of(bins, feature, at, depth)
+        feature[:, here], at[:, here] = best_splits(*histograms(bins, node, n, s, 2**depth), None if allowed is None else allowed[:, here])
+    leaf = leaf_of(bins, feature, at) + np.arange(trees) * LEAVES
+    total = [np.bincount(leaf.ravel(), v.ravel(), trees * LEAVES).astype(np.int64).reshape(trees, LEAVES) for v in (n, s)]
+    return feature, at, leaf_values(*total, step)
+
 
+def boosted_labels(y: np.ndarray, so_far: np.ndarray, t: int) -> np.ndarray:
+    """What tree t of a boosting learns."""
+    return y if t == 0 else 2 * (y - so_far)
 
-def _fit_group(regressor: str, p: int, seed: int, pdf: pd.DataFrame):
-    """(features, bins, values, weights) of a group's trees, one after another."""
-    pdf = pdf.sort_values([f"b_{j}" for j in range(p)])
-    bins = pdf[[f"b_{j}" for j in range(p)]].to_numpy(dtype=int)
-    trees = 1 if regressor == DECISION_TREE else TREES
-    n = pdf[[f"n_{t}" for t in range(trees)]].to_numpy(dtype=float)
-    s = pdf[[f"s_{t}" for t in range(trees)]].to_numpy(dtype=float)
-    if regressor != GBT:
-        allowed = _allowed(p, seed) if regressor == RANDOM_FOREST else None
-        return (*(x.ravel() for x in grow(bins, n, s, allowed, MICRO)[:3]), [1.0 / trees] * trees)
-    out, so_far = [], np.zeros(len(pdf))
-    for t in range(trees):
-        target = s[:, t] / MICRO if t == 0 else 2 * (s[:, t] / MICRO - n[:, t] * so_far)
-        feature, at, value, leaf = grow(bins, n[:, t, None], target[:, None])
-        so_far = so_far + (1.0 if t == 0 else STEP) * value[0, leaf[:, 0]]
-        out.append((feature, at, value))
-    return (*(np.concatenate([o[i].ravel() for o in out]) for i in range(3)), [1.0] + [STEP] * (trees - 1))
 
+def predicted(bins: np.ndarray, feature: np.ndarray, at: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Sum over trees of the leaves' values."""
+    return np.take_along_axis(value.T, leaf_of(bins, feature, at), axis=0).sum(axis=1)
 
+
+def fit_rows(regressor: str, bins: np.ndarray, y: np.ndarray, w: np.ndarray | None, seed: int):
+    """(feature, at, value) of one group's trees at one horizon, from its rows."""
+    p = bins.shape[1]
+    if regressor == DECISION_TREE:
+        return grow(bins, np.ones((len(y), 1), np.int64), y[:, None])
+    if regressor == RANDOM_FOREST:
+        return grow(bins, w, w * y[:, None], allowed_features(p, seed))
+    out, so_far = [], np.zeros(len(y), np.int64)
+    for t in range(TREES):
+        wt = w[:, t, None]
+        tree = grow(bins, wt, wt * boosted_labels(y, so_far, t)[:, None], step=1.0 if t == 0 else STEP)
+        so_far = so_far + predicted(bins, *tree)
+        out.append(tree)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def masks_of(feature: np.ndarray, at: np.ndarray, p: int) -> np.ndarray:
+    """(trees, features, bins): which of the leaves 1.. a row with that bin may still reach, as bits 0..; none left means leaf 0."""
+    masks = np.full((len(feature), p, BINS), 2 ** (LEAVES - 1) - 1, np.int64)
+    for node in range(INNER):
+        depth = (node + 1).bit_length() - 1
+        span = LEAVES >> depth
+        first = (node + 1 - 2**depth) * span
+        bits = lambda a, z: (1 << max(z - 1, 0)) - (1 << max(a - 1, 0))  # noqa: E731  leaves a..z-1
+        left, right = bits(first, first + span // 2), bits(first + span // 2, first + span)
+        f = feature[:, node]
+        goes_right = (f[:, None, None] == np.arange(p)[:, None]) & (np.arange(BINS) > at[:, node, None, None])
+        goes_left = (f[:, None, None] == np.arange(p)[:, None]) & ~goes_right | (f < 0)[:, None, None]
+        masks &= np.where(goes_right, ~left, -1) & np.where(goes_left, ~right, -1)
+    return masks
+
+
+MODEL = "grp string, horizon int, feature array<int>, at array<int>, value array<bigint>, masks array<int>"
+
+
+def _model_batch(rows: list[tuple]) -> pa.RecordBatch:
+    """(grp, horizon, feature, at, value, p) to rows of ``MODEL``."""
+    columns: list[list] = [[] for _ in range(6)]
+    for grp, horizon, feature, at, value, p in rows:
+        for c, v in zip(columns, (grp, horizon, feature.ravel(), at.ravel(), value.ravel(), masks_of(feature, at, p).ravel()), strict=True):
+            c.append(v)
+    kinds = (pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in MODEL.split(", ")])
+
+
+NO_LABEL = -(2**62)
+
+
+def _unpacked(table: pa.Table, p: int, horizons: int, regressor: str):
+    """bins (rows, p), y (rows, horizons; ``NO_LABEL`` where the row does not train) and weights (rows, trees)."""
+    table = table.combine_chunks()
+    flat = lambda c: c.chunk(0).flatten() if c.num_chunks else pa.array([], c.type.value_type)
+    bins = flat(table.column("bins")).to_numpy(zero_copy_only=False).reshape(-1, p).astype(np.int64)
+    y = flat(table.column("y")).fill_null(NO_LABEL).to_numpy(zero_copy_only=False).reshape(-1, horizons)
+    if regressor == DECISION_TREE:
+        return bins, y, None
+    draws = np.frombuffer(b"".join(table.column("draws").to_pylist()), ">u4").reshape(len(bins), -1)[:, :TREES].astype(np.int64)
+    return bins, y, weights(draws, regressor)
+
+
+def _fit_group(regressor: str, p: int, horizons: list[int], seed: int):
+    """All horizons of one group that a task holds."""
+    def fit(key, table):
+        bins, y, w = _unpacked(table, p, len(horizons), regressor)
+        out = []
+        for i, h in enumerate(horizons):
+            at = y[:, i] != NO_LABEL
+            if at.any():
+                out.append((key[0].as_py(), h, *fit_rows(regressor, bins[at], y[at, i], None if w is None else w[at], seed), p))
+        return pa.Table.from_batches([_model_batch(out)])
+
+    return fit
+
+
+# --- groups larger than a task ---------------------------------------------------
+CHUNK = "grp string, bins binary, y binary, w binary"
+
+
+def _chunks(regressor: str, p: int, horizons: int, size: int):
+    """Rows sorted by group to packed chunks of at most ``size`` rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, of = [], 0, None
+
+        def packed():
+            bins, y, w = _unpacked(pa.Table.from_batches(held), p, horizons, regressor)
+            w = b"" if w is None else w.astype(np.int8).tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([of]), pa.array([bins.astype(np.int8).tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary()),
+                                               pa.array([w], pa.binary())], names=["grp", "bins", "y", "w"])
+
+        for batch in batches:
+            grp = batch.column("grp").to_pylist()
+            a = 0
+            while a < len(grp):
+                z = a
+                while z < len(grp) and grp[z] == grp[a]:
+                    z += 1
+                if held and (grp[a] != of or rows >= size):
+                    yield packed()
+                    held, rows = [], 0
+                z = min(z, a + size - rows)
+                of = grp[a]
+                held.append(batch.slice(a, z - a))
+                rows, a = rows + z - a, z
+        if held:
+            yield packed()
+
+    return run
+
+
+STATE = "grp string, horizon int, feature binary, at binary, value binary"
+PARTIAL = "grp string, horizon int, n binary, s binary"
+
+
+def _partials(regressor: str, p: int, horizons: list[int], depth: int, tree: int):
+    """Each task's histograms of a level (at ``TREE_DEPTH``: of the leaves), added up over its chunks; ``tree`` is the first one being grown."""
+    width = 2**depth
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, int], list[np.ndarray]] = {}
+
+        def told():
+            rows = [(g, h, n.tobytes(), s.tobytes()) for (g, h), (n, s) in sums.items()]
+            sums.clear()
+            kinds = (pa.string(), pa.int32(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 4, kinds, strict=True)],
+                                              names=[f.split()[0] for f in PARTIAL.split(", ")])
+
+        for batch in batches:
+            for grp, bins, y, w, horizon, feature, at, value in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if sums and (grp, horizon) not in sums and len(sums) >= 64:
+                    yield told()
+                bins = np.frombuffer(bins, np.int8).reshape(-1, p).astype(np.int64)
+                label = np.frombuffer(y, np.int64).reshape(len(bins), -1)[:, horizons.index(horizon)]
+                use = label != NO_LABEL
+                bins, label = bins[use], label[use]
+                feature, at = (np.frombuffer(x, np.int64).reshape(-1, INNER) for x in (feature, at))
+                own = np.ones((len(label), 1), np.int64) if regressor == DECISION_TREE else np.frombuffer(w, np.int8).reshape(-1, TREES)[use].astype(np.int64)
+                if regressor == GBT:
+                    own = own[:, tree, None]
+                    before = np.frombuffer(value, np.int64).reshape(-1, LEAVES)[:tree]
+                    label = boosted_labels(label, predicted(bins, feature[:tree], at[:tree], before) if tree else 0, tree)
+                    feature, at = feature[tree:tree + 1], at[tree:tree + 1]
+                node = leaf_of(bins, feature, at, depth)
+                n, s = histograms(bins[:, :1] if depth == TREE_DEPTH else bins, node, own, own * label[:, None], width)
+                if depth == TREE_DEPTH:
+                    n, s = n.sum(axis=3), s.sum(axis=3)
+                known = sums.setdefault((grp, horizon), [np.zeros_like(n), np.zeros_like(s)])
+                known[0] += n
+                known[1] += s
+        yield told()
+
+    return run
+
+
+def _advanced(regressor: str, p: int, depth: int, tree: int, seed: int):
+    """A group's trees with one more level (or the values of their leaves), from the tasks' histograms and the trees so far."""
+    def run(key, partials, state):
+        trees = 1 if regressor != RANDOM_FOREST else TREES
+        shape = (trees, 2**depth) if depth == TREE_DEPTH else (trees, 2**depth, p, BINS)
+        n, s = (sum(np.frombuffer(x.as_buffer(), np.int64) for x in partials.column(c)).reshape(shape) for c in ("n", "s"))
+        feature, at = (np.frombuffer(state.column(c)[0].as_py(), np.int64).reshape(-1, INNER).copy() for c in ("feature", "at"))
+        value = np.frombuffer(state.column("value")[0].as_py(), np.int64).reshape(-1, LEAVES).copy()
+        now = slice(tree, tree + trees)
+        if depth == TREE_DEPTH:
+            value[now] = leaf_values(n, s, STEP if regressor == GBT and tree else 1.0)
+        else:
+            here = slice(2**depth - 1, 2 ** (depth + 1) - 1)
+            allowed = allowed_features(p, seed)[:, here] if regressor == RANDOM_FOREST else None
+            feature[now, here], at[now, here] = best_splits(n, s, allowed)
+        return pa.table({"grp": [key[0].as_py()], "horizon": pa.array([key[1].as_py()], pa.int32()),
+                         **{c: pa.array([x.tobytes()], pa.binary()) for c, x in (("feature", feature), ("at", at), ("value", value))}})
+
+    return run
+
+
+def _finished(p: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for grp, horizon, *arrays in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                feature, at, value = (np.frombuffer(x, np.int64).reshape(-1, width) for x, width in zip(arrays, (INNER, INNER, LEAVES), strict=True))
+                out.append((grp, horizon, feature, at, value, p))
+            if out:
+                yield _model_batch(out)
+
+    return run
+
+
+def _fit_large(rows: DataFrame, sizes: DataFrame, regressor: str, p: int, horizons: list[int], seed: int, local_rows: int) -> DataFrame:
+    """Models of groups that no task holds: a pass over their chunks per level (boosting: per level and round)."""
+    spark, made = rows.sparkSession, []
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        made.append(fresh_path(spark, name))
+        df.write.parquet(made[-1])
+        return spark.read.schema(df.schema).parquet(made[-1])
+
+    # dealt out by rows, not by group; equal keys and draws are equal rows
+    dealt = rows.join(sizes.select("grp"), "grp").repartitionByRange("grp", "draws", "bins", "y").sortWithinPartitions("grp")
+    chunks = written(dealt.mapInArrow(_chunks(regressor, p, len(horizons), local_rows), CHUNK), "tree-chunks")
+    trees = tree_count(regressor)
+    empty = [np.full((trees, INNER), -1, np.int64), np.zeros((trees, INNER), np.int64), np.zeros((trees, LEAVES), np.int64)]
+    state = written(sizes.select("grp", F.explode(F.array(*[F.lit(h).cast("int") for h in horizons])).alias("horizon"),
+                                 *[F.lit(x.tobytes()).alias(c) for c, x in zip(("feature", "at", "value"), empty, strict=True)]), "tree-state")
+    state_bytes = sizes.count() * len(horizons) * sum(x.nbytes for x in empty)
+    for tree in range(trees if regressor == GBT else 1):
+        for depth in range(TREE_DEPTH + 1):
+            small = F.broadcast(state) if state_bytes <= BROADCAST_BYTES else state
+            partials = chunks.join(small, "grp").select("grp", "bins", "y", "w", "horizon", "feature", "at", "value").mapInArrow(
+                _partials(regressor, p, horizons, depth, tree), PARTIAL)
+            state = written(partials.groupBy("grp", "horizon").cogroup(state.groupBy("grp", "horizon"))
+                            .applyInArrow(_advanced(regressor, p, depth, tree, seed), STATE), "tree-state")
+    models = written(state.mapInArrow(_finished(p), MODEL), "tree-models")
+    for path in made[:-1]:
+        remove_path(spark, path)
+    return models
+
+
+# --- fit and score -----------------------------------------------------------------
 def fit_grouped_trees(df: DataFrame, features: Sequence[str], targets: dict, regressor: str, seed: int | None = None,
-                      pooled: bool = False) -> DataFrame:
-    """``(grp, horizon, feature, threshold, value, weight)``: each group's trees as arrays."""
-    seed, p = 0 if seed is None else seed, len(features)
-    cells, cuts = training_cells(df, features, targets, regressor, seed, pooled)
-    schema = T.StructType([T.StructField("grp", T.StringType()), T.StructField("horizon", T.IntegerType()),
-                           T.StructField("feature", T.ArrayType(T.IntegerType())), T.StructField("at", T.ArrayType(T.IntegerType())),
-                           T.StructField("value", T.ArrayType(T.DoubleType())), T.StructField("weight", T.ArrayType(T.DoubleType()))])
-
-    def fit(key, pdf):
-        feature, at, value, weight = _fit_group(regressor, p, seed, pdf)
-        return pd.DataFrame({"grp": [key[0]], "horizon": [int(key[1])], "feature": [feature.astype("int32")],
-                             "at": [at.astype("int32")], "value": [value], "weight": [weight]})
-
-    models = cells.groupBy("grp", "horizon").applyInPandas(fit, schema)
-    every = F.array(*[F.col(f"cuts_{j}") for j in range(p)])
-    threshold = F.expr("transform(feature, (f, i) -> CASE WHEN f >= 0 THEN cuts[f][at[i]] END)")
-    return models.join(cuts.select("grp", every.alias("cuts")), "grp").withColumn("threshold", threshold).select(
-        "grp", "horizon", "feature", "threshold", "value", "weight")
-
-
-def tree_prediction(features: Sequence[str], h) -> Column:
-    """Weighted sum of the leaves that a row reaches in its group's trees (null without features or trees)."""
-    xs = f"array({', '.join(f'cast({f} as double)' for f in features)})"
-    step = f"2 * node + 1 + if(feature_{h}[b + node] >= 0 and {xs}[feature_{h}[b + node]] > threshold_{h}[b + node], 1, 0)"
-    walk = f"aggregate(sequence(1, {TREE_DEPTH}), 0, (node, i) -> {step.replace('b + node', f't * {INNER} + node')})"
-    total = (f"aggregate(sequence(0, size(weight_{h}) - 1), 0D, (acc, t) -> "
-             f"acc + weight_{h}[t] * value_{h}[t * {LEAVES} + {walk} - {INNER}])")
-    present = " and ".join(f"{f} is not null and not isnan({f})" for f in features)
-    return F.expr(f"CASE WHEN weight_{h} is not null and {present} THEN {total} END")
+                      pooled: bool = False, local_rows: int | None = None) -> DataFrame:
+    """One row per group: grp, centre, deviation, unit, and per horizon ``value_h`` and ``masks_h`` (with feature_h, at_h the trees).
+
+    The fit runs here; the rows returned are a written table in the shared folder.
+    """
+    spark, seed, p, horizons = df.sparkSession, 0 if seed is None else seed, len(features), list(targets)
+    local_rows = local_rows or LOCAL_ROWS
+    rows, scales = training_rows(df, features, targets, regressor, seed, pooled)
+    path = {name: fresh_path(spark, f"tree-{name}") for name in ("rows", "scales", "fitted")}
+    scales.write.parquet(path["scales"])
+    scales = spark.read.schema(scales.schema).parquet(path["scales"])
+    rows.write.parquet(path["rows"])
+    rows = spark.read.schema(rows.schema).parquet(path["rows"])
+    sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("rows"))
+    large = sizes.where(F.col("rows") > local_rows)
+    fit = _fit_group(regressor, p, horizons, seed)
+    if large.limit(1).count():
+        small = rows.join(large, "grp", "left_anti").groupBy("grp").applyInArrow(fit, MODEL)
+        models = small.unionByName(_fit_large(rows, large, regressor, p, horizons, seed, local_rows))
+    else:
+        models = rows.groupBy("grp").applyInArrow(fit, MODEL)
+    wide = models.groupBy("grp").agg(*[F.max(F.when(F.col("horizon") == h, F.col(c))).alias(f"{c}_{h}")
+                                       for h in horizons for c in ("feature", "at", "value", "masks")])
+    scales.join(wide, "grp").write.parquet(path["fitted"])
+    remove_path(spark, path["rows"])
+    return spark.read.parquet(path["fitted"])
+
+
+def tree_prediction(features: Sequence[str], h, regressor: str) -> Column:
+    """The prediction of a row that has its group's model and its bins ``_bin_j`` (null without a model or features)."""
+    def reached(t: Column) -> Column:
+        mask = None
+        for j in range(len(features)):
+            m = F.col(f"masks_{h}")[(t * len(features) + j) * BINS + F.col(f"_bin_{j}")]
+            mask = m if mask is None else mask.bitwiseAND(m)
+        # leaf l has bit l - 1; 0 is leaf 0, and 0 - 1 has all 64 bits
+        leaf = F.pmod(F.bit_count((mask - 1).cast("bigint")) + 1, F.lit(65))
+        return F.col(f"value_{h}")[t * LEAVES + leaf]
+
+    trees = tree_count(regressor)
+    total = reached(F.lit(0)) if trees == 1 else F.aggregate(
+        F.sequence(F.lit(0), F.lit(trees - 1)), F.lit(0).cast("bigint"), lambda so_far, t: so_far + reached(t))
+    mean = total / F.lit(float(TREES)) if regressor == RANDOM_FOREST else total.cast("double")
+    return F.when(_present(features) & F.col(f"masks_{h}").isNotNull(), mean * (F.col("unit") / F.lit(float(PARTS))))
+
+
+def _present(features: Sequence[str]) -> Column:
+    out = F.lit(True)
+    for f in features:
+        out = out & F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double"))
+    return out
+
+
+def score_rows(x: DataFrame, columns: list[str], features: Sequence[str], predictions: dict, regressor: str) -> DataFrame:
+    """``columns`` of rows joined with their group's model, and a prediction per horizon (``predictions``: h -> name)."""
+    model = ["centre", "deviation", "unit", *[f"{c}_{h}" for h in predictions for c in ("value", "masks")]]
+    binned = x.select(*columns, *model, *[bin_of(_standardised(f, j)).cast("int").alias(f"_bin_{j}") for j, f in enumerate(features)])
+    return binned.select(*columns, *[tree_prediction(features, h, regressor).alias(name) for h, name in predictions.items()])
+
+
+def score_piece(piece: DataFrame, blocked: bool, models: DataFrame, features: Sequence[str], predictions: dict, regressor: str, pooled: bool) -> DataFrame:
+    """A piece's rows with their predictions, where they are; only the model table moves."""
+    models = models.drop(*[c for c in models.columns if c.startswith(("feature_", "at_"))])
+    if pooled:
+        x = piece.withColumn("grp", F.lit("all")).join(F.broadcast(models), "grp", "left")  # one row
+    elif blocked:
+        per_block = piece.select(SERIES, ordered.BLOCK).distinct().join(models.withColumnRenamed("grp", SERIES), SERIES, "left")
+        x = piece.join(per_block, [SERIES, ordered.BLOCK], "left")
+    else:
+        x = piece.join(models.withColumnRenamed("grp", SERIES), SERIES, "left")
+    return score_rows(x, piece.columns, features, predictions, regressor)
+
+
+def models_report(models: DataFrame, horizons) -> DataFrame:
+    """(grp, horizon, feature, at, value): each group's trees as arrays."""
+    rows = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), *[F.col(f"{c}_{h}").alias(c) for c in ("feature", "at", "value")]) for h in horizons]))
+    return models.select("grp", rows.alias("m")).where("m.feature is not null").select("grp", "m.*")
 
 
 def fit_score_trees(pieces, features: Sequence[str], targets: dict, regressor: str, mode: str = "per_series",
@@ -229,19 +537,8 @@ def fit_score_trees(pieces, features: Sequence[str], targets: dict, regressor: s
     every = pieces[0][0]
     for f, _ in pieces[1:]:
         every = every.unionByName(f)
-    models = fit_grouped_trees(every, features, targets, regressor, seed, mode == "pooled")
-    wide = models.groupBy("grp").agg(*[
-        F.max(F.when(F.col("horizon") == h, F.col(c))).alias(f"{c}_{h}")
-        for h in targets for c in ("feature", "threshold", "value", "weight")])
-    scored = []
-    for piece, blocked in pieces:
-        x = piece.withColumn("grp", F.lit("all") if mode == "pooled" else F.col(SERIES))
-        if mode == "pooled":
-            x = x.join(F.broadcast(wide), "grp", "left")  # one row
-        elif blocked:
-            per_block = piece.select(SERIES, ordered.BLOCK).distinct().join(wide.withColumnRenamed("grp", SERIES), SERIES, "left")
-            x = piece.join(per_block, [SERIES, ordered.BLOCK], "left")
-        else:
-            x = piece.join(wide.withColumnRenamed("grp", SERIES), SERIES, "left")
-        scored.append((x.select(*piece.columns, *[tree_prediction(features, h).alias(t[2]) for h, t in targets.items()]), blocked))
-    return scored, models
+    pooled = mode == "pooled"
+    models = fit_grouped_trees(every, features, targets, regressor, seed, pooled)
+    predictions = {h: t[2] for h, t in targets.items()}
+    scored = [(score_piece(piece, blocked, models, features, predictions, regressor, pooled), blocked) for piece, blocked in pieces]
+    return scored, models_report(models, list(targets))

@@ -11,6 +11,8 @@ decimals, like the Spark side; ``+ 0.0`` turns a rounded negative zero into
 
 from __future__ import annotations
 
+import math
+
 H = 5
 LAGS = 3
 REG, ALPHA, RATIO = 0.4, 0.1, 0.7  # fixed values of the linear model and split
@@ -152,50 +154,98 @@ def linear_ctes(hs, lags: int, more=()) -> str:
     )
 
 
-def tree_ctes(hs, lags: int) -> str:
-    """Adds ``scored`` for one depth-5 tree per series and horizon, grown level by level."""
-    from panelcast.operators.trees import BINS, CUTS, INNER, LEAST_GAIN, TREE_DEPTH
-
-    feats = ["diff"] + [f"lag_{i}" for i in range(1, lags + 1)]
-    zs = "[" + ", ".join(f"{z!r}" for z in CUTS) + "]"
-    trains = " OR ".join(f"train_{h}" for h in hs)
-    moments = ", ".join(f"avg({f}) AS m_{f}, stddev_pop({f}) AS d_{f}" for f in feats)
-    bins = ", ".join(f"len(list_filter({zs}, lambda z: round(t.m_{f} + t.d_{f} * z, 6) < s.{f})) AS b{j}" for j, f in enumerate(feats))
-    long = " UNION ALL ".join(
-        f"SELECT series_id, ts, tiebreak, {h} AS horizon, train_{h} AS tr, CAST(label_{h} AS DECIMAL(28, 6)) AS y, "
-        f"{', '.join(f'b{j}' for j in range(len(feats)))}, 0 AS node FROM binned WHERE "
-        + " AND ".join(_present(f) for f in feats) for h in hs)
-    out = [f"cuts AS (SELECT series_id, {moments} FROM s WHERE {trains} GROUP BY series_id)",
-           f"binned AS (SELECT s.*, {bins} FROM s JOIN cuts t ON s.series_id IS NOT DISTINCT FROM t.series_id)",
-           f"n0 AS ({long})"]
-    for d in range(TREE_DEPTH):
-        hist = " UNION ALL ".join(
-            f"SELECT series_id, horizon, node, {j} AS f, b{j} AS b, count(*) AS n, CAST(sum(y) AS DOUBLE) AS s, sum(y) AS x FROM n{d} WHERE tr GROUP BY ALL"
-            for j in range(len(feats)))
-        own = "PARTITION BY series_id, horizon, node, f"
+#: Fixed values of the tree models: cut points in deviations, cumulated Poisson(0.8) chances in 2**32 parts.
+TREE_CUTS = (
+    "[-1.862731867, -1.534120544, -1.318010897, -1.15034938, -1.009990169, -0.887146559, -0.776421761, -0.67448975, -0.579132162, "
+    "-0.488776411, -0.402250065, -0.318639364, -0.237202109, -0.157310685, -0.078412413, 0.0, 0.078412413, 0.157310685, 0.237202109, "
+    "0.318639364, 0.402250065, 0.488776411, 0.579132162, 0.67448975, 0.776421761, 0.887146559, 1.009990169, 1.15034938, 1.318010897, "
+    "1.534120544, 1.862731867]")
+
+
+def _poisson_sql() -> str:
+    """How often a row counts in a forest's tree, from a draw u below 2**32."""
+    return "(" + " + ".join(
+        f"CASE WHEN u >= CAST('{sum(math.exp(-0.8) * 0.8 ** i / math.factorial(i) for i in range(k + 1)) * 2**32!r}' AS DOUBLE) THEN 1 ELSE 0 END"
+        for k in range(8)) + ")"
+
+
+def tree_ctes(kind: str, seed: int):
+    """Adds ``scored`` for depth-5 trees grown level by level: ``kind`` is "tree", "forest" (20 trees) or "gbt" (20 rounds)."""
+    def ctes(hs, lags: int) -> str:
+        feats = ["diff"] + [f"lag_{i}" for i in range(1, lags + 1)]
+        p, bs = len(feats), ", ".join(f"b{j}" for j in range(lags + 1))
+        trains = " OR ".join(f"train_{h}" for h in hs)
+        moments = ", ".join(f"stddev_pop({f}) AS d{j}, CASE WHEN stddev_pop({f}) > 0 THEN round(avg({f}) / stddev_pop({f}), 6) ELSE 0.0 END AS m{j}"
+                            for j, f in enumerate(feats))
+        largest = ", ".join(f"CASE WHEN train_{h} THEN abs(label_{h}) END" for h in hs)
+        bins = ", ".join(f"len(list_filter({TREE_CUTS}, lambda z: z < CASE WHEN d{j} > 0 THEN s.{f} / d{j} - m{j} ELSE 0.0 END)) AS b{j}"
+                         for j, f in enumerate(feats))
+        long = " UNION ALL ".join(
+            f"SELECT series_id, ts, tiebreak, {h} AS horizon, train_{h} AS tr, unit, CAST(floor(label_{h} / unit * 4294967296.0 + 0.5) AS BIGINT) AS y, "
+            f"{bs} FROM binned WHERE " + " AND ".join(_present(f) for f in feats) for h in hs)
+        drawn = (f"SELECT r.*, t.t, CAST(concat('0x', substr(md5(concat('k', series_id, '|', epoch_us(ts), '|', tiebreak, '|', {seed}, '|', t.t // 4)), "
+                 f"1 + 8 * (t.t % 4), 8)) AS BIGINT) AS u FROM rows0 r, range(20) t(t)")
+        weight = {"tree": "1", "forest": _poisson_sql(), "gbt": "CASE WHEN u < 0.8 * 4294967296.0 THEN 1 ELSE 0 END"}[kind]
+        out = [
+            f"scales AS MATERIALIZED (SELECT series_id, {moments}, CASE WHEN max(greatest({largest}, 0.0)) > 0 THEN max(greatest({largest}, 0.0)) ELSE 1.0 END AS unit "
+            f"FROM s WHERE {trains} GROUP BY series_id)",
+            f"binned AS MATERIALIZED (SELECT s.*, unit, {bins} FROM s JOIN scales t ON s.series_id IS NOT DISTINCT FROM t.series_id)",
+            f"rows0 AS MATERIALIZED ({long})",
+            "drawn AS MATERIALIZED (" + ("SELECT *, 0 AS t, 0 AS u FROM rows0" if kind == "tree" else drawn) + ")",
+            f"weighted AS MATERIALIZED (SELECT * EXCLUDE (u), {weight} AS w FROM drawn)",
+            f"allowed AS MATERIALIZED (SELECT t, node, f FROM (SELECT t, node, f, row_number() OVER (PARTITION BY t, node ORDER BY "
+            f"md5(concat(t, '|', node, '|', f, '|', {seed})), f) AS k FROM range(20) t(t), range(31) n(node), range({p}) f(f)) "
+            f"WHERE k <= {math.ceil(p / 3)})",
+        ]
+        key = "series_id, horizon, t"
+
+        def grown(name: str, source: str, step: str) -> str:
+            """CTEs name_0 .. name_5 (rows with their node) and name_v (leaves' values)."""
+            out.append(f"{name}_0 AS MATERIALIZED (SELECT *, 0 AS node FROM {source})")
+            for d in range(5):
+                hist = " UNION ALL ".join(f"SELECT {key}, node, {j} AS f, b{j} AS b, sum(w) AS n, sum(w * y) AS x FROM {name}_{d} WHERE tr GROUP BY ALL"
+                                          for j in range(p))
+                own = f"PARTITION BY {key}, node, f"
+                cumulated = (f"SELECT *, CAST(sum(n) OVER ({own} ORDER BY b) AS DOUBLE) AS nl, CAST(sum(x) OVER ({own} ORDER BY b) AS DOUBLE) AS sl, "
+                             f"CAST(sum(n) OVER ({own}) AS DOUBLE) AS na, CAST(sum(x) OVER ({own}) - sum(x) OVER ({own} ORDER BY b) AS DOUBLE) AS sr FROM ({hist})")
+                apart = "(sl * (na - nl) - sr * nl)"
+                gains = (f"SELECT {key}, node, f, b, {apart} * {apart} / (nl * (na - nl) * na) AS gain FROM ({cumulated}) WHERE nl > 0 AND na > nl"
+                         + (" AND (t, node, f) IN (SELECT (t, node, f) FROM allowed)" if kind == "forest" else ""))
+                out.append(f"{name}_s{d} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key}, node ORDER BY gain DESC, f, b) AS k "
+                           f"FROM ({gains})) WHERE k = 1 AND gain > 0)")
+                here = " ".join(f"WHEN p.f = {j} AND r.b{j} > p.b THEN 1" for j in range(p))
+                out.append(f"{name}_{d + 1} AS MATERIALIZED (SELECT r.* EXCLUDE (node), 2 * r.node + 1 + CASE {here} ELSE 0 END AS node FROM {name}_{d} r "
+                           f"LEFT JOIN {name}_s{d} p ON r.series_id IS NOT DISTINCT FROM p.series_id AND r.horizon = p.horizon AND r.t = p.t AND r.node = p.node)")
+            out.append(f"{name}_v AS MATERIALIZED (SELECT {key}, node, CAST(floor(CAST(sum(w * y) AS DOUBLE) / CAST(sum(w) AS DOUBLE) * {step} + 0.5) AS BIGINT) AS v "
+                       f"FROM {name}_5 WHERE tr GROUP BY ALL HAVING sum(w) > 0)")
+            return (f"{name}_5 r LEFT JOIN {name}_v v ON r.series_id IS NOT DISTINCT FROM v.series_id AND r.horizon = v.horizon AND r.t = v.t AND r.node = v.node")
+
+        if kind == "gbt":
+            for t in range(20):
+                label = "y" if t == 0 else "2 * (w.y - l.so_far)"
+                source = f"(SELECT w.* EXCLUDE (y), {label} AS y FROM weighted w WHERE t = 0)" if t == 0 else (
+                    f"(SELECT w.* EXCLUDE (y), {label} AS y FROM weighted w JOIN so{t - 1} l ON w.series_id IS NOT DISTINCT FROM l.series_id "
+                    f"AND w.ts = l.ts AND w.tiebreak = l.tiebreak AND w.horizon = l.horizon WHERE w.t = {t})")
+                joined = grown(f"r{t}", source, "1.0" if t == 0 else "0.1")
+                before = "" if t == 0 else (f" JOIN so{t - 1} l ON r.series_id IS NOT DISTINCT FROM l.series_id AND r.ts = l.ts AND r.tiebreak = l.tiebreak "
+                                            f"AND r.horizon = l.horizon")
+                out.append(f"so{t} AS MATERIALIZED (SELECT r.series_id, r.ts, r.tiebreak, r.horizon, r.unit, {'' if t == 0 else 'l.so_far + '}coalesce(v.v, 0) AS so_far "
+                           f"FROM {joined}{before})")
+            out.append("told AS (SELECT series_id, ts, tiebreak, horizon, CAST(so_far AS DOUBLE) * (unit / 4294967296.0) AS v FROM so19)")
+        else:
+            mean = " / 20.0" if kind == "forest" else ""
+            joined = grown("r", "weighted", "1.0")
+            out.append(f"told AS (SELECT r.series_id, ts, tiebreak, r.horizon, CAST(sum(coalesce(v.v, 0)) AS DOUBLE){mean} * (any_value(unit) / 4294967296.0) AS v "
+                       f"FROM {joined} GROUP BY r.series_id, ts, tiebreak, r.horizon)")
+        dz = ", ".join(f"max(v) FILTER (WHERE horizon = {h}) AS DeltaZ{h}" for h in hs)
         out += [
-            f"h{d} AS ({hist})",
-            f"c{d}x AS (SELECT *, CAST(sum(n) OVER ({own} ORDER BY b) AS DOUBLE) AS nl, CAST(sum(x) OVER ({own} ORDER BY b) AS DOUBLE) AS sl, "
-            f"CAST(sum(n) OVER ({own}) AS DOUBLE) AS na, CAST(sum(x) OVER ({own}) AS DOUBLE) AS sa, "
-            f"CAST(sum(x) OVER ({own}) - sum(x) OVER ({own} ORDER BY b) AS DOUBLE) AS sr FROM h{d})",
-            f"g{d} AS (SELECT *, sl * sl / nl + sr * sr / (na - nl) - sa * sa / na AS gain FROM c{d}x WHERE na > nl)",
-            f"p{d} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id, horizon, node ORDER BY gain DESC, f, b) AS k "
-            f"FROM g{d}) WHERE k = 1 AND gain > {LEAST_GAIN})",
+            f"dz AS (SELECT series_id, ts, tiebreak, {dz} FROM told GROUP BY ALL)",
+            "scored AS (SELECT s.*, " + ", ".join(f"dz.DeltaZ{h}" for h in hs) + " FROM s LEFT JOIN dz "
+            "ON s.series_id IS NOT DISTINCT FROM dz.series_id AND s.ts = dz.ts AND s.tiebreak = dz.tiebreak)",
         ]
-        here = " ".join(f"WHEN p.f = {j} AND r.b{j} > p.b THEN 1" for j in range(len(feats)))
-        out.append(f"n{d + 1} AS (SELECT r.* EXCLUDE (node), 2 * r.node + 1 + CASE {here} ELSE 0 END AS node FROM n{d} r LEFT JOIN p{d} p "
-                   f"ON r.series_id IS NOT DISTINCT FROM p.series_id AND r.horizon = p.horizon AND r.node = p.node)")
-    last = f"n{TREE_DEPTH}"
-    dz = ", ".join(f"max(v) FILTER (WHERE horizon = {h}) AS DeltaZ{h}" for h in hs)
-    out += [
-        f"leaf AS (SELECT series_id, horizon, node, CAST(sum(y) AS DOUBLE) / count(*) AS v FROM {last} WHERE tr GROUP BY ALL)",
-        f"dz AS (SELECT r.series_id, r.ts, r.tiebreak, {dz} FROM (SELECT r.*, l.v FROM {last} r LEFT JOIN leaf l "
-        f"ON r.series_id IS NOT DISTINCT FROM l.series_id AND r.horizon = l.horizon AND r.node = l.node) r GROUP BY ALL)",
-        "scored AS (SELECT s.*, " + ", ".join(f"dz.DeltaZ{h}" for h in hs) + " FROM s LEFT JOIN dz "
-        "ON s.series_id IS NOT DISTINCT FROM dz.series_id AND s.ts = dz.ts AND s.tiebreak = dz.tiebreak)",
-    ]
-    assert BINS == len(CUTS) + 1 and INNER == 2**TREE_DEPTH - 1
-    return ", ".join(out)
+        return ", ".join(out)
+
+    return ctes
 
 
 def predictions_ctes(hs, digits: int = 6) -> str:
@@ -392,7 +442,9 @@ def oracle_queries() -> dict[str, str]:
         "forecast_nulls": forecast_sql("events_gaps"),
         "forecast_linear_lags": forecast_lags_sql("events_by_type", hs, LAGS),
         "forecast_single_series": forecast_lags_sql("events_single", range(1, 7), 4),
-        "forecast_tree": forecast_lags_sql("events_by_type", hs, LAGS, tree_ctes),
+        "forecast_tree": forecast_lags_sql("events_by_type", hs, LAGS, tree_ctes("tree", 7)),
+        "forecast_forest": forecast_lags_sql("events_by_type", hs, LAGS, tree_ctes("forest", 7)),
+        "forecast_gbt": forecast_lags_sql("events_by_type", hs, LAGS, tree_ctes("gbt", 7)),
         "forecast_purged": forecast_sql("events_by_type", purge=True),
         "forecast_tail_drop": forecast_sql("events_by_type", drop=True),
         "forecast_generators": (
@@ -418,8 +470,8 @@ def oracle_queries() -> dict[str, str]:
             + " FROM m GROUP BY series_id, split"
         ),
         "legacy_csv_roundtrip": _with_forecast(
-            "events_by_type", hs,
+            "events_single", hs,
             "SELECT row_number AS \"Row Number\", ts AS \"Date\", value AS \"Close\", "
-            + ", ".join(f"DeltaZ{h}, forecast_{h}day, actual_{h}day" for h in hs) + ", split FROM pred WHERE series_id = 'click'"),
+            + ", ".join(f"DeltaZ{h}, forecast_{h}day, actual_{h}day" for h in hs) + ", split FROM pred"),
         "stationarity_df": df_rows,
     }

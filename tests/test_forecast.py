@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_MID, SF_SMALL, panel_from_rows
 from panelcast import ForecastConfig, forecast_panel
+from panelcast.operators import trees
 from panelcast.operators.trees import DECISION_TREE, GBT, RANDOM_FOREST
 from panelcast.sources.panel import events_by_type, events_by_user, events_single
 
@@ -134,8 +135,6 @@ def test_one_tree_model_per_series_at_any_number_of_series(spark):
 
 
 def test_a_tree_equals_a_greedy_one_by_hand():
-    from panelcast.operators.trees import grow
-
     rng = np.random.default_rng(4)
     bins, y = rng.integers(0, 32, size=(300, 3)), rng.integers(-1000, 1000, size=300).astype(float)
 
@@ -155,11 +154,54 @@ def test_a_tree_equals_a_greedy_one_by_hand():
             return {tuple(rows): y[rows].mean()}
         return split(best[1][0], depth + 1) | split(best[1][1], depth + 1)
 
-    _, _, value, leaf = grow(bins, np.ones((300, 2)), np.stack([y, y], axis=1))
+    label = (y * 2**20).astype(np.int64)
+    feature, at, value = trees.grow(bins, np.ones((300, 2), np.int64), np.stack([label, label], axis=1))
+    leaf = trees.leaf_of(bins, feature, at)
     assert (leaf[:, 0] == leaf[:, 1]).all()
-    got = {tuple(np.flatnonzero(leaf[:, 0] == k)): value[1, k] for k in set(leaf[:, 0].tolist())}
+    got = {tuple(np.flatnonzero(leaf[:, 0] == k)): value[1, k] / 2**20 for k in set(leaf[:, 0].tolist())}
     want = split(np.arange(300), 0)
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
+def test_masks_lead_to_the_leaf_of_the_walk():
+    rng = np.random.default_rng(2)
+    bins = rng.integers(0, 32, size=(500, 4))
+    feature, at = rng.integers(-1, 4, size=(20, trees.INNER)), rng.integers(0, 31, size=(20, trees.INNER))
+    masks = trees.masks_of(feature, at, 4)
+    left = np.full((500, 20), 2**31 - 1)
+    for j in range(4):
+        left &= masks[:, j, :].T[bins[:, j]]
+    leaf = trees.leaf_of(bins, feature, at)
+    assert (left == np.where(leaf > 0, 1 << np.maximum(leaf - 1, 0), 0)).all()
+
+
+def _fitted(spark, panel, regressor, **kw):
+    cfg = ForecastConfig(horizons=2, lags=2, regressor=regressor, seed=5, hot_series_rows=None, **kw)
+    return {(r.grp, r.horizon): (r.feature, r.at, r.value) for r in forecast_panel(panel, cfg).models.collect()}
+
+
+@pytest.mark.parametrize("regressor", [DECISION_TREE, RANDOM_FOREST, GBT])
+def test_groups_larger_than_a_task_get_the_same_trees(spark, monkeypatch, regressor):
+    if regressor == GBT:
+        monkeypatch.setattr(trees, "TREES", 3)  # each round is several passes
+    p = events_by_type(spark, SF_SMALL).where("series_id in ('click', 'view')").unionByName(events_single(spark, SF_SMALL))
+    whole = _fitted(spark, p, regressor)
+    monkeypatch.setattr(trees, "LOCAL_ROWS", 150)  # 'all' is packed into chunks, the others are not
+    assert _fitted(spark, p.repartition(5), regressor) == whole
+    monkeypatch.setattr(trees, "BROADCAST_BYTES", 0)
+    if regressor == RANDOM_FOREST:
+        assert _fitted(spark, p, regressor) == whole
+
+
+@pytest.mark.parametrize("regressor", [DECISION_TREE, RANDOM_FOREST])
+def test_trees_do_not_depend_on_scale(spark, regressor):
+    p = events_by_type(spark, SF_SMALL)
+    whole = _fitted(spark, p, regressor)
+    for factor in (1e-8, 1e8):
+        scaled = _fitted(spark, p.withColumn("value", F.col("value") * factor), regressor)
+        assert {k: v[:2] for k, v in scaled.items()} == {k: v[:2] for k, v in whole.items()}
+        far = max(abs(a - b) for k, v in scaled.items() for a, b in zip(v[2], whole[k][2]))
+        assert far <= 16  # of 2**32 parts of the largest label
 
 
 def test_a_null_series_is_a_series_of_its_own(spark):
