@@ -29,7 +29,7 @@ from panelcast.llm.common import text_or_empty, written
 
 PIECES = "part int, nth long, id long, piece int, start long, length long, ids_crc32 long"
 REMEMBERED_BYTES = 96_000_000  # of words, and half as many of pre-tokens, whose ids a worker remembers; results don't depend on it
-ENTRY_BYTES = 200  # of a remembered word beside its own bytes and its ids
+ENTRY_BYTES = 280  # of a remembered word beside its own bytes and its ids
 BETWEEN = b"\xff" * 4
 TEXT_BYTES = 4_000_000  # bytes of text (or one text) looked up at once
 
@@ -122,13 +122,16 @@ class Remembered:
         """Of ``keys``, those without a value; the others are in ``young`` until the next call."""
         if self.bytes > self.half:
             self.old, self.young, self.bytes = self.young, {}, 0
-        new = keys - self.young.keys()
-        again = list(new & self.old.keys())
-        self.put(again, list(map(self.old.__getitem__, again)))
-        return list(new.difference(again))
-
-    def put(self, keys: list, values: list) -> None:
-        self.bytes += sum(map(len, keys)) + sum(map(len, values)) + ENTRY_BYTES * len(keys)
+        new = keys.difference(self.young)
+        unknown = new.difference(self.old)
+        again = list(new.difference(unknown))
+        values = list(map(self.old.__getitem__, again))
+        self.put(again, values, sum(map(len, again)) + sum(map(len, values)))
+        return list(unknown)
+
+    def put(self, keys: list, values: list, size: int) -> None:
+        """``size``: the length of all keys and values."""
+        self.bytes += size + ENTRY_BYTES * len(keys)
         self.young.update(zip(keys, values, strict=True))
 
 
@@ -154,8 +157,8 @@ class WordIds:
         # bytes stand for themselves as printable characters, as byte-level BPE has it
         printable = {b for r in (range(33, 127), range(161, 173), range(174, 256)) for b in r}
         spare = iter(range(256, 512))
-        self.shown = {b: next(spare) for b in range(256) if b not in printable}
-        del self.shown[32]  # the separator below
+        self.shown = np.array([b if b in printable else next(spare) for b in range(256)], "<u4")
+        self.shown[32] = 32  # the separator below
         spec = json.loads(self.merges.to_str())
         suffix = spec["model"].get("end_of_word_suffix")
         known_form = (suffix and [n["type"] for n in spec["normalizer"].get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
@@ -204,24 +207,26 @@ class WordIds:
         if plain and self.plain.pattern == "(?!)":
             plain, other = [], words
         found = self.whole.encode_batch([w.decode() for w in other], add_special_tokens=False)
-        self.words.put(other, [np.array(e.ids, dtype="<u4").tobytes() for e in found])
+        values = [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        self.words.put(other, values, sum(map(len, other)) + sum(map(len, values)))
         if not plain:
             return
         cut = self.find(joined.lower())
         new = [p for p in self.pretokens.missing(set(cut)) if p != "\n"]
         for a in range(0, len(new), 4096):
             some = new[a:a + 4096]
-            shown = " ".join(some).encode().decode("latin-1").translate(self.shown)
+            shown = self.shown[np.frombuffer(" ".join(some).encode(), np.uint8)].tobytes().decode("utf-32-le")
             ids = np.array(self.merges.encode_batch_fast([shown], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = (np.flatnonzero(self.last[ids]) + 1) * 4
             if len(ends) != len(some):
                 raise RuntimeError("the tokenizer does not mark the ends of words")
             raw, ends = ids.tobytes(), ends.tolist()
-            self.pretokens.put(some, [raw[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)])
+            self.pretokens.put(some, [raw[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)], len(shown) + len(raw))
         # ids have a zero byte among any four, so the mark between words is found nowhere else
         self.pretokens.young["\n"] = BETWEEN
         known = self.pretokens.young
-        self.words.put(plain, b"".join(map(known.__getitem__, cut)).split(BETWEEN))
+        encoded = b"".join(map(known.__getitem__, cut))
+        self.words.put(plain, encoded.split(BETWEEN), len(joined) + len(encoded))
 
 
 def word_ids(path: str) -> WordIds:

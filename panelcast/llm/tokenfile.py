@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import text_or_empty
+from panelcast.llm.common import small_batches, text_or_empty
 from panelcast.llm.packing import word_ids
 
 # --- fixed values of the seekable layout ----------------------------------------
@@ -221,7 +221,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, *, end_id: i
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("tie"),
                        F.monotonically_increasing_id().alias("row"))
     sorted_rows = rows.repartitionByRange(*keys).sortWithinPartitions("id", "tie", "text").select("id", "text")
-    sorted_rows.mapInArrow(_write(tokenizer_path, end_id, address), MANIFEST).write.parquet(f"{folder}/manifest")
+    with small_batches(spark):
+        sorted_rows.mapInArrow(_write(tokenizer_path, end_id, address), MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
