@@ -360,6 +360,39 @@ def forecast_single_series(spark, sf):
     return _round(r.predictions, _pred_cols(range(1, 7)))
 
 
+def _past_and_later(spark, sf):
+    """The events up to three quarters of their time, and those after."""
+    events = P.events_by_type(spark, sf)
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    first, last = events.agg(F.min(micros), F.max(micros)).first()
+    cut = F.lit((first + 3 * last) // 4)
+    return events.where(micros <= cut), events.where(micros > cut)
+
+
+def score_new_rows(spark, sf):
+    """Fit on the past, save, load, score the later rows with the history that the model kept."""
+    from panelcast.plans.model import PanelForecaster, PanelForecastModel
+    from panelcast.session import fresh_path
+
+    past, later = _past_and_later(spark, sf)
+    path = fresh_path(spark, "saved-model")
+    PanelForecaster(horizons=H, lags=LAGS).fit(past).write().save(path)
+    names = [c for h in range(1, H + 1) for c in (f"DeltaZ{h}", f"forecast_{h}day")]
+    return _round(PanelForecastModel.load(path).transform(later), names)
+
+
+def score_new_rows_forest(spark, sf):
+    """The same with a forest, in two steps: the first half of the later rows is the second half's history."""
+    from panelcast.plans.model import PanelForecaster
+
+    past, later = _past_and_later(spark, sf)
+    model = PanelForecaster(horizons=H, lags=LAGS, regressor=RANDOM_FOREST, seed=7).fit(past)
+    middle = later.agg(F.percentile_approx("ts", 0.5)).first()[0]
+    first, second = later.where(F.col("ts") <= F.lit(middle)), later.where(F.col("ts") > F.lit(middle))
+    names = [c for h in range(1, H + 1) for c in (f"DeltaZ{h}", f"forecast_{h}day")]
+    return _round(model.transform(first).unionByName(model.advanced(first).transform(second)), names)
+
+
 def stationarity_df(spark, sf):
     return _round(dickey_fuller(P.events_by_type(spark, sf)), ["slope", "stat"])
 
@@ -422,6 +455,8 @@ QUERIES = {
     "forecast_tree": _lagged(DECISION_TREE, seed=7),
     "forecast_forest": _lagged(RANDOM_FOREST, seed=7),
     "forecast_gbt": _lagged(GBT, seed=7),
+    "score_new_rows": score_new_rows,
+    "score_new_rows_forest": score_new_rows_forest,
     "stationarity_adf": stationarity_adf,
     "stationarity_autolag": stationarity_autolag,
 }

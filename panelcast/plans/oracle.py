@@ -32,6 +32,11 @@ PANELS = {
         "SELECT event_type AS series_id, ts, event_id AS tiebreak, CASE WHEN event_id % 7 = 3 THEN NULL ELSE value END AS value "
         "FROM events WHERE ts IS NOT NULL"
     ),
+    # up to three quarters of the time
+    "events_past": (
+        "SELECT event_type AS series_id, ts, event_id AS tiebreak, value FROM events WHERE epoch_us(ts) <= "
+        "(SELECT (min(epoch_us(ts)) + 3 * max(epoch_us(ts))) // 4 FROM events)"
+    ),
     "orders_daily": (
         "SELECT o_orderpriority AS series_id, o_orderdate AS ts, CAST(0 AS BIGINT) AS tiebreak, "
         "CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value "
@@ -289,6 +294,23 @@ def forecast_lags_sql(panel: str, hs, lags: int, model=linear_ctes) -> str:
     return f"WITH RECURSIVE {features_ctes(panel, hs, lags)}, {model(hs, lags)}, {predictions_ctes(hs)} SELECT * FROM pred"
 
 
+def new_rows_sql(hs, lags: int) -> str:
+    """The linear model of the past applied to the later rows, with features over all rows."""
+    feats = ["diff"] + [f"lag_{i}" for i in range(1, lags + 1)]
+    lag_cols = "".join(f", lag(diff, {i}) OVER ({W}) AS lag_{i}" for i in range(1, lags + 1))
+    cols, running = [], "value"
+    for h in hs:
+        delta = f"(i{h}" + "".join(f" + w{h}_{j} * {f}" for j, f in enumerate(feats)) + ")"
+        running = f"{running} + {delta}"
+        cols += [f"round({delta}, 6) + 0.0 AS DeltaZ{h}", f"round({running}, 6) + 0.0 AS forecast_{h}day"]
+    return (
+        f"WITH RECURSIVE {features_ctes('events_past', hs, lags)}, {linear_ctes(hs, lags)}, every AS ({PANELS['events_by_type']}), "
+        f"changes AS (SELECT *, value - first_value(value) OVER ({W} ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS diff FROM every), "
+        f"lagged AS (SELECT *{lag_cols} FROM changes) "
+        f"SELECT lagged.series_id, ts, tiebreak, value, {', '.join(cols)} FROM lagged LEFT JOIN coefw ON lagged.series_id IS NOT DISTINCT FROM coefw.series_id "
+        f"WHERE epoch_us(ts) > (SELECT (min(epoch_us(ts)) + 3 * max(epoch_us(ts))) // 4 FROM events)")
+
+
 def _with_forecast(panel: str, hs, tail: str) -> str:
     hs = list(hs)
     return f"WITH {features_ctes(panel, hs, 0)}, {linear0_ctes(panel, hs)}, {predictions_ctes(hs)} {tail}"
@@ -473,5 +495,6 @@ def oracle_queries() -> dict[str, str]:
             "events_single", hs,
             "SELECT row_number AS \"Row Number\", ts AS \"Date\", value AS \"Close\", "
             + ", ".join(f"DeltaZ{h}, forecast_{h}day, actual_{h}day" for h in hs) + ", split FROM pred"),
+        "score_new_rows": new_rows_sql(hs, LAGS),
         "stationarity_df": df_rows,
     }
