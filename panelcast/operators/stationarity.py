@@ -14,7 +14,7 @@ from one grouped aggregation, so no series is ever gathered in one place.
   values, vectorised in ``mapInPandas`` over one row per series.
 
 * ``adf_autolag``: the lag order chosen by AIC per series (the usual
-  default of the test), from one moment table per series.
+  default of the test), from lagged product sums.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -170,109 +171,115 @@ def adf_autolag(panel: DataFrame, maxlag: int | None = None, **cfg_kw) -> DataFr
 
     Distributed as:
 
-    * moments ``Z'Z`` of ``Z = [1, y_(t-1) - mean, dy lags 1..m, dy_t]``
-      over the common sample, partial sums per batch with numpy, added up by
-      ``groupBy(series_id, i, j)``: ``(m+3)^2 / 2`` entries per series,
-      whatever the series length;
-    * the rows ``1 <= t <= m`` of each series (at most m, a small table),
-      added to the moments for the final regression;
-    * one small solve per series (nested sub-matrices for every order).
-
-    The bound grows with the series length, and the lag columns of a pass
-    follow its longest series.  Series are therefore processed in buckets
-    of ``floor(log2(m + 1))``, so no row carries more than about twice its
-    own series' lags.
+    * blocks of at most ``block_rows`` rows with the rows before them that
+      their lags need; each gives, for k = 0..m, the sums of
+      ``dy_t * dy_(t-k)`` and ``y_(t-1) * dy_(t-k)``, which are added up by
+      series and k: no row carries lagged columns, and 2 (m + 1) numbers stay
+      of a block whatever its length;
+    * the first and last m + 2 rows of each series, which turn these sums
+      into the moments of any sample (they only differ at the edges);
+    * per series one Cholesky factor of the moments, whose leading parts are
+      those of all orders, so that one forward solve gives every order's AIC.
 
     Returns ``(series_id, n, lags, stat, p_value, crit_1pct, crit_5pct,
     crit_10pct, aic)``; ``n`` counts the observations of the final
     regression.
     """
     from panelcast.operators.split import complete_cases
+    from panelcast.plans.forecast import ForecastConfig
     from panelcast.sources.panel import PANEL_COLUMNS
 
+    cfg = ForecastConfig(**cfg_kw)
     p = ordered.encode_key(complete_cases(panel.select(*PANEL_COLUMNS), [VALUE]))
     sizes = p.groupBy(SERIES).agg(F.count(F.lit(1)).alias("nobs"), F.avg(VALUE).alias("_c"))
-    shared_dir(panel.sparkSession)  # both tables below are kept there
+    shared_dir(panel.sparkSession)  # the table is kept there
     sizes = sizes.withColumn("_m", _max_lag(F.col("nobs"), maxlag)).checkpoint(eager=True)
     # too short for any regression: a row with null results, as dickey_fuller gives
     short = sizes.where(F.col("_m") < 0).select(*[
         F.lit(None).cast(f.dataType).alias(f.name) if f.name not in (SERIES, "n") else
         (F.col(SERIES) if f.name == SERIES else F.lit(0).cast("bigint").alias("n")) for f in _ADF_SCHEMA.fields])
     sizes = sizes.where(F.col("_m") >= 0)
-    sizes = sizes.withColumn("_bucket", F.floor(F.log2(F.col("_m") + 1)).cast("int"))
-    # the panel is read twice, whatever the number of buckets: for the sizes and for the rows
-    sized = p.join(sizes.select(SERIES, "_bucket"), SERIES).checkpoint(eager=True)
-    # one row per bucket: at most ~log2 of the largest lag bound
-    buckets = sizes.groupBy("_bucket").agg(F.max("_m").alias("top")).collect()
-    outs = [short]
-    for b in sorted(buckets, key=lambda r: r["_bucket"]):
-        part_sizes = sizes.where(F.col("_bucket") == b["_bucket"]).select(SERIES, "_c", "_m")
-        part = sized.where(F.col("_bucket") == b["_bucket"]).select(*PANEL_COLUMNS)
-        outs.append(_adf_autolag_part(part, part_sizes, int(b["top"]), cfg_kw))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return ordered.decode_key(out)
-
-
-def _adf_autolag_part(p: DataFrame, sizes: DataFrame, top: int, cfg_kw: dict) -> DataFrame:
-    from panelcast.plans.forecast import ForecastConfig, build_features
-
-    feats, _, _ = build_features(p, ForecastConfig(horizons=1, lags=top + 1, **cfg_kw), hs=[1])  # key stays the caller's
-    lag_cols = [f"lag_{i}" for i in range(1, top + 2)]
-    x = feats.select(SERIES, VALUE, "diff", *lag_cols).join(sizes, SERIES)
-    n_present = F.size(F.filter(F.array(*[F.col(c) for c in lag_cols]), lambda v: v.isNotNull()))
-    x = x.select(
-        SERIES, "_m",
-        n_present.alias("_t"),  # position t in the series (lag_i is present iff t >= i)
-        (F.col(VALUE) - F.col("diff") - F.col("_c")).alias("y1"),
-        *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in lag_cols[:top]],
-        F.col("diff").alias("dy"),
-    )
-
-    def own_columns(m: int):
-        return ["y1", *lag_cols[:m], "dy"]
-
-    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:  # partial sums of a batch; Spark adds them up
-            for (sid, m), g in pdf.groupby([SERIES, "_m"], sort=False):
-                z = np.column_stack([np.ones(len(g))] + [g[c].to_numpy(dtype=float) for c in own_columns(int(m))])
-                zz = z.T @ z
-                i, j = np.triu_indices(zz.shape[0])
-                yield pd.DataFrame({SERIES: sid, "i": i.astype("int32"), "j": j.astype("int32"), "v": zz[i, j]})
-
-    common = x.where(F.col("_t") >= F.col("_m") + 1)
-    gram = (
-        common.mapInPandas(moments, f"{SERIES} string, i int, j int, v double")
-        .groupBy(SERIES, "i", "j").agg(F.sum("v").alias("v"))
-    )
-    head = x.where((F.col("_t") >= 1) & (F.col("_t") <= F.col("_m")))
-
-    def solve(key, g: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
-        sid = key[0]
-        if len(g) == 0:
-            return pd.DataFrame([], columns=_ADF_SCHEMA.fieldNames())
-        k = int(g["j"].max()) + 1
-        m = k - 3
-        zz = np.zeros((k, k))
-        zz[g["i"].to_numpy(), g["j"].to_numpy()] = g["v"].to_numpy()
-        zz = zz + np.triu(zz, 1).T
-        best, aic = _best_lag(zz, m, k)
-        final = _subset(zz, best, k).copy()
-        rows = h[h["_t"] >= best + 1]
-        if len(rows):
-            cols = own_columns(m)
-            z = np.column_stack([np.ones(len(rows))] + [rows[c].to_numpy(dtype=float) for c in cols])
-            idx = list(range(best + 2)) + [k - 1]
-            final += z[:, idx].T @ z[:, idx]
-        stat, nobs = _ols_stat(final)
-        crit = mackinnon_crit(nobs) if nobs > 0 else {c: float("nan") for c in CRIT}
-        return pd.DataFrame([{
-            SERIES: sid, "n": int(nobs), "lags": int(best), "stat": stat, "p_value": mackinnon_p(stat),
-            "crit_1pct": crit["1pct"], "crit_5pct": crit["5pct"], "crit_10pct": crit["10pct"], "aic": aic,
-        }])
-
-    return gram.groupBy(SERIES).cogroup(head.groupBy(SERIES)).applyInPandas(solve, _ADF_SCHEMA)
+    top = sizes.agg(F.max("_m")).first()[0]
+    if top is None:
+        return ordered.decode_key(short)
+    indexed = None
+    for part, blocked, rows in ordered.split_by_heat(ordered.decode_key(p), cfg.hot_series_rows):
+        part = ordered.encode_key(part)
+        x = (ordered.index_rows(part, rows, cfg.rows_per_partition) if blocked
+             else part.withColumn(ordered.IDX, F.row_number().over(ordered.series_window()).cast("bigint") - 1))
+        x = x.select(SERIES, VALUE, ordered.IDX)
+        indexed = x if indexed is None else indexed.unionByName(x)
+    indexed = indexed.join(sizes, SERIES).select(SERIES, ordered.IDX, (F.col(VALUE) - F.col("_c")).alias("y"), "_m", "nobs")
+    back = top + 1
+    blocks = ordered.halo_blocks(indexed, ordered.IDX, max(cfg.block_rows, back), back, 0)
+    sums = (blocks.select(SERIES, ordered.BLOCK, ordered.IDX, ordered.HOME, "y", "_m").groupBy(SERIES, ordered.BLOCK)
+            .applyInArrow(_lagged_products, _PRODUCTS)
+            .groupBy(SERIES, "k").agg(*[F.sum(c).alias(c) for c in ("dd", "yd", "y", "yy")]))
+    edges = indexed.where((F.col(ordered.IDX) <= F.col("_m") + 1) | (F.col(ordered.IDX) >= F.col("nobs") - F.col("_m") - 2))
+    edges = edges.select(SERIES, F.col(ordered.IDX).alias("t"), "y", "_m", "nobs")
+    return ordered.decode_key(short.unionByName(sums.groupBy(SERIES).cogroup(edges.groupBy(SERIES)).applyInPandas(_solve_autolag, _ADF_SCHEMA)))
+
+
+_PRODUCTS = f"{SERIES} string, k int, dd double, yd double, y double, yy double"
+
+
+def _lagged_products(key, table):
+    """Of one block: for each k the sums over its own rows of dy_t dy_(t-k) and y_(t-1) dy_(t-k); at k = 0 also of y_(t-1) and its square."""
+    table = table.sort_by(ordered.IDX)
+    y, t = table.column("y").to_numpy(), table.column(ordered.IDX).to_numpy()
+    own = table.column(ordered.HOME).to_numpy(zero_copy_only=False)[1:]
+    dy, y1, m = np.diff(y), y[:-1], table.column("_m")[0].as_py()
+    dy_own, y1_own = np.where(own, dy, 0.0), np.where(own, y1, 0.0)  # dy[i] belongs to t[i + 1]
+    at = np.arange(min(m, len(dy) - 1) + 1)
+    dd, yd = (np.array([left[k:] @ dy[:len(dy) - k] for k in at]) for left in (dy_own, y1_own))
+    rest = np.zeros((2, len(at)))
+    if len(at):
+        rest[:, 0] = y1_own.sum(), y1_own @ y1_own
+    return pa.table({SERIES: pa.array([key[0].as_py()] * len(at), pa.string()), "k": pa.array(at, pa.int32()), "dd": dd, "yd": yd, "y": rest[0], "yy": rest[1]})
+
+
+class _Moments:
+    """Moments of one series from its lagged product sums and its edge rows (values less a constant)."""
+
+    def __init__(self, sums: pd.DataFrame, edges: pd.DataFrame):
+        s, e = sums.sort_values("k"), edges.sort_values("t")
+        self.m, self.n = int(e["_m"].iloc[0]), int(e["nobs"].iloc[0])
+        self.dd, self.yd = (np.zeros(self.m + 1) for _ in range(2))
+        self.dd[s["k"].to_numpy()], self.yd[s["k"].to_numpy()] = s["dd"].to_numpy(), s["yd"].to_numpy()
+        self.y, self.yy = float(s["y"].sum()), float(s["yy"].sum())
+        self.value = dict(zip(e["t"].tolist(), e["y"].tolist(), strict=True))
+
+    def _rows(self, ts: range, order: int) -> np.ndarray:
+        """dy_(t-i), i = 0..order, where there is one, else 0; known only near the edges."""
+        d = {t: self.value[t] - self.value[t - 1] for t in self.value if t - 1 in self.value}
+        return np.array([[d.get(t - i, 0.0) for i in range(order + 1)] for t in ts]).reshape(len(ts), order + 1)
+
+    def gram(self, order: int, start: int) -> np.ndarray:
+        """Moments of [1, y_(t-1), dy_(t-1) .. dy_(t-order), dy_t] over t >= start (start <= m + 1)."""
+        head, tail = self._rows(range(1, start), order), self._rows(range(self.n, self.n + order), order)
+        i = np.arange(order + 1)
+        d = self.dd[np.abs(i[:, None] - i)] - head.T @ head - tail.T @ tail
+        before = np.array([self.value[t - 1] for t in range(1, start)])
+        ones = np.array([self.value[self.n - 1 - k] - self.value[start - 1 - k] for k in i])
+        out = np.zeros((order + 3, order + 3))
+        cross = self.yd[:order + 1] - before @ head if len(before) else self.yd[:order + 1]
+        out[0, 0], out[0, 1], out[1, 1] = self.n - start, self.y - before.sum(), self.yy - before @ before
+        place = np.append(np.arange(2, order + 2), order + 2)  # of lags 1.. and of dy_t
+        lags = np.append(np.arange(1, order + 1), 0)
+        out[0, place], out[1, place] = ones[lags], cross[lags]
+        out[np.ix_(place, place)] = d[np.ix_(lags, lags)]
+        return np.triu(out) + np.triu(out, 1).T
+
+
+def _solve_autolag(key, sums: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    moments = _Moments(sums, edges)
+    best, aic = _best_lag(moments.gram(moments.m, moments.m + 1), moments.m)
+    stat, nobs = _ols_stat(moments.gram(best, best + 1))
+    crit = mackinnon_crit(nobs) if nobs > 0 else {c: float("nan") for c in CRIT}
+    return pd.DataFrame([{
+        SERIES: key[0], "n": int(nobs), "lags": int(best), "stat": stat, "p_value": mackinnon_p(stat),
+        "crit_1pct": crit["1pct"], "crit_5pct": crit["5pct"], "crit_10pct": crit["10pct"], "aic": aic,
+    }])
 
 
 _ADF_SCHEMA = T.StructType([
@@ -288,33 +295,34 @@ _ADF_SCHEMA = T.StructType([
 ])
 
 
-def _subset(zz: np.ndarray, p: int, k: int) -> np.ndarray:
-    """Moments of [1, y1, dy lags 1..p, dy] out of the full table."""
-    idx = list(range(p + 2)) + [k - 1]
-    return zz[np.ix_(idx, idx)]
-
-
 def _ssr(sub: np.ndarray):
     xx, xy, yy = sub[:-1, :-1], sub[:-1, -1], sub[-1, -1]
     beta = np.linalg.solve(xx, xy)
     return yy - beta @ xy, beta, xx
 
 
-def _best_lag(zz: np.ndarray, m: int, k: int):
-    """Order with the lowest AIC on the common sample (smallest order on ties)."""
-    n = zz[0, 0]
-    best, best_aic = 0, math.inf
-    for p in range(m + 1):
+def _best_lag(zz: np.ndarray, m: int) -> tuple[int, float]:
+    """Order with the lowest AIC on the common sample (smallest order on ties); orders that cannot be estimated are passed over."""
+    n, xx, xy, yy = zz[0, 0], zz[:-1, :-1], zz[:-1, -1], zz[-1, -1]
+    known = m + 2  # columns that are independent of those before them
+    while known >= 2:
         try:
-            ssr, _, _ = _ssr(_subset(zz, p, k))
+            factor = np.linalg.cholesky(xx[:known, :known])
+            break
         except np.linalg.LinAlgError:
-            continue
+            known -= 1
+    else:
+        return 0, math.inf
+    explained = np.cumsum(np.linalg.solve(factor, xy[:known]) ** 2)
+    best, best_aic = 0, math.inf
+    for order in range(known - 1):
+        ssr = yy - explained[order + 1]
         if not ssr > 0:
             continue
         llf = -n / 2.0 * (math.log(2 * math.pi) + math.log(ssr / n) + 1.0)
-        aic = -2.0 * llf + 2.0 * (p + 2)
+        aic = -2.0 * llf + 2.0 * (order + 2)
         if aic < best_aic:
-            best, best_aic = p, aic
+            best, best_aic = order, aic
     return best, best_aic
 
 

@@ -407,6 +407,12 @@ def stationarity_autolag(spark, sf):
                   ["stat", "p_value", "crit_1pct", "crit_5pct", "crit_10pct", "aic"])
 
 
+def stationarity_autolag_bounded(spark, sf):
+    """The lag search up to three lags."""
+    return _round(adf_autolag(P.events_by_type(spark, sf), maxlag=3),
+                  ["stat", "p_value", "crit_1pct", "crit_5pct", "crit_10pct", "aic"])
+
+
 QUERIES = {
     "scan_panel": scan_panel,
     "scan_orders_daily": scan_orders_daily,
@@ -459,4 +465,5 @@ QUERIES = {
     "score_new_rows_forest": score_new_rows_forest,
     "stationarity_adf": stationarity_adf,
     "stationarity_autolag": stationarity_autolag,
+    "stationarity_autolag_bounded": stationarity_autolag_bounded,
 }

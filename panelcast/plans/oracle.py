@@ -294,6 +294,66 @@ def forecast_lags_sql(panel: str, hs, lags: int, model=linear_ctes) -> str:
     return f"WITH RECURSIVE {features_ctes(panel, hs, lags)}, {model(hs, lags)}, {predictions_ctes(hs)} SELECT * FROM pred"
 
 
+def _normal_sql(z: str) -> str:
+    """The normal distribution function by Simpson's rule."""
+    term = f"CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-power({z} * i / 2000.0, 2) / 2)"
+    return f"(0.5 + {z} / 6000.0 * list_sum([{term} FOR i IN range(2001)]) / sqrt(2 * pi()))"
+
+
+def _mackinnon_sql(stat: str, n: str) -> str:
+    """p_value and critical values of a Dickey-Fuller statistic with a constant (MacKinnon's fixed values)."""
+    small = f"(2.1659 + 1.4412 * {stat} + 0.038269 * {stat} * {stat})"
+    large = f"(1.7339 + 0.93202 * {stat} - 0.12745 * power({stat}, 2) - 0.010368 * power({stat}, 3))"
+    p = (f"CASE WHEN {stat} > 2.74 THEN 1.0 WHEN {stat} < -18.83 THEN 0.0 WHEN {stat} <= -1.61 THEN {_normal_sql(small)} "
+         f"ELSE {_normal_sql(large)} END")
+    crit = {"1pct": (-3.43035, -6.5393, -16.786, -79.433), "5pct": (-2.86154, -2.8903, -4.234, -40.040), "10pct": (-2.56677, -1.5384, -2.809, 0.0)}
+    cols = [f"round({a} + ({b}) / {n} + ({c}) / power({n}, 2) + ({d}) / power({n}, 3), 6) AS crit_{k}" for k, (a, b, c, d) in crit.items()]
+    return f"round({p}, 6) AS p_value, {', '.join(cols)}"
+
+
+def _ols_ctes(name: str, source: str, lags: int) -> str:
+    """CTE ``name``: n, slope, sxx, syy of dy on y1 in ``source``, both freed of a constant and of l1..l<lags>, one after another."""
+    out, last = [], source
+    for i in range(1, lags + 1):
+        rest = [f"l{k}" for k in range(i + 1, lags + 1)] + ["y1", "dy"]
+        freed = ", ".join(f"{c} - regr_intercept({c}, l{i}) OVER w - regr_slope({c}, l{i}) OVER w * l{i} AS {c}" for c in rest)
+        out.append(f"{name}_{i} AS (SELECT series_id, {freed} FROM {last} WINDOW w AS (PARTITION BY series_id))")
+        last = f"{name}_{i}"
+    out.append(f"{name} AS (SELECT series_id, CAST(count(*) AS BIGINT) AS n, regr_slope(dy, y1) AS slope, regr_sxx(dy, y1) AS sxx, regr_syy(dy, y1) AS syy "
+               f"FROM {last} GROUP BY series_id)")
+    return ", ".join(out)
+
+
+def _lagged_rows(lags: int) -> str:
+    lag_cols = "".join(f", lag(dy, {i}) OVER ({W}) AS l{i}" for i in range(1, lags + 1))
+    return (f"panel AS ({PANELS['events_by_type']}), r AS (SELECT *, value - lag(value) OVER ({W}) AS dy, lag(value) OVER ({W}) AS y1, "
+            f"row_number() OVER ({W}) - 1 AS t FROM panel), rows_ AS (SELECT *{lag_cols} FROM r)")
+
+
+def _stat(lags) -> str:
+    return f"slope / sqrt((syy - slope * slope * sxx) / (n - {lags} - 2) / sxx)"
+
+
+def adf_sql(lags: int) -> str:
+    """Fixed lag order."""
+    return (f"WITH {_lagged_rows(lags)}, used AS (SELECT * FROM rows_ WHERE t >= {lags + 1}), {_ols_ctes('o', 'used', lags)}, "
+            f"st AS (SELECT series_id, n, {lags} AS lags, {_stat(lags)} AS s FROM o) "
+            f"SELECT series_id, n, CAST(lags AS INTEGER) AS lags, round(s, 6) + 0.0 AS stat, {_mackinnon_sql('s', 'n')} FROM st")
+
+
+def autolag_sql(top: int) -> str:
+    """Lag order 0..top by AIC on the common sample, then that order's own sample (series long enough for ``top``)."""
+    common = ", ".join(_ols_ctes(f"a{i}", "common", i) for i in range(top + 1))
+    own = ", ".join(f"u{i} AS (SELECT * FROM rows_ WHERE t >= {i + 1}), {_ols_ctes(f'b{i}', f'u{i}', i)}" for i in range(top + 1))
+    aics = " UNION ALL ".join(
+        f"SELECT series_id, {i} AS lags, n * ln(2 * pi()) + n * ln((syy - slope * slope * sxx) / n) + n + 2 * ({i} + 2) AS aic FROM a{i}" for i in range(top + 1))
+    finals = " UNION ALL ".join(f"SELECT series_id, {i} AS lags, n, {_stat(i)} AS s FROM b{i}" for i in range(top + 1))
+    return (f"WITH {_lagged_rows(top)}, common AS (SELECT * FROM rows_ WHERE t >= {top + 1}), {common}, {own}, "
+            f"best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY aic, lags) AS k FROM ({aics})) WHERE k = 1), "
+            f"st AS (SELECT f.*, aic FROM ({finals}) f JOIN best b ON f.series_id IS NOT DISTINCT FROM b.series_id AND f.lags = b.lags) "
+            f"SELECT series_id, n, CAST(lags AS INTEGER) AS lags, round(s, 6) + 0.0 AS stat, {_mackinnon_sql('s', 'n')}, round(aic, 6) AS aic FROM st")
+
+
 def new_rows_sql(hs, lags: int) -> str:
     """The linear model of the past applied to the later rows, with features over all rows."""
     feats = ["diff"] + [f"lag_{i}" for i in range(1, lags + 1)]
@@ -497,4 +557,6 @@ def oracle_queries() -> dict[str, str]:
             + ", ".join(f"DeltaZ{h}, forecast_{h}day, actual_{h}day" for h in hs) + ", split FROM pred"),
         "score_new_rows": new_rows_sql(hs, LAGS),
         "stationarity_df": df_rows,
+        "stationarity_adf": adf_sql(2),
+        "stationarity_autolag_bounded": autolag_sql(3),
     }
