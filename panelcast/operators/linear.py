@@ -14,6 +14,11 @@ is one aggregation:
    problems together with numpy, vectorised across series, on the
    standardised normal equations.
 
+More than ``NATIVE_FEATURES`` features would need hundreds of separate
+aggregates.  Then Arrow batches give partial Gram matrices instead: per series
+and horizon the number, means and centred products of the batch's training
+rows, merged inside a task, and once more per series where they are solved.
+
 The objective is MLlib's, with ``standardization=True`` and an intercept::
 
     1/(2n) * sum (y - b0 - x.b)^2 + lam * (alpha*|b~|_1 + (1-alpha)/2*|b~|_2^2)
@@ -32,12 +37,16 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.sources.panel import SERIES
 
+NATIVE_FEATURES = 6  # beyond, the aggregates no longer fit generated code
+HELD_GROUPS = 256  # series and horizons that a task sums up before it tells them
+
 
 def linear_stats(df: DataFrame, features: Sequence[str], label: str, key=(SERIES,)) -> DataFrame:
     """Sufficient statistics of ``label ~ features`` per key (all rows of ``df``).
@@ -140,8 +149,7 @@ def fit_grouped_linear(df: DataFrame, features: Sequence[str], targets: dict, ke
     horizon; then one vectorised solve per batch of groups.
     """
     p = len(features)
-    stats = linear_stats(training_rows(df, features, targets, key), features, "y", (*key, "horizon"))
-    fields = [stats.schema[k] for k in key] + [
+    fields = [df.schema[k] for k in key] + [
         T.StructField("horizon", T.IntegerType()),
         T.StructField("n_train", T.LongType()),
         T.StructField("intercept", T.DoubleType()),
@@ -149,6 +157,8 @@ def fit_grouped_linear(df: DataFrame, features: Sequence[str], targets: dict, ke
     ] + [T.StructField(f"coef_{j}", T.DoubleType()) for j in range(p)]
     schema = T.StructType(fields)
     names = [f.name for f in fields]
+    if p > NATIVE_FEATURES:
+        return _gram_fit(df, features, targets, key, reg_param, elastic_net, schema)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -174,9 +184,85 @@ def fit_grouped_linear(df: DataFrame, features: Sequence[str], targets: dict, ke
                 out[f"coef_{j}"] = coef[:, j]
             yield pd.DataFrame(out)[names]
 
+    stats = linear_stats(training_rows(df, features, targets, key), features, "y", (*key, "horizon"))
     return stats.mapInPandas(solve, schema)
 
 
+# --- many features: Gram matrices of Arrow batches ------------------------------
+def merged_moments(a, b):
+    """(n, mean, centred products) of two sets of rows together."""
+    if a is None:
+        return b
+    n = a[0] + b[0]
+    apart = b[1] - a[1]
+    return n, a[1] + apart * (b[0] / n), a[2] + b[2] + np.outer(apart, apart) * (a[0] * b[0] / n)
+
+
+def _gram_partials(keys: int, p: int, horizons: list[int]):
+    """Rows (keys, features, label and flag per horizon) to partial moments; few per task and series."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple] = {}
+        kinds = []
+
+        def told():
+            groups, moments = list(held), list(held.values())
+            held.clear()
+            columns = [pa.array([g[i] for g in groups], kinds[i]) for i in range(keys)]
+            columns += [pa.array([g[keys] for g in groups], pa.int32()), pa.array([float(m[0]) for m in moments]),
+                        pa.array([m[1] for m in moments], pa.list_(pa.float64())), pa.array([m[2].ravel() for m in moments], pa.list_(pa.float64()))]
+            return pa.RecordBatch.from_arrays(columns, names=[*[f"key_{i}" for i in range(keys)], "horizon", "n", "mean", "products"])
+
+        for batch in batches:
+            kinds = [batch.column(i).type for i in range(keys)]
+            x = np.column_stack([batch.column(keys + j).to_numpy(zero_copy_only=False).astype(float) for j in range(p)])
+            group = pd.MultiIndex.from_arrays([batch.column(i).to_pylist() for i in range(keys)])
+            code, found = group.factorize()
+            order = np.argsort(code, kind="stable")
+            edge = np.searchsorted(code[order], np.arange(len(found) + 1))
+            for i, h in enumerate(horizons):
+                y = batch.column(keys + p + 2 * i).to_numpy(zero_copy_only=False).astype(float)
+                use = batch.column(keys + p + 2 * i + 1).fill_null(False).to_numpy(zero_copy_only=False)
+                for g, name in enumerate(found):
+                    rows = order[edge[g]:edge[g + 1]]
+                    rows = rows[use[rows]]
+                    if len(rows):
+                        z = np.column_stack([x[rows], y[rows]])
+                        mean = z.mean(axis=0)
+                        z -= mean
+                        at = (*name, h)
+                        held[at] = merged_moments(held.get(at), (len(rows), mean, z.T @ z))
+            if len(held) > HELD_GROUPS * len(horizons):
+                yield told()
+        if held:
+            yield told()
+
+    return run
+
+
+def _gram_fit(df: DataFrame, features: Sequence[str], targets: dict, key, reg_param: float, elastic_net: float, schema) -> DataFrame:
+    p, names = len(features), [f.name for f in schema.fields]
+    kinds = ", ".join(f"key_{i} {df.schema[k].dataType.simpleString()}" for i, k in enumerate(key))
+    flags = [F.col(flag) for _, flag in targets.values()]
+    some = flags[0]
+    for flag in flags[1:]:
+        some = some | flag
+    rows = df.where(some).select(*key, *[F.col(f).cast("double") for f in features], *[F.col(c) for pair in targets.values() for c in pair])
+    partials = rows.mapInArrow(_gram_partials(len(key), p, list(targets)), f"{kinds}, horizon int, n double, mean array<double>, products array<double>")
+
+    def solve(group, table):
+        moments = None
+        for n, mean, products in zip(table.column("n").to_pylist(), table.column("mean").to_pylist(), table.column("products").to_pylist(), strict=True):
+            moments = merged_moments(moments, (n, np.array(mean), np.array(products).reshape(p + 1, p + 1)))
+        n, mean, c = moments
+        c = c / n
+        intercept, coef, converged = solve_elastic_net(np.array([n]), mean[p:], c[p, p:], mean[None, :p], c[None, :p, p], c[None, :p, :p], reg_param, elastic_net)
+        values = [*[k.as_py() for k in group], int(n), float(intercept[0]), bool(converged[0]), *coef[0].tolist()]
+        kinds = [*[k.type for k in group], pa.int64(), pa.float64(), pa.bool_(), *[pa.float64()] * p]
+        return pa.table([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=names)
+
+    return partials.groupBy(*[f"key_{i}" for i in range(len(key))], "horizon").applyInArrow(solve, schema)
+
+
 def coefficients_wide(coefs: DataFrame, hs, p: int, key=(SERIES,)) -> DataFrame:
     """One row per key with ``icpt_<h>`` and ``coef_<h>_<j>`` (small table: one row per series)."""
     cols = []

@@ -75,3 +75,37 @@ def test_strongly_correlated_features_end_at_the_optimum():
     slope = cxy[0] / (sx * sy) - (cxx[0] / np.outer(sx, sx)) @ b - 0.9 * lam * b
     for j in range(3):  # optimality conditions
         assert abs(slope[j] - 0.1 * lam * np.sign(b[j])) < 1e-9 if b[j] else abs(slope[j]) <= 0.1 * lam + 1e-9
+
+
+def test_forty_lags_match_mllib(spark):
+    from conftest import SF_SMALL
+    from panelcast.operators import linear
+    from panelcast.sources.panel import events_single
+
+    cfg = ForecastConfig(horizons=2, lags=40, hot_series_rows=None)
+    f, _, hs = build_features(events_single(spark, SF_SMALL), cfg)
+    f, fcols = f.cache(), feature_columns(40)
+    rows = {r["horizon"]: r for r in fit_grouped_linear(f.repartition(5), fcols, {h: (f"label_{h}", f"train_{h}") for h in hs}).collect()}
+    assert len(rows) == 2 and all(r["converged"] for r in rows.values())
+    va = VectorAssembler(inputCols=fcols, outputCol="features")
+    for h, row in rows.items():
+        train = f.where(F.col(f"train_{h}"))
+        m = LinearRegression(labelCol=f"label_{h}", maxIter=2000, tol=1e-14, regParam=0.4, elasticNetParam=0.1).fit(va.transform(train))
+        assert np.allclose([row[f"coef_{j}"] for j in range(41)], m.coefficients.toArray(), atol=1e-5)
+        assert abs(row["intercept"] - m.intercept) < 1e-5 and row["n_train"] == train.count()
+    assert linear.NATIVE_FEATURES < 41
+
+
+def test_gram_matrices_give_the_native_fit(spark, feats, monkeypatch):
+    from panelcast.operators import linear
+
+    f, cfg, hs = feats
+    fit = lambda: {(r["series_id"], r["horizon"]): r.asDict() for r in fit_grouped_linear(
+        f.repartition(4), feature_columns(cfg.lags), {h: (f"label_{h}", f"train_{h}") for h in hs}).collect()}
+    native = fit()
+    monkeypatch.setattr(linear, "NATIVE_FEATURES", 0)
+    monkeypatch.setattr(linear, "HELD_GROUPS", 1)
+    gram = fit()
+    assert native.keys() == gram.keys()
+    for k, row in native.items():
+        assert all(row[c] == pytest.approx(gram[k][c], abs=1e-9) for c in row if c != "series_id")
