@@ -76,7 +76,9 @@ class _SeriesParams(HasInputCol):
         )
 
 
-class _SeriesTransformer(Transformer, _SeriesParams, DefaultParamsReadable, DefaultParamsWritable):
+class SeriesTransformer(Transformer, _SeriesParams, DefaultParamsReadable, DefaultParamsWritable):
+    """Base of the generators; a subclass gives ``getFeatureNames``, ``_columns(w)`` and, beyond ``lagLength`` rows, ``_reach``."""
+
     @keyword_only
     def __init__(self, *, inputCol=None, lagLength=None, seriesCol=None, orderCols=None,
                  hotSeriesRows=None, blockRows=None):
@@ -115,7 +117,7 @@ class _SeriesTransformer(Transformer, _SeriesParams, DefaultParamsReadable, Defa
         return self
 
 
-class LagFeatures(_SeriesTransformer):
+class LagFeatures(SeriesTransformer):
     """``n`` lagged copies of the input column (null for the first i rows)."""
 
     def getFeatureNames(self):
@@ -127,7 +129,7 @@ class LagFeatures(_SeriesTransformer):
         return [S.lag(c, i, w).alias(S.lag_name(c, i)) for i in range(1, self.getLagLength() + 1)]
 
 
-class MovingAverage(_SeriesTransformer):
+class MovingAverage(SeriesTransformer):
     """Mean of the current and ``n`` previous rows (fewer at the series head)."""
 
     def getFeatureNames(self):
@@ -138,7 +140,7 @@ class MovingAverage(_SeriesTransformer):
         return [S.moving_average(c, n, w).alias(S.moving_avg_name(c, n))]
 
 
-class TrendSign(_SeriesTransformer):
+class TrendSign(SeriesTransformer):
     """``signum(x_t - x_(t-i))`` for i = 1..n (+1 / -1, 0 on ties)."""
 
     def getFeatureNames(self):
@@ -150,13 +152,13 @@ class TrendSign(_SeriesTransformer):
         return [S.trend_sign(c, i, w).alias(S.sign_name(c, i)) for i in range(1, self.getLagLength() + 1)]
 
 
-class Differencer(_SeriesTransformer, HasOutputCol):
+class Differencer(SeriesTransformer, HasOutputCol):
     """First difference, 0 on the first row of each series."""
 
     @keyword_only
     def __init__(self, *, inputCol=None, outputCol=None, seriesCol=None, orderCols=None,
                  hotSeriesRows=None, blockRows=None):
-        super(_SeriesTransformer, self).__init__()
+        super(SeriesTransformer, self).__init__()
         self._set(**self._input_kwargs)
 
     def setOutputCol(self, value: str):
@@ -175,7 +177,7 @@ class Differencer(_SeriesTransformer, HasOutputCol):
         return [S.difference(self.getInputCol(), w).alias(self._out())]
 
 
-class LeadLabel(_SeriesTransformer, HasOutputCol):
+class LeadLabel(SeriesTransformer, HasOutputCol):
     """Value ``horizon`` rows ahead, clamped to the series' last value."""
 
     horizon = Param(Params._dummy(), "horizon", "rows ahead", typeConverter=TypeConverters.toInt)
@@ -183,7 +185,7 @@ class LeadLabel(_SeriesTransformer, HasOutputCol):
     @keyword_only
     def __init__(self, *, inputCol=None, outputCol=None, horizon=None, seriesCol=None, orderCols=None,
                  hotSeriesRows=None, blockRows=None):
-        super(_SeriesTransformer, self).__init__()
+        super(SeriesTransformer, self).__init__()
         self._setDefault(horizon=1)
         self._set(**self._input_kwargs)
 

@@ -19,7 +19,7 @@ from panelcast.operators.metrics import metric_table
 from panelcast.operators.split import complete_cases, row_index, time_split, undifference_long
 from panelcast.operators.stationarity import adf_autolag, adf_test, dickey_fuller
 from panelcast.operators.trees import DECISION_TREE, GBT, LINEAR, RANDOM_FOREST
-from panelcast.plans.forecast import ForecastConfig, forecast_horizon, forecast_panel
+from panelcast.plans.forecast import ForecastConfig, Generator, forecast_horizon, forecast_panel, register_generator
 from panelcast.plans.report import forecast_long, read_predictions, write_predictions
 from panelcast.sources import panel as P
 from panelcast.sources.panel import SERIES, TIEBREAK, TS, VALUE
@@ -330,6 +330,18 @@ def forecast_generators(spark, sf):
     return _round(forecast_panel(P.events_by_type(spark, sf), cfg).predictions, _pred_cols(range(1, H + 1)))
 
 
+def forecast_own_generator(spark, sf):
+    """A generator defined here: the range of the change over the current and two previous rows; half the series go through blocks."""
+    name = lambda n: f"range_{n}"
+    register_generator("change_range", Generator(
+        lambda n, c, w: {name(n): F.max(c).over(w.rowsBetween(-n, 0)) - F.min(c).over(w.rowsBetween(-n, 0))}, lambda n: [name(n)]))
+    panel = P.events_by_type(spark, sf)
+    middle = panel.groupBy(SERIES).count().agg(F.percentile_approx("count", 0.5)).first()[0]
+    r = forecast_panel(panel, ForecastConfig(horizons=H, lags=1, generators=(("change_range", 2),), hot_series_rows=middle,
+                                             block_rows=max(middle // 5, 10), rows_per_partition=max(middle // 3, 10)))
+    return _round(r.predictions, _pred_cols(range(1, H + 1)))
+
+
 def forecast_purged(spark, sf):
     """Training rows whose label lies beyond the split boundary are left out."""
     return _round(_linear0(spark, sf, purge_gap=True).predictions, _pred_cols(range(1, H + 1)))
@@ -450,6 +462,7 @@ QUERIES = {
     "forecast_mixed_heat": forecast_mixed_heat,
     "forecast_nulls": forecast_nulls,
     "forecast_generators": forecast_generators,
+    "forecast_own_generator": forecast_own_generator,
     "forecast_purged": forecast_purged,
     "forecast_tail_drop": forecast_tail_drop,
     "metric_price_level": metric_price_level,

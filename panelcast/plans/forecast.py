@@ -22,6 +22,7 @@ or co-partitioned) join of the coefficients.  Series longer than
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
@@ -69,7 +70,8 @@ class ForecastConfig:
     block_rows: int = 1_000_000
     rows_per_partition: int = 2_000_000
     # more features of the differenced series next to its lags: ("moving_average", n) is the mean of
-    # the current and n previous rows, ("trend_sign", n) the signs against the n previous rows
+    # the current and n previous rows, ("trend_sign", n) the signs against the n previous rows;
+    # register_generator() adds kinds
     generators: tuple[tuple[str, int], ...] = ()
     # rows before the split boundary whose label lies beyond it do not train (the last h rows at horizon h)
     purge_gap: bool = False
@@ -90,16 +92,58 @@ class ForecastConfig:
             raise ValueError("horizons >= 1 and lags >= 0 required")
 
 
-GENERATORS = {
-    "moving_average": lambda n, w: {f"ma_{n}": moving_average("diff", n, w)},
-    "trend_sign": lambda n, w: {f"sign_{i}": trend_sign("diff", i, w) for i in range(1, n + 1)},
+@dataclass(frozen=True)
+class Generator:
+    """A kind of features that a :class:`ForecastConfig` names as ``(kind, n)``.
+
+    ``columns(n, col, w)`` gives named window expressions of the column ``col``
+    over ``w``, ``names(n)`` their names, ``reach(n)`` how many rows of ``col``
+    they look back at most; they look at no later row.  The reach sets the halo
+    of the blocked path and the history that a fitted model keeps.
+    """
+
+    columns: Callable[[int, str, WindowSpec], dict[str, Column]]
+    names: Callable[[int], list[str]]
+    reach: Callable[[int], int] = lambda n: n
+
+
+GENERATORS: dict[str, Generator] = {
+    "moving_average": Generator(lambda n, c, w: {f"ma_{n}": moving_average(c, n, w)}, lambda n: [f"ma_{n}"]),
+    "trend_sign": Generator(lambda n, c, w: {f"sign_{i}": trend_sign(c, i, w) for i in range(1, n + 1)},
+                            lambda n: [f"sign_{i}" for i in range(1, n + 1)]),
 }
 
 
+def register_generator(kind: str, generator: Generator) -> None:
+    """Makes ``(kind, n)`` a feature of forecasts; a process that loads a model with it registers it too."""
+    if not isinstance(generator, Generator):
+        raise TypeError("a Generator is wanted; generator_of() makes one of a transformer class")
+    GENERATORS[kind] = generator
+
+
+def generator_of(transformer) -> Generator:
+    """The generator of a transformer class of ``operators.features`` (or a subclass of its ``SeriesTransformer``)."""
+    def made(n: int, col: str = "diff"):
+        return transformer(inputCol=col, lagLength=n)
+
+    def columns(n: int, col: str, w: WindowSpec) -> dict[str, Column]:
+        t = made(n, col)
+        return dict(zip(t.getFeatureNames(), t._columns(w), strict=True))
+
+    def reach(n: int) -> int:
+        back, ahead = made(n)._reach()
+        if ahead:
+            raise ValueError("a feature must not look ahead")
+        return back
+
+    return Generator(columns, lambda n: made(n).getFeatureNames(), reach)
+
+
 def feature_columns(lags: int, generators=()) -> list[str]:
-    names = [f"ma_{n}" if kind == "moving_average" else f"sign_{i}"
-             for kind, n in generators for i in (range(1, n + 1) if kind == "trend_sign" else (n,))]
-    return ["diff"] + [f"lag_{i}" for i in range(1, lags + 1)] + names
+    names = ["diff"] + [f"lag_{i}" for i in range(1, lags + 1)] + [name for kind, n in generators for name in GENERATORS[kind].names(n)]
+    if len(set(names)) < len(names):
+        raise ValueError(f"features of one name: {names}")
+    return names
 
 
 def _features_of(cfg: ForecastConfig) -> list[str]:
@@ -108,7 +152,7 @@ def _features_of(cfg: ForecastConfig) -> list[str]:
 
 def _back(cfg: ForecastConfig) -> int:
     """Rows that a feature looks back."""
-    return max([cfg.lags, *[n for _, n in cfg.generators]]) + 1
+    return max([cfg.lags, *[GENERATORS[kind].reach(n) for kind, n in cfg.generators]]) + 1
 
 
 @dataclass
@@ -165,7 +209,7 @@ def _local_features(x: DataFrame, w: WindowSpec, cfg: ForecastConfig, hs) -> Dat
     """Bounded-frame part: reach ``_back(cfg)`` rows back, ``max(hs)`` ahead."""
     x = x.withColumn("diff", difference(VALUE, w) if cfg.difference else F.col(VALUE))
     cols = [lag("diff", i, w).alias(f"lag_{i}") for i in range(1, cfg.lags + 1)]
-    cols += [c.alias(name) for kind, n in cfg.generators for name, c in GENERATORS[kind](n, w).items()]
+    cols += [c.alias(name) for kind, n in cfg.generators for name, c in GENERATORS[kind].columns(n, "diff", w).items()]
     ahead = clamped_lead if cfg.tail == "clamp" else (lambda c, h, w: F.lead(c, h).over(w))
     cols += [ahead("diff", h, w).alias(f"label_{h}") for h in hs]
     return x.select("*", *cols)

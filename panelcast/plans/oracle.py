@@ -118,6 +118,8 @@ GENERATED = {
     "ma_2": f"avg(diff) OVER ({W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)",
     "sign_1": f"CAST(sign(diff - lag(diff, 1) OVER ({W})) AS DOUBLE)",
 }
+CHANGE_RANGE = {
+    "range_2": f"max(diff) OVER ({W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) - min(diff) OVER ({W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"}
 SWEEPS = 300  # of coordinate descent; every group of the test data is at its optimum long before
 
 
@@ -529,6 +531,8 @@ def oracle_queries() -> dict[str, str]:
         "forecast_gbt": forecast_lags_sql("events_by_type", hs, LAGS, tree_ctes("gbt", 7)),
         "forecast_purged": forecast_sql("events_by_type", purge=True),
         "forecast_tail_drop": forecast_sql("events_by_type", drop=True),
+        "forecast_own_generator": (
+            f"WITH RECURSIVE {features_ctes('events_by_type', hs, 1, CHANGE_RANGE)}, {linear_ctes(hs, 1, CHANGE_RANGE)}, {predictions_ctes(hs)} SELECT * FROM pred"),
         "forecast_generators": (
             f"WITH RECURSIVE {features_ctes('events_by_type', hs, 1, GENERATED)}, {linear_ctes(hs, 1, GENERATED)}, "
             f"{predictions_ctes(hs)} SELECT * FROM pred"

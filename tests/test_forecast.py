@@ -227,3 +227,38 @@ def test_predictions_hold_every_row_that_a_horizon_scored(spark):
 def test_unknown_regressor_rejected():
     with pytest.raises(ValueError):
         ForecastConfig(regressor="ARIMA")
+
+
+def test_a_transformer_of_ones_own_is_a_generator(spark):
+    from panelcast.operators.features import SeriesTransformer
+    from panelcast.plans.forecast import GENERATORS, generator_of, register_generator
+
+    class Highest(SeriesTransformer):
+        """Highest and lowest value of the current and 2 n previous rows."""
+
+        def getFeatureNames(self):
+            return [f"{self.getInputCol()}_{kind}" for kind in ("high", "low")]
+
+        def _columns(self, w):
+            frame = w.rowsBetween(-2 * self.getLagLength(), 0)
+            return [f(self.getInputCol()).over(frame).alias(n) for f, n in zip((F.max, F.min), self.getFeatureNames())]
+
+        def _reach(self):
+            return 2 * self.getLagLength(), 0
+
+    register_generator("highest", generator_of(Highest))
+    try:
+        cfg = dict(horizons=2, lags=1, generators=(("highest", 3), ("moving_average", 2)))
+        p = events_by_type(spark, SF_SMALL)
+        plain = forecast_panel(p, ForecastConfig(hot_series_rows=None, **cfg))
+        blocked = forecast_panel(p, ForecastConfig(hot_series_rows=0, block_rows=20, rows_per_partition=70, **cfg))
+        _same(plain.predictions, blocked.predictions)
+        row = plain.features.where("diff_high is not null").orderBy(F.desc("ts")).first()
+        before = p.where((F.col("series_id") == row["series_id"]) & (F.col("ts") <= F.lit(row["ts"]))).orderBy(F.desc("ts"), F.desc("tiebreak")).limit(8).collect()
+        changes = [a["value"] - b["value"] for a, b in zip(before, before[1:])]
+        assert row["diff_high"] == max(changes) and row["diff_low"] == min(changes)
+        assert len(plain.coefficients.first()["coefficients"]) == 5
+    finally:
+        del GENERATORS["highest"]
+    with pytest.raises(ValueError):
+        ForecastConfig(generators=(("highest", 3),))
