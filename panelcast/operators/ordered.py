@@ -43,6 +43,9 @@ from panelcast.sources.panel import ORDER, SERIES, TIEBREAK, TS
 IDX = "_idx"
 BLOCK = "_blk"
 HOME = "_home"
+#: The sketch tracks so many keys per hot key there can be: its error, 3.5 / SKETCH_ROOM of the threshold, hides none.
+SKETCH_ROOM = 16
+SKETCH_KEYS = 1 << 19  # with more to track all keys are counted
 
 
 def series_window() -> WindowSpec:
@@ -107,17 +110,31 @@ class Heat:
 
     @classmethod
     def of(cls, panel: DataFrame, hot_series_rows: int | None) -> Heat:
-        """One column of ``panel`` is read; ``None`` skips the check, ``0`` makes everything hot."""
+        """One column of ``panel`` is read; ``None`` skips the check, ``0`` makes everything hot.
+
+        A sketch of the most frequent keys, one small buffer per task,
+        proposes the hot ones; only what it proposes is counted.
+        """
         if hot_series_rows is None:
             return cls()
+        rows = panel.count()
         if hot_series_rows == 0:
-            return cls(rows=panel.count(), everything=True)
-        hot = series_sizes(panel.select(SERIES)).where(F.col("n_rows") > hot_series_rows)
+            return cls(rows=rows, everything=True)
+        if rows <= hot_series_rows:
+            return cls()
+        keys = panel.select(encoded_key(F.col(SERIES)).alias("_hot"))
+        tracked = 1 << max(10, math.ceil(math.log2(SKETCH_ROOM * rows / hot_series_rows)))
+        if tracked <= SKETCH_KEYS:
+            most = math.ceil(2 * rows / hot_series_rows)  # at most half of them can be hot
+            top = keys.agg(F.expr(f"approx_top_k(_hot, {min(most, tracked)}, {tracked})").alias("top"))
+            keys = keys.join(F.broadcast(top.select(F.explode("top.item").alias("_hot"))), "_hot", "left_semi")
+        hot = keys.groupBy("_hot").agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > hot_series_rows)
         shared_dir(panel.sparkSession)
+        hot = hot.checkpoint(eager=True)
         found = hot.agg(F.count(F.lit(1)).alias("keys"), F.sum("n_rows").alias("rows")).first()
         if not found["keys"]:
             return cls()
-        return cls(keys=hot.select(encoded_key(F.col(SERIES)).alias("_hot")).checkpoint(eager=True), rows=int(found["rows"]))
+        return cls(keys=hot.select("_hot"), rows=int(found["rows"]))
 
     def split(self, panel: DataFrame):
         """``[(part, blocked, rows)]``: ordinary series and hot series; no row is in neither."""

@@ -130,3 +130,20 @@ def test_row_index_and_split_blocked_equal_plain(spark):
         a, b = fn(None), fn(0)
         assert a.count() == b.count() == p.count()
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_the_sketch_proposes_every_hot_series(spark, monkeypatch):
+    from panelcast.operators import ordered
+
+    sizes = {**{f"k{i}": 3 + i % 40 for i in range(3000)}, "hot": 2500, "warm": 700, None: 1500}
+    rows = spark.createDataFrame([(k, n) for k, n in sizes.items()], "series_id string, n int")
+    panel = rows.selectExpr("series_id", "explode(sequence(1, n)) AS tiebreak").repartition(7)
+    total = sum(sizes.values())
+    for limit in (39, 41, 700, 699, 2000, total, None):
+        heat = ordered.Heat.of(panel, limit)
+        want = sorted(str(k) for k, n in sizes.items() if limit is not None and n > limit)
+        keys = [] if heat.keys is None else [r[0] for r in ordered.decode_key(heat.keys.withColumnRenamed("_hot", "series_id")).collect()]
+        assert sorted(map(str, keys)) == want
+        assert heat.rows == sum(n for k, n in sizes.items() if str(k) in want)
+    monkeypatch.setattr(ordered, "SKETCH_KEYS", 0)  # all keys are counted
+    assert ordered.Heat.of(panel, 699).rows == 700 + 2500 + 1500
