@@ -59,6 +59,16 @@ def scan_csv(spark, sf):
                            tiebreak_col="tiebreak")
 
 
+def scan_vendor_files(spark, sf):
+    """All events as one CSV file per series, read back by the data source with one partition per file."""
+    from panelcast.session import fresh_path
+    from panelcast.sources.vendor import read_vendor_files, write_vendor_files
+
+    folder = fresh_path(spark, "vendor-files")
+    write_vendor_files(P.events_by_user(spark, sf), folder)
+    return read_vendor_files(spark, folder)
+
+
 def project_series(spark, sf):
     ev = P.read_table(spark, sf, "events")
     return ev.select(F.col("event_type").alias(SERIES), TS, VALUE)
@@ -429,6 +439,7 @@ QUERIES = {
     "scan_panel": scan_panel,
     "scan_orders_daily": scan_orders_daily,
     "scan_csv": scan_csv,
+    "scan_vendor_files": scan_vendor_files,
     "project_series": project_series,
     "series_counts": series_counts,
     "preview_first_k": preview_first_k,

@@ -438,6 +438,7 @@ def oracle_queries() -> dict[str, str]:
         "scan_panel": PANELS["events_by_type"],
         "scan_orders_daily": PANELS["orders_daily"],
         "scan_csv": PANELS["events_by_type"],
+        "scan_vendor_files": PANELS["events_by_user"],
         "project_series": "SELECT event_type AS series_id, ts, value FROM events",
         "series_counts": _simple("events_by_user", "SELECT series_id, count(*) AS n_rows FROM panel GROUP BY series_id"),
         "preview_first_k": _simple(
