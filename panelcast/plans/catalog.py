@@ -20,7 +20,7 @@ from panelcast.operators.split import complete_cases, row_index, time_split, und
 from panelcast.operators.stationarity import adf_autolag, adf_test, dickey_fuller
 from panelcast.operators.trees import DECISION_TREE, GBT, LINEAR, RANDOM_FOREST
 from panelcast.plans.forecast import ForecastConfig, Generator, forecast_horizon, forecast_panel, register_generator
-from panelcast.plans.report import forecast_long, read_predictions, write_predictions
+from panelcast.plans.report import forecast_chart, forecast_long, read_predictions, write_predictions
 from panelcast.sources import panel as P
 from panelcast.sources.panel import SERIES, TIEBREAK, TS, VALUE
 
@@ -269,6 +269,10 @@ def forecast_long_q(spark, sf):
     return _round(forecast_long(_linear0(spark, sf).predictions, range(1, H + 1)), ["value"])
 
 
+def forecast_chart_q(spark, sf):
+    return _round(forecast_chart(_linear0(spark, sf).predictions, range(1, H + 1), pixels=100), ["first", "last", "low", "high"])
+
+
 def undifference(spark, sf):
     """Long-form undifferencing of the true future changes: rebuilds the level."""
     p = lead_label(spark, sf)
@@ -465,6 +469,7 @@ QUERIES = {
     "metric_r2": metric_r2,
     "metric_table": metric_table_q,
     "forecast_long": forecast_long_q,
+    "forecast_chart": forecast_chart_q,
     "undifference": undifference,
     "sink_roundtrip": sink_roundtrip,
     "stationarity_df": stationarity_df,

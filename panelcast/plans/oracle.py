@@ -509,6 +509,12 @@ def oracle_queries() -> dict[str, str]:
             + " FROM m GROUP BY series_id"
         ),
         "forecast_long": _with_forecast("events_by_type", hs, long_rows),
+        "forecast_chart": _with_forecast("events_by_type", hs, (
+            f", long AS ({long_rows}), spans AS (SELECT series_id, min(epoch_us(ts)) AS t0, max(epoch_us(ts)) AS t1 FROM pred GROUP BY series_id) "
+            f"SELECT long.series_id, split, horizon, kind, (epoch_us(ts) - t0) * 100 // (t1 - t0 + 1) AS pixel, count(*) AS points, "
+            f"min(ts) AS first_ts, arg_min(value, (ts, tiebreak)) AS first, max(ts) AS last_ts, arg_max(value, (ts, tiebreak)) AS last, "
+            f"min(value) AS low, max(value) AS high FROM long JOIN spans ON long.series_id IS NOT DISTINCT FROM spans.series_id "
+            f"WHERE value IS NOT NULL GROUP BY ALL")),
         "undifference": (
             f"WITH panel AS ({PANELS['events_by_type']}), d AS (SELECT *, {diff} AS diff FROM panel), "
             f"lab AS (SELECT *, {labels} FROM d), lg AS ({undiff}) "

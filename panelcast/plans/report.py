@@ -6,7 +6,8 @@
 * ``write_legacy_csv``: the reference's layout, ``<name>train.csv`` and
   ``<name>test.csv`` with header and ``Row Number, Date, Close`` names.
 * ``write_legacy_metric_tables``: the reference's per-ticker metric tables.
-* ``forecast_long``: one row per (row, horizon, kind) for charts.
+* ``forecast_long``: one row per (row, horizon, kind) for charts;
+  ``forecast_chart``: what a chart of some width shows of it.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.functions.series import actual_name, forecast_name
+from panelcast.operators.ordered import decode_key, encode_key
 from panelcast.sources.panel import SERIES, TIEBREAK, TS, VALUE
 
 
@@ -122,3 +124,28 @@ def forecast_long(pred: DataFrame, horizons) -> DataFrame:
     return pred.select(SERIES, TS, TIEBREAK, "split", F.explode(F.array(*rows)).alias("_r")).select(
         SERIES, TS, TIEBREAK, "split", "_r.horizon", "_r.kind", F.col("_r.v").alias(VALUE)
     )
+
+
+def forecast_chart(pred: DataFrame, horizons, pixels: int = 800) -> DataFrame:
+    """What a chart ``pixels`` wide can show of each line, whatever the series' length.
+
+    Per series, split, horizon, kind and pixel column the first, last,
+    smallest and largest value (null values are left out) and the number of
+    points: ``(series_id, split, horizon, kind, pixel, points, first_ts,
+    first, last_ts, last, low, high)``.  A series' columns divide the time
+    from its first to its last row; lines drawn through these points cover the
+    pixels that all points would.  Both passes are partial aggregates, so a
+    long series costs a task no more than its columns.
+    """
+    if pixels < 1:
+        raise ValueError("a chart has a pixel at least")
+    micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({TS} AS TIMESTAMP_NTZ))")
+    known = encode_key(pred)
+    spans = known.groupBy(SERIES).agg(F.min(micros).alias("_from"), F.max(micros).alias("_to"))
+    long = forecast_long(known, horizons).where(F.col(VALUE).isNotNull()).withColumn("_t", micros)
+    placed = long.join(spans, SERIES).withColumn("pixel", F.expr(f"(_t - _from) * {int(pixels)}L div (_to - _from + 1)"))
+    at = F.struct(TS, TIEBREAK)
+    out = placed.groupBy(SERIES, "split", "horizon", "kind", "pixel").agg(
+        F.count(F.lit(1)).alias("points"), F.min(TS).alias("first_ts"), F.min_by(VALUE, at).alias("first"),
+        F.max(TS).alias("last_ts"), F.max_by(VALUE, at).alias("last"), F.min(VALUE).alias("low"), F.max(VALUE).alias("high"))
+    return decode_key(out)

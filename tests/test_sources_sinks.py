@@ -77,3 +77,28 @@ def test_only_dates_and_timestamps_order_a_series(spark):
         as_panel(text)
     p = as_panel(text.select(F.to_date("ts", "MM/dd/yyyy").alias("ts"), "value"))
     assert ties(p).count() == 0 and ties(p.unionByName(p)).count() == 2
+
+
+def test_chart_has_each_columns_ends_and_extremes(spark):
+    from collections import defaultdict
+
+    from panelcast.plans.report import forecast_chart, forecast_long
+
+    pred = forecast_panel(events_by_type(spark, SF_SMALL), ForecastConfig(horizons=2, lags=0)).predictions
+    pred = pred.withColumn("series_id", F.when(F.col("series_id") != "view", F.col("series_id")))
+    got = {(r.series_id, r.split, r.horizon, r.kind, r.pixel): r for r in forecast_chart(pred, [1, 2], pixels=7).collect()}
+    spans = {r.series_id: (r.a, r.z) for r in pred.groupBy("series_id").agg(F.min("ts").alias("a"), F.max("ts").alias("z")).collect()}
+    lines = defaultdict(list)
+    micro = lambda t: t.days * 86_400_000_000 + t.seconds * 1_000_000 + t.microseconds
+    for r in forecast_long(pred, [1, 2]).collect():
+        if r.value is not None:
+            a, z = spans[r.series_id]
+            lines[r.series_id, r.split, r.horizon, r.kind, micro(r.ts - a) * 7 // (micro(z - a) + 1)].append((r.ts, r.tiebreak, r.value))
+    assert got.keys() == lines.keys() and len(got) <= 6 * 2 * 2 * 2 * 8
+    for k, points in lines.items():
+        points.sort()
+        values = [p[2] for p in points]
+        r = got[k]
+        assert (r.points, r.first_ts, r.first, r.last_ts, r["last"], r.low, r.high) == (
+            len(points), points[0][0], values[0], points[-1][0], values[-1], min(values), max(values))
+    assert {k[4] for k in got} == set(range(7))
