@@ -19,7 +19,7 @@ from panelcast.operators.metrics import metric_table
 from panelcast.operators.split import complete_cases, row_index, time_split, undifference_long
 from panelcast.operators.stationarity import adf_autolag, adf_test, dickey_fuller
 from panelcast.operators.trees import DECISION_TREE, GBT, LINEAR, RANDOM_FOREST
-from panelcast.plans.forecast import ForecastConfig, Generator, forecast_horizon, forecast_panel, register_generator
+from panelcast.plans.forecast import ForecastConfig, Generator, feature_vectors, forecast_horizon, forecast_panel, register_generator
 from panelcast.plans.report import forecast_chart, forecast_long, read_predictions, write_predictions
 from panelcast.sources import panel as P
 from panelcast.sources.panel import SERIES, TIEBREAK, TS, VALUE
@@ -386,6 +386,14 @@ def forecast_single_series(spark, sf):
     return _round(r.predictions, _pred_cols(range(1, 7)))
 
 
+def feature_vectors_q(spark, sf):
+    """The vector column of the second horizon, spread out again."""
+    from pyspark.ml.functions import vector_to_array
+
+    rows = feature_vectors(P.events_by_user(spark, sf), 2, lags=LAGS).withColumn("x", vector_to_array("features"))
+    return rows.select(SERIES, "ts", TIEBREAK, VALUE, *[F.col("x")[j].alias(f"x{j}") for j in range(LAGS + 1)], "label", "split")
+
+
 def _past_and_later(spark, sf):
     """The events up to three quarters of their time, and those after."""
     events = P.events_by_type(spark, sf)
@@ -490,6 +498,7 @@ QUERIES = {
     "forecast_tree": _lagged(DECISION_TREE, seed=7),
     "forecast_forest": _lagged(RANDOM_FOREST, seed=7),
     "forecast_gbt": _lagged(GBT, seed=7),
+    "feature_vectors": feature_vectors_q,
     "score_new_rows": score_new_rows,
     "score_new_rows_forest": score_new_rows_forest,
     "stationarity_adf": stationarity_adf,

@@ -318,6 +318,25 @@ def build_features(panel: DataFrame, cfg: ForecastConfig, hs=None):
     return ordered.decode_key(_union([f for f, _ in pieces])), [b for _, b in pieces], hs
 
 
+def feature_vectors(panel: DataFrame, horizon: int, cfg: ForecastConfig | None = None, **overrides) -> DataFrame:
+    """The panel as any MLlib regressor takes it: one row per row complete at ``horizon``.
+
+    ``series_id, ts, tiebreak, value, features, label, split``: ``features`` is
+    a dense vector in the order of :func:`feature_columns` (the change, its
+    lags from 1, then each generator's columns as configured), ``label`` the
+    change ``horizon`` rows ahead, ``split`` the row's side at that horizon.
+    Fit on ``split = 'train'`` with the default column names.
+    """
+    from pyspark.ml.functions import array_to_vector
+
+    cfg = replace(cfg or ForecastConfig(), **overrides)
+    f, _, _ = build_features(panel, cfg, [horizon])
+    x = F.array(*[F.col(c).cast("double") for c in _features_of(cfg)])
+    return f.where(F.col(f"c{horizon}_flag")).select(
+        SERIES, TS, TIEBREAK, VALUE, array_to_vector(x).alias("features"), F.col(f"label_{horizon}").cast("double").alias("label"),
+        F.when(F.col(f"train_{horizon}"), "train").otherwise("test").alias("split"))
+
+
 # --- fit and score -------------------------------------------------------------
 def _score_linear(piece: DataFrame, blocked: bool, wide: DataFrame, fcols, hs) -> DataFrame:
     """Join the per-series coefficients without moving the piece's rows.

@@ -566,6 +566,9 @@ def oracle_queries() -> dict[str, str]:
             "events_single", hs,
             "SELECT row_number AS \"Row Number\", ts AS \"Date\", value AS \"Close\", "
             + ", ".join(f"DeltaZ{h}, forecast_{h}day, actual_{h}day" for h in hs) + ", split FROM pred"),
+        "feature_vectors": (
+            f"WITH {features_ctes('events_by_user', [2], LAGS)} SELECT series_id, ts, tiebreak, value, diff AS x0, "
+            + ", ".join(f"lag_{i} AS x{i}" for i in range(1, LAGS + 1)) + ", label_2 AS label, CASE WHEN train_2 THEN 'train' ELSE 'test' END AS split FROM s WHERE c2"),
         "score_new_rows": new_rows_sql(hs, LAGS),
         "stationarity_df": df_rows,
         "stationarity_adf": adf_sql(2),

@@ -109,3 +109,20 @@ def test_gram_matrices_give_the_native_fit(spark, feats, monkeypatch):
     assert native.keys() == gram.keys()
     for k, row in native.items():
         assert all(row[c] == pytest.approx(gram[k][c], abs=1e-9) for c in row if c != "series_id")
+
+
+def test_feature_vectors_feed_any_regressor(spark):
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    from conftest import SF_SMALL
+    from panelcast import forecast_panel
+    from panelcast.plans.forecast import feature_vectors
+
+    panel = events_by_type(spark, SF_SMALL).where("series_id = 'click'")
+    cfg = ForecastConfig(horizons=2, lags=2, generators=(("moving_average", 3),))
+    rows = feature_vectors(panel, 2, cfg)
+    m = LinearRegression(maxIter=100, regParam=0.4, elasticNetParam=0.1).fit(rows.where("split = 'train'"))
+    ours = forecast_panel(panel, cfg).coefficients.where("horizon = 2").first()
+    assert feature_columns(2, cfg.generators) == ["diff", "lag_1", "lag_2", "ma_3"]
+    assert np.allclose(ours["coefficients"], m.coefficients.toArray(), atol=1e-5)
+    assert DecisionTreeRegressor().fit(rows.where("split = 'train'")).transform(rows.where("split = 'test'")).count() > 10
