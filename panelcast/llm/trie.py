@@ -278,9 +278,10 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame) -> DataFrame:
              .select("band", "hi", "lo", "conv_id", "x", "y", "bytes", "length").mapInArrow(_nodes, NODES))
     found = written(found, "trie-shards")
     zero = F.lit(0).cast("long")
-    root = conversations.agg(F.count(F.lit(1)).alias("n"), F.min("conv_id").alias("conv_id")).where("n > 0").select(
+    root = conversations.agg(F.count(F.lit(1)).alias("n"), F.min("conv_id").alias("conv_id"),
+                             F.count(F.when(F.col("length") == 0, 1)).alias("n_ends")).where("n > 0").select(
         zero.alias("depth"), zero.alias("hi"), zero.alias("lo"), F.lit(None).cast("long").alias("p_hi"), F.lit(None).cast("long").alias("p_lo"),
-        "n", "conv_id", zero.alias("bytes"), F.when(F.lit(True), zero).alias("n_ends"))
+        "n", "conv_id", zero.alias("bytes"), "n_ends")
     turnless = conversations.where("length = 0").select(zero.alias("depth"), zero.alias("hi"), zero.alias("lo"), F.col("conv_id").alias("member"))
     ends = found.where(F.size("ends") > 0).select(*place, F.explode("ends").alias("member")).unionByName(turnless)
     merged = found.groupBy(*place).agg(F.max("p_hi").alias("p_hi"), F.max("p_lo").alias("p_lo"), F.sum("n").alias("n"), F.min("conv_id").alias("conv_id"),
@@ -307,8 +308,6 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame) -> DataFrame:
     summed = own.join(blocks, ["conv_id", "block"]).withColumns({
         "n_leaves": F.sum("leaf").over(along) + F.col("below_leaf"), "saved_tokens": F.sum("saved").over(along) + F.col("below_saved")})
     none = F.sha2(F.lit("").cast("binary"), 256)
-    hashes = _end_hashes(ends)
-    last = turnless.agg(F.count(F.lit(1)).alias("n_turnless")).select(zero.alias("depth"), "n_turnless")
-    return summed.join(hashes, place, "left").join(last, "depth", "left").select(
+    return summed.join(_end_hashes(ends), place, "left").select(
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
-        F.coalesce("ends_sha256", none).alias("ends_sha256"), (F.col("n_ends") + F.coalesce("n_turnless", zero)).alias("n_ends"))
+        F.coalesce("ends_sha256", none).alias("ends_sha256"), "n_ends")
