@@ -27,8 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from panelcast.llm.common import release_memory
+
 CHUNK_BYTES = 32_000_000  # text of a chunk (or one document)
 PIECE_BYTES = 2_000_000  # text looked at together inside a chunk
+SCORED_BYTES = 500_000  # text scored together
 
 
 def chunks_of(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES) -> Iterator[pa.Table]:
@@ -47,8 +50,8 @@ def chunks_of(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES) -> Ite
         yield pa.Table.from_batches(held)
 
 
-def pieces_of(table: pa.Table) -> Iterator[pa.Table]:
-    yield from chunks_of(iter(table.combine_chunks().to_batches()), PIECE_BYTES)
+def pieces_of(table: pa.Table, size: int = PIECE_BYTES) -> Iterator[pa.Table]:
+    yield from chunks_of(iter(table.combine_chunks().to_batches()), size)
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
@@ -82,6 +85,8 @@ def ask(docs: DataFrame, keys_of: Callable[[pa.Table], Iterator[tuple[np.ndarray
                 for a in range(0, len(grams), 65_536):
                     g = grams[a:a + 65_536]
                     yield _single(["chunk", "gram", "n"], [pa.array(np.full(len(g), name)), pa.array(g), pa.array(n[a:a + 65_536])])
+                del found, grams, n
+                release_memory()
 
     return docs.mapInArrow(run, "chunk long, gram long, n long")
 
@@ -96,7 +101,7 @@ def payload(docs: DataFrame) -> DataFrame:
     def run(batches):
         for name, chunk in _named(batches):
             packed = []
-            for piece in pieces_of(chunk):
+            for piece in pieces_of(chunk, SCORED_BYTES):
                 sink = io.BytesIO()
                 with pa.ipc.new_stream(sink, piece.schema) as writer:
                     writer.write_table(piece)
@@ -155,6 +160,8 @@ def score(docs: DataFrame, answers: dict[str, DataFrame], score_piece: Callable,
             for packed in pieces:
                 raw = zstandard.ZstdDecompressor().decompress(packed.as_py())
                 out.append(score_piece(pa.ipc.open_stream(raw).read_all(), tables))
+        del tables, grams, values, kind
+        release_memory()
         return pa.concat_tables(out) if out else empty
 
     empty = to_arrow_schema(_parse_datatype_string(schema)).empty_table()

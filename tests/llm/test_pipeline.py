@@ -92,3 +92,27 @@ def test_queries_run_and_have_the_columns_of_their_contract(spark, name):
     types = dict(df.dtypes)
     assert {c: types.get(c) for c in want} == want
     assert df.count() > 0
+
+
+def test_stages_on_edge_rows_and_on_no_rows(spark):
+    long = prose(5, 25_000)
+    rows = [(None, None), (1, None), (2, ""), (3, " \n\t"), (4, prose(1, 300)), (4, prose(1, 300)), (5, prose(1, 300)), (None, prose(2, 200)),
+            (6, long), (7, prose(3, 3)), (8, "\n".join(["the same line of twenty characters and more"] * 4)), (9, prose(4, 120))]
+    base = docs(spark, [(i, t, "en" if (i or 0) % 2 else None, None if i == 4 else "s") for i, t in rows])
+    clash = {c: F.lit(c) for c in ("id", "key", "kept", "component", "n_shingles", "reps", "size", "part", "row", "line", "piece", "chunk")}
+    current, empty = base.withColumns(clash), base.withColumns(clash).limit(0)
+    texts = {t for _, t in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, empty, SF).count() == 0
+        current = written(stage(spark, current, SF), f"test-{name}")
+        assert set(base.columns) <= set(current.columns)
+        kept = current.select("doc_id", "text").collect()
+        if name != "line_dedup":
+            assert {r.text for r in kept} <= texts
+        texts = {r.text for r in kept}
+        assert any(r.doc_id == 6 for r in kept)  # clean and very long
+    packed = corpus_pipeline.STAGES[-1][1](spark, current, SF)
+    pieces = packed.collect()
+    assert {r.doc_id for r in pieces} == {r.doc_id for r in kept}
+    assert all(r.length <= 2048 for r in pieces) and sum(r.doc_id == 6 for r in pieces) > 10
+    assert corpus_pipeline.STAGES[-1][1](spark, empty, SF).count() == 0
