@@ -60,7 +60,7 @@ def scan_csv(spark, sf):
 
 
 def scan_vendor_files(spark, sf):
-    """All events as one CSV file per series, read back by the data source with one partition per file."""
+    """All events as one CSV file per series, read back by the data source."""
     from panelcast.session import fresh_path
     from panelcast.sources.vendor import read_vendor_files, write_vendor_files
 

@@ -63,3 +63,14 @@ def test_edge_files(spark, tmp_path):
     assert read_vendor_files(spark, str(tmp_path / "missing")).collect() == []
     with pytest.raises(Exception, match="CSV conversion error"):
         read_vendor_files(spark, str(tmp_path)).collect()
+
+
+def test_many_files_share_partitions(spark, tmp_path):
+    for i in range(900):
+        (tmp_path / f"T{i:03}.csv").write_text(f"Date,Close\n2020-01-01,{i}\n2020-01-02,\n")
+    (tmp_path / "LONG.csv").write_text("Date,Close\n" + "".join(f"2020-01-{1 + i % 28:02},{i}\n" for i in range(100_000)))
+    got = read_vendor_files(spark, str(tmp_path))
+    assert 100 < got.rdd.getNumPartitions() <= 500
+    want = [(f"T{i:03}", dt.datetime(2020, 1, d + 1), d, v) for i in range(900) for d, v in enumerate((float(i), None))]
+    assert sorted(map(tuple, got.where("series_id <> 'LONG'").collect()), key=lambda r: r[:3]) == want
+    assert got.where("series_id = 'LONG'").agg(F.count("value"), F.max("tiebreak"), F.sum("value")).first() == (100_000, 99_999, 4_999_950_000.0)
