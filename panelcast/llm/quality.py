@@ -1,9 +1,9 @@
 """Quality classifier: perplexity under a Kneser-Ney model of trusted text.
 
 The model is an interpolated modified Kneser-Ney model of ``ORDER`` bytes.  It
-is trained on at most ``max_train`` trusted documents (labelled good and not
-toxic, picked by a hash of their id, a fifth of the trusted always left out);
-this bound is the only sample.  Its count tables, continuation counts,
+is trained on every trusted document (labelled good and not toxic) but a fifth,
+picked by a hash of their id, which is held out for the thresholds; nothing is
+sampled.  Its count tables, continuation counts,
 discounts and back-off weights are DataFrames sharded by n-gram.  Every
 document is scored over its whole text: chunks ask for their distinct n-grams,
 which are joined level by level with the count tables (see ``chunks``).
@@ -44,6 +44,7 @@ from panelcast.llm.common import text_or_empty, written
 ORDER = 5  # bytes of an n-gram
 GRID = 1000  # steps of one bit in the quantiles
 TAIL = 0.9  # quantile that tells a language's spread
+BROADCAST_IDS = 4_000_000  # of trusted documents; more are joined by a shuffle
 PRIOR = 20  # documents' worth of the spread within all languages in that of one
 
 
@@ -147,7 +148,7 @@ def thresholds(scores: DataFrame, quantile: float, min_calibration: int) -> Data
     return own.select("lang", (share * F.col("own") + (1 - share) * limit).alias("threshold"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.995, max_train: int = 20_000, min_calibration: int = 200,
+def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.995, min_calibration: int = 200,
              id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """id, key (hash of the text), lang, n_bytes, bits_per_byte, perplexity, threshold, kept, reason for every row.
 
@@ -155,11 +156,12 @@ def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.995, max
     judged" where its language has no threshold, else null.
     """
     trusted = written(trusted_ids(labels), "quality-trusted")
-    sample = written(trusted.where(~_left_out()).orderBy(F.xxhash64("id"), "id").limit(max_train), "quality-sample")
+    trained = trusted.where(~_left_out())
+    if trained.count() <= BROADCAST_IDS:  # the texts then stay where they are
+        trained = F.broadcast(trained)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("key"),
                        F.col(lang_col).cast("string").alias("lang"), text_or_empty(text_col).cast("binary").alias("text"))
-    # max_train ids at most
-    model = KneserNey(rows.join(F.broadcast(sample), "id", "left_semi").select("text"))
+    model = KneserNey(rows.join(trained, "id", "left_semi").select("text"))
     asked = written(chunks.ask(rows, _ask).select("chunk", "gram"), "quality-grams")
     p = model.probabilities(written(asked.select("gram").distinct(), "quality-distinct"))
     bits = asked.join(p.select("gram", chunks.fixed(-F.log2("p")).alias("value")), "gram")

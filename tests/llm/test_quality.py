@@ -79,6 +79,18 @@ def test_perplexities_equal_the_definition(spark):
     assert sum(r.kept for r in got if r.id is not None and r.id < 120) >= 100
 
 
+@pytest.mark.parametrize("most", [quality.BROADCAST_IDS, 1000])
+def test_every_trusted_document_is_trained_on(spark, monkeypatch, most):
+    monkeypatch.setattr(quality, "BROADCAST_IDS", most)
+    rows = [(i, str(i * 7919 % 100_003), "en") for i in range(28_000)]
+    left_out = {r.id for r in spark.range(28_000).where(quality._left_out()).collect()}
+    assert len(rows) - len(left_out) > 22_000
+    model = Model([t.encode() for i, t, _ in rows if i not in left_out], quality.ORDER)
+    got = quality.classify(docs(spark, rows), spark.createDataFrame([(i, 1, 0) for i, _, _ in rows], LABELS)).collect()
+    have = {r.id: r.bits_per_byte for r in got}
+    assert len(got) == len(rows) and [have[i] for i, _, _ in rows] == pytest.approx([model.bits(t.encode()) for _, t, _ in rows], abs=1e-6)
+
+
 def test_distribution_sums_to_one(spark):
     texts = spark.createDataFrame([(t.encode(),) for t in (prose(1, 50), prose(2, 50))], "text binary")
     model = quality.KneserNey(texts)
