@@ -177,20 +177,25 @@ class WordIds:
 
     def encoded(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
         at = 0
         while at < len(texts):
+            before = upto[at - 1] if at else 0
+            end = int(np.searchsorted(upto, before + TEXT_BYTES)) + 1
             # white space never is part of a token here, so a text's ids are its words' ids
-            docs, names, size = [], set(), 0
-            while at + len(docs) < len(texts) and size < TEXT_BYTES:
-                text = texts[at + len(docs)].as_buffer()
-                size += len(text)
-                docs.append(text.to_pybytes().split())
-                names.update(docs[-1])
-            self._learn(self.words.missing(names))
-            get = self.words.young.__getitem__
-            at += len(docs)
-            for words in docs:
-                yield b"".join(map(get, words))
+            docs = pc.ascii_split_whitespace(texts.slice(at, end - at).view(pa.string()))
+            words = docs.flatten().dictionary_encode()  # a distinct word is looked up once
+            names = words.dictionary.view(pa.binary()).to_pylist()
+            self._learn(self.words.missing(set(names) - {b""}))  # beside white space at a text's ends the split has empty words
+            self.words.young[b""] = b""
+            ids = pa.array(list(map(self.words.young.__getitem__, names)), pa.binary()).take(words.indices)
+            raw, ends = ids.buffers()[2], np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1)[np.asarray(docs.offsets)].tolist()
+            at = end
+            for first, last in zip(ends[:-1], ends[1:], strict=True):
+                yield raw[first:last].to_pybytes()
 
     def _learn(self, words: list[bytes]) -> None:
         import numpy as np

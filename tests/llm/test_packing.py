@@ -85,3 +85,31 @@ def test_pieces_equal_direct_encoding(spark):
 
 def test_empty_table(spark):
     assert pack_documents(docs(spark, []), PATH).count() == 0
+
+
+def test_words_are_looked_up_once_for_each_distinct_one(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from panelcast.llm import packing
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["", "  a b ", "\x0b\x0cfoo\r\nbar\t", "Ünïcode ☃ 漢字 x  y", " \n ", "<|endoftext|> hi\x1cthere", "x" * 5000, "\x85z\x00q", "ab ab ab " * 9000]
+    column = pa.array([b"before", *[t.encode() for t in texts]], pa.binary()).slice(1)
+    tokenizer = Tokenizer.from_file(path)
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for size in (10, 4_000_000):
+        monkeypatch.setattr(packing, "TEXT_BYTES", size)
+        got = list(packing.WordIds(path).encoded(column))
+        assert [list(memoryview(b).cast("I")) for b in got] == want
+    assert list(packing.WordIds(path).encoded(pa.array([], pa.binary()))) == []
+    import tracemalloc
+
+    words, long = packing.WordIds(path), pa.array([b"ab cd " * 500_000], pa.binary())
+    list(words.encoded(long))
+    tracemalloc.start()
+    list(words.encoded(long))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20e6, most  # a million words, of which two are distinct, are not a million objects
