@@ -37,11 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import partitions_for, written
+from panelcast.llm.common import partitions_for, release_memory, small_batches, written
 from panelcast.llm.vectors import matrix, usable
 
 DIMS, BITS = 8, 32  # components of a curve, bits of each (at most 8 and 32)
 BLOCK = 2048  # index entries of a block
+BLOCK_BATCH = 16  # pairs of blocks that Python gets at once
 
 
 def _transposed(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -108,17 +109,23 @@ class Curves:
             yield hilbert_bytes(cells, BITS)
 
 
+def _fixed(a: np.ndarray, width: int) -> pa.Array:
+    """The bytes of an array as a binary column of ``width`` bytes a row."""
+    n = a.nbytes // width if width else len(a)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * np.int32(width)), pa.py_buffer(np.ascontiguousarray(a))])
+
+
 def _place(dim: int, curves: int, seed: int, mean: list[float], scale: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Curves(dim, curves, seed)
         for batch in batches:
-            keys = list(c.keys(matrix(batch.column(2), dim), np.array(mean), scale))
-            for i, key in enumerate(keys):
-                ends = pa.py_buffer(np.arange(len(key) + 1, dtype=np.int32) * np.int32(BITS))
-                key = pa.Array.from_buffers(pa.binary(), len(key), [None, ends, pa.py_buffer(np.ascontiguousarray(key))])
+            x = matrix(batch.column(2), dim)
+            v = _fixed(x, 8 * dim)
+            for i, key in enumerate(c.keys(x, np.array(mean), scale)):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(key), i, np.int32)), key, *batch.columns],
+                    [pa.array(np.full(len(key), i, np.int32)), _fixed(key, BITS), batch.column(0), batch.column(1), v],
                     names=["curve", "key", "id", "asks", "v"])
+        release_memory()
 
     return run
 
@@ -140,7 +147,8 @@ def _blocks(dim: int):
 
         for batch in batches:
             c, i = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            a, x = np.array(batch.column(2).to_pylist(), bool), matrix(batch.column(3), dim)
+            a, packed = batch.column(2).to_numpy(zero_copy_only=False).astype(bool), batch.column(3)
+            x = np.frombuffer(packed.buffers()[2], np.float64, len(i) * dim, 8 * dim * packed.offset).reshape(-1, dim) if len(i) else np.zeros((0, dim))
             at = 0
             while at < len(i):
                 if ids and (curve != c[at] or sum(map(len, ids)) >= BLOCK):
@@ -153,6 +161,7 @@ def _blocks(dim: int):
                 at = upto
         if ids:
             yield block()
+        release_memory()
 
     return run
 
@@ -178,6 +187,7 @@ def _rerank(dim: int, k: int):
                     out[0].append(np.full(len(order), asks[i])), out[1].append(ids[near[i]][order]), out[2].append(exact[order])
             columns = [np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(out, (np.int64, np.int64, np.float64), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query", "entry", "score"])
+        release_memory()
 
     return run
 
@@ -204,7 +214,7 @@ def nearest(vectors: DataFrame, *, k: int = 10, modulus: int = 100, curves: int
 
     entry = entries.join(asked.select("query").distinct(), F.col("ids")[0] == F.col("query"), "left").select(
         F.col("ids")[0].alias("id"), F.col("query").isNotNull().alias("asks"), "v")
-    placed = entry.mapInArrow(_place(dim, curves, seed, mean, scale), "curve int, key binary, id long, asks boolean, v array<double>")
+    placed = entry.mapInArrow(_place(dim, curves, seed, mean, scale), "curve int, key binary, id long, asks boolean, v binary")
     parts = partitions_for(size.n * curves, 4 * BLOCK, spark)
     index = written(
         placed.repartitionByRange(parts, "curve", "key", "id").sortWithinPartitions("curve", "key", "id")
@@ -230,6 +240,8 @@ def nearest(vectors: DataFrame, *, k: int = 10, modulus: int = 100, curves: int
     )
     found = near.join(index.select("curve", "part", "nth", "ids", "vecs"), ["curve", "part", "nth"]) \
         .select("ask_ids", "ask_vecs", "ids", "vecs").mapInArrow(_rerank(dim, k), "query long, entry long, score double")
+    with small_batches(spark, BLOCK_BATCH):  # a row is a megabyte
+        found = written(found, "ann-found")
     best_entries = W.partitionBy("query").orderBy("score", "entry")
     entry_rank = (found.groupBy("query", "entry").agg(F.min("score").alias("score"))
                   .withColumn("nth", F.row_number().over(best_entries)).where(F.col("nth") <= k + 1))

@@ -130,3 +130,39 @@ def test_nearest_small_and_empty(spark):
     assert nearest(spark.createDataFrame([(0, [0.0], 0)], SCHEMA)).count() == 0
     assert nearest(spark.createDataFrame([(0, [1.0], 0)], SCHEMA)).count() == 0
     assert [tuple(r) for r in nearest(spark.createDataFrame([(0, [1.0], 0), (5, [1.0], 0)], SCHEMA)).collect()] == [(0, 1, 5, 0.0)]
+
+
+def test_blocks_of_the_index_are_handed_out_by_few(spark, monkeypatch):
+    """A row that is ranked holds a block of a megabyte: Python never gets thousands of them at once."""
+    import numpy as np
+
+    from panelcast.llm import ann
+    from panelcast.llm.common import small_batches
+
+    rerank, widest = ann._rerank, spark.sparkContext.accumulator(0)
+
+    def counting(dim, k):
+        run = rerank(dim, k)
+
+        def counted(batches):
+            def seen():
+                for b in batches:
+                    if b.num_rows > ann.BLOCK_BATCH:
+                        widest.add(1)
+                    yield b
+
+            return run(seen())
+
+        return counted
+
+    monkeypatch.setattr(ann, "_rerank", counting)
+    monkeypatch.setattr(ann, "BLOCK", 8)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert ann.nearest(df, curves=2, min_window=64).count() == 150
+    assert widest.value == 0
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    with small_batches(spark, 5):
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "5"
