@@ -220,7 +220,8 @@ def top_k(vectors: DataFrame, *, k: int = 10, scale: int = 1024, modulus: int =
     groups = min(int(spark.conf.get("spark.sql.shuffle.partitions")), parts)  # copies of the queries
     shards = index.select(F.pmod(F.hash("part", "shard"), F.lit(groups)).alias("deal"), "blocks")
     everywhere = written(chunks, "topk-chunks").withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    met = everywhere.join(shards, "deal").select("asks", "blocks")
+    # the copies look as small as the chunks that they are made of: without the hint the driver would gather and broadcast them all
+    met = everywhere.hint("merge").join(shards, "deal").select("asks", "blocks")
     found = met.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

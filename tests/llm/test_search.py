@@ -54,6 +54,16 @@ def test_top_k_small_large_and_empty(spark):
     assert [r.vec_id for r in big] == [1, 3, 2] and big[0].score == 2**63 - 1 and big[2].score == -2**63
 
 
+def test_copies_of_the_queries_are_not_sent_to_the_driver(spark):
+    """Files of a few kilobytes hold the queries, but every group of shards gets a copy: they are shuffled, not broadcast."""
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 1_000_000
+    out = top_k(spark.createDataFrame(_vectors(), SCHEMA))
+    plan = out._jdf.queryExecution().executedPlan()
+    assert "Broadcast" not in plan.toString()
+    assert out.count() and len(out.collect())
+    assert "Broadcast" not in plan.toString() and "SortMergeJoin" in plan.toString()  # nor once sizes are known
+
+
 def test_hilbert_keys_visit_every_cell_by_single_steps():
     for dims, bits in ((2, 3), (3, 2), (4, 2)):
         cells = np.array(np.meshgrid(*[range(1 << bits)] * dims)).reshape(dims, -1).T
